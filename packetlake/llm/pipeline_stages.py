@@ -28,7 +28,7 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     from . import ngram_join as n
 
     found = n.near_duplicate_components(docs)
-    return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
 
 
 def repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
