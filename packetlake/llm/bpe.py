@@ -22,7 +22,6 @@ from .common import table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces for one recursive query, and their bytes at most (a longer piece goes alone).
 SLICE, SLICE_BYTES = 20_000, 300_000
-_known: dict[str, tuple[str, bytes, int]] = {}
 
 
 @functools.cache
@@ -77,8 +76,8 @@ from (select w, unnest(ids) as id, generate_subscripts(ids, 1) as k from coded)
 """
 
 
-def encode_pieces(pieces: list[str], vocabulary: str = VOCABULARY) -> dict[str, tuple[str, bytes, int]]:
-    """For each different piece: its ids as text, its decoded bytes, its number of ids."""
+def encode_pieces(pieces: list[str], vocabulary: str = VOCABULARY) -> dict[str, tuple[str, bytes]]:
+    """For each different piece: its ids as text and its decoded bytes."""
     ranks, con, out = _ranks(vocabulary), _connection(vocabulary), {}
     single = [ranks[bytes([k])] for k in range(256)]
     todo = []
@@ -99,38 +98,23 @@ def encode_pieces(pieces: list[str], vocabulary: str = VOCABULARY) -> dict[str,
             pos += range(len(raw))
             ids += [single[x] for x in raw]
         con.register("start", pa.table({"w": pa.array(w, pa.int32()), "pos": pa.array(pos, pa.int32()), "id": pa.array(ids, pa.int32())}))
-        coded = con.execute(ENCODE).to_arrow_table()
+        coded = con.sql(ENCODE).to_arrow_table()
         con.register("coded", coded)
         raw = dict(con.execute(DECODE).fetchall())
-        for k, text, n in zip(coded.column("w").to_pylist(), coded.column("text").to_pylist(), coded.column("ids").combine_chunks().value_lengths().to_pylist()):
-            out[part[k][0]] = (text, bytes.fromhex(raw[k]), n)
+        for k, text in zip(coded.column("w").to_pylist(), coded.column("text").to_pylist()):
+            out[part[k][0]] = (text, bytes.fromhex(raw[k]))
         con.unregister("start")
         con.unregister("coded")
         at = end
     return out
 
 
-def _known_pieces(parts: list[list[str]], vocabulary: str) -> dict:
-    new = {p for x in parts for p in x if p not in _known}
-    if new:
-        if len(_known) > tokens.CACHE:
-            _known.clear()
-            new = {p for x in parts for p in x}
-        got = encode_pieces(list(new), vocabulary)
-        _known.update((p, v) for p, v in got.items() if len(p) <= tokens.LONG)
-        if any(len(p) > tokens.LONG for p in got):
-            return _known | {p: v for p, v in got.items() if len(p) > tokens.LONG} if len(_known) < 20_000 else _Both(_known, got)
-    return _known
-
-
-class _Both:
-    """Look-up in two dictionaries, without a copy."""
-
-    def __init__(self, a, b):
-        self.a, self.b = a, b
+@functools.cache
+def _cache(vocabulary: str) -> tokens.Cache:
+    def join(values):
+        return " ".join([v[0] for v in values]), b"".join([v[1] for v in values])
 
-    def __getitem__(self, k):
-        return self.a[k] if k in self.a else self.b[k]
+    return tokens.Cache(lambda pieces: encode_pieces(pieces, vocabulary), join)
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, group: int = 4_000_000) -> DataFrame:
@@ -146,20 +130,17 @@ def _encoded(docs, vocabulary, group, digest, schema, kinds):
             doc, texts = b.column(0), b.column(1)
             i = 0
             while i < len(texts):
-                parts, size, j = [], 0, i
+                part, size, j = [], 0, i
                 while j < len(texts) and (j == i or size < group):
-                    t = texts[j].as_py() or ""
-                    parts.append(tokens.pieces(t))
-                    size += len(t)
+                    part.append(texts[j].as_py() or "")
+                    size += len(part[-1])
                     j += 1
-                known = _known_pieces(parts, vocabulary)
                 n, one, two = [], [], []
-                for x in parts:
-                    got = [known[p] for p in x]
-                    a, c = digest(" ".join([g[0] for g in got]), b"".join([g[1] for g in got]))
-                    n.append(sum([g[2] for g in got]))
-                    one.append(a)
-                    two.append(c)
+                for values in _cache(vocabulary).values(part):
+                    ids = " ".join([v[0] for v in values])
+                    n.append(ids.count(" ") + 1 if ids else 0)
+                    for out, v in zip((one, two), digest(ids, b"".join([v[1] for v in values]))):
+                        out.append(v)
                 yield pa.RecordBatch.from_arrays([doc[i:j], pa.array(n, pa.int64()), pa.array(one, kinds[0]), pa.array(two, kinds[1])], names=["doc_id", "n_tokens", *names])
                 i = j
 

@@ -1,30 +1,58 @@
-"""Byte-level BPE pieces of texts by a public vocabulary, with a bounded per-worker cache of encoded pieces.
+"""Token values of texts by a public vocabulary's pattern, with bounded per-worker caches.
 
-A text is split by the vocabulary's pattern; each piece is encoded alone, so a piece seen before costs one look-up.
+The pattern's pieces never span a single space followed by other text except as that text's first character. So a text
+without three white-space characters in a row falls into units at its spaces, and a unit seen before costs one look-up.
+Other texts are split by the pattern itself.
 """
 
 import functools
+import re
 
-import regex
-
-#: Pieces kept in a worker's cache; a longer piece than LONG bytes is never kept.
-CACHE, LONG = 400_000, 64
+#: Units and pieces kept in a worker's caches; longer ones than LONG characters are never kept.
+CACHE, LONG = 600_000, 64
+_WIDE = re.compile(r"\s{3}")
 
 
 @functools.cache
 def pattern():
     import public_tokenizers
+    import regex
 
     return regex.compile(public_tokenizers.PATTERN)
 
 
-@functools.cache
-def fast_pattern():
-    """The same pattern for ASCII text, where the classes are plain ranges; the standard engine runs it faster."""
-    import re
-
-    return re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
-
-
 def pieces(text: str) -> list[str]:
-    return (fast_pattern() if text.isascii() else pattern()).findall(text)
+    return pattern().findall(text)
+
+
+class Cache:
+    """Values of units. encode: list of pieces -> {piece: value}; join: list of values -> value."""
+
+    def __init__(self, encode, join):
+        self.encode, self.join = encode, join
+        self.plain: dict = {}
+        self.spaced: dict = {}
+        self.piece: dict = {}
+
+    def values(self, texts: list[str]) -> list[list]:
+        """For each text the values of its units in order; all that is new among them is encoded together."""
+        split = [(pieces(t), ()) if _WIDE.search(t) else (p[:1] if p[0] else (), p[1:]) for t in texts for p in (t.split(" "),)]
+        plain, spaced = set(), set()
+        for a, b in split:
+            plain.update(a)
+            spaced.update(b)
+        new = [plain.difference(self.plain), spaced.difference(self.spaced)]
+        if len(self.plain) + len(self.spaced) + len(self.piece) + len(new[0]) + len(new[1]) > CACHE:
+            self.plain.clear(), self.spaced.clear(), self.piece.clear()
+            new = [plain, spaced]
+        cut = [[(u, pieces(u if k == 0 else " " + u)) for u in n] for k, n in enumerate(new)]
+        todo = list({p for c in cut for _, x in c for p in x}.difference(self.piece))
+        got = self.encode(todo) if todo else {}
+        self.piece.update(got)
+        for own, c in zip((self.plain, self.spaced), cut):
+            own.update((u, self.join([self.piece[p] for p in x])) for u, x in c)
+        out = [[self.plain[u] for u in a] + [self.spaced[u] for u in b] for a, b in split]
+        for own in (self.plain, self.spaced, self.piece):
+            for u in [u for u in (got if own is self.piece else new[own is self.spaced]) if len(u) > LONG]:
+                del own[u]
+        return out
