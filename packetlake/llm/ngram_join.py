@@ -19,6 +19,8 @@ shingle; repeated rows and equal texts share a component; rows without doc_id co
 component; an empty table gives an empty result; extra columns are ignored.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,7 +68,7 @@ def frequent_buckets(docs: DataFrame) -> np.ndarray:
             if part.any():
                 yield _batch(k=pa.array([k], pa.int32()), counts=pa.array([part.tobytes()], pa.binary()))
 
-    def add(key, batches):
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CHUNK, np.int64)
         for b in batches:
             for x in b.column("counts"):
