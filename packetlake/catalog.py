@@ -1,9 +1,20 @@
 """All registered queries of the network-traffic operators."""
 
+import importlib
+
+MODULES = ("q_detect",)
+
+
+def _all(kind: str) -> dict:
+    out = {}
+    for m in MODULES:
+        out |= getattr(importlib.import_module(f"packetlake.plans.{m}"), kind)
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("SQL")
