@@ -26,47 +26,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import postings
 from . import textvec as tv
 from .common import components, saved, table
 
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 8, 3
 #: Buckets of the frequency table that only decides the order of shingles, and of the bit map of candidate documents.
-BUCKETS, CHUNK, IDBITS = 1 << 22, 1 << 16, 1 << 22
-#: Documents in one leaf of a long list.
-LEAF = 256
+BUCKETS, CHUNK, IDBITS = 1 << 21, 1 << 16, 1 << 22
+#: Bits of the map of keys with more than one component; coordinates of the vectors that the lists carry.
+KEYBITS, COARSE = 1 << 25, 16
+#: Documents in one leaf of a long list; lists up to SHORT are compared without a tree.
+LEAF, SHORT = 256, 48
 
 
 def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def set_prints(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), f1 and f2 (a 128-bit hash of the set)."""
+def prints_and_counts(docs: DataFrame) -> DataFrame:
+    """One pass, two kinds of rows: doc_id, n (size of the set), f1 and f2 (a 128-bit hash of it); and k, counts of shingle buckets."""
 
     def run(batches):
+        counts = np.zeros(BUCKETS, np.uint32)
         for b in batches:
             for i, j, data, off in tv.documents(b.column(1)):
                 h, at = tv.shingle_sets(data, off, WIDTH)
-                yield _batch(doc_id=b.column(0)[i:j], n=pa.array(np.diff(at), pa.int64()), f1=pa.array(tv.reduce_by(tv.mix(h, 1), at).view(np.int64)), f2=pa.array(tv.reduce_by(tv.mix(h, 2), at).view(np.int64)))
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
-
-
-def frequent_buckets(docs: DataFrame) -> np.ndarray:
-    """Which of BUCKETS shingle buckets hold far more than their part. It decides the order of shingles only, so any answer is right."""
-
-    def run(batches):
-        counts = np.zeros(BUCKETS, np.uint32)
-        for b in batches:
-            for _, _, data, off in tv.documents(b.column(0)):
-                h, _ = tv.shingle_sets(data, off, WIDTH)
                 np.add.at(counts, (h % np.uint64(BUCKETS)).astype(np.int64), np.uint32(1))
+                none = pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())
+                yield _batch(doc_id=b.column(0)[i:j], n=pa.array(np.diff(at), pa.int64()), f1=pa.array(tv.reduce_by(tv.mix(h, 1), at).view(np.int64)), f2=pa.array(tv.reduce_by(tv.mix(h, 2), at).view(np.int64)), k=none[0], counts=none[1])
         counts = np.minimum(counts, 65535).astype(np.uint16)
         for k in range(BUCKETS // CHUNK):
             part = counts[k * CHUNK : (k + 1) * CHUNK]
             if part.any():
-                yield _batch(k=pa.array([k], pa.int32()), counts=pa.array([part.tobytes()], pa.binary()))
+                none = pa.nulls(1, pa.int64())
+                yield _batch(doc_id=none, n=none, f1=none, f2=none, k=pa.array([k], pa.int32()), counts=pa.array([part.tobytes()], pa.binary()))
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, k int, counts binary")
+
+
+def frequent_buckets(counted: DataFrame) -> np.ndarray:
+    """Which of BUCKETS shingle buckets hold far more than their part. It decides the order of shingles only, so any answer is right."""
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CHUNK, np.int64)
@@ -75,7 +75,7 @@ def frequent_buckets(docs: DataFrame) -> np.ndarray:
                 total += np.frombuffer(x.as_py(), np.uint16)
         yield _batch(k=pa.array([key[0].as_py()], pa.int32()), total=pa.array([int(total.sum())], pa.int64()), counts=pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary()))
 
-    sums = saved(docs.select("text").mapInArrow(run, "k int, counts binary").groupBy("k").applyInArrow(add, "k int, total long, counts binary"))
+    sums = saved(counted.groupBy("k").applyInArrow(add, "k int, total long, counts binary"))
     mean = (sums.agg(F.sum("total")).first()[0] or 0) / BUCKETS
     most = mean + 6 * mean**0.5 + 32
 
@@ -95,7 +95,7 @@ def groups_of(n: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, frequent) -> DataFrame:
-    """doc_id, f1, f2, n, bands, prefix and vec (the count vector, 16-bit) of each non-empty document."""
+    """doc_id, n, f1, bands, prefix, vec (the count vector, 16-bit) and v (the same, folded to COARSE) of each non-empty document."""
 
     def run(batches):
         often = np.unpackbits(frequent.value).astype(np.uint64)
@@ -118,6 +118,7 @@ def signatures(docs: DataFrame, frequent) -> DataFrame:
                 g = groups_of(n)
                 voff = np.concatenate([[0], np.cumsum(g)])
                 vec = np.bincount(voff[doc] + ((h >> np.uint64(40)) % g[doc].astype(np.uint64)).astype(np.int64), minlength=voff[-1])
+                v = np.bincount(doc * COARSE + ((h >> np.uint64(40)) % np.uint64(COARSE)).astype(np.int64), minlength=(j - i) * COARSE).reshape(-1, COARSE)[full]
                 vec = np.minimum(vec, 65535).astype("<u2").tobytes()
                 yield _batch(
                     doc_id=b.column(0)[i:j].take(pa.array(full)), n=pa.array(n[full], pa.int64()),
@@ -125,9 +126,10 @@ def signatures(docs: DataFrame, frequent) -> DataFrame:
                     bands=pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * BANDS, pa.int32()), pa.array(bands.ravel())),
                     prefix=pa.ListArray.from_arrays(pa.array(poff, pa.int32()), pa.array((h[chosen] >> np.uint64(32)).astype(np.uint32).view(np.int32))),
                     vec=pa.array([vec[2 * voff[d] : 2 * voff[d + 1]] for d in full], pa.binary()),
+                    v=pa.array([x.tobytes() for x in np.minimum(v, 65535).astype("<u2")], pa.binary()),
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, bands array<long>, prefix array<int>, vec binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, bands array<long>, prefix array<int>, vec binary, v binary")
 
 
 def fold(vec: np.ndarray, g: int) -> np.ndarray:
@@ -187,26 +189,11 @@ class RTree:
         return x[ok], y[ok]
 
 
-def _pairs_of_list(doc, n, comp, side, vecs, same_leaf: bool):
-    """Candidate pairs of one list (or of two of its leaves) between different components."""
-    g = np.array([len(v) // 2 for v in vecs])
-    sides = ((side == 0, side == 0),) if same_leaf else ((side == 0, side == 1),)
-    by = {}
-    for left, right in sides:
-        for ga in np.unique(g[left]):
-            for gb in np.unique(g[right]):
-                ia, ib = np.flatnonzero(left & (g == ga)), np.flatnonzero(right & (g == gb))
-                small = int(min(ga, gb))
-                key = lambda i, k: by.setdefault((k, small, i[0], len(i)), RTree(n[i], fold(np.stack([np.frombuffer(vecs[r], "<u2") for r in i]).astype(np.int64), small)))
-                p, q = key(ia, ga).join(key(ib, gb))
-                p, q = ia[p], ib[q]
-                ok = (doc[p] < doc[q]) | (not same_leaf)
-                ok &= comp[p] != comp[q]
-                yield np.minimum(doc[p][ok], doc[q][ok]), np.maximum(doc[p][ok], doc[q][ok])
-
-
 def list_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) candidate pairs of the lists' rows (key, i, j, side, doc, n, comp, vec), which come sorted by list."""
+    """(a, b) candidate pairs of the lists' rows (key, i, j, side, doc, n, comp, v), which come sorted by list.
+
+    Short lists are compared all at once, by distance in the order; a list of more than SHORT goes through an R-tree.
+    """
 
     def run(batches):
         tail = None
@@ -216,27 +203,59 @@ def list_pairs(rows: DataFrame) -> DataFrame:
             key = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
             new = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1
             last = int(new[-1]) if len(new) else 0
-            yield from emit(t.slice(0, last), np.concatenate([[0], new]) if last else np.zeros(1, int))
+            yield from emit(t.slice(0, last))
             tail = t.slice(last)
-        if tail is not None and len(tail):
-            yield from emit(tail, np.array([0, len(tail)]))
+        if tail is not None:
+            yield from emit(tail)
 
-    def emit(t, cuts):
-        if not len(t):
+    def emit(t):
+        if len(t) < 2:
             return
-        doc, n, comp, side, i, j = (t.column(c).to_numpy() for c in ("doc", "n", "comp", "side", "i", "j"))
-        vecs = t.column("vec").to_pylist()
-        out = []
-        for s, e in zip(cuts, cuts[1:]):
-            c = comp[s:e]
-            if e - s > 1 and (c != c[0]).any():
-                out += _pairs_of_list(doc[s:e], n[s:e], c, side[s:e], vecs[s:e], i[s] == j[s])
-        if out:
-            a, b = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
-            pairs = np.unique(np.stack([a, b]), axis=1)
+        key, i, j, side, doc, n, comp = (t.column(c).to_numpy() for c in ("key", "i", "j", "side", "doc", "n", "comp"))
+        vec = np.frombuffer(b"".join(t.column("v").to_pylist()), "<u2").reshape(len(t), COARSE).astype(np.int32)
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        size = np.diff(np.append(first, len(t)))
+        group = np.repeat(np.arange(len(first)), size)
+        found = []
+        short = np.where(size[group] <= SHORT, group, -1)
+        for d in range(1, int(size[size <= SHORT].max(initial=1))):
+            p = np.flatnonzero((short[d:] == short[:-d]) & (short[d:] >= 0) & (comp[d:] != comp[:-d]) & ((i[:-d] == j[:-d]) | (side[d:] != side[:-d])))
+            q = p + d
+            p, q = (x[100 * np.minimum(n[p], n[q]) >= PERCENT * np.maximum(n[p], n[q])] for x in (p, q))
+            ok = may_link(n[p], n[q], np.minimum(vec[p], vec[q]).sum(1))
+            found.append((p[ok], q[ok]))
+        for g in np.flatnonzero(size > SHORT):
+            s = np.arange(first[g], first[g] + size[g])
+            if (comp[s] == comp[s[0]]).all():
+                continue
+            left, right = (s, s) if i[s[0]] == j[s[0]] else (s[side[s] == 0], s[side[s] == 1])
+            if len(left) and len(right):
+                p, q = RTree(n[left], vec[left]).join(RTree(n[right], vec[right]))
+                p, q = left[p], right[q]
+                ok = comp[p] != comp[q]
+                found.append((p[ok], q[ok]))
+        if found:
+            p, q = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            pairs = np.unique(np.stack([np.minimum(doc[p], doc[q]), np.maximum(doc[p], doc[q])]), axis=1)
             yield _batch(a=pa.array(pairs[0]), b=pa.array(pairs[1]))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long").where("a <> b")
+
+
+def bounded(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    """The pairs that the full count vectors still allow."""
+
+    def run(batches):
+        for b in batches:
+            ok = []
+            for na, va, nb, vb in zip(b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist(), b.column(5)):
+                x, y = (np.frombuffer(v.as_buffer(), "<u2").astype(np.int64)[None] for v in (va, vb))
+                g = min(x.shape[1], y.shape[1])
+                ok.append(bool(may_link(na, nb, np.minimum(fold(x, g), fold(y, g)).sum())))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    two = pairs.join(sig.selectExpr("doc_id as a", "n as na", "vec as va"), "a").join(sig.selectExpr("doc_id as b", "n as nb", "vec as vb"), "b")
+    return two.select("a", "b", "na", "va", "nb", "vb").mapInArrow(run, "a long, b long")
 
 
 def id_map(ids: DataFrame, column: str) -> np.ndarray:
@@ -286,30 +305,33 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest document with the same set)."""
     spark = docs.sparkSession
-    prints = saved(set_prints(docs))
+    both = saved(prints_and_counts(docs))
+    prints = both.where("k is null").select("doc_id", "n", "f1", "f2")
+    often = spark.sparkContext.broadcast(frequent_buckets(both.where("k is not null").select("k", "counts")))
     classes = prints.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
     members = saved(prints.join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", "f1", F.coalesce("class_id", "doc_id").alias("class_id")))
-    often = spark.sparkContext.broadcast(frequent_buckets(docs))
     heads = members.where("n > 0 and doc_id = class_id").select("doc_id", "f1").distinct()
-    sig = saved(signatures(docs, often).join(heads, ["doc_id", "f1"], "left_semi").dropDuplicates(["doc_id"]))
+    sig = saved(signatures(docs, often))
 
     # hubs by min-hash bands
-    rows = sig.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    rows = sig.select("doc_id", "f1", F.posexplode("bands").alias("band", "key")).join(heads, ["doc_id", "f1"], "left_semi")
     hubs = rows.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
     stars = saved(rows.join(hubs, ["band", "key"]).where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
     links = saved(verified(docs, stars))
     first = components(links)
 
     # exact search between the components that are left
-    lists = saved(sig.select("doc_id", "n", "prefix", "vec").join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component"))
-    open_ = lists.select(F.explode("prefix").alias("key"), "comp").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", F.ceil(F.col("c") / LEAF).cast("int").alias("leaves"))
-    rows = lists.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("doc"), "comp").join(open_, "key")
+    comps = saved(heads.join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "f1", F.coalesce("component", "doc_id").alias("comp")))
+    lists = sig.select("doc_id", "f1", "n", "prefix", "v").join(comps, ["doc_id", "f1"])
+    open_ = saved(postings.extremes(lists.select(F.col("comp").alias("owner"), F.col("prefix").alias("key"))).select("key", F.ceil(F.col("n") / LEAF).cast("int").alias("leaves")))
+    bits = spark.sparkContext.broadcast(postings.bit_map(open_, "key", KEYBITS))
+    rows = postings.spread(lists.withColumnRenamed("doc_id", "doc").withColumnRenamed("prefix", "key"), bits, ["doc", "n", "comp", "v"], ["key"], "doc long, n long, comp long, v binary, key long").join(open_, "key")
     rows = rows.withColumn("leaf", F.pmod(F.xxhash64("doc"), F.col("leaves")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
-    rows = rows.select("key", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), (F.col("leaf") > F.col("other")).cast("int").alias("side"), "doc", "comp")
-    rows = rows.join(lists.select(F.col("doc_id").alias("doc"), "n", "vec"), "doc").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = saved(list_pairs(rows.select("key", "i", "j", "side", "doc", "n", "comp", "vec")).distinct())
-    more = saved(verified(docs, pairs))
+    rows = rows.select("key", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), (F.col("leaf") > F.col("other")).cast("int").alias("side"), "doc", "n", "comp", "v")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = saved(list_pairs(rows).distinct())
+    more = saved(verified(docs, saved(bounded(pairs, sig.join(heads, ["doc_id", "f1"], "left_semi")))))
 
     final = components(links.unionByName(more)).select(F.col("node").alias("class_id"), "component")
     out = members.join(final, "class_id", "left")
