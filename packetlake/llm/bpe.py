@@ -12,6 +12,7 @@ import base64
 import functools
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,26 +49,30 @@ def _connection(vocabulary: str):
     return con
 
 
+#: A row is a token: its word, its place, the next token's place and id, and the rank of its pair with that (null: no pair).
 ENCODE = """
 with recursive step as (
-  select w, pos, id, 0 as round from start
+  select w, pos, id, nxt, nid, (g.m << 32) | pos as rank, 0 as round from start left join merges g on g.pair = (id::bigint << 32 | nid)
   union all
-  select w, pos, case when rank = best then (rank >> 32)::int else id end, round + 1
+  select w, pos, id, nxt, nid, (g.m << 32) | pos as rank, round
   from (
-    select *, lag(rank = best, 1, false) over (partition by w order by pos) as taken
-    from (
-      select *, min(rank) over (partition by w) as best
+    select s.w, s.pos, s.round + 1 as round,
+      case when s.pos = b.p then b.made else s.id end as id,
+      case when s.pos = b.p then b.nxt2 else s.nxt end as nxt,
+      case when s.pos = b.p then b.nid2 when s.nxt = b.p then b.made else s.nid end as nid
+    from step s join (
+      select m.w, m.p, m.made, m.q, x.nxt as nxt2, x.nid as nid2
       from (
-        select p.w, p.pos, p.id, p.round, (g.m << 32) | p.pos as rank
-        from (select w, pos, id, round, id::bigint << 32 | lead(id) over (partition by w order by pos) as pair from step) p
-        left join merges g on g.pair = p.pair
-      )
-    ) where best is not null
-  ) where not coalesce(taken, false)
+        select w, (min(rank) & 4294967295)::int as p, (min(rank) >> 32)::int as made, arg_min(nxt, rank) as q
+        from step where rank is not null group by w
+      ) m join step x on x.w = m.w and x.pos = m.q
+    ) b on b.w = s.w
+    where s.pos <> b.q
+  ) left join merges g on g.pair = (id::bigint << 32 | nid)
 ), ended as (
   select w, pos, id from (select *, max(round) over (partition by w) as last from step) where round = last
 )
-select w, list(id order by pos) as ids, string_agg(id::varchar, ' ' order by pos) as text from ended group by w
+select w, string_agg(id::varchar, ' ' order by pos) as text, string_agg(hex, '' order by pos) as hex from ended join vocabulary using (id) group by w
 """
 
 DECODE = """
@@ -79,7 +84,7 @@ from (select w, unnest(ids) as id, generate_subscripts(ids, 1) as k from coded)
 def encode_pieces(pieces: list[str], vocabulary: str = VOCABULARY) -> dict[str, tuple[str, bytes]]:
     """For each different piece: its ids as text and its decoded bytes."""
     ranks, con, out = _ranks(vocabulary), _connection(vocabulary), {}
-    single = [ranks[bytes([k])] for k in range(256)]
+    single = np.array([ranks[bytes([k])] for k in range(256)], np.int32)
     todo = []
     for p in pieces:
         raw = p.encode()
@@ -92,19 +97,17 @@ def encode_pieces(pieces: list[str], vocabulary: str = VOCABULARY) -> dict[str,
             size += len(todo[end][1])
             end += 1
         part = todo[at:end]
-        w, pos, ids = [], [], []
-        for k, (_, raw) in enumerate(part):
-            w += [k] * len(raw)
-            pos += range(len(raw))
-            ids += [single[x] for x in raw]
-        con.register("start", pa.table({"w": pa.array(w, pa.int32()), "pos": pa.array(pos, pa.int32()), "id": pa.array(ids, pa.int32())}))
+        raw = np.frombuffer(b"".join([x for _, x in part]), np.uint8)
+        size = np.array([len(x) for _, x in part])
+        w = np.repeat(np.arange(len(part), dtype=np.int32), size)
+        pos = (np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        ids = single[raw]
+        last = pos + 1 == size[w]
+        con.register("start", pa.table({"w": w, "pos": pos, "id": ids, "nxt": pos + 1, "nid": pa.array(np.append(ids[1:], 0).astype(np.int32), mask=last)}))
         coded = con.sql(ENCODE).to_arrow_table()
-        con.register("coded", coded)
-        raw = dict(con.execute(DECODE).fetchall())
-        for k, text in zip(coded.column("w").to_pylist(), coded.column("text").to_pylist()):
-            out[part[k][0]] = (text, bytes.fromhex(raw[k]))
+        for k, text, raw in zip(coded.column("w").to_pylist(), coded.column("text").to_pylist(), coded.column("hex").to_pylist()):
+            out[part[k][0]] = (text, bytes.fromhex(raw))
         con.unregister("start")
-        con.unregister("coded")
         at = end
     return out
 
@@ -147,6 +150,21 @@ def _encoded(docs, vocabulary, group, digest, schema, kinds):
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, n_tokens long, {schema}")
 
 
+def decode(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id and decoded (bytes) of rows doc_id, ids (decimal, joined by one space); no ids are no bytes."""
+
+    def run(batches):
+        con = _connection(vocabulary)
+        for b in batches:
+            ids = [[int(x) for x in (t or "").split()] for t in b.column(1).to_pylist()]
+            con.register("coded", pa.table({"w": pa.array(range(len(ids)), pa.int32()), "ids": pa.array(ids, pa.list_(pa.int32()))}))
+            found = dict(con.execute(DECODE).fetchall())
+            con.unregister("coded")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bytes.fromhex(found.get(k, "")) for k in range(len(ids))], pa.binary())], names=["doc_id", "decoded"])
+
+    return coded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, decoded binary")
+
+
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
     def digest(ids, raw):
         return hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()

@@ -9,7 +9,7 @@ import functools
 import re
 
 #: Units and pieces kept in a worker's caches; longer ones than LONG characters are never kept.
-CACHE, LONG = 600_000, 64
+CACHE, LONG = 700_000, 64
 _WIDE = re.compile(r"\s{3}")
 
 
@@ -26,33 +26,52 @@ def pieces(text: str) -> list[str]:
 
 
 class Cache:
-    """Values of units. encode: list of pieces -> {piece: value}; join: list of values -> value."""
+    """Values of units. encode: list of pieces -> {piece: value}; join: list of values -> value.
 
-    def __init__(self, encode, join):
-        self.encode, self.join = encode, join
+    whole: an optional faster way for units of clean text: list of units -> list of values.
+    """
+
+    def __init__(self, encode, join, whole=None):
+        self.encode, self.join, self.whole = encode, join, whole
         self.plain: dict = {}
         self.spaced: dict = {}
         self.piece: dict = {}
 
     def values(self, texts: list[str]) -> list[list]:
         """For each text the values of its units in order; all that is new among them is encoded together."""
-        split = [(pieces(t), ()) if _WIDE.search(t) else (p[:1] if p[0] else (), p[1:]) for t in texts for p in (t.split(" "),)]
+        split = []
         plain, spaced = set(), set()
-        for a, b in split:
+        for t in texts:
+            if _WIDE.search(t):
+                a, b = pieces(t), ()
+            else:
+                b = t.split(" ")
+                a = (b.pop(0),)
+                if not a[0]:
+                    a = ()
+            split.append((a, b))
             plain.update(a)
             spaced.update(b)
         new = [plain.difference(self.plain), spaced.difference(self.spaced)]
-        if len(self.plain) + len(self.spaced) + len(self.piece) + len(new[0]) + len(new[1]) > CACHE:
-            self.plain.clear(), self.spaced.clear(), self.piece.clear()
+        if len(self.plain) + len(self.spaced) + len(new[0]) + len(new[1]) > CACHE:
+            self.plain.clear(), self.spaced.clear()
             new = [plain, spaced]
+        if self.whole:
+            easy = [u for u in new[1] if u and not u[-1].isspace() and not u[0].isspace()]
+            self.spaced.update(zip(easy, self.whole([" " + u for u in easy])))
+            new[1] = new[1].difference(easy)
         cut = [[(u, pieces(u if k == 0 else " " + u)) for u in n] for k, n in enumerate(new)]
-        todo = list({p for c in cut for _, x in c for p in x}.difference(self.piece))
-        got = self.encode(todo) if todo else {}
-        self.piece.update(got)
+        used = {p for c in cut for _, x in c for p in x}
+        if len(self.piece) + len(used) > CACHE:
+            self.piece.clear()
+        todo = list(used.difference(self.piece))
+        if todo:
+            self.piece.update(self.encode(todo))
         for own, c in zip((self.plain, self.spaced), cut):
-            own.update((u, self.join([self.piece[p] for p in x])) for u, x in c)
-        out = [[self.plain[u] for u in a] + [self.spaced[u] for u in b] for a, b in split]
-        for own in (self.plain, self.spaced, self.piece):
-            for u in [u for u in (got if own is self.piece else new[own is self.spaced]) if len(u) > LONG]:
-                del own[u]
+            own.update((u, self.piece[x[0]] if len(x) == 1 else self.join([self.piece[p] for p in x])) for u, x in c)
+        one, two = self.plain, self.spaced
+        out = [[one[u] for u in a] + [two[u] for u in b] for a, b in split]
+        for own, fresh in ((self.plain, new[0]), (self.spaced, new[1]), (self.piece, todo)):
+            for u in [u for u in fresh if len(u) > LONG]:
+                own.pop(u, None)
         return out
