@@ -9,6 +9,7 @@ shorter; repeated doc_ids are packed as separate rows; an empty table gives an e
 """
 
 import functools
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -22,36 +23,41 @@ from .common import saved, table
 
 CAPACITY, GROUPS, LARGE = 2048, 256, 1 / 8
 VOCABULARY = "byte_bpe_50k.json"
-_known: dict[str, bytes] = {}
 
 
 @functools.cache
-def _tokenizer(vocabulary: str):
+def _cache(vocabulary: str) -> tokens.Cache:
+    """Units are encoded from the rank file of the same vocabulary, which is faster; a text with a special token's string needs the tokenizer."""
+    import base64
+
     import public_tokenizers
+    import tiktoken
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    return t
-
-
-def token_bytes(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
-    """The text's ids, as uint32."""
-    t = _tokenizer(vocabulary)
-    if "<|" in text:  # a special token's string may stand in the text: leave it to the tokenizer itself
-        return np.array(t.encode(text, add_special_tokens=False).ids, "<u4")
-    parts = tokens.pieces(text)
-    try:
-        return np.frombuffer(b"".join([_known[p] for p in parts]), "<u4")
-    except KeyError:
-        pass
-    new = [p for p in dict.fromkeys(parts) if p not in _known]
-    if len(_known) > tokens.CACHE:
-        _known.clear()
-        new = list(dict.fromkeys(parts))
-    got = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, t.encode_batch(new, add_special_tokens=False))}
-    out = b"".join([_known[p] if p in _known else got[p] for p in parts])
-    _known.update((p, b) for p, b in got.items() if len(p) <= tokens.LONG)
-    return np.frombuffer(out, "<u4")
+    with open(public_tokenizers.path(vocabulary.replace(".json", ".tiktoken")), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    full = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+
+    def whole(units):
+        code = fast.encode_ordinary
+        return [array("I", code(u)).tobytes() for u in units]
+
+    cache = tokens.Cache(lambda pieces: dict(zip(pieces, whole(pieces))), b"".join, whole)
+    cache.text = lambda text: np.array(full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    return cache
+
+
+def token_bytes(texts: list[str], vocabulary: str = VOCABULARY) -> list[bytes]:
+    """Each text's ids as little-endian 32-bit bytes. A text that holds a special token's string is left to the tokenizer itself."""
+    cache = _cache(vocabulary)
+    odd = [k for k, t in enumerate(texts) if "<|" in t]
+    if odd:
+        out = token_bytes([t if "<|" not in t else "" for t in texts], vocabulary)
+        for k in odd:
+            out[k] = cache.text(texts[k])
+        return out
+    return [b"".join(v) for v in cache.values(texts)]
 
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end: int = 0) -> DataFrame:
@@ -60,16 +66,20 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCA
     def cut(batches):
         from zlib import crc32
 
+        last = np.uint32(end).astype("<u4").tobytes()
         for b in batches:
-            out = defaultdict(list)
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.append(token_bytes(text.as_py() or "", vocabulary), np.uint32(end)).astype("<u4")
-                first = len(ids) % capacity or capacity
-                at = [0, *range(first, len(ids) + 1, capacity)]
-                for k, (i, j) in enumerate(zip(at, at[1:])):
-                    for name, v in (("doc_id", doc), ("piece", k), ("start", i), ("length", j - i), ("ids_crc32", crc32(ids[i:j].tobytes()))):
-                        out[name].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), *(pa.array(out[n], pa.int64()) for n in ("start", "length", "ids_crc32"))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for lo in range(0, len(b), 256):
+                part, out = b.slice(lo, 256), defaultdict(list)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for doc, raw in zip(part.column(0).to_pylist(), token_bytes(texts, vocabulary)):
+                    ids = memoryview(raw + last)
+                    n = len(ids) // 4
+                    first = n % capacity or capacity
+                    at = [0, *range(first, n + 1, capacity)]
+                    for k, (i, j) in enumerate(zip(at, at[1:])):
+                        for name, v in (("doc_id", doc), ("piece", k), ("start", i), ("length", j - i), ("ids_crc32", crc32(ids[4 * i : 4 * j]))):
+                            out[name].append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), *(pa.array(out[n], pa.int64()) for n in ("start", "length", "ids_crc32"))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
