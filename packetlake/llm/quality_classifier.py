@@ -144,12 +144,12 @@ def score(docs: DataFrame, model) -> DataFrame:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, where, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, text, label of at most about `sample` labelled rows; which ones, a hash of the id decides."""
+    """doc_id, text, label of at most about `sample` labelled rows; which ones, a hash of the id decides. So bounded, they are broadcast."""
     own = labels.where(F.col(label).isNotNull() & where).groupBy("doc_id").agg(F.max(label).alias("label"))
     n = own.count()
     if n > sample:
         own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * sample // n)
-    return docs.select("doc_id", "text").join(own, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, where) -> tuple:
