@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_detect",)
+MODULES = ("q_detect", "q_traffic")
 
 
 def _all(kind: str) -> dict:
