@@ -11,8 +11,7 @@ def incidents(found: DataFrame, cfg: c.Config = c.DEFAULT) -> DataFrame:
     """Alerts of one source at most five minutes apart are one incident; without a source, alerts of one category."""
     key = F.coalesce(F.expr("nullif(src_ip, '')"), F.concat(F.lit(":"), F.col("category")))
     rows = found.withColumns({"key": key, "ts": F.timestamp_millis("ts_ms"), "rank": net.severity_rank(F.col("severity"))})
-    # session_window's gap is open at its end; an alert exactly at the limit still joins
-    out = rows.groupBy("key", F.session_window("ts", f"{cfg.incident_ms + 1} milliseconds").alias("s")).agg(
+    out = rows.groupBy("key", F.session_window("ts", f"{cfg.incident_ms} milliseconds").alias("s")).agg(
         F.count("*").alias("n_alerts"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.max("rank").alias("rank"),
         F.array_sort(F.collect_set("category")).alias("category_set"), F.array_sort(F.collect_set("rule_id")).alias("rule_set"), F.countDistinct("dst_ip").alias("n_targets"),
     )

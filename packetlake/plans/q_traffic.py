@@ -59,7 +59,7 @@ add("j15_process_of_port", lambda s, d: enrich.latest_owner(packets(s, d), packe
 # aggregations
 add("a1_flows", lambda s, d: flows.flows(packets(s, d)).select("ip_a", "ip_b", "port_a", "port_b", F.col("proto").alias("protocol"), "packets", "bytes", "payload_bytes", "packets_ab", "syn", "rst", "fin", "established", "flag_set", "start_ms", "end_ms", "seconds", "bytes_per_sec", "avg_size"),
     """k as (select *, least(src_ip, dst_ip) as ip_a, greatest(src_ip, dst_ip) as ip_b, least(src_port, dst_port) as port_a, greatest(src_port, dst_port) as port_b from packets),
-    g as (select *, case when ts_ms - lag(ts_ms) over w < 120000 then 0 else 1 end as fresh from k window w as (partition by ip_a, ip_b, port_a, port_b, protocol order by ts_ms, pkt_id)),
+    g as (select *, case when ts_ms - lag(ts_ms) over w <= 120000 then 0 else 1 end as fresh from k window w as (partition by ip_a, ip_b, port_a, port_b, protocol order by ts_ms, pkt_id)),
     n as (select *, sum(fresh) over (partition by ip_a, ip_b, port_a, port_b, protocol order by ts_ms, pkt_id rows unbounded preceding) as s from g)
     select ip_a, ip_b, port_a, port_b, protocol, count(*) as packets, sum(length)::bigint as bytes, sum(payload_size)::bigint as payload_bytes, count(*) filter (src_ip = ip_a) as packets_ab, count(*) filter (contains(flags, 'S') and not contains(flags, 'A')) as syn, count(*) filter (contains(flags, 'R')) as rst, count(*) filter (contains(flags, 'F')) as fin,
       bool_or(contains(flags, 'S') and contains(flags, 'A')) as established, coalesce(string_agg(distinct nullif(flags, ''), '|' order by nullif(flags, '')), '') as flag_set, min(ts_ms) as start_ms, max(ts_ms) as end_ms,
