@@ -21,7 +21,9 @@ from . import textvec as tv
 from .common import crc_of_id, saved, table
 from .quality_classifier import SAMPLE, labelled_rows
 
-LANDMARKS, DECAY, SHARP, LENGTH, STRIDE = 48, 0.6, 8.0, 24, 8
+LANDMARKS, DECAY, SHARP, LENGTH, STRIDE = 24, 0.6, 8.0, 24, 8
+#: A normalised kernel below this counts as none.
+LOW = 0.4
 RIDGE, STEPS, BINS = 1e-3, 12, 400
 
 _LETTER = np.zeros(256, np.uint8)
@@ -104,7 +106,7 @@ class Landmarks:
         return np.bincount((np.arange(n)[:, None] * 27 + rows).ravel(), minlength=27 * n).reshape(n, 27)[:, 1:].astype(np.int8)
 
     def similar(self, rows: np.ndarray) -> np.ndarray:
-        """exp(SHARP * (normalised kernel - 1)) of each row with each landmark; 0 where too few letters are shared to matter."""
+        """exp(SHARP * (normalised kernel - 1)) of each row with each landmark; 0 below LOW, and where too few letters are shared."""
         m = len(self.words)
         out = np.zeros((len(rows), m), np.float32)
         step = 20_000
@@ -114,15 +116,27 @@ class Landmarks:
             counts = self._counts(part)
             for c in np.flatnonzero(self.counts.any(0)):
                 shared += np.minimum(counts[:, c][:, None], self.counts[:, c][None])
-            need = np.maximum(3, np.ceil(0.6 * self.size)).astype(np.int16)
+            need = np.maximum(3, np.ceil(0.75 * self.size)).astype(np.int16)
             w, k = np.nonzero(shared >= need)
+            if not len(w):
+                continue
+            length = (part > 0).sum(1)
+            order = np.argsort(length[w], kind="stable")  # rows of like length together, so that little of a table is padding
+            w, k = w[order], k[order]
+            value = np.concatenate([kernel(part[w[q : q + 4000]], self.rows[k[q : q + 4000]]) for q in range(0, len(w), 4000)])
+            # a word's own kernel is at least its unbroken triples, which bounds the normalised value from above
+            ok = value >= LOW * np.sqrt((length[w] - 2) * DECAY**6 * self.own[k])
+            w, k, value = w[ok], k[ok], value[ok]
             if not len(w):
                 continue
             used, inverse = np.unique(w, return_inverse=True)
-            own = np.concatenate([kernel(part[used[q : q + 4000]], part[used[q : q + 4000]]) for q in range(0, len(used), 4000)])
-            value = np.concatenate([kernel(part[w[q : q + 8000]], self.rows[k[q : q + 8000]]) for q in range(0, len(w), 8000)])
+            by = np.argsort(length[used], kind="stable")
+            own = np.empty(len(used), np.float32)
+            for q in range(0, len(by), 2000):
+                r = part[used[by[q : q + 2000]]]
+                own[by[q : q + 2000]] = kernel(r, r)
             norm = value / np.sqrt(np.maximum(own[inverse] * self.own[k], 1e-12))
-            out[at + w, k] = np.exp(SHARP * (np.minimum(norm, 1) - 1))
+            out[at + w, k] = np.where(norm >= LOW, np.exp(SHARP * (np.minimum(norm, 1) - 1)), 0)
         return out
 
     def documents(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -165,7 +179,7 @@ def landmark_words(rows: DataFrame, most: int = LANDMARKS) -> list[str]:
         return []
     words = rows.select("text", "label").mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-    best = words.where((F.col("toxic") >= max(3, 0.002 * n1)) & (F.length("word") <= LENGTH)).withColumn("lift", ratio).where("lift > 1.5").orderBy((F.col("toxic") * F.col("lift")).desc(), "word").limit(most)
+    best = words.where((F.col("toxic") >= max(3, 0.004 * n1)) & (F.length("word") <= LENGTH)).withColumn("lift", ratio).where("lift > 2.0").orderBy((F.col("toxic") * F.col("lift")).desc(), "word").limit(most)
     return [r["word"] for r in best.collect()]
 
 
