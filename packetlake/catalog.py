@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_detect", "q_traffic")
+MODULES = ("q_detect", "q_traffic", "q_payload")
 
 
 def _all(kind: str) -> dict:
