@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_detect", "q_traffic", "q_payload")
+MODULES = ("q_detect", "q_traffic", "q_payload", "q_verify")
 
 
 def _all(kind: str) -> dict:
