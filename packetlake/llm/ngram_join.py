@@ -35,7 +35,7 @@ BANDS, ROWS = 8, 3
 #: Buckets of the frequency table that only decides the order of shingles, and of the bit map of candidate documents.
 BUCKETS, CHUNK, IDBITS = 1 << 21, 1 << 16, 1 << 22
 #: Bits of the map of keys with more than one component; coordinates of the vectors that the lists carry.
-KEYBITS, COARSE = 1 << 25, 16
+KEYBITS, COARSE = 1 << 25, 64
 #: Documents in one leaf of a long list; lists up to SHORT are compared without a tree.
 LEAF, SHORT = 256, 48
 
@@ -89,13 +89,8 @@ def frequent_buckets(counted: DataFrame) -> np.ndarray:
     return out
 
 
-def groups_of(n: np.ndarray) -> np.ndarray:
-    """Coordinates of a document's count vector: a power of two near n / 8, from 16 to 256."""
-    return np.clip(2 ** np.ceil(np.log2(np.maximum(n, 1) / 8)), 16, 256).astype(np.int64)
-
-
 def signatures(docs: DataFrame, frequent) -> DataFrame:
-    """doc_id, n, f1, bands, prefix, vec (the count vector, 16-bit) and v (the same, folded to COARSE) of each non-empty document."""
+    """doc_id, n, f1, bands, prefix and v (the count vector: COARSE 16-bit numbers) of each non-empty document."""
 
     def run(batches):
         often = np.unpackbits(frequent.value).astype(np.uint64)
@@ -115,26 +110,17 @@ def signatures(docs: DataFrame, frequent) -> DataFrame:
                 take = place < np.repeat(n - -(-PERCENT * n // 100) + 1, n)
                 chosen = order[take]
                 poff = np.concatenate([[0], np.cumsum(np.bincount(doc[take], minlength=j - i))])[np.append(full, j - i)]
-                g = groups_of(n)
-                voff = np.concatenate([[0], np.cumsum(g)])
-                vec = np.bincount(voff[doc] + ((h >> np.uint64(40)) % g[doc].astype(np.uint64)).astype(np.int64), minlength=voff[-1])
                 v = np.bincount(doc * COARSE + ((h >> np.uint64(40)) % np.uint64(COARSE)).astype(np.int64), minlength=(j - i) * COARSE).reshape(-1, COARSE)[full]
-                vec = np.minimum(vec, 65535).astype("<u2").tobytes()
+                v[n[full] > 65535] = 65535  # no bound for the longest texts rather than a wrong one
                 yield _batch(
                     doc_id=b.column(0)[i:j].take(pa.array(full)), n=pa.array(n[full], pa.int64()),
                     f1=pa.array(tv.reduce_by(tv.mix(h, 1), at).view(np.int64)[full]),
                     bands=pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * BANDS, pa.int32()), pa.array(bands.ravel())),
                     prefix=pa.ListArray.from_arrays(pa.array(poff, pa.int32()), pa.array((h[chosen] >> np.uint64(32)).astype(np.uint32).view(np.int32))),
-                    vec=pa.array([vec[2 * voff[d] : 2 * voff[d + 1]] for d in full], pa.binary()),
                     v=pa.array([x.tobytes() for x in np.minimum(v, 65535).astype("<u2")], pa.binary()),
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, bands array<long>, prefix array<int>, vec binary, v binary")
-
-
-def fold(vec: np.ndarray, g: int) -> np.ndarray:
-    """Count vectors (rows) of a multiple of g coordinates, summed down to g: the hash groups nest."""
-    return vec.reshape(len(vec), -1, g).sum(1) if vec.shape[1] > g else vec
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, bands array<long>, prefix array<int>, v binary")
 
 
 def may_link(na, nb, overlap):
@@ -211,7 +197,8 @@ def list_pairs(rows: DataFrame) -> DataFrame:
     def emit(t):
         if len(t) < 2:
             return
-        key, i, j, side, doc, n, comp = (t.column(c).to_numpy() for c in ("key", "i", "j", "side", "doc", "n", "comp"))
+        key, i, j, side, doc, n, comp, place = (t.column(c).to_numpy() for c in ("key", "i", "j", "side", "doc", "n", "comp", "place"))
+        left_over = n - place  # shingles from this one on: all that two sets can share if it is the first that they do
         vec = np.frombuffer(b"".join(t.column("v").to_pylist()), "<u2").reshape(len(t), COARSE).astype(np.int32)
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         size = np.diff(np.append(first, len(t)))
@@ -222,6 +209,8 @@ def list_pairs(rows: DataFrame) -> DataFrame:
             p = np.flatnonzero((short[d:] == short[:-d]) & (short[d:] >= 0) & (comp[d:] != comp[:-d]) & ((i[:-d] == j[:-d]) | (side[d:] != side[:-d])))
             q = p + d
             p, q = (x[100 * np.minimum(n[p], n[q]) >= PERCENT * np.maximum(n[p], n[q])] for x in (p, q))
+            ok = may_link(n[p], n[q], np.minimum(left_over[p], left_over[q]))
+            p, q = p[ok], q[ok]
             ok = may_link(n[p], n[q], np.minimum(vec[p], vec[q]).sum(1))
             found.append((p[ok], q[ok]))
         for g in np.flatnonzero(size > SHORT):
@@ -232,7 +221,7 @@ def list_pairs(rows: DataFrame) -> DataFrame:
             if len(left) and len(right):
                 p, q = RTree(n[left], vec[left]).join(RTree(n[right], vec[right]))
                 p, q = left[p], right[q]
-                ok = comp[p] != comp[q]
+                ok = (comp[p] != comp[q]) & may_link(n[p], n[q], np.minimum(left_over[p], left_over[q]))
                 found.append((p[ok], q[ok]))
         if found:
             p, q = (np.concatenate([f[k] for f in found]) for k in (0, 1))
@@ -242,22 +231,6 @@ def list_pairs(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def bounded(pairs: DataFrame, sig: DataFrame) -> DataFrame:
-    """The pairs that the full count vectors still allow."""
-
-    def run(batches):
-        for b in batches:
-            ok = []
-            for na, va, nb, vb in zip(b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist(), b.column(5)):
-                x, y = (np.frombuffer(v.as_buffer(), "<u2").astype(np.int64)[None] for v in (va, vb))
-                g = min(x.shape[1], y.shape[1])
-                ok.append(bool(may_link(na, nb, np.minimum(fold(x, g), fold(y, g)).sum())))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    two = pairs.join(sig.selectExpr("doc_id as a", "n as na", "vec as va"), "a").join(sig.selectExpr("doc_id as b", "n as nb", "vec as vb"), "b")
-    return two.select("a", "b", "na", "va", "nb", "vb").mapInArrow(run, "a long, b long")
-
-
 def id_map(ids: DataFrame, column: str) -> np.ndarray:
     """A bit map of IDBITS bits that holds every id of the column (and, by chance, some others)."""
     bit = F.pmod(F.xxhash64(column), F.lit(IDBITS))
@@ -268,8 +241,20 @@ def id_map(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold. Only documents of the bit map of the pairs' ids send their sets."""
+def _counted(groups: np.ndarray) -> np.ndarray:
+    """Sorted groups with repeats as different values (group, number of the repeat), so that common values are summed minima."""
+    first = np.concatenate([[True], groups[1:] != groups[:-1]])
+    start = np.flatnonzero(first)
+    return groups.astype(np.int64) << 32 | (np.arange(len(groups)) - np.repeat(start, np.diff(np.append(start, len(groups)))))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, bits: int = 64) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold. Only documents of the bit map of the pairs' ids send their sets.
+
+    bits = 16: the sets hashed into 65536 groups, sent as the sorted groups. The summed minima of those counts bound the
+    overlap almost exactly and are a quarter of the size.
+    """
+    kind = np.uint64 if bits == 64 else np.uint16
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(id_map(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"))
 
@@ -280,8 +265,12 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             b = b.filter(pa.array(keep.astype(bool)))
             for i, j, data, off in tv.documents(b.column(1)):
                 h, at = tv.shingle_sets(data, off, WIDTH)
-                raw = h.tobytes()
-                yield _batch(id=b.column(0)[i:j], s=pa.array([raw[8 * at[k] : 8 * at[k + 1]] for k in range(j - i)], pa.binary()))
+                if bits == 16:
+                    doc = np.repeat(np.arange(j - i), np.diff(at))
+                    h = (h & np.uint64(0xFFFF)).astype(np.uint16)
+                    h = h[np.lexsort((h, doc))]
+                raw, w = h.tobytes(), bits // 8
+                yield _batch(id=b.column(0)[i:j], s=pa.array([raw[w * at[k] : w * at[k + 1]] for k in range(j - i)], pa.binary()))
 
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = own.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(IDBITS)).alias("bit")).mapInArrow(sets, "id long, s binary").dropDuplicates(["id"])
@@ -291,7 +280,9 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
+                if bits == 16:
+                    x, y = _counted(x), _counted(y)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
@@ -325,13 +316,13 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     lists = sig.select("doc_id", "f1", "n", "prefix", "v").join(comps, ["doc_id", "f1"])
     open_ = saved(postings.extremes(lists.select(F.col("comp").alias("owner"), F.col("prefix").alias("key"))).select("key", F.ceil(F.col("n") / LEAF).cast("int").alias("leaves")))
     bits = spark.sparkContext.broadcast(postings.bit_map(open_, "key", KEYBITS))
-    rows = postings.spread(lists.withColumnRenamed("doc_id", "doc").withColumnRenamed("prefix", "key"), bits, ["doc", "n", "comp", "v"], ["key"], "doc long, n long, comp long, v binary, key long").join(open_, "key")
+    rows = postings.spread(lists.withColumnRenamed("doc_id", "doc").withColumnRenamed("prefix", "key"), bits, ["doc", "n", "comp", "v"], ["key"], "doc long, n long, comp long, v binary, place long, key long").join(open_, "key")
     rows = rows.withColumn("leaf", F.pmod(F.xxhash64("doc"), F.col("leaves")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
-    rows = rows.select("key", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), (F.col("leaf") > F.col("other")).cast("int").alias("side"), "doc", "n", "comp", "v")
+    rows = rows.select("key", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), (F.col("leaf") > F.col("other")).cast("int").alias("side"), "doc", "n", "comp", "place", "v")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = saved(list_pairs(rows).distinct())
-    more = saved(verified(docs, saved(bounded(pairs, sig.join(heads, ["doc_id", "f1"], "left_semi")))))
+    more = saved(verified(docs, saved(verified(docs, pairs, 16))))
 
     final = components(links.unionByName(more)).select(F.col("node").alias("class_id"), "component")
     out = members.join(final, "class_id", "left")

@@ -119,16 +119,18 @@ def held(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def spread(rows: DataFrame, bits, columns: list[str], arrays: list[str], schema: str) -> DataFrame:
-    """One row for each key of the bit map: the plain columns of its document, then the key and the other array columns."""
+    """One row for each key of the bit map: the plain columns of its document, its place in the list, then the key and the other array columns."""
 
     def run(batches):
         for b in batches:
             key = b.column(len(columns)).flatten().to_numpy().astype(np.int64)
-            own = np.repeat(np.arange(len(b)), b.column(len(columns)).value_lengths().fill_null(0).to_numpy())
+            size = b.column(len(columns)).value_lengths().fill_null(0).to_numpy()
+            own = np.repeat(np.arange(len(b)), size)
+            place = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
             at = np.flatnonzero(held(bits.value, key))
             for s in range(0, len(at), 50_000):
                 t = at[s : s + 50_000]
                 doc = pa.array(own[t])
-                yield pa.RecordBatch.from_arrays([*(b.column(k).take(doc) for k in range(len(columns))), pa.array(key[t]), *(pa.array(b.column(len(columns) + k).flatten().to_numpy()[t]) for k in range(1, len(arrays)))], names=[*columns, *arrays])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(doc) for k in range(len(columns))), pa.array(place[t]), pa.array(key[t]), *(pa.array(b.column(len(columns) + k).flatten().to_numpy()[t]) for k in range(1, len(arrays)))], names=[*columns, "place", *arrays])
 
     return rows.select(*columns, *arrays).mapInArrow(run, schema)
