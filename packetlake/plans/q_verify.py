@@ -15,3 +15,17 @@ SQL["v_verdicts"] = f"""with recursive {ORACLE}, {FOUND}, {_COOLED},
   s as (select pkt_id, rule_id, severity, (case rule_id when 'DNS-BAD-TLD' then 1 when 'ARP-SPOOF' then 2 else 0 end)::int as score, case rule_id when 'DNS-BAD-TLD' then 'INCONCLUSIVE' when 'ARP-SPOOF' then 'LIKELY_THREAT' else 'INCONCLUSIVE' end as verdict,
     round(case rule_id when 'DNS-BAD-TLD' then 1 / 3.0::double when 'ARP-SPOOF' then 0.5::double when 'ODD-HOURS' then 0.4::double else 0.3::double end, 6) as confidence from cooled where rule_id in ('DNS-BAD-TLD', 'ARP-SPOOF', 'BAD-PORT', 'ODD-HOURS'))
   select pkt_id, rule_id, score, verdict, confidence, severity as adjusted_severity from s"""
+
+
+def _forest(s, d):
+    from pyspark.sql import functions as F
+
+    from packetlake.operators import features, forest
+    from packetlake.plans.packets import packets
+
+    rows = features.features(packets(s, d))
+    return forest.score(rows, forest.train(rows)).select("slot", F.round("anomaly", 6).alias("anomaly"))
+
+
+#: A random forest is not SQL: tests/test_forest.py holds its invariants.
+QUERIES["l3_isolation_forest"] = _forest
