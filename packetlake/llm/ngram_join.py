@@ -330,4 +330,4 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicate_components(table(spark, sf_dir, "documents"))
+    return near_duplicate_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
