@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows in an Arrow batch: texts are long, and a batch stands in memory on both sides of a Python worker.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage: df as a Parquet table in the shared folder, computed once and readable after an executor is lost."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark).rstrip('/')}/packetlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import crc_of_id, saved, table
+from .common import crc_of_id, saved, small_batches, table
 from .quality_rules import CLASS, base_counts
 
 FEATURES, GAMMA, RIDGE, BINS, SAMPLE = 256, 0.5, 1e-3, 512, 200_000
@@ -189,7 +189,8 @@ def filter_by(docs: DataFrame, scores, keep) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ok = [keep(scores(data, off)) for _, _, data, off in tv.documents(batch.column(at))]
-            yield batch.filter(pa.array(np.concatenate(ok) if ok else np.zeros(0, bool)))
+            for i, j, data, off in tv.documents(batch.column(at)):
+                yield batch.slice(i, j - i).filter(pa.array(keep(scores(data, off))))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

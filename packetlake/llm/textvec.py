@@ -45,7 +45,7 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 21):
+def chunks(offsets: np.ndarray, most: int = 1 << 19):
     """Ranges of documents of about `most` bytes; a longer document stands alone, whole."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -54,7 +54,7 @@ def chunks(offsets: np.ndarray, most: int = 1 << 21):
         i = min(j, n)
 
 
-def documents(column, most: int = 1 << 21):
+def documents(column, most: int = 1 << 19):
     """(first, last, bytes, offsets) for each range of documents of a batch."""
     data, offsets = buffers(column)
     for i, j in chunks(offsets, most):

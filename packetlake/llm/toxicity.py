@@ -282,7 +282,7 @@ def score(docs: DataFrame, model) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i, j, data, off in tv.documents(b.column(1)):
+            for i, j, data, off in tv.documents(b.column(1), 1 << 20):
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(scores(data, off).astype(float))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
