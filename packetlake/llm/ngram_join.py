@@ -15,8 +15,8 @@ A long list is split into leaves that are compared two by two in different tasks
 counts reaches the driver.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing; texts of fewer than five words are one
-shingle; repeated rows and equal texts share a component; rows without doc_id come back with their set size and a null
-component; an empty table gives an empty result; extra columns are ignored.
+shingle; repeated rows and equal texts share a component; rows without doc_id come back with their set size and the
+component of documents with the same set, null if there is none; an empty table gives an empty result; extra columns are ignored.
 """
 
 from collections.abc import Iterator
