@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FLUSH = 1_000_000
+FLUSH = 250_000
 
 
 def _runs(key: np.ndarray):
