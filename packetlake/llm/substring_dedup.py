@@ -14,6 +14,8 @@ repeat of the class's smallest doc_id, whole; a doc_id on several rows counts on
 without doc_id are left alone; an empty table gives an empty result; extra columns are kept by `remove_repeats`.
 """
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -104,21 +106,53 @@ def candidates(own: DataFrame) -> DataFrame:
 def supported(seeds: np.ndarray, support: int = SUPPORT) -> list[tuple]:
     """Interval join of one pair's seeds: (la, ra, lb, rb, ca, cb) of merged regions where windows of `support` hash functions meet.
 
-    A seed is a rectangle of positions. Seeds in order of their place in a are swept; those that meet in both texts are
-    one region.
+    A seed is a rectangle of positions; seeds that meet in both texts are one region. They are swept by their place in a.
+    Two seeds of which the sweep has not left either meet in a, so b is held as disjoint stretches, each with the last
+    position in a of the seeds over it and one of these seeds.
     """
-    seeds = seeds[np.argsort(seeds[:, 2], kind="stable")]
-    regions: list[list] = []
-    for f, la, ca, ra, lb, cb, rb in seeds.tolist():
-        for g in reversed(regions[-8:]):
-            if la <= g[1] and ra >= g[0] and lb <= g[3] and rb >= g[2]:
-                g[0], g[1], g[2], g[3] = min(g[0], la), max(g[1], ra), min(g[2], lb), max(g[3], rb)
-                g[4].add(f)
-                g[5].append((ca, cb))
-                break
-        else:
-            regions.append([la, ra, lb, rb, {f}, [(ca, cb)]])
-    return [(*g[:4], *map(list, zip(*g[5]))) for g in regions if len(g[4]) >= support]
+    seeds = seeds[np.argsort(seeds[:, 1], kind="stable")].tolist()
+    parent = list(range(len(seeds)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    starts: list[int] = []
+    held: list[tuple] = []  # (end, last position in a, seed) of the stretch that begins at starts[k]
+    for i, (_, la, _, ra, lb, _, rb) in enumerate(seeds):
+        k = bisect_right(starts, lb) - 1
+        k += k < 0 or held[k][0] < lb
+        new, at, e, rest = [], lb, k, []
+        while e < len(starts) and starts[e] <= rb:
+            s, (end, last, j) = starts[e], held[e]
+            e += 1
+            if last < la:
+                continue
+            parent[root(j)] = root(i)
+            if s < lb:
+                new.append((s, lb - 1, last, j))
+            if at < s:
+                new.append((at, s - 1, ra, i))
+            at = min(end, rb) + 1
+            new.append((max(s, lb), at - 1, max(last, ra), i))
+            if end > rb:
+                rest = [(rb + 1, end, last, j)]
+        if at <= rb:
+            new.append((at, rb, ra, i))
+        joined: list[tuple] = []
+        for x in new + rest:
+            if joined and joined[-1][2] == x[2] and joined[-1][1] + 1 == x[0]:
+                x = (joined.pop()[0], *x[1:])
+            joined.append(x)
+        starts[k:e], held[k:e] = [x[0] for x in joined], [x[1:] for x in joined]
+    regions: dict[int, list] = {}
+    for i, (f, la, ca, ra, lb, cb, rb) in enumerate(seeds):
+        g = regions.setdefault(root(i), [la, ra, lb, rb, set(), []])
+        g[0], g[1], g[2], g[3] = min(g[0], la), max(g[1], ra), min(g[2], lb), max(g[3], rb)
+        g[4].add(f)
+        g[5].append((ca, cb))
+    return [(*g[:4], *map(list, zip(*g[5]))) for g in regions.values() if len(g[4]) >= support]
 
 
 def passages(ha: np.ndarray, hb: np.ndarray, region: tuple) -> list[tuple[int, int, int]]:
