@@ -1,9 +1,14 @@
 """Embedding near-dedup by sorted projection passes.
 
-Each pass sorts the vectors of a label by the concatenated signs of its own random projections (then by one more
-projection) and compares each vector with a bounded window of neighbours in that order. The pairs found over all passes
-are joined into components. A window is a bound on partners, so the rest is done exactly: inside each component every
-pair is compared, block by block, and counted without being written out.
+Each pass sorts the vectors of a label, less the label's mean, by the concatenated signs of its own random projections
+(then by one more projection) and compares each vector with a window of neighbours in that order, also where the order
+passes from one task to the next. The number of passes and the window follow from the label's size and spread, so that
+a pair at the threshold is met with a chance of RECALL. The pairs found over all passes are joined into components. A
+window is a bound on partners, so the rest is done exactly: inside each component every pair is compared, block by
+block, and counted without being written out.
+
+The chance holds for labels that are one cloud: in a label of several narrow clouds the mean says less about each, and
+pairs at the threshold inside one are met less often.
 
 Edge cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing, and so does one
 without a label; vectors of different length link with nothing; equal vectors are compared once and counted with their
@@ -17,7 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import components, saved, table
 
+#: PASSES and WINDOW are the least that any label gets.
 COSINE, PASSES, BITS, WINDOW, BLOCK = 0.98, 12, 24, 24, 512
+RECALL = 0.99
+#: What a pass costs for a vector besides its window, in comparisons.
+PASS_COST = 150
+CHUNK = 256
 
 
 def _matrix(column) -> np.ndarray:
@@ -30,8 +40,63 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def projected(vectors: DataFrame, passes: int = PASSES, bits: int = BITS) -> DataFrame:
-    """A row for each vector and pass: pass, label, d, code (sign bits, first projection highest), tie, id, v."""
+def plan(n: int, spread: float, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> tuple[int, int]:
+    """(passes, window) of the least cost that meet a pair at the threshold with a chance of RECALL.
+
+    Of two vectors of cosine c in a label where 1 - |mean|^2 is `spread`, the centred ones have a cosine of about
+    1 - (1 - c) / spread, a plane leaves them on one side with a chance of q, and after log2(n / window) planes they are
+    in one window.
+    """
+    centred = min(1.0, max(0.0, 1 - (1 - cosine) / max(spread, 1e-12)))
+    q = 1 - np.arccos(centred) / np.pi
+    best = None
+    for w in (window << k for k in range(5)):
+        p = q ** np.log2(n / w) if n > w + 1 else 1.0
+        need = 1 if p >= RECALL else int(np.ceil(np.log(1 - RECALL) / np.log1p(-p)))
+        cost = max(passes, need) * (min(w, n) + PASS_COST)
+        if best is None or cost < best[0]:
+            best = cost, max(passes, need), w
+    return best[1:]
+
+
+def centres(classes: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+    """label, d, mean (of the unit vectors), passes, window."""
+
+    def sums(batches):
+        held = {}
+        for b in batches:
+            label, d = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for dim in np.unique(d):
+                x, own = _unit(_matrix(b.filter(pa.array(d == dim)).column(2))), label[d == dim]
+                for k in np.unique(own):
+                    s, n = held.get((k, dim), (0.0, 0))
+                    held[k, dim] = s + x[own == k].sum(0), n + int((own == k).sum())
+            if len(held) > 1000:
+                yield from _sums(held)
+                held = {}
+        yield from _sums(held)
+
+    def plans(batches):
+        for b in batches:
+            out = [plan(n, 1 - sum(y * y for y in m), cosine, passes, window) for n, m in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([x for x, _ in out], pa.int32()), pa.array([y for _, y in out], pa.int32())], names=["label", "d", "mean", "passes", "window"])
+
+    part = classes.select("label", "d", "v").mapInArrow(sums, "label int, d int, s array<double>, n long").select("label", "d", "n", F.posexplode("s").alias("at", "s"))
+    mean = part.groupBy("label", "d", "at").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("m"))
+    mean = mean.groupBy("label", "d").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda x: x["m"]).alias("mean"))  # d of them
+    return mean.select("label", "d", "n", "mean").mapInArrow(plans, "label int, d int, mean array<double>, passes int, window int")
+
+
+def _sums(held: dict):
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([int(k) for k, _ in held], pa.int32()), pa.array([int(d) for _, d in held], pa.int32()), pa.array([s.tolist() for s, _ in held.values()], pa.list_(pa.float64())), pa.array([n for _, n in held.values()], pa.int64())], names=["label", "d", "s", "n"])
+
+
+ROWS = "pass int, label int, d int, window int, code long, tie double, id long, v array<double>"
+
+
+def projected(vectors: DataFrame, bits: int = BITS) -> DataFrame:
+    """A row for each vector and pass: pass, label, d, window, code (sign bits, first projection highest), tie, id, v; vectors have their label's mean, passes and window."""
 
     def run(batches):
         planes = {}
@@ -39,40 +104,77 @@ def projected(vectors: DataFrame, passes: int = PASSES, bits: int = BITS) -> Dat
             d = b.column(2).to_numpy()
             for dim in np.unique(d):
                 part = b.filter(pa.array(d == dim))
-                x = _unit(_matrix(part.column(3)))
-                for p in range(passes):
+                x, passes = _unit(_matrix(part.column(3))) - _matrix(part.column(4)), part.column(5).to_numpy()
+                for p in range(int(passes.max())):
                     if (p, dim) not in planes:
                         planes[p, dim] = np.random.default_rng(1000 * p + 7).normal(size=(int(dim), bits + 1))
-                    y = x @ planes[p, dim]
+                    here = passes > p
+                    rows = part.filter(pa.array(here))
+                    y = x[here] @ planes[p, dim]
                     code = ((y[:, :bits] > 0) @ (1 << np.arange(bits)[::-1])).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), part.column(1), part.column(2), pa.array(code), pa.array(y[:, bits]), part.column(0), part.column(3)], names=["pass", "label", "d", "code", "tie", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), p, np.int32)), rows.column(1), rows.column(2), rows.column(6), pa.array(code), pa.array(y[:, bits]), rows.column(0), rows.column(3)], names=["pass", "label", "d", "window", "code", "tie", "id", "v"])
 
-    return vectors.select("id", "label", "d", "v").mapInArrow(run, "pass int, label int, d int, code long, tie double, id long, v array<double>")
+    return vectors.select("id", "label", "d", "v", "mean", "passes", "window").mapInArrow(run, ROWS)
 
 
-def window_pairs(rows: DataFrame, cosine: float = COSINE, window: int = WINDOW) -> DataFrame:
-    """(a, b) of the pairs within `window` places of each other in their pass's order."""
+ORDER = ("pass", "d", "label", "code", "tie", "id")
 
-    def run(batches):
-        keep = None
+
+def window_pairs(rows: DataFrame, widest: int, cosine: float = COSINE) -> DataFrame:
+    """(a, b) of the pairs within `window` places of each other in their pass's order.
+
+    Each task also hands on its first and last `widest` rows; in order, these hold all neighbours that stand in different
+    tasks.
+    """
+    names = [f.split()[0] for f in ROWS.split(", ")]
+    nothing = {"a": pa.int64(), "b": pa.int64()}
+
+    def near(part, done):
+        """Pairs of which the second row is at `done` or later."""
+        x, ids, wide = _unit(_matrix(part.column("v"))), part.column("id").to_numpy(), part.column("window").to_numpy()
+        group = part.column("pass").to_numpy().astype(np.int64) << 32 | part.column("label").to_numpy().astype(np.int64) & 0xFFFFFFFF
+        out = []
+        for s in range(done, len(x), CHUNK):
+            e = min(s + CHUNK, len(x))
+            low = max(0, s - int(wide[s:e].max()))
+            i, j = np.nonzero(x[s:e] @ x[low:e].T >= cosine)
+            i, j = i + s, j + low
+            ok = (j < i) & (i - j <= wide[i]) & (group[i] == group[j])
+            out.append(np.stack([ids[j[ok]], ids[i[ok]]]))
+        return np.unique(np.sort(np.concatenate(out, 1), 0), axis=1)
+
+    def pairs_of(batches, ends):
+        keep, tail, seen = None, None, 0
         for b in batches:
-            for dim in np.unique(b.column(2).to_numpy()):
-                part = pa.Table.from_batches([b.filter(pa.array(b.column(2).to_numpy() == dim))])
-                if keep is not None and keep.column("d")[0].as_py() == dim:
-                    part = pa.concat_tables([keep, part])
-                x, ids = _unit(_matrix(part.column("v"))), part.column("id").to_numpy()
-                group = part.column("pass").to_numpy().astype(np.int64) << 32 | part.column("label").to_numpy().astype(np.int64) & 0xFFFFFFFF
-                out = []
-                for k in range(1, min(window, len(ids) - 1) + 1):
-                    near = (group[k:] == group[:-k]) & (np.einsum("ij,ij->i", x[k:], x[:-k]) >= cosine)
-                    out.append(np.stack([ids[:-k][near], ids[k:][near]]))
-                if out:
-                    pairs = np.concatenate(out, 1)
-                    pairs = np.unique(np.sort(pairs, 0), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-                keep = part.slice(max(0, len(part) - window))
-
-    return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+            if ends and len(b):
+                if seen < widest:
+                    yield from edge(pa.Table.from_batches([b.slice(0, widest - seen)]))
+                    seen += min(len(b), widest - seen)
+                tail = pa.Table.from_batches([b]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([b])])
+                tail = tail.slice(max(0, len(tail) - widest))
+            d = b.column(2).to_numpy()
+            cut = np.concatenate([[0], np.flatnonzero(d[1:] != d[:-1]) + 1, [len(d)]])
+            for s, e in zip(cut, cut[1:]):
+                if s == e:
+                    continue
+                part, done = pa.Table.from_batches([b.slice(s, e - s)]), 0
+                if keep is not None and keep.column("d")[0].as_py() == d[s]:
+                    part, done = pa.concat_tables([keep, part]), len(keep)
+                pairs = near(part, done)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64()), *(pa.nulls(pairs.shape[1], f.type) for f in part.schema)], names=[*nothing, *names])
+                keep = part.slice(max(0, len(part) - widest))
+        if tail is not None:
+            yield from edge(tail)
+
+    def edge(part):
+        for b in part.combine_chunks().to_batches():
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(b), k) for k in nothing.values()), *b.columns], names=[*nothing, *names])
+
+    schema = "a long, b long, " + ROWS
+    found = saved(rows.mapInArrow(lambda batches: pairs_of(batches, True), schema))
+    edges = found.where("id is not null").select(*names).dropDuplicates(["pass", "id"]).repartition("pass", "d", "label").sortWithinPartitions(*ORDER)
+    across = edges.mapInArrow(lambda batches: pairs_of(batches, False), schema)
+    return found.select("a", "b").unionByName(across.select("a", "b")).where("a <> b").distinct()
 
 
 def component_links(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -119,9 +221,11 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, passes: int =
     good = F.col("label").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False)) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = own.where(good & F.col("vec_id").isNotNull())
     classes = saved(usable.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")).withColumn("d", F.size("v")))
-    rows = projected(classes, passes)
-    rows = rows.repartitionByRange("pass", "label", "code", "tie").sortWithinPartitions("pass", "label", "code", "tie", "id")
-    comp = saved(components(saved(window_pairs(rows, cosine, window))))
+    middle = saved(centres(classes, cosine, passes, window))
+    widest = middle.agg(F.max("window")).first()[0] or window
+    rows = projected(classes.join(middle, ["label", "d"]))
+    rows = rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    comp = saved(components(saved(window_pairs(rows, widest, cosine))))
 
     sizes = comp.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = comp.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
