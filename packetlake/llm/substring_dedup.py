@@ -7,7 +7,10 @@ the same minimum whose intervals meet. The windows of a pair are joined as inter
 are verified on the words, and passages of at least 50 words with a similarity of 0.75 or more come out.
 
 Windows of one minimum are linked to the window of the smallest and of the largest doc_id that has it, not with each
-other, so a passage in many documents costs as many rows as it has windows.
+other, so a passage in many documents costs as many rows as it has windows. Those two may
+hold it in another context, so each run of 46 shingles around a shared minimum is a key too (in the first hash function,
+as every run has a minimum there), and is linked to the smallest doc_id that has this run: every 50 words that stand in
+two documents are found.
 
 Edge cases: null and empty texts and texts under 50 words have no passage; equal texts are one class, and each copy is a
 repeat of the class's smallest doc_id, whole; a doc_id on several rows counts once (the cut applies to all its rows); rows
@@ -31,6 +34,8 @@ WIDTH, WORDS, HASHES, SUPPORT, PERCENT = 5, 50, 4, 2, 75
 LEAST = WORDS - WIDTH + 1
 #: Bits of the map of minima that more than one document has.
 KEYBITS = 1 << 25
+#: Hash function of a seed that is an equal run of LEAST shingles and needs no support.
+RUN = -1
 #: Unmatched shingles that a passage may hold between two matched ones.
 GAP = 12
 
@@ -58,6 +63,19 @@ def compact_windows(values: np.ndarray, least: int = LEAST) -> list[tuple[int, i
     return out
 
 
+def run_hashes(h: np.ndarray, n: int = LEAST) -> np.ndarray:
+    """A hash of the n values from each place on, by doubling."""
+    out, size, done = np.zeros(max(0, len(h) - n + 1), np.uint64), 0, h.astype(np.uint64)
+    width = 1
+    while width <= n:
+        if n & width:
+            out = tv.mix(out ^ done[size : size + len(out)], 300 + width)
+            size += width
+        done = tv.mix(done[:-width] + (done[width:] << np.uint64(1)), 400 + width) if width < len(done) else done[:0]
+        width *= 2
+    return out
+
+
 def windows(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, g1, g2 (a hash of the word sequence) and the windows: keys, f, l, c, r arrays."""
 
@@ -89,7 +107,48 @@ def windows(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, g1 long, g2 long, key array<long>, f array<int>, l array<int>, c array<int>, r array<int>")
 
 
-def candidates(own: DataFrame) -> DataFrame:
+def run_links(docs: DataFrame, own: DataFrame, keys: DataFrame) -> DataFrame:
+    """a, b, seed of the runs of LEAST shingles whose minimum is one of the keys: each with the smallest doc_id that has the run."""
+    bits = own.sparkSession.sparkContext.broadcast(postings.bit_map(keys, "key", KEYBITS))
+    held = own.sparkSession.sparkContext.broadcast(id_map(own, "owner"))
+
+    def run(batches):
+        for b in batches:
+            bit = b.column(2).to_numpy()
+            b = b.filter(pa.array(postings.held(held.value, bit)))
+            for i, j, data, off in tv.documents(b.column(1)):
+                h, at, _, _ = sequence(data, off)
+                v = tv.mix(h, 200)
+                hot = np.concatenate([[0], np.cumsum(postings.held(bits.value, v.view(np.int64)))])
+                owner, key, place = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for d in range(j - i):
+                    s, e = at[d], at[d + 1]
+                    if e - s < LEAST or hot[e] == hot[s]:
+                        continue
+                    near = np.flatnonzero(hot[s + LEAST : e + 1] > hot[s : e + 1 - LEAST])
+                    runs = np.lib.stride_tricks.sliding_window_view(v[s:e], LEAST)
+                    low = [part + runs[part].argmin(1) for part in np.array_split(near, len(near) // 16384 + 1)]
+                    near = near[np.diff(hot)[s + np.concatenate(low)] > 0]
+                    owner.append(i + d), key.append(run_hashes(h[s:e])[near]), place.append(near)
+                if owner:
+                    o = pa.array(np.cumsum([len(k) for k in key]), pa.int32())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.ListArray.from_arrays(o, pa.array(np.concatenate(key).view(np.int64))), pa.ListArray.from_arrays(o, pa.array(np.concatenate(place).astype(np.int32)))], names=["owner", "key", "place"])
+
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(IDBITS)).alias("bit"))
+    runs = saved(texts.mapInArrow(run, "owner long, key array<long>, place array<int>"))
+    ends = saved(postings.extremes(runs, ("place",)).select("key", "lo_owner", "lo_place"))
+    two = own.sparkSession.sparkContext.broadcast(postings.bit_map(ends, "key", KEYBITS))
+    rows = postings.spread(runs.withColumnRenamed("place", "x"), two, ["owner"], ["key", "x"], "owner long, place long, key long, x int")
+    links = rows.join(ends, "key").where("owner > lo_owner")
+    # one seed for the runs of a stretch: they stand on one diagonal, and fewer than LEAST places apart
+    links = links.select(F.col("lo_owner").alias("a"), F.col("owner").alias("b"), F.col("lo_place").cast("int").alias("p"), "x").groupBy("a", "b", (F.col("x") - F.col("p")).alias("diagonal"), F.floor(F.col("x") / LEAST).alias("part")).agg(F.min("x").alias("lx"), F.max("x").alias("rx"))
+    spot = [F.lit(RUN).alias("f")]
+    for n, shift in (("a", F.col("diagonal")), ("b", F.lit(0))):
+        spot += [(F.col("lx") - shift).cast("int").alias("l" + n), (F.col("lx") - shift).cast("int").alias("c" + n), (F.col("rx") - shift + LEAST - 1).cast("int").alias("r" + n)]
+    return links.select("a", "b", F.struct(*spot).alias("seed"))
+
+
+def candidates(docs: DataFrame, own: DataFrame) -> DataFrame:
     """a, b (a < b) and seeds: an array of (f, la, ca, ra, lb, cb, rb) of windows with one minimum in both."""
     own = own.withColumnRenamed("doc_id", "owner")
     ends = saved(postings.extremes(own, ("f", "l", "c", "r")))
@@ -100,6 +159,7 @@ def candidates(own: DataFrame) -> DataFrame:
     seed = lambda x, y: F.struct("f", *[F.col(p + n).cast("int").alias(n + o) for p, o in ((x, "a"), (y, "b")) for n in "lcr"])
     links = F.array(F.struct(F.col("lo_owner").alias("a"), F.col("owner").alias("b"), seed("lo_", "").alias("seed")), F.when(F.col("owner") < F.col("hi_owner"), F.struct(F.col("owner").alias("a"), F.col("hi_owner").alias("b"), seed("", "hi_").alias("seed"))))
     pairs = both.select(F.explode(links).alias("x")).where("x is not null").select("x.*")
+    pairs = pairs.unionByName(run_links(docs, own, saved(ends.where("lo_f = 0").select("key"))))
     return pairs.groupBy("a", "b").agg(F.collect_list("seed").alias("seeds"))  # at most the windows of one document
 
 
@@ -152,7 +212,7 @@ def supported(seeds: np.ndarray, support: int = SUPPORT) -> list[tuple]:
         g[0], g[1], g[2], g[3] = min(g[0], la), max(g[1], ra), min(g[2], lb), max(g[3], rb)
         g[4].add(f)
         g[5].append((ca, cb))
-    return [(*g[:4], *map(list, zip(*g[5]))) for g in regions.values() if len(g[4]) >= support]
+    return [(*g[:4], *map(list, zip(*g[5]))) for g in regions.values() if len(g[4]) >= support or RUN in g[4]]
 
 
 def passages(ha: np.ndarray, hb: np.ndarray, region: tuple) -> list[tuple[int, int, int]]:
@@ -266,7 +326,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     copies = own.select("doc_id", "n_words", "g1", "g2").join(classes.where("c > 1"), ["n_words", "g1", "g2"]).where("doc_id <> head")
     copies = saved(copies.select("doc_id", F.col("head").alias("dup_of"), F.lit(0).cast("long").alias("start_word"), F.col("n_words").alias("end_word"), F.lit(0).cast("long").alias("dup_start_word")).distinct())
     heads = _without_copies(own, copies)
-    pairs = saved(interval_join(candidates(heads)))
+    pairs = saved(interval_join(candidates(docs, heads)))
     out = copies.unionByName(verified(docs, pairs))
     return out.distinct().select("doc_id", "dup_of", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "dup_start_word")
 

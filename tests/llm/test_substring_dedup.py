@@ -49,3 +49,35 @@ def test_a_passage_that_stands_often_in_a_long_text_is_found_each_time():
     ha, hb = hashes(a), hashes(b)
     found = [x for g in sd.supported(seeds(ha, hb)) for x in sd.passages(ha, hb, g)]
     assert {p for p in begins if any(s <= p and e >= p + 55 for s, e, _ in found)} == set(begins)
+
+
+def uncovered(texts, found):
+    """(document, place) of the runs of 50 words that an earlier document has and no passage covers."""
+    cover = {}
+    for f in found:
+        cover.setdefault(f.doc_id, set()).update(range(f.start_word, f.end_word))
+    seen, out = {}, []
+    for k, t in enumerate(texts):
+        for s in range(len(t) - 49):
+            if seen.setdefault(tuple(t[s : s + 50]), k) != k and not set(range(s, s + 50)) <= cover.get(k, set()):
+                out.append((k, s))
+    return out
+
+
+def test_passages_of_lines_that_the_first_and_last_documents_hold_singly(spark):
+    rng = np.random.default_rng(6)
+    ends, middle = [], []
+    for k in range(40):
+        cuts = [[30, 30], [20, 20, 20], [15, 15, 15, 15], [45]][k % 4]
+        lines = [words(rng, n, "q") for n in cuts]
+        ends.append([words(rng, 60, "e") + line + words(rng, 60, "e") for line in lines])
+        passage = sum(lines, []) + (words(rng, 15, "o") if len(cuts) == 1 else [])
+        middle += [words(rng, 80, "m") + passage + words(rng, 80, "m") for _ in range(2)]
+    first = [t for e in ends for t in e]
+    texts = first + middle + [words(rng, 60, "z") + t[60:-60] + words(rng, 60, "z") for t in first]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = sd.repeated_passages(docs).collect()
+    lost = {k for k, _ in uncovered(texts, found)}
+    print("pairs lost", len(lost), "of 40")
+    assert not lost
+    assert all(f.n_words >= 50 for f in found)
