@@ -218,30 +218,74 @@ def supported(seeds: np.ndarray, support: int = SUPPORT) -> list[tuple]:
 def passages(ha: np.ndarray, hb: np.ndarray, region: tuple) -> list[tuple[int, int, int]]:
     """(first shingle in b, last shingle in b, first shingle in a) of verified passages inside a region.
 
-    Exact ones are grown from the seeds. Where the texts differ in places, the stretch of shingles of b that a's region
-    also holds, with gaps of at most GAP, is one passage if the sets of both stretches are similar enough.
+    Exact ones are grown from the seeds. Where the texts differ in places, stretches of shingles of b that a's region also
+    holds, with gaps of at most GAP, are joined as long as the sets of the joined stretches are similar enough. Of several
+    places of a shingle in a, the one nearest to the diagonal of the closest seed counts.
     """
     la, ra, lb, rb, ca, cb = region
     out = _grown(ha, hb, ca, cb)
     a, b = ha[la : ra + 1], hb[lb : rb + 1]
-    order = np.argsort(a, kind="stable")
-    at = np.minimum(np.searchsorted(a[order], b), len(a) - 1)
-    places = np.flatnonzero(a[order][at] == b)
-    in_a = order[at[places]]
+    places, in_a = _aligned(a, b, np.array(ca) - la, np.array(cb) - lb)
     jump = np.flatnonzero((np.diff(places) > GAP) | (np.abs(np.diff(in_a) - np.diff(places)) > GAP)) + 1
+
+    def alike(p, q, x, y):
+        sa, sb = np.unique(a[x : y + 1]), np.unique(b[p : q + 1])
+        common = len(np.intersect1d(sa, sb, assume_unique=True))
+        return 100 * common >= PERCENT * (len(sa) + len(sb) - common)
+
+    def fresh(x):
+        """How many places before each one hold a shingle for the first time: differences are never more than a span's set."""
+        new = np.zeros(len(x) + 1, np.int64)
+        new[np.unique(x, return_index=True)[1] + 1] = 1
+        return np.cumsum(new).tolist()
+
+    fresh_a, fresh_b = fresh(a), fresh(b)
+    hits = np.searchsorted(places, np.arange(len(b) + 1)).tolist()
+    chains: list[tuple] = []  # (first and last place in b, in a, matches), in order of b
     for s, e in zip(np.concatenate([[0], jump]), np.concatenate([jump, [len(places)]])):
-        if e - s < LEAST * PERCENT // 100:
+        if e == s:
             continue
-        p, q, x, y = int(places[s]), int(places[e - 1]), int(in_a[s:e].min()), int(in_a[s:e].max())
-        if q - p + 1 < LEAST or any(u <= lb + p and lb + q <= v for u, v, _ in out):
+        new, k = (int(places[s]), int(places[e - 1]), int(in_a[s:e].min()), int(in_a[s:e].max()), int(e - s)), len(chains) - 1
+        while k >= 0:
+            old = chains[k]
+            both = (min(old[0], new[0]), max(old[1], new[1]), min(old[2], new[2]), max(old[3], new[3]), old[4] + new[4])
+            if 100 * len(places) < PERCENT * (fresh_b[new[0]] - fresh_b[old[1] + 1]):  # ends fall down the stack: none below can join
+                break
+            matched = 100 * (hits[both[1] + 1] - hits[both[0]])
+            possible = matched >= PERCENT * max(fresh_b[both[1] + 1] - fresh_b[both[0]], fresh_a[both[3] + 1] - fresh_a[both[2]])
+            if possible and alike(*both[:4]):
+                new = both
+                del chains[k]
+                k = len(chains)
+            k -= 1
+        chains.append(new)
+    for p, q, x, y, n in chains:
+        if n < LEAST * PERCENT // 100 or q - p + 1 < LEAST or any(u <= lb + p and lb + q <= v for u, v, _ in out):
             continue
-        sa, sb = np.unique(a[x : y + 1]), np.unique(b[p : q + 1])
-        common = len(np.intersect1d(sa, sb, assume_unique=True))
-        if 100 * common >= PERCENT * (len(sa) + len(sb) - common):
+        if alike(p, q, x, y):
             out.append((lb + p, lb + q, la + x))
     return out
 
 
+def _aligned(a, b, ca, cb):
+    """Places of b whose shingle a has, and for each its place in a that is nearest to the diagonal of the closest seed."""
+    order = np.argsort(a, kind="stable")
+    kinds, rank = np.unique(a[order], return_inverse=True)
+    r = np.minimum(np.searchsorted(kinds, b), len(kinds) - 1)
+    places = np.flatnonzero(kinds[r] == b)
+    by = np.argsort(cb, kind="stable")
+    ca, cb = ca[by], cb[by]
+    right = np.minimum(np.searchsorted(cb, places), len(cb) - 1)
+    left = np.maximum(right - 1, 0)
+    seed = np.where(np.abs(cb[left] - places) <= np.abs(cb[right] - places), left, right)
+    hoped = np.clip(places + ca[seed] - cb[seed], 0, len(a) - 1)
+    key = rank.astype(np.int64) * len(a) + order
+    at = np.searchsorted(key, r[places] * len(a) + hoped)
+    low, high = np.maximum(at - 1, 0), np.minimum(at, len(a) - 1)
+    far = lambda k: np.where(rank[k] == r[places], np.abs(order[k] - hoped), len(a) + 1)
+    return places, order[np.where(far(low) < far(high), low, high)]
+
+
 def _grown(ha, hb, ca, cb):
     """Maximal runs of equal shingles around the seeds, those of at least LEAST shingles."""
     out, done = [], {}

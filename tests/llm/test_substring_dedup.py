@@ -81,3 +81,36 @@ def test_passages_of_lines_that_the_first_and_last_documents_hold_singly(spark):
     print("pairs lost", len(lost), "of 40")
     assert not lost
     assert all(f.n_words >= 50 for f in found)
+
+
+def near_copies():
+    """(name, a, b, first and last shingle of the copy in b)."""
+    for k in range(20):
+        rng = np.random.default_rng(100 + k)
+        p = words(rng, 80, "p")
+        around = [words(rng, 40, "w") for _ in range(4)]
+        changed = p[:40] + words(rng, 1, "c") + p[41:]
+        kinds = {"clause": (p, p[:40] + words(rng, 10, "i") + p[40:]), "word": (p, changed), "two clauses": (words(rng, 0, "p") + p + p[::-1], p[:30] + words(rng, 9, "i") + p[30:] + p[::-1])}
+        early = p[44:49]
+        kinds["earlier shingle"] = (p, p[:46] + words(rng, 1, "c") + p[47:])
+        for name, (x, y) in kinds.items():
+            head = around[0] + (p[10:15] + around[3] + p[60:65] + early if name == "earlier shingle" else [])
+            b = around[1] + y + around[2]
+            yield name, head + x + around[3], b, 40, 40 + len(y) - sd.WIDTH
+
+
+def test_near_copies_with_clauses_and_other_words_are_whole():
+    lost = {}
+    for name, a, b, first, last in near_copies():
+        ha, hb = hashes(a), hashes(b)
+        sa, sb = set(ha[40:-40].tolist()) if name != "earlier shingle" else set(ha[-120:-40].tolist()), set(hb[first : last + 1].tolist())
+        where = [k for k in range(len(ha)) if ha[k] in sb]
+        seed = [k for k in where if k >= len(ha) - 40 - len(sa)][0]
+        region = (0, len(ha) - 1, 0, len(hb) - 1, [seed], [int(np.flatnonzero(hb == ha[seed])[0])])
+        found = sd.passages(ha, hb, region)
+        for s, e, _ in found:
+            assert e - s + 1 >= sd.LEAST
+        if not any(s <= first and e >= last for s, e, _ in found):
+            lost[name] = lost.get(name, 0) + 1
+    print("lost", lost)
+    assert not lost
