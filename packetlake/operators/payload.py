@@ -21,14 +21,22 @@ SECRETS = (
 # Request patterns in order; the first that fits names the attack.
 ATTACKS = (
     ("SQL Injection attempt", r"(?i)(?:union\+select|union%20select|select\+.*\+from|insert\+into|drop\+table|'%20or%20'1'='1|%27%20or)"),
-    ("Path traversal attempt", r"(?i)(?:\.\./\.\./|%2e%2e%2f|%252e%252e)"),
+    ("Path traversal attempt", r"(?i)(?:\.\./\.\./|\.\.\\\.\.\\|%2e%2e%2f|%252e%252e)"),
     ("Command injection attempt", r"(?i)(?:;(?:ls|cat|id|whoami|uname|wget|curl|nc|bash|sh)\b|\|(?:ls|cat|id|whoami)\b)"),
     ("Log4Shell (CVE-2021-44228) exploit attempt", r"(?i)\$\{jndi:"),
     ("Shellshock (CVE-2014-6271) exploit attempt", r"\(\)\s*\{\s*:"),
     ("Webshell access attempt", r"(?i)(?:/(?:cmd|shell|c99|r57|b374k|wso)\.(php|asp|jsp))"),
+    ("WordPress exploit probe", r"(?i)(?:/wp-(?:admin|login|content/uploads)/.*\.php\?)"),
+    ("Admin panel probe", r"(?i)^(?:GET|POST|PUT)\s+/(?:phpmyadmin|adminer|manager/html|jenkins|solr)(?:/|\s)"),
 )
-# Parts of user agents of attack tools.
-ATTACK_AGENTS = ("nikto", "sqlmap", "nmap", "masscan", "zmap", "dirbuster", "gobuster", "feroxbuster", "ffuf", "wfuzz", "burpsuite", "metasploit", "cobalt strike", "zmeu", "morfeus", "openvas", "nessus", "havij", "acunetix", "mirai")
+# Parts of user agents of attack tools, in order; the first that fits is the signature.
+ATTACK_AGENTS = (
+    "nikto", "sqlmap", "nmap", "masscan", "zmap", "dirbuster", "gobuster", "feroxbuster", "ffuf", "wfuzz", "burpsuite", "burp suite", "owasp", "metasploit", "cobalt strike", "empire",
+    "blacksun", "black sun", "zmeu", "morfeus", "openvas", "nessus", "havij", "acunetix", "netsparker", "appscan", "w3af", "arachni", "skipfish", "vega/",
+    "botnet", "mirai", "muhstik", "tsunami", "gafgyt", "hajime", "satori",
+    "python-requests", "python-urllib", "go-http-client", "libwww-perl", "lwp-", "wget/", "curl/", "java/", "okhttp", "httpclient", "winhttp", "httpie",
+    "${jndi", "() { :",
+)
 
 
 def secrets(packets: DataFrame, text: str = "payload") -> DataFrame:
@@ -62,16 +70,16 @@ def attacks(packets: DataFrame, text: str = "payload") -> DataFrame:
 
 
 def attack_agents(packets: DataFrame, text: str = "payload") -> DataFrame:
-    agent = F.lower(F.regexp_extract(text, r"User-Agent:\s*(\S+)", 1))
+    agent = F.lower(F.regexp_extract(text, r"(?i)User-Agent:[ \t]*([^\r\n]+)", 1))
     first = F.get(F.filter(F.array(*[F.lit(x) for x in ATTACK_AGENTS]), lambda x: F.contains(agent, x)), F.lit(0))
     return packets.where(F.length(text) > 0).withColumns({"agent": agent, "signature": first}).where("agent <> '' and signature is not null").groupBy("src_ip", "signature").agg(F.count("*").alias("n"), F.min("pkt_id").alias("first_pkt"))
 
 
 def disclosures(packets: DataFrame, text: str = "payload") -> DataFrame:
     """Response headers that name software, once for each server and header; a version makes them MEDIUM, an old one HIGH."""
-    names = F.array(*[F.struct(F.lit(h).alias("header"), F.regexp_extract(text, rf"{h}:\s*(\S+)", 1).alias("value")) for h in ("Server", "X-Powered-By", "X-AspNet-Version")])
+    names = F.array(*[F.struct(F.lit(h).alias("header"), F.regexp_extract(text, rf"(?i)\b{h}:\s*(\S+)", 1).alias("value")) for h in ("Server", "X-Powered-By", "X-AspNet-Version", "X-PHP-Version", "X-Generator")])
     rows = packets.where(F.col(text).startswith("HTTP/")).select("src_ip", "dst_ip", "dst_port", "pkt_id", F.explode(F.filter(names, lambda x: x["value"] != "")).alias("f"))
-    risk = F.when(F.col("value").rlike(r"^(PHP/[45]\.|Apache/2\.[012]$|Apache/2\.[012]\.)"), "HIGH").when(F.col("value").rlike(r"\d+\.\d+"), "MEDIUM").otherwise("LOW")
+    risk = F.when(F.col("value").rlike(r"^(PHP/[45]\.|Apache/2\.[012]$)|Apache/2\.[0-2]\.|PHP/[45]\.|IIS/[5-7]\.|nginx/1\.[0-9]\.|OpenSSL/0\.|ASP\.NET.*[1-3]\."), "HIGH").when(F.col("value").rlike(r"\d+\.\d+"), "MEDIUM").otherwise("LOW")
     return rows.groupBy("dst_ip", "dst_port", F.col("f.header").alias("header"), F.col("f.value").alias("value")).agg(F.min("pkt_id").alias("first_pkt")).withColumn("risk", risk)
 
 
