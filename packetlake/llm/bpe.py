@@ -1,8 +1,10 @@
 """Byte-level BPE by DuckDB recursive queries in each partition, and decoding by ordered aggregation.
 
-A text is split by the vocabulary's pattern. The different pieces of a batch become token-position rows of a DuckDB
-table; each round of a recursive query joins neighbouring rows with the merge table and contracts every piece's leftmost
-pair of smallest rank, until no piece has one. A worker keeps what it has encoded in a bounded cache.
+A text is cut into units (at single spaces, see `tokens`), and each unit that a worker has not met yet into the
+vocabulary's pieces. The new pieces become token-position rows of a DuckDB table; each round of a recursive query joins
+neighbouring rows with the merge table and contracts every piece's leftmost pair of smallest rank, until no piece has
+one. The units' ids are then decoded by another query: ids joined with the vocabulary, bytes aggregated in order. A
+text's ids and decoded bytes are those of its units in a row. A worker keeps what it has coded in a bounded cache.
 
 Edge cases: null and empty texts have no tokens; a piece of any length is encoded whole; special tokens' strings are
 ordinary text; repeated rows agree; an empty table gives an empty result; extra columns are ignored.
@@ -17,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textvec as tv
 from . import tokens
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces for one recursive query, and their bytes at most (a longer piece goes alone).
 SLICE, SLICE_BYTES = 20_000, 300_000
+#: Bytes of texts whose units are looked up together; units and pieces kept by a worker, and their bytes at most.
+GROUP, CACHE, LONG = 2 << 20, 400_000, 64
 
 
 @functools.cache
@@ -70,103 +75,176 @@ with recursive step as (
     where s.pos <> b.q
   ) left join merges g on g.pair = (id::bigint << 32 | nid)
 ), ended as (
-  select w, pos, id from (select *, max(round) over (partition by w) as last from step) where round = last
+  select s.w, s.pos, s.id from step s join (select w, max(round) as round from step group by w) l on l.w = s.w and l.round = s.round
 )
-select w, string_agg(id::varchar, ' ' order by pos) as text, string_agg(hex, '' order by pos) as hex from ended join vocabulary using (id) group by w
+select w, string_agg(id::varchar, ' ' order by pos) as ids from ended group by w
 """
 
 DECODE = """
 select w, string_agg(hex, '' order by k) as hex
-from (select w, unnest(ids) as id, generate_subscripts(ids, 1) as k from coded) join vocabulary using (id) group by w
+from (select w, unnest(ids)::int as id, generate_subscripts(ids, 1) as k from (select w, string_split(ids, ' ') as ids from coded where ids <> ''))
+join vocabulary using (id) group by w
 """
 
 
-def encode_pieces(pieces: list[str], vocabulary: str = VOCABULARY) -> dict[str, tuple[str, bytes]]:
-    """For each different piece: its ids as text and its decoded bytes."""
-    ranks, con, out = _ranks(vocabulary), _connection(vocabulary), {}
+def encode_pieces(pieces: list[bytes], vocabulary: str = VOCABULARY) -> list[bytes]:
+    """The ids of each piece, decimal and joined by one space."""
+    ranks, con, out = _ranks(vocabulary), _connection(vocabulary), [b""] * len(pieces)
     single = np.array([ranks[bytes([k])] for k in range(256)], np.int32)
-    todo = []
-    for p in pieces:
-        raw = p.encode()
-        todo.append((p, raw))
-    todo.sort(key=lambda x: len(x[1]))  # pieces of like length end in like rounds
+    todo = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))  # pieces of like length end in like rounds
     at = 0
     while at < len(todo):
         end, size = at, 0
-        while end < len(todo) and end - at < SLICE and (end == at or size + len(todo[end][1]) <= SLICE_BYTES):
-            size += len(todo[end][1])
+        while end < len(todo) and end - at < SLICE and (end == at or size + len(pieces[todo[end]]) <= SLICE_BYTES):
+            size += len(pieces[todo[end]])
             end += 1
-        part = todo[at:end]
-        raw = np.frombuffer(b"".join([x for _, x in part]), np.uint8)
-        size = np.array([len(x) for _, x in part])
+        part = [pieces[k] for k in todo[at:end]]
+        raw = np.frombuffer(b"".join(part), np.uint8)
+        size = np.array([len(x) for x in part])
         w = np.repeat(np.arange(len(part), dtype=np.int32), size)
         pos = (np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
         ids = single[raw]
-        last = pos + 1 == size[w]
-        con.register("start", pa.table({"w": w, "pos": pos, "id": ids, "nxt": pos + 1, "nid": pa.array(np.append(ids[1:], 0).astype(np.int32), mask=last)}))
+        nid = pa.array(np.append(ids[1:], 0).astype(np.int32), mask=pos + 1 == size[w])
+        con.register("start", pa.table({"w": w, "pos": pos, "id": ids, "nxt": pos + 1, "nid": nid}))
         coded = con.sql(ENCODE).to_arrow_table()
-        for k, text, raw in zip(coded.column("w").to_pylist(), coded.column("text").to_pylist(), coded.column("hex").to_pylist()):
-            out[part[k][0]] = (text, bytes.fromhex(raw))
         con.unregister("start")
+        for k, text in zip(coded.column("w").to_pylist(), coded.column("ids").to_pylist()):
+            out[todo[at + k]] = text.encode()
         at = end
     return out
 
 
-@functools.cache
-def _cache(vocabulary: str) -> tokens.Cache:
-    def join(values):
-        return " ".join([v[0] for v in values]), b"".join([v[1] for v in values])
-
-    return tokens.Cache(lambda pieces: encode_pieces(pieces, vocabulary), join)
+def decode_ids(ids: list[str], vocabulary: str = VOCABULARY) -> list[bytes]:
+    """The bytes of each text of decimal ids joined by one space."""
+    con = _connection(vocabulary)
+    con.register("coded", pa.table({"w": pa.array(range(len(ids)), pa.int32()), "ids": pa.array(ids, pa.string())}))
+    found = con.sql(DECODE).to_arrow_table()
+    con.unregister("coded")
+    out = [b""] * len(ids)
+    for k, h in zip(found.column("w").to_pylist(), found.column("hex").to_pylist()):
+        out[k] = bytes.fromhex(h)
+    return out
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, group: int = 4_000_000) -> DataFrame:
-    """doc_id, n_tokens, ids (decimal, joined by one space), decoded (bytes) of each text; `group` characters are looked up together."""
-    return _encoded(docs, vocabulary, group, lambda ids, raw: (ids, raw), "ids string, decoded binary", (pa.string(), pa.binary()))
+class Kept:
+    """A bounded dictionary in two generations: what was not asked for during a whole generation is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key):
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value):
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
+class Coder:
+    """Ids and decoded bytes of units, each by its bytes' hash: (ids with a space before each, how many, bytes)."""
+
+    def __init__(self, vocabulary: str):
+        self.vocabulary, self.units, self.pieces = vocabulary, Kept(CACHE), Kept(CACHE)
+
+    def values(self, keys: list[int], unit, whole: np.ndarray) -> list[tuple[bytes, int, bytes]]:
+        """unit(k): the bytes of the k-th unit; whole[k]: it is one piece."""
+        out = [self.units.get(k) for k in keys]
+        new = [k for k, v in enumerate(out) if v is None]
+        if not new:
+            return out
+        raw = [unit(k) for k in new]
+        todo, ids, cut = [], {}, {}
+        for k, r in zip(new, raw):
+            if whole[k]:
+                todo.append(r)
+            else:
+                cut[r] = [p.encode() for p in tokens.pieces(r.decode())]
+                for p in cut[r]:
+                    if p not in ids and (v := self.pieces.get(p)) is None:
+                        ids[p] = None
+                        todo.append(p)
+                    elif p not in ids:
+                        ids[p] = v
+        for p, v in zip(todo, encode_pieces(todo, self.vocabulary)):
+            ids[p] = v
+        for c in cut.values():
+            for p in c:
+                if len(p) <= LONG:
+                    self.pieces.put(p, ids[p])
+        coded = [b" ".join([ids[p] for p in cut[r]]) if r in cut else ids[r] for r in raw]
+        decoded = decode_ids([c.decode() for c in coded], self.vocabulary)
+        for k, r, c, d in zip(new, raw, coded, decoded):
+            out[k] = (b" " + c, c.count(b" ") + 1, d)
+            if len(r) <= LONG:
+                self.units.put(keys[k], out[k])
+        return out
 
 
-def _encoded(docs, vocabulary, group, digest, schema, kinds):
+@functools.cache
+def _coder(vocabulary: str) -> Coder:
+    return Coder(vocabulary)
+
+
+def _gather(values: list[bytes], which: np.ndarray, bounds: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The values of `which` in a row, and where those of each slice of bounds begin."""
+    size = np.array([len(v) for v in values], np.int64)
+    first = (np.cumsum(size) - size)[which]
+    size = size[which]
+    at = np.concatenate([[0], np.cumsum(size)])
+    blob = np.frombuffer(b"".join(values), np.uint8)
+    return blob[np.repeat(first - at[:-1], size) + np.arange(at[-1])].tobytes(), at[bounds]
+
+
+def coded(data: np.ndarray, offsets: np.ndarray, vocabulary: str = VOCABULARY):
+    """(number of tokens, ids, decoded bytes) of each document; ids are decimal and joined by one space."""
+    starts, whole, bounds = tokens.unit_starts(data, offsets)
+    ends = np.append(starts[1:], len(data))
+    h = tv.word_hashes(data, starts, ends)
+    h = tv.mix(h + (ends - starts).astype(np.uint64), 9) ^ whole.astype(np.uint64)
+    kinds, first, which = np.unique(h, return_index=True, return_inverse=True)
+    raw = data.tobytes()
+    values = _coder(vocabulary).values(kinds.tolist(), lambda k: raw[starts[first[k]] : ends[first[k]]], whole[first])
+    count = np.concatenate([[0], np.cumsum(np.array([v[1] for v in values], np.int64)[which])])
+    ids, i = _gather([v[0] for v in values], which, bounds)
+    text, t = _gather([v[2] for v in values], which, bounds)
+    for d in range(len(offsets) - 1):
+        yield int(count[bounds[d + 1]] - count[bounds[d]]), ids[i[d] + 1 : i[d + 1]], text[t[d] : t[d + 1]]
+
+
+def _encoded(docs: DataFrame, vocabulary: str, digest, schema: str, kind) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         for b in batches:
-            doc, texts = b.column(0), b.column(1)
-            i = 0
-            while i < len(texts):
-                part, size, j = [], 0, i
-                while j < len(texts) and (j == i or size < group):
-                    part.append(texts[j].as_py() or "")
-                    size += len(part[-1])
-                    j += 1
-                n, one, two = [], [], []
-                for values in _cache(vocabulary).values(part):
-                    ids = " ".join([v[0] for v in values])
-                    n.append(ids.count(" ") + 1 if ids else 0)
-                    for out, v in zip((one, two), digest(ids, b"".join([v[1] for v in values]))):
-                        out.append(v)
-                yield pa.RecordBatch.from_arrays([doc[i:j], pa.array(n, pa.int64()), pa.array(one, kinds[0]), pa.array(two, kinds[1])], names=["doc_id", "n_tokens", *names])
-                i = j
+            for i, j, data, off in tv.documents(b.column(1), GROUP):
+                n, one, two = zip(*((n, *digest(ids, raw)) for n, ids, raw in coded(data, off, vocabulary)))
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, kind)], names=["doc_id", "n_tokens", *names])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, n_tokens long, {schema}")
 
 
-def decode(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, n_tokens, ids (decimal, joined by one space), decoded (bytes, from the ids) of each text."""
+    return _encoded(docs, vocabulary, lambda ids, raw: (ids.decode(), raw), "ids string, decoded binary", pa.binary())
+
+
+def decode(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id and decoded (bytes) of rows doc_id, ids (decimal, joined by one space); no ids are no bytes."""
 
     def run(batches):
-        con = _connection(vocabulary)
         for b in batches:
-            ids = [[int(x) for x in (t or "").split()] for t in b.column(1).to_pylist()]
-            con.register("coded", pa.table({"w": pa.array(range(len(ids)), pa.int32()), "ids": pa.array(ids, pa.list_(pa.int32()))}))
-            found = dict(con.execute(DECODE).fetchall())
-            con.unregister("coded")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bytes.fromhex(found.get(k, "")) for k in range(len(ids))], pa.binary())], names=["doc_id", "decoded"])
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(decode_ids(texts, vocabulary), pa.binary())], names=["doc_id", "decoded"])
 
-    return coded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, decoded binary")
+    return rows.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
     def digest(ids, raw):
-        return hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
+        return hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()
 
-    return _encoded(table(spark, sf_dir, "documents"), VOCABULARY, 4_000_000, digest, "ids_sha256 string, decoded_sha256 string", (pa.string(), pa.string()))
+    return _encoded(table(spark, sf_dir, "documents"), VOCABULARY, digest, "ids_sha256 string, decoded_sha256 string", pa.string())

@@ -1,16 +1,20 @@
-"""Token values of texts by a public vocabulary's pattern, with bounded per-worker caches.
+"""Units of texts by a public vocabulary's pattern, and token values of units with bounded per-worker caches.
 
 The pattern's pieces never span a single space followed by other text except as that text's first character. So a text
-without three white-space characters in a row falls into units at its spaces, and a unit seen before costs one look-up.
-Other texts are split by the pattern itself.
+without three white-space characters in a row, or two at its end, falls into units at its spaces, and a unit seen before
+costs one look-up. Other texts are split by the pattern itself.
 """
 
 import functools
 import re
 
+import numpy as np
+
 #: Units and pieces kept in a worker's caches; longer ones than LONG characters are never kept.
 CACHE, LONG = 700_000, 64
-_WIDE = re.compile(r"\s{3}")
+_WIDE = re.compile(r"\s{3}|\s{2}\Z")
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
 
 
 @functools.cache
@@ -25,6 +29,54 @@ def pieces(text: str) -> list[str]:
     return pattern().findall(text)
 
 
+#: Kinds of bytes that the pattern keeps apart: letters, digits, signs, blanks; beyond ASCII and apostrophes (0) it decides itself.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[_BLANK] = 4
+_KIND[[0x27, *range(128, 256)]] = 0
+
+
+def unit_starts(data: np.ndarray, offsets: np.ndarray):
+    """Where the units of UTF-8 documents begin, which of them are single pieces of the pattern, and where each document's units begin.
+
+    Units end before spaces, and where the kind of an ASCII byte changes. A document is split by the pattern itself where
+    it may have wide white space: three blanks in a row, two at its end, or any blank beyond ASCII.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(len(offsets), np.int64)
+    kind, space = _KIND[data], data == 0x20
+    blank = kind == 4
+    odd = np.zeros(n, bool)
+    odd[2:] = blank[2:] & blank[1:-1] & blank[:-2]
+    high = np.flatnonzero(data >= 0xC2)
+    lead, then = data[high], data[np.minimum(high + 1, n - 1)]
+    maybe = ((lead == 0xC2) & ((then == 0x85) | (then == 0xA0))) | ((lead == 0xE1) & (then == 0x9A)) | ((lead == 0xE3) & (then == 0x80))
+    odd[high[maybe | ((lead == 0xE2) & ((then == 0x80) | (then == 0x81)))]] = True
+    full = offsets[1:] > offsets[:-1]
+    last = offsets[1:][full] - 1
+    odd[last] |= blank[last] & (last > 0) & blank[last - 1]  # two blanks over a document's edge only send it the slow way
+    wide = np.diff(np.concatenate([[0], np.cumsum(odd)])[offsets]) > 0
+    first = space.copy()
+    first[offsets[:-1][full]] = True
+    region = np.flatnonzero(first)  # up to the next space
+    size = np.diff(np.append(region, n))
+    mixed = np.maximum.reduceat((kind == 0).astype(np.uint8), region) > 0
+    cut = np.zeros(n, bool)
+    cut[1:] = ((kind[1:] != kind[:-1]) & ~space[:-1]) | (blank[1:] & ~space[1:])
+    begins = first | (cut & ~np.repeat(mixed, size))
+    single = begins & ~np.repeat(mixed, size)
+    for d in np.flatnonzero(wide):
+        s, e = int(offsets[d]), int(offsets[d + 1])
+        begins[s:e] = False
+        size = np.array([len(p.encode()) for p in pieces(data[s:e].tobytes().decode())])
+        at = s + np.cumsum(size) - size
+        begins[at] = single[at] = True
+    starts = np.flatnonzero(begins)
+    return starts, single[starts], np.searchsorted(starts, offsets)
+
+
 class Cache:
     """Values of units. encode: list of pieces -> {piece: value}; join: list of values -> value.
 
