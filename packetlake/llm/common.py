@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows in an Arrow batch: texts are long, and a batch stands in memory on both sides of a Python worker.
-BATCH = 1000
+#: Rows and bytes in an Arrow batch: texts are long, and a batch stands in memory on both sides of a Python worker.
+BATCH, BATCH_BYTES = 1000, 4 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
+def settings(spark: SparkSession) -> None:
+    """Small Arrow batches; shuffle files go when the job that wrote them has ended, as each result is a table."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    settings(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,17 +30,42 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder()
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, one of our own, but only in local mode (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or _own_folder()
 
 
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage: df as a Parquet table in the shared folder, computed once and readable after an executor is lost."""
     spark = df.sparkSession
-    small_batches(spark)
+    settings(spark)
     path = f"{shared_folder(spark).rstrip('/')}/packetlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._saved_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], count: str, total: int) -> DataFrame:
+    """left with `columns` of right, which has one row a key and in `count` how many rows of left have it (`total` in all, or fewer).
+
+    Keys of more than a thousandth of the rows are fewer than a thousand, so these are broadcast and no task meets a hot key.
+    """
+    most = max(1000, total // 1000)
+    hot = F.broadcast(right.where(F.col(count) > most).select(*keys, F.struct(*columns).alias("_hot")))
+    both = left.join(hot, keys, "left")
+    rest = right.where(F.col(count) <= most).select(*keys, *columns)
+    near = both.where("_hot is not null").select(*left.columns, *[F.col("_hot")[c].alias(c) for c in columns])
+    return near.unionByName(both.where("_hot is null").select(*left.columns).join(rest, keys, "left").select(*left.columns, *columns))
 
 
 def crc_of_id(col: str = "doc_id"):
@@ -70,17 +98,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e, before = saved(e), None
+    n = e.count()
     for _ in range(rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        large = lookup(both, low, ["u"], ["m"], "c", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = saved(small.select("x.u", "x.v").where("u <> v").distinct())
+        last, e = e, saved(small.select("x.u", "x.v").where("u <> v").distinct())
+        forget(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break
-        before = now
+        n, before = now[0], now
     else:
         raise RuntimeError(f"components: no fixpoint after {rounds} rounds")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -3,20 +3,24 @@
 Two documents link when 100 * |A n B| >= 75 * |A u B| over their sets of 5-word shingles. The join is exact:
 
 1. Documents with equal sets form one class (a hash of the set); only the classes' smallest documents go on.
-2. Min-hash bands propose a hub for each document; verified hubs give a first set of components, so that a large group of
-   near copies costs one comparison for each member instead of one for each pair.
-3. Exact search for the links that are left: each document lists its first n - ceil(0.75 n) + 1 shingles in one fixed
-   order (frequent ones last); two documents that link share one of those. A list of a shingle matters only while it holds
-   two different components. Its documents are points: shingles hashed into groups, counted. An R-tree over the points
-   bounds an overlap by the summed minima of coordinates, so that most pairs are never formed.
-4. The pairs that survive are verified on the sets themselves, and the components joined.
+2. Each document stands in the lists of its first n - ceil(0.75 n) + 1 shingles in one fixed order (frequent ones last);
+   two documents that link share one of those. A list is a set of points: shingles hashed into groups, counted. R-trees
+   over the points of the lists, joined with themselves from the roots down, bound each overlap by the summed minima of
+   coordinates, so that most pairs are never formed. The pairs that come out at the leaves are the candidates.
+3. They are verified on the sets themselves, and the components joined.
 
-A long list is split into leaves that are compared two by two in different tasks. Nothing but fixed-size bit maps and
-counts reaches the driver.
+Min-hash hubs go first, as an accelerator that changes no result (hubs=False leaves them out): documents that share a
+band with a smaller one and are verified against it are in one component already, and a list matters only while it holds
+two different components, a tree node only while it does. So a large group of near copies costs one comparison for each
+member instead of one for each pair.
+
+A long list is cut into parts of LEAF documents, of which two go to a task. Nothing but fixed-size bit maps and counts
+reaches the driver. Intermediate tables are deleted when they are no longer read.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing; texts of fewer than five words are one
-shingle; repeated rows and equal texts share a component; rows without doc_id come back with their set size and the
-component of documents with the same set, null if there is none; an empty table gives an empty result; extra columns are ignored.
+shingle; repeated rows and equal texts share a component; a doc_id on rows of different texts counts as one document
+that has the set of each row in turn for exact copies, and the set of one row (that with the smallest hash) for near ones;
+rows without doc_id come back with their set size and the component of documents with the same set, null if there is none; an empty table gives an empty result; extra columns are ignored.
 """
 
 from collections.abc import Iterator
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import postings
 from . import textvec as tv
-from .common import components, saved, table
+from .common import components, forget, lookup, saved, table
 
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 8, 3
@@ -36,8 +40,8 @@ BANDS, ROWS = 8, 3
 BUCKETS, CHUNK, IDBITS = 1 << 21, 1 << 16, 1 << 22
 #: Bits of the map of keys with more than one component; coordinates of the vectors that the lists carry.
 KEYBITS, COARSE = 1 << 25, 64
-#: Documents in one leaf of a long list; lists up to SHORT are compared without a tree.
-LEAF, SHORT = 256, 48
+#: Documents in one part of a long list; children of a tree node; rows whose trees are joined together; pairs of nodes at once.
+LEAF, FAN, ROWS_AT_ONCE, PAIRS = 4096, 8, 16_384, 100_000
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -128,100 +132,119 @@ def may_link(na, nb, overlap):
     return ((100 + PERCENT) * overlap >= PERCENT * (na + nb)) & (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb))
 
 
-class RTree:
-    """Packed R-tree over count vectors of one length: sorted by size, then by the widest coordinates; FAN children a node."""
-
-    FAN = 16
-
-    def __init__(self, n: np.ndarray, vec: np.ndarray):
-        order = np.lexsort((vec[:, 1 % vec.shape[1]], vec[:, 0], n))
-        self.ids, n, hi = order, n[order], vec[order]
-        self.levels = [(n, n, hi)]
-        lo_n = hi_n = n
-        while len(hi) > self.FAN:
-            cut = np.arange(0, len(hi), self.FAN)
-            lo_n, hi_n, hi = np.minimum.reduceat(lo_n, cut), np.maximum.reduceat(hi_n, cut), np.maximum.reduceat(hi, cut)
-            self.levels.append((lo_n, hi_n, hi))
-
-    def join(self, other: "RTree") -> tuple[np.ndarray, np.ndarray]:
-        """Index pairs (own, other) whose summed coordinate minima allow a link, going down both trees together."""
-        a, b = self.levels, other.levels
-        depth = max(len(a), len(b))
-        x, y = np.divmod(np.arange(len(a[-1][0]) * len(b[-1][0])), len(b[-1][0]))
-        la, lb = len(a) - 1, len(b) - 1
-        for _ in range(depth + len(a) + len(b)):
-            keep = np.zeros(len(x), bool)
-            for s in range(0, len(x), 20_000):
-                p, q = x[s : s + 20_000], y[s : s + 20_000]
-                overlap = np.minimum(a[la][2][p], b[lb][2][q]).sum(1)
-                low, high = a[la][0][p] + b[lb][0][q], (a[la][1][p], b[lb][1][q])
-                sizes = (100 * high[1] >= PERCENT * a[la][0][p]) & (100 * high[0] >= PERCENT * b[lb][0][q])
-                keep[s : s + 20_000] = ((100 + PERCENT) * overlap >= PERCENT * low) & sizes
-            x, y = x[keep], y[keep]
-            if la == lb == 0:
-                break
-            if la >= lb:
-                x, y = self._down(x, y, len(a[la - 1][0]))
-                la -= 1
-            else:
-                y, x = self._down(y, x, len(b[lb - 1][0]))
-                lb -= 1
-        return self.ids[x], other.ids[y]
+class RTrees:
+    """Packed R-trees over count vectors, one for each group of rows; all are built and joined level by level together.
 
-    def _down(self, x, y, n):
-        x = np.repeat(x * self.FAN, self.FAN) + np.tile(np.arange(self.FAN), len(x))
-        y = np.repeat(y, self.FAN)
-        ok = x < n
-        return x[ok], y[ok]
+    A tree's points are ordered by size class, then by the coordinate that is widest in the group. A node holds the
+    smallest and largest set size, component and the largest number of shingles left, and the maxima of the coordinates.
+    """
 
+    def __init__(self, group: np.ndarray, n: np.ndarray, left: np.ndarray, comp: np.ndarray, vec: np.ndarray):
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))  # groups come in order
+        spread = np.maximum.reduceat(vec, first) - np.minimum.reduceat(vec, first)
+        widest = np.repeat(spread.argmax(1), np.diff(np.append(first, len(group))))
+        self.order = np.lexsort((vec[np.arange(len(vec)), widest], np.floor(np.log(n) / np.log(1.15)), group))
+        n, comp = n[self.order], comp[self.order]
+        #: (group, lowest and highest size, shingles left, lowest and highest component, coordinate maxima, first child) of each level's nodes
+        self.levels = [(group[self.order], n, n, left[self.order], comp, comp, vec[self.order], None)]
+        while True:
+            g, lo, hi, rest, c_lo, c_hi, top, _ = self.levels[-1]
+            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            if len(first) == len(g):
+                break
+            place = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
+            cut = np.flatnonzero(place % FAN == 0)
+            self.levels.append((g[cut], np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(rest, cut), np.minimum.reduceat(c_lo, cut), np.maximum.reduceat(c_hi, cut), np.maximum.reduceat(top, cut), cut))
+
+    def raised(self, height: int) -> list:
+        """The levels up to `height`; above a tree's own root each root is its own only child."""
+        while len(self.levels) < height:
+            self.levels.append((*self.levels[-1][:7], np.arange(len(self.levels[-1][0]))))
+        return self.levels
+
+    def join(self, other: "RTrees") -> tuple[np.ndarray, np.ndarray]:
+        """Index pairs (own row, other's row) of one group that may link. Joined with itself, each pair comes once."""
+        height = max(len(self.levels), len(other.levels))
+        a, b, same = self.raised(height), other.raised(height), self is other
+        roots, x, y = np.intersect1d(a[-1][0], b[-1][0], assume_unique=True, return_indices=True)
+        todo, out = [(height - 1, x, y)], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        while todo:
+            level, x, y = todo.pop()
+            if len(x) > PAIRS:
+                todo += [(level, x[k : k + PAIRS], y[k : k + PAIRS]) for k in range(0, len(x), PAIRS)]
+                continue
+            keep = self._may(a[level], b[level], x, y)
+            x, y = x[keep], y[keep]
+            if not level:
+                out.append((self.order[x], other.order[y]))
+                continue
+            (x0, nx), (y0, ny) = (self._children(z[level][7], len(z[level - 1][0]), k) for z, k in ((a, x), (b, y)))
+            pairs = nx * ny
+            k = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+            by = np.repeat(ny, pairs)
+            x, y = np.repeat(x0, pairs) + k // by, np.repeat(y0, pairs) + k % by
+            if same:
+                keep = x < y if level == 1 else x <= y
+                x, y = x[keep], y[keep]
+            todo.append((level - 1, x, y))
+        return tuple(np.concatenate(z) for z in zip(*out))
+
+    @staticmethod
+    def _children(first, count, at):
+        return first[at], np.append(first[1:], count)[at] - first[at]
+
+    @staticmethod
+    def _may(a, b, x, y):
+        """Can two nodes hold points of different components that link?"""
+        low = a[1][x] + b[1][y]
+        keep = (100 * a[2][x] >= PERCENT * b[1][y]) & (100 * b[2][y] >= PERCENT * a[1][x])
+        keep &= ~((a[4][x] == a[5][x]) & (b[4][y] == b[5][y]) & (a[4][x] == b[4][y]))
+        keep &= (100 + PERCENT) * np.minimum(a[3][x], b[3][y]) >= PERCENT * low
+        at = np.flatnonzero(keep)
+        overlap = np.minimum(a[6][x[at]], b[6][y[at]]).sum(1)
+        keep[at] = (100 + PERCENT) * overlap >= PERCENT * low[at]
+        return keep
 
-def list_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) candidate pairs of the lists' rows (key, i, j, side, doc, n, comp, v), which come sorted by list.
 
-    Short lists are compared all at once, by distance in the order; a list of more than SHORT goes through an R-tree.
-    """
+def list_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) candidate pairs of the lists' rows (key, i, j, side, doc, n, comp, place, v), which come sorted by list."""
 
     def run(batches):
-        tail = None
+        held, size = [], 0
         for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if tail is None else pa.concat_tables([tail, t])
-            key = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
-            new = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1
+            held.append(b)
+            size += len(b)
+            if size < ROWS_AT_ONCE:
+                continue
+            t = pa.Table.from_batches(held)
+            key = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
             last = int(new[-1]) if len(new) else 0
-            yield from emit(t.slice(0, last))
-            tail = t.slice(last)
-        if tail is not None:
-            yield from emit(tail)
+            if last:
+                yield from emit(t.slice(0, last))
+            held = t.slice(last).to_batches()
+            size = len(t) - last
+        if held:
+            yield from emit(pa.Table.from_batches(held))
 
     def emit(t):
-        if len(t) < 2:
-            return
         key, i, j, side, doc, n, comp, place = (t.column(c).to_numpy() for c in ("key", "i", "j", "side", "doc", "n", "comp", "place"))
-        left_over = n - place  # shingles from this one on: all that two sets can share if it is the first that they do
-        vec = np.frombuffer(b"".join(t.column("v").to_pylist()), "<u2").reshape(len(t), COARSE).astype(np.int32)
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        size = np.diff(np.append(first, len(t)))
-        group = np.repeat(np.arange(len(first)), size)
+        left = n - place  # shingles from this one on: all that two sets can share if it is the first that they do
+        group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        own = np.repeat(np.minimum.reduceat(comp, first) < np.maximum.reduceat(comp, first), np.diff(np.append(first, len(t))))
+        at = np.flatnonzero(own)  # lists of two components
+        if not len(at):
+            return
+        vec = np.frombuffer(b"".join(t.column("v").take(pa.array(at)).to_pylist()), "<u2").reshape(len(at), COARSE).astype(np.int32)
         found = []
-        short = np.where(size[group] <= SHORT, group, -1)
-        for d in range(1, int(size[size <= SHORT].max(initial=1))):
-            p = np.flatnonzero((short[d:] == short[:-d]) & (short[d:] >= 0) & (comp[d:] != comp[:-d]) & ((i[:-d] == j[:-d]) | (side[d:] != side[:-d])))
-            q = p + d
-            p, q = (x[100 * np.minimum(n[p], n[q]) >= PERCENT * np.maximum(n[p], n[q])] for x in (p, q))
-            ok = may_link(n[p], n[q], np.minimum(left_over[p], left_over[q]))
-            p, q = p[ok], q[ok]
-            ok = may_link(n[p], n[q], np.minimum(vec[p], vec[q]).sum(1))
-            found.append((p[ok], q[ok]))
-        for g in np.flatnonzero(size > SHORT):
-            s = np.arange(first[g], first[g] + size[g])
-            if (comp[s] == comp[s[0]]).all():
-                continue
-            left, right = (s, s) if i[s[0]] == j[s[0]] else (s[side[s] == 0], s[side[s] == 1])
-            if len(left) and len(right):
-                p, q = RTree(n[left], vec[left]).join(RTree(n[right], vec[right]))
-                p, q = left[p], right[q]
-                ok = (comp[p] != comp[q]) & may_link(n[p], n[q], np.minimum(left_over[p], left_over[q]))
+        for kinds in ((-1,), (0, 1)):
+            sides = [np.flatnonzero((i[at] == j[at]) if k < 0 else (i[at] != j[at]) & (side[at] == k)) for k in kinds]
+            if all(len(s) for s in sides):
+                trees = [RTrees(group[at[s]], n[at[s]], left[at[s]], comp[at[s]], vec[s]) for s in sides]
+                p, q = trees[0].join(trees[-1])
+                p, q = at[sides[0][p]], at[sides[-1][q]]
+                ok = comp[p] != comp[q]
                 found.append((p[ok], q[ok]))
         if found:
             p, q = (np.concatenate([f[k] for f in found]) for k in (0, 1))
@@ -252,8 +275,10 @@ def verified(docs: DataFrame, pairs: DataFrame, bits: int = 64) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold. Only documents of the bit map of the pairs' ids send their sets.
 
     bits = 16: the sets hashed into 65536 groups, sent as the sorted groups. The summed minima of those counts bound the
-    overlap almost exactly and are a quarter of the size.
+    overlap almost exactly and are less than a quarter of the size.
     """
+    import zstandard
+
     kind = np.uint64 if bits == 64 else np.uint16
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(id_map(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"))
@@ -269,20 +294,26 @@ def verified(docs: DataFrame, pairs: DataFrame, bits: int = 64) -> DataFrame:
                     doc = np.repeat(np.arange(j - i), np.diff(at))
                     h = (h & np.uint64(0xFFFF)).astype(np.uint16)
                     h = h[np.lexsort((h, doc))]
+                    first = at[:-1][at[1:] > at[:-1]]
+                    lead = h[first]
+                    h[1:] -= h[:-1].copy()  # sorted groups as differences, which pack well
+                    h[first] = lead
                 raw, w = h.tobytes(), bits // 8
-                yield _batch(id=b.column(0)[i:j], s=pa.array([raw[w * at[k] : w * at[k + 1]] for k in range(j - i)], pa.binary()))
+                out = [raw[w * at[k] : w * at[k + 1]] for k in range(j - i)]
+                yield _batch(id=b.column(0)[i:j], s=pa.array([zstandard.compress(x, 1) for x in out] if bits == 16 else out, pa.binary()), t=b.column(3)[i:j])
 
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = own.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(IDBITS)).alias("bit")).mapInArrow(sets, "id long, s binary").dropDuplicates(["id"])
-    own = saved(own)
+    own = own.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(IDBITS)).alias("bit"), F.xxhash64("text").alias("t")).mapInArrow(sets, "id long, s binary, t long")
+    own = saved(own.groupBy("id").agg(F.min_by("s", "t").alias("s")))
 
     def check(batches):
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
                 if bits == 16:
-                    x, y = _counted(x), _counted(y)
+                    x, y = (_counted(np.cumsum(np.frombuffer(zstandard.decompress(s.as_buffer()), kind), dtype=kind)) for s in (x, y))
+                else:
+                    x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
@@ -290,43 +321,64 @@ def verified(docs: DataFrame, pairs: DataFrame, bits: int = 64) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     two = pairs.join(own.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return two.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    out = saved(two.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
+    forget(own)
+    return out
 
 
-def near_duplicate_components(docs: DataFrame) -> DataFrame:
+def near_duplicate_components(docs: DataFrame, hubs: bool = True, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest document with the same set)."""
     spark = docs.sparkSession
     both = saved(prints_and_counts(docs))
-    prints = both.where("k is null").select("doc_id", "n", "f1", "f2")
     often = spark.sparkContext.broadcast(frequent_buckets(both.where("k is not null").select("k", "counts")))
-    classes = prints.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
-    members = saved(prints.join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", "f1", F.coalesce("class_id", "doc_id").alias("class_id")))
+    prints = both.where("k is null").select("doc_id", "n", "f1", "f2")
+    classes = saved(prints.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("_class"), F.count("*").alias("c")).where("c > 1"))
+    members = lookup(prints, classes, ["n", "f1", "f2"], ["_class"], "c", classes.agg(F.sum("c")).first()[0] or 0)
+    members = saved(members.select("doc_id", "n", "f1", F.coalesce("_class", "doc_id").alias("class_id")))
+    forget(both, classes)
     heads = members.where("n > 0 and doc_id = class_id").select("doc_id", "f1").distinct()
     sig = saved(signatures(docs, often))
+    links = _hub_links(docs, sig.select("doc_id", "f1", "bands"), heads) if hubs else None
+
+    comps = heads.withColumn("comp", F.col("doc_id"))
+    if hubs:
+        first = components(links)
+        comps = heads.join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "f1", F.coalesce("component", "doc_id").alias("comp"))
+    comps = saved(comps)
+    pairs = saved(list_pairs(list_rows(sig, comps, leaf)).distinct())
+    forget(sig, comps)
+    near = verified(docs, pairs, 16)
+    more = verified(docs, near)
+    forget(pairs, near)
+
+    final = components(links.unionByName(more) if hubs else more).select(F.col("node").alias("class_id"), "component")
+    out = members.join(final, "class_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
+
+
+def _hub_links(docs: DataFrame, sig: DataFrame, heads: DataFrame) -> DataFrame:
+    """Verified links of documents with the smallest document of each of their bands."""
+    rows = sig.select("doc_id", "f1", F.posexplode("bands").alias("band", "key")).join(heads, ["doc_id", "f1"], "left_semi").select("doc_id", "band", "key")
+    hub = saved(rows.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("c > 1"))
+    stars = lookup(rows, hub, ["band", "key"], ["hub"], "c", hub.agg(F.sum("c")).first()[0] or 0)
+    stars = saved(stars.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+    forget(hub)
+    links = verified(docs, stars)
+    forget(stars)
+    return links
 
-    # hubs by min-hash bands
-    rows = sig.select("doc_id", "f1", F.posexplode("bands").alias("band", "key")).join(heads, ["doc_id", "f1"], "left_semi")
-    hubs = rows.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    stars = saved(rows.join(hubs, ["band", "key"]).where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = saved(verified(docs, stars))
-    first = components(links)
 
-    # exact search between the components that are left
-    comps = saved(heads.join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "f1", F.coalesce("component", "doc_id").alias("comp")))
+def list_rows(sig: DataFrame, comps: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """The rows of all lists with two components or more, sorted by list (and by part of a long one)."""
+    spark = sig.sparkSession
     lists = sig.select("doc_id", "f1", "n", "prefix", "v").join(comps, ["doc_id", "f1"])
-    open_ = saved(postings.extremes(lists.select(F.col("comp").alias("owner"), F.col("prefix").alias("key"))).select("key", F.ceil(F.col("n") / LEAF).cast("int").alias("leaves")))
+    open_ = saved(postings.extremes(lists.select(F.col("comp").alias("owner"), F.col("prefix").alias("key"))).select("key", F.ceil(F.col("n") / leaf).cast("int").alias("leaves")))
     bits = spark.sparkContext.broadcast(postings.bit_map(open_, "key", KEYBITS))
     rows = postings.spread(lists.withColumnRenamed("doc_id", "doc").withColumnRenamed("prefix", "key"), bits, ["doc", "n", "comp", "v"], ["key"], "doc long, n long, comp long, v binary, place long, key long").join(open_, "key")
-    rows = rows.withColumn("leaf", F.pmod(F.xxhash64("doc"), F.col("leaves")).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("leaves")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
-    rows = rows.select("key", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), (F.col("leaf") > F.col("other")).cast("int").alias("side"), "doc", "n", "comp", "place", "v")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = saved(list_pairs(rows).distinct())
-    more = saved(verified(docs, saved(verified(docs, pairs, 16))))
-
-    final = components(links.unionByName(more)).select(F.col("node").alias("class_id"), "component")
-    out = members.join(final, "class_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
+    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "doc", "n", "comp", "place", "v")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import crc_of_id, saved, small_batches, table
+from .common import crc_of_id, saved, settings, table
 from .quality_rules import CLASS, base_counts
 
 FEATURES, GAMMA, RIDGE, BINS, SAMPLE = 256, 0.5, 1e-3, 512, 200_000
@@ -192,5 +192,5 @@ def filter_by(docs: DataFrame, scores, keep) -> DataFrame:
             for i, j, data, off in tv.documents(batch.column(at)):
                 yield batch.slice(i, j - i).filter(pa.array(keep(scores(data, off))))
 
-    small_batches(docs.sparkSession)
+    settings(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from packetlake.llm import bpe, html_extract, ngram_join, packing, quality_classifier, quality_rules, sharding, substring_dedup, textvec, toxicity, vector_dedup
 
@@ -77,15 +78,39 @@ def test_ngram_join_empty(spark):
     assert ngram_join.near_duplicate_components(frame(spark, ["a"]).where("false")).count() == 0
 
 
-def test_rtree_bound_loses_nothing():
+def test_trees_alone_find_the_same(spark, corpus):
+    """Without hubs, and with long lists cut into parts, the trees find every link."""
+    sizes, comps = brute_components(corpus)
+    docs = frame(spark, corpus)
+    for hubs, leaf in ((False, 4096), (False, 20), (True, 20)):
+        got = {r.doc_id: r.component_id for r in ngram_join.near_duplicate_components(docs, hubs=hubs, leaf=leaf).collect()}
+        assert [got[k] for k in range(len(corpus))] == comps, (hubs, leaf)
+
+
+def test_trees_make_the_candidates_of_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    both = ngram_join.prints_and_counts(docs)
+    often = spark.sparkContext.broadcast(ngram_join.frequent_buckets(both.where("k is not null").select("k", "counts")))
+    heads = both.where("k is null and n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "f1", F.col("doc_id").alias("comp"))
+    pairs = ngram_join.list_pairs(ngram_join.list_rows(ngram_join.signatures(docs, often), heads)).distinct()
+    with_hubs = ngram_join.near_duplicate_components(docs).where("class_id <> component_id").count()
+    assert pairs.count() >= with_hubs > 0
+
+
+def test_tree_bounds_lose_nothing():
     r = np.random.default_rng(3)
     vec = r.poisson(3, (300, 16))
     vec[100:200] = vec[:100] + r.integers(0, 2, (100, 16))
-    n = vec.sum(1)
-    tree = ngram_join.RTree(n, vec)
-    got = {(min(p, q), max(p, q)) for p, q in zip(*tree.join(tree)) if p != q}
-    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if ngram_join.may_link(n[i], n[j], np.minimum(vec[i], vec[j]).sum())}
-    assert want <= got
+    vec[200:210] = vec[200]
+    n, comp, group = vec.sum(1), np.arange(300), np.repeat([0, 1, 2, 3], [1, 9, 199, 91])
+    trees = ngram_join.RTrees(group, n, n, comp, vec)
+    found = list(zip(*trees.join(trees)))
+    got = {(min(p, q), max(p, q)) for p, q in found}
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if group[i] == group[j] and ngram_join.may_link(n[i], n[j], np.minimum(vec[i], vec[j]).sum())}
+    assert len(found) == len(got) and got == want
+    two = ngram_join.RTrees(group[150:], n[150:], n[150:], comp[150:], vec[150:])
+    one = ngram_join.RTrees(group[:150], n[:150], n[:150], comp[:150], vec[:150])
+    assert {(p, q + 150) for p, q in zip(*one.join(two))} == {(i, j) for i, j in want if i < 150 <= j}
 
 
 def test_repeated_passages_are_all_found(spark, corpus):
