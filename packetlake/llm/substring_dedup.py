@@ -6,15 +6,20 @@ all of them that lie in [l, r] and contain c, where the minimum is. Two texts th
 the same minimum whose intervals meet. The windows of a pair are joined as intervals, those that enough hashes support
 are verified on the words, and passages of at least 50 words with a similarity of 0.75 or more come out.
 
-Windows of one minimum are linked to the window of the smallest and of the largest doc_id that has it, not with each
-other, so a passage in many documents costs as many rows as it has windows. Those two may
-hold it in another context, so each run of 46 shingles around a shared minimum is a key too (in the first hash function,
-as every run has a minimum there), and is linked to the smallest doc_id that has this run: every 50 words that stand in
-two documents are found.
+Windows of one minimum are linked to hubs, not with each other, so a passage in many documents costs as many rows as it
+has windows. A window's hubs are the smallest and the largest doc_id that has the minimum and, as those may hold it in
+another context, the smallest doc_id that has the minimum together with the same smallest shingle of another hash
+function among the SIDE ones on its left, or on its right. Besides, each run of 46 shingles around a shared minimum is a
+key too (in the first hash function, as every run has a minimum there), and is linked to the smallest doc_id that has this
+run: every 50 words that stand in two documents are found.
+
+Only the parts of two texts that a passage around the seeds can reach are sent to be verified. Intermediate tables are
+deleted when they are no longer read.
 
 Edge cases: null and empty texts and texts under 50 words have no passage; equal texts are one class, and each copy is a
-repeat of the class's smallest doc_id, whole; a doc_id on several rows counts once (the cut applies to all its rows); rows
-without doc_id are left alone; an empty table gives an empty result; extra columns are kept by `remove_repeats`.
+repeat of the class's smallest doc_id, whole; a doc_id on several rows counts once: of different texts, that of the
+smallest hash is searched and cut, and the rows of the others are left alone; rows without doc_id are left alone; an empty
+table gives an empty result; extra columns are kept by `remove_repeats`, whatever their names.
 """
 
 from bisect import bisect_right
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import postings
 from . import textvec as tv
-from .common import saved, table
+from .common import forget, lookup, saved, table
 from .ngram_join import IDBITS, id_map
 
 WIDTH, WORDS, HASHES, SUPPORT, PERCENT = 5, 50, 4, 2, 75
@@ -36,8 +41,8 @@ LEAST = WORDS - WIDTH + 1
 KEYBITS = 1 << 25
 #: Hash function of a seed that is an equal run of LEAST shingles and needs no support.
 RUN = -1
-#: Unmatched shingles that a passage may hold between two matched ones.
-GAP = 12
+#: Unmatched shingles that a passage may hold between two matched ones; shingles on each side of a minimum that make its context.
+GAP, SIDE = 12, 24
 
 
 def sequence(data: np.ndarray, offsets: np.ndarray):
@@ -76,8 +81,18 @@ def run_hashes(h: np.ndarray, n: int = LEAST) -> np.ndarray:
     return out
 
 
+def contexts(v: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """The smallest of the SIDE values left of each place, and of those right of it, as 32 bits (0: there is none)."""
+    out = []
+    for steps in (np.arange(-SIDE, 0), np.arange(1, SIDE + 1)):
+        at = c[:, None] + steps
+        low = np.where((at >= 0) & (at < len(v)), v[np.clip(at, 0, len(v) - 1)], np.uint64(2**64 - 1)).min(1)
+        out.append(np.where(low == np.uint64(2**64 - 1), 0, (low >> np.uint64(32)).astype(np.uint32).view(np.int32)).astype(np.int32))
+    return out
+
+
 def windows(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, g1, g2 (a hash of the word sequence) and the windows: keys, f, l, c, r arrays."""
+    """doc_id, t (hash of the text), n_words, g1, g2 (a hash of the word sequence) and the windows: arrays of key, f, l, c, r and x, y (contexts)."""
 
     def run(batches):
         for b in batches:
@@ -94,17 +109,19 @@ def windows(docs: DataFrame) -> DataFrame:
                             v = mixed[f][s:e]
                             w = np.array(compact_windows(v), np.int32)
                             keys.append(v[w[:, 1]])
-                            spans.append(np.column_stack([np.full(len(w), f, np.int32), w]))
+                            spans.append(np.column_stack([np.full(len(w), f, np.int32), w, *contexts(mixed[(f + 1) % HASHES][s:e], w[:, 1])]))
                             number[d + 1] += len(w)
                 o = pa.array(np.cumsum(number), pa.int32())
                 k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-                s = np.concatenate(spans) if spans else np.zeros((0, 4), np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[i:j], pa.array(np.diff(woff), pa.int64()), pa.array(g[0]), pa.array(g[1]), pa.ListArray.from_arrays(o, pa.array(k.view(np.int64))), *(pa.ListArray.from_arrays(o, pa.array(np.ascontiguousarray(s[:, q]))) for q in range(4))],
-                    names=["doc_id", "n_words", "g1", "g2", "key", "f", "l", "c", "r"],
-                )
+                s = np.concatenate(spans) if spans else np.zeros((0, 6), np.int32)
+                lists = [pa.ListArray.from_arrays(o, pa.array(k.view(np.int64))), *(pa.ListArray.from_arrays(o, pa.array(np.ascontiguousarray(s[:, q]))) for q in range(6))]
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(2)[i:j], pa.array(np.diff(woff), pa.int64()), pa.array(g[0]), pa.array(g[1]), *lists], names=["doc_id", "t", "n_words", "g1", "g2", "key", *WINDOW])
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t"))
+    return rows.mapInArrow(run, "doc_id long, t long, n_words long, g1 long, g2 long, key array<long>, " + ", ".join(f"{x} array<int>" for x in WINDOW))
+
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, g1 long, g2 long, key array<long>, f array<int>, l array<int>, c array<int>, r array<int>")
+WINDOW = ("f", "l", "c", "r", "x", "y")
 
 
 def run_links(docs: DataFrame, own: DataFrame, keys: DataFrame) -> DataFrame:
@@ -136,31 +153,53 @@ def run_links(docs: DataFrame, own: DataFrame, keys: DataFrame) -> DataFrame:
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(IDBITS)).alias("bit"))
     runs = saved(texts.mapInArrow(run, "owner long, key array<long>, place array<int>"))
-    ends = saved(postings.extremes(runs, ("place",)).select("key", "lo_owner", "lo_place"))
+    ends = saved(postings.extremes(runs, ("place",)).select("key", "n", "lo_owner", "lo_place"))
     two = own.sparkSession.sparkContext.broadcast(postings.bit_map(ends, "key", KEYBITS))
-    rows = postings.spread(runs.withColumnRenamed("place", "x"), two, ["owner"], ["key", "x"], "owner long, place long, key long, x int")
-    links = rows.join(ends, "key").where("owner > lo_owner")
+    rows = postings.spread(runs.withColumnRenamed("place", "x"), two, ["owner"], ["key", "x"], "owner long, place long, key long, x int").drop("place")
+    links = lookup(rows, ends, ["key"], ["lo_owner", "lo_place"], "n", ends.agg(F.sum("n")).first()[0] or 0).where("owner > lo_owner")
     # one seed for the runs of a stretch: they stand on one diagonal, and fewer than LEAST places apart
     links = links.select(F.col("lo_owner").alias("a"), F.col("owner").alias("b"), F.col("lo_place").cast("int").alias("p"), "x").groupBy("a", "b", (F.col("x") - F.col("p")).alias("diagonal"), F.floor(F.col("x") / LEAST).alias("part")).agg(F.min("x").alias("lx"), F.max("x").alias("rx"))
     spot = [F.lit(RUN).alias("f")]
     for n, shift in (("a", F.col("diagonal")), ("b", F.lit(0))):
         spot += [(F.col("lx") - shift).cast("int").alias("l" + n), (F.col("lx") - shift).cast("int").alias("c" + n), (F.col("rx") - shift + LEAST - 1).cast("int").alias("r" + n)]
-    return links.select("a", "b", F.struct(*spot).alias("seed"))
+    out = saved(links.select("a", "b", F.struct(*spot).alias("seed")))
+    forget(runs, ends)
+    return out
+
+
+def _seed(x: str, y: str):
+    """The seed of a's window, whose columns begin with x, and b's, whose columns begin with y."""
+    return F.struct("f", *[F.col(p + n).cast("int").alias(n + o) for p, o in ((x, "a"), (y, "b")) for n in "lcr"]).alias("seed")
 
 
-def candidates(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """a, b (a < b) and seeds: an array of (f, la, ca, ra, lb, cb, rb) of windows with one minimum in both."""
-    own = own.withColumnRenamed("doc_id", "owner")
+def candidates(docs: DataFrame, own: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """a, b (a < b) and seeds: an array of (f, la, ca, ra, lb, cb, rb) of windows with one minimum in both; and the tables it reads."""
+    own = own.select(F.col("doc_id").alias("owner"), "key", *WINDOW)
     ends = saved(postings.extremes(own, ("f", "l", "c", "r")))
     bits = own.sparkSession.sparkContext.broadcast(postings.bit_map(ends, "key", KEYBITS))
-    rows = postings.spread(own, bits, ["owner"], ["key", "f", "l", "c", "r"], "owner long, place long, key long, f int, l int, c int, r int")
-    both = rows.join(ends, "key").where("owner > lo_owner")
+    rows = postings.spread(own, bits, ["owner"], ["key", *WINDOW], "owner long, place long, key long, " + ", ".join(f"{x} int" for x in WINDOW)).drop("place")
+    hubs = ["lo_owner", "lo_l", "lo_c", "lo_r", "hi_owner", "hi_l", "hi_c", "hi_r", "n"]
+    both = saved(lookup(rows, ends, ["key"], hubs, "n", ends.agg(F.sum("n")).first()[0] or 0).where("lo_owner is not null"))
     # the window's own seed with the first owner, and with the last one
-    seed = lambda x, y: F.struct("f", *[F.col(p + n).cast("int").alias(n + o) for p, o in ((x, "a"), (y, "b")) for n in "lcr"])
-    links = F.array(F.struct(F.col("lo_owner").alias("a"), F.col("owner").alias("b"), seed("lo_", "").alias("seed")), F.when(F.col("owner") < F.col("hi_owner"), F.struct(F.col("owner").alias("a"), F.col("hi_owner").alias("b"), seed("", "hi_").alias("seed"))))
+    links = F.array(
+        F.when(F.col("owner") > F.col("lo_owner"), F.struct(F.col("lo_owner").alias("a"), F.col("owner").alias("b"), _seed("lo_", ""))),
+        F.when(F.col("owner").between(F.col("lo_owner") + 1, F.col("hi_owner") - 1), F.struct(F.col("owner").alias("a"), F.col("hi_owner").alias("b"), _seed("", "hi_"))),
+    )
     pairs = both.select(F.explode(links).alias("x")).where("x is not null").select("x.*")
-    pairs = pairs.unionByName(run_links(docs, own, saved(ends.where("lo_f = 0").select("key"))))
-    return pairs.groupBy("a", "b").agg(F.collect_list("seed").alias("seeds"))  # at most the windows of one document
+    near = _context_links(both)
+    runs = run_links(docs, own, saved(ends.where("lo_f = 0").select("key")))
+    pairs = pairs.unionByName(near).unionByName(runs)
+    return pairs.groupBy("a", "b").agg(F.collect_set("seed").alias("seeds")), [ends, both, runs]  # at most the windows of one document
+
+
+def _context_links(both: DataFrame) -> DataFrame:
+    """a, b, seed: each window of a minimum that three windows or more have, with the smallest doc_id that has it in the same context."""
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(x).alias("ctx")) for k, x in enumerate("xy")])
+    rows = both.where("n > 2").select("key", "owner", "lo_owner", "f", "l", "c", "r", F.explode(sides).alias("s")).select("*", "s.side", "s.ctx").where("ctx <> 0").drop("s")
+    first = saved(rows.groupBy("key", "side", "ctx").agg(F.min(F.struct("owner", "l", "c", "r")).alias("hub"), F.max("owner").alias("last"), F.count("*").alias("m")).where("last > hub.owner and m > 1").drop("last"))
+    found = lookup(rows, first, ["key", "side", "ctx"], ["hub"], "m", first.agg(F.sum("m")).first()[0] or 0).where("owner > hub.owner and hub.owner <> lo_owner")
+    found = found.select(F.col("hub.owner").alias("a"), F.col("owner").alias("b"), "f", "l", "c", "r", *[F.col("hub")[x].alias("hub_" + x) for x in "lcr"])
+    return found.select("a", "b", _seed("hub_", ""))
 
 
 def supported(seeds: np.ndarray, support: int = SUPPORT) -> list[tuple]:
@@ -304,51 +343,75 @@ def _grown(ha, hb, ca, cb):
     return out
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id, dup_of, start_word, end_word, dup_start_word of the passages of b that repeat one of a."""
-    held = docs.sparkSession.sparkContext.broadcast(id_map(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"))
+def verified(docs: DataFrame, regions: DataFrame) -> DataFrame:
+    """doc_id, dup_of, start_word, end_word, dup_start_word, text_hash of the passages of b that repeat one of a.
+
+    regions: a, b, la, na, lb, nb (first shingle and number of shingles of the parts to compare) and the seeds' places.
+    Only those parts are sent.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(id_map(regions.select(F.explode(F.array("a", "b")).alias("id")), "id"))
 
     def hashes(batches):
         for b in batches:
-            bit = b.column(2).to_numpy()
-            b = b.filter(pa.array(((held.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1).astype(bool)))
+            b = b.filter(pa.array(postings.held(held.value, b.column(2).to_numpy())))
             for i, j, data, off in tv.documents(b.column(1)):
                 h, at, _, _ = sequence(data, off)
                 raw = h.astype(np.uint32).tobytes()  # runs of 46 or more equal 32-bit hashes are equal words
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array([raw[4 * at[k] : 4 * at[k + 1]] for k in range(j - i)], pa.binary())], names=["id", "h"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array([raw[4 * at[k] : 4 * at[k + 1]] for k in range(j - i)], pa.binary()), b.column(3)[i:j]], names=["id", "h", "t"])
 
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = saved(own.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(IDBITS)).alias("bit")).mapInArrow(hashes, "id long, h binary").dropDuplicates(["id"]))
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    own = own.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(IDBITS)).alias("bit"), "t").mapInArrow(hashes, "id long, h binary, t long")
+    own = saved(own.groupBy("id").agg(F.min_by("h", "t").alias("h"), F.min("t").alias("t")))
 
     def check(batches):
         for batch in batches:
             out = []
-            for a, b, regions, ha, hb in zip(*(batch.column(c) for c in ("a", "b", "regions", "ha", "hb"))):
+            for a, b, la, lb, ca, cb, ha, hb, t in zip(*(batch.column(c) for c in ("a", "b", "la", "lb", "ca", "cb", "ha", "hb", "t"))):
                 ha, hb = np.frombuffer(ha.as_buffer(), np.uint32), np.frombuffer(hb.as_buffer(), np.uint32)
-                for g in regions.as_py():
-                    out += [(b.as_py(), a.as_py(), p, q + WIDTH, x) for p, q, x in passages(ha, hb, tuple(g.values()))]
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "dup_of", "start_word", "end_word", "dup_start_word"])
+                la, lb = la.as_py(), lb.as_py()
+                ca, cb = ca.values.to_numpy() - la, cb.values.to_numpy() - lb
+                here = (ca < len(ha)) & (cb < len(hb))  # a seed of another text under the same doc_id may lie outside
+                if here.any():
+                    region = (0, len(ha) - 1, 0, len(hb) - 1, ca[here].tolist(), cb[here].tolist())
+                    out += [(b.as_py(), a.as_py(), lb + p, lb + q + WIDTH, la + x, t.as_py()) for p, q, x in passages(ha, hb, region)]
+            cols = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "dup_of", "start_word", "end_word", "dup_start_word", "text_hash"])
+
+    part = lambda k: F.substr("h", (F.col("l" + k) * 4 + 1).cast("int"), (F.col("n" + k) * 4).cast("int")).alias("h" + k)
+    names = ["b", "la", "lb", "nb", "ca", "cb"]
+    two = regions.join(own.select(F.col("id").alias("a"), "h"), "a").select("a", *names, part("a"))
+    two = two.join(own.select(F.col("id").alias("b"), "h", "t"), "b").select("a", *names, "ha", part("b"), "t")
+    out = saved(two.mapInArrow(check, "doc_id long, dup_of long, start_word long, end_word long, dup_start_word long, text_hash long"))
+    forget(own)
+    return out
+
 
-    two = pairs.join(own.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(own.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
-    return two.select("a", "b", "regions", "ha", "hb").mapInArrow(check, "doc_id long, dup_of long, start_word long, end_word long, dup_start_word long")
+def reach(region: tuple) -> tuple[int, int, int, int]:
+    """First shingle and number of shingles of a and of b that a passage in the region can hold.
+
+    A passage holds a seed, and one of two similar passages has at most 100 / PERCENT times the shingles of the other.
+    """
+    la, ra, lb, rb, ca, cb = region
+    wide_a, wide_b = (100 * (r - l + 1) // PERCENT + WIDTH for l, r in ((la, ra), (lb, rb)))
+    la, ra = max(la, min(ca) - wide_b), min(ra, max(ca) + wide_b)
+    lb, rb = max(lb, min(cb) - wide_a), min(rb, max(cb) + wide_a)
+    return la, ra - la + 1, lb, rb - lb + 1
 
 
 def interval_join(found: DataFrame) -> DataFrame:
-    """a, b, regions of the pairs that enough hash functions support."""
+    """a, b, la, na, lb, nb, ca, cb: the regions that enough hash functions support in each pair."""
+    names = ("a", "b", "la", "na", "lb", "nb", "ca", "cb")
 
     def run(batches):
         for batch in batches:
-            a, b, regions = [], [], []
+            rows = []
             for x, y, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                f = s.values.flatten()
-                g = supported(np.stack([c.to_numpy() for c in f], 1).astype(np.int64))
-                if g:
-                    a.append(x), b.append(y), regions.append([dict(zip(("la", "ra", "lb", "rb", "ca", "cb"), r)) for r in g])
-            kind = pa.list_(pa.struct([*((n, pa.int64()) for n in ("la", "ra", "lb", "rb")), ("ca", pa.list_(pa.int64())), ("cb", pa.list_(pa.int64()))]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(regions, kind)], names=["a", "b", "regions"])
+                seeds = np.stack([c.to_numpy() for c in s.values.flatten()], 1).astype(np.int64)
+                rows += [(x, y, *reach(g), g[4], g[5]) for g in supported(seeds)]
+            cols = list(zip(*rows)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64()) if n in ("ca", "cb") else pa.int64()) for n, c in zip(names, cols)], names=names)
 
-    return found.mapInArrow(run, "a long, b long, regions array<struct<la:long,ra:long,lb:long,rb:long,ca:array<long>,cb:array<long>>>")
+    return found.mapInArrow(run, "a long, b long, la long, na long, lb long, nb long, ca array<long>, cb array<long>")
 
 
 def _without_copies(own: DataFrame, copies: DataFrame) -> DataFrame:
@@ -363,21 +426,35 @@ def _without_copies(own: DataFrame, copies: DataFrame) -> DataFrame:
     return marked.where("not _maybe").drop("_maybe").unionByName(marked.where("_maybe").drop("_maybe").join(copies.select("doc_id"), "doc_id", "left_anti"))
 
 
+def _one_text_each(own: DataFrame) -> DataFrame:
+    """own without the rows of a doc_id whose text has not the smallest hash among those of its rows."""
+    other = saved(own.groupBy("doc_id").agg(F.min("t").alias("first"), F.max("t").alias("last")).where("first <> last").select("doc_id", "first"))
+    if other.isEmpty():
+        return own
+    return own.join(other, "doc_id", "left").where("first is null or t = first").drop("first")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, dup_of, start_word, end_word (exclusive), n_words, dup_start_word: passages of doc_id that also stand in dup_of < doc_id."""
-    own = saved(windows(docs))
-    classes = own.where(F.col("n_words") >= WORDS).groupBy("n_words", "g1", "g2").agg(F.min("doc_id").alias("head"), F.count("*").alias("c"))
-    copies = own.select("doc_id", "n_words", "g1", "g2").join(classes.where("c > 1"), ["n_words", "g1", "g2"]).where("doc_id <> head")
-    copies = saved(copies.select("doc_id", F.col("head").alias("dup_of"), F.lit(0).cast("long").alias("start_word"), F.col("n_words").alias("end_word"), F.lit(0).cast("long").alias("dup_start_word")).distinct())
+    """doc_id, dup_of, start_word, end_word (exclusive), n_words, dup_start_word, text_hash: passages of doc_id that also stand in dup_of < doc_id."""
+    raw = saved(windows(docs))
+    own = _one_text_each(raw)
+    names = ["doc_id", "t", "n_words", "g1", "g2"]
+    classes = saved(own.where(F.col("n_words") >= WORDS).groupBy("n_words", "g1", "g2").agg(F.min("doc_id").alias("head"), F.count("*").alias("c")).where("c > 1"))
+    copies = lookup(own.select(*names), classes, ["n_words", "g1", "g2"], ["head"], "c", classes.agg(F.sum("c")).first()[0] or 0).where("doc_id <> head")
+    zero = F.lit(0).cast("long")
+    copies = saved(copies.select("doc_id", F.col("head").alias("dup_of"), zero.alias("start_word"), F.col("n_words").alias("end_word"), zero.alias("dup_start_word"), F.col("t").alias("text_hash")).distinct())
     heads = _without_copies(own, copies)
-    pairs = saved(interval_join(candidates(docs, heads)))
-    out = copies.unionByName(verified(docs, pairs))
-    return out.distinct().select("doc_id", "dup_of", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "dup_start_word")
+    found, read = candidates(docs, heads)
+    regions = saved(interval_join(found))
+    forget(raw, classes, *read)
+    out = copies.unionByName(verified(docs, regions))
+    forget(regions)
+    return out.distinct().select("doc_id", "dup_of", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "dup_start_word", "text_hash")
 
 
 def remove_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with the passages cut out of their texts (n_chars follows where there is one); rows without a passage stay as they are."""
-    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start_word", "end_word"))).alias("_spans"))  # within one document
+    spans = found.groupBy(F.col("doc_id").alias("_id_"), F.col("text_hash").alias("_t_")).agg(F.array_sort(F.collect_set(F.struct("start_word", "end_word"))).alias("_spans_"))  # within one document
     names = docs.columns
 
     def run(batches):
@@ -391,7 +468,8 @@ def remove_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
                 cols[count] = pa.array([len(t) if s and t is not None else n for t, s, n in zip(texts, spans, cols[count].to_pylist())], cols[count].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.join(spans, "doc_id", "left").select(*names, "_spans").mapInArrow(run, docs.schema)
+    joined = docs.join(spans, (F.col("doc_id").cast("long") == spans["_id_"]) & (F.xxhash64("text") == spans["_t_"]), "left")
+    return joined.select(*[docs[n] for n in names], spans["_spans_"]).mapInArrow(run, docs.schema)
 
 
 def _without(text: str | None, spans) -> str | None:

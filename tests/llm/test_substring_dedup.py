@@ -114,3 +114,47 @@ def test_near_copies_with_clauses_and_other_words_are_whole():
             lost[name] = lost.get(name, 0) + 1
     print("lost", lost)
     assert not lost
+
+
+def test_near_passages_are_found_between_first_and_last_documents_with_scraps_of_them(spark):
+    """Passages of 60 to 100 words with one or two other words, whose shingles also stand alone in other documents."""
+    rng = np.random.default_rng(8)
+    first, middle, last = [], [], []
+    for k in range(60):
+        p = words(rng, 60 + k % 41, "p")
+        q = list(p)
+        for at in rng.choice(np.arange(5, len(p) - 5), 1 + k % 2, replace=False):
+            q[at] = words(rng, 1, "c")[0]
+        middle += [words(rng, 70, "m") + x + words(rng, 70, "m") for x in (p, q)]
+        scraps = [x[s : s + 7] for x in (p, q) for s in range(0, len(p) - 7, 7)]
+        for ends in (first, last):
+            ends.append(words(rng, 20, "s") + [w for s in scraps for w in s + words(rng, 20, "s")])
+    texts = first + middle + last
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {(f.dup_of, f.doc_id): f for f in sd.repeated_passages(docs).collect()}
+    pairs = [(60 + 2 * k, 61 + 2 * k) for k in range(60)]
+    alike = []
+    for k, pair in enumerate(pairs):
+        x, y = (set(hashes(texts[d][70:-70]).tolist()) for d in pair)
+        alike.append(100 * len(x & y) >= 75 * len(x | y))
+    got = [pair in found for pair, ok in zip(pairs, alike) if ok]
+    print("near passages found", sum(got), "of", len(got))
+    assert sum(got) >= 0.95 * len(got) and len(got) > 40
+    assert set(found) <= set(pairs)
+
+
+def test_several_texts_of_one_document(spark):
+    rng = np.random.default_rng(9)
+    p = words(rng, 80, "p")
+    rows = [(1, " ".join(p)), (2, " ".join(words(rng, 30, "a") + p)), (2, "short text"), (2, " ".join(words(rng, 30, "a") + p)), (3, None), (None, " ".join(p))]
+    docs = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, _spans string, start_word int")
+    out = sd.remove_repeats(docs, sd.repeated_passages(docs)).collect()
+    assert len(out) == len(rows) and out[0].asDict().keys() == {"doc_id", "text", "_spans", "start_word"}
+    assert sorted(r.text or "" for r in out if r.doc_id not in (2,)) == sorted([rows[0][1], "", rows[5][1]])
+    assert {"short text"} <= {r.text for r in out if r.doc_id == 2}
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string").where("false")
+    found = sd.repeated_passages(docs)
+    assert found.count() == 0 and sd.remove_repeats(docs, found).count() == 0
