@@ -39,9 +39,9 @@ BANDS, ROWS = 8, 3
 #: Buckets of the frequency table that only decides the order of shingles, and of the bit map of candidate documents.
 BUCKETS, CHUNK, IDBITS = 1 << 21, 1 << 16, 1 << 22
 #: Bits of the map of keys with more than one component; coordinates of the vectors that the lists carry.
-KEYBITS, COARSE = 1 << 25, 64
+KEYBITS, COARSE = 1 << 25, 256
 #: Documents in one part of a long list; children of a tree node; rows whose trees are joined together; pairs of nodes at once.
-LEAF, FAN, ROWS_AT_ONCE, PAIRS = 4096, 8, 16_384, 100_000
+LEAF, FAN, ROWS_AT_ONCE, PAIRS = 4096, 8, 16_384, 20_000
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -93,8 +93,30 @@ def frequent_buckets(counted: DataFrame) -> np.ndarray:
     return out
 
 
+def packed(v: np.ndarray) -> list[bytes]:
+    """Rows of COARSE counts as bytes: two to a byte where none is over 15, else one a byte, 255 for all from there on."""
+    low = v.max(1, initial=0) < 16
+    half = (v[:, ::2] | v[:, 1::2] << 4).astype(np.uint8)
+    full = np.minimum(v, 255).astype(np.uint8)
+    return [half[k].tobytes() if low[k] else full[k].tobytes() for k in range(len(v))]
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """The counts again; 255 stands for no bound rather than a wrong one."""
+    out = np.empty((len(rows), COARSE), np.int32)
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    for width in (COARSE // 2, COARSE):
+        k = np.flatnonzero(size == width)
+        x = np.frombuffer(b"".join([rows[i] for i in k]), np.uint8).reshape(-1, width)
+        if width == COARSE:
+            out[k] = np.where(x == 255, 1 << 20, x)
+        else:
+            out[k, ::2], out[k, 1::2] = x & 15, x >> 4
+    return out
+
+
 def signatures(docs: DataFrame, frequent) -> DataFrame:
-    """doc_id, n, f1, bands, prefix and v (the count vector: COARSE 16-bit numbers) of each non-empty document."""
+    """doc_id, n, f1, bands, prefix and v (the packed count vector) of each non-empty document."""
 
     def run(batches):
         often = np.unpackbits(frequent.value).astype(np.uint64)
@@ -115,13 +137,12 @@ def signatures(docs: DataFrame, frequent) -> DataFrame:
                 chosen = order[take]
                 poff = np.concatenate([[0], np.cumsum(np.bincount(doc[take], minlength=j - i))])[np.append(full, j - i)]
                 v = np.bincount(doc * COARSE + ((h >> np.uint64(40)) % np.uint64(COARSE)).astype(np.int64), minlength=(j - i) * COARSE).reshape(-1, COARSE)[full]
-                v[n[full] > 65535] = 65535  # no bound for the longest texts rather than a wrong one
                 yield _batch(
                     doc_id=b.column(0)[i:j].take(pa.array(full)), n=pa.array(n[full], pa.int64()),
                     f1=pa.array(tv.reduce_by(tv.mix(h, 1), at).view(np.int64)[full]),
                     bands=pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * BANDS, pa.int32()), pa.array(bands.ravel())),
                     prefix=pa.ListArray.from_arrays(pa.array(poff, pa.int32()), pa.array((h[chosen] >> np.uint64(32)).astype(np.uint32).view(np.int32))),
-                    v=pa.array([x.tobytes() for x in np.minimum(v, 65535).astype("<u2")], pa.binary()),
+                    v=pa.array(packed(v), pa.binary()),
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, bands array<long>, prefix array<int>, v binary")
@@ -236,7 +257,7 @@ def list_pairs(rows: DataFrame) -> DataFrame:
         at = np.flatnonzero(own)  # lists of two components
         if not len(at):
             return
-        vec = np.frombuffer(b"".join(t.column("v").take(pa.array(at)).to_pylist()), "<u2").reshape(len(at), COARSE).astype(np.int32)
+        vec = unpacked(t.column("v").take(pa.array(at)).to_pylist())
         found = []
         for kinds in ((-1,), (0, 1)):
             sides = [np.flatnonzero((i[at] == j[at]) if k < 0 else (i[at] != j[at]) & (side[at] == k)) for k in kinds]
