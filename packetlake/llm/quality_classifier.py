@@ -14,12 +14,29 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import crc_of_id, saved, settings, table
-from .quality_rules import CLASS, base_counts
+from .quality_rules import base_counts
 
 FEATURES, GAMMA, RIDGE, BINS, SAMPLE = 256, 0.5, 1e-3, 512, 200_000
 STATS = 15
 
 
+def _classes() -> np.ndarray:
+    """Byte -> class 1..63."""
+    c = np.zeros(256, np.int64)
+    c[:] = 63  # control
+    c[ord("a") : ord("z") + 1] = np.arange(1, 27)
+    c[ord("A") : ord("Z") + 1] = np.arange(27, 53)
+    c[tv.SPACE] = 54
+    c[32], c[48:58] = 53, 55
+    for k, chars in ((56, ".,;:!?"), (57, "\"'()-"), (58, "#*$%&|<>"), (59, "/\\_@=+~^`[]{}")):
+        c[[ord(x) for x in chars]] = k
+    c[128:192], c[192:224], c[224:256] = 60, 61, 62
+    return c
+
+
+CLASS = _classes()
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """STATS numbers of about unit scale for each document."""
     c = base_counts(data, offsets)

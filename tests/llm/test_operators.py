@@ -269,6 +269,28 @@ def test_plan_places_every_item():
     assert len(room) <= sum(k * v for k, v in counts.items()) / 2048 * 1.02 + 1
 
 
+def test_shards_follow_the_metadata(spark):
+    r = np.random.default_rng(4)
+    rows = [(k, sentence(r, int(r.integers(20, 60))), f"l{k % 8}", f"s{k % 3}") for k in range(1600)]
+    rows += [(2000 + k, "same text", f"l{k % 8}", f"s{k % 5}") for k in range(60)] + [(None, None, None, None), (5, "", "l1", None)] * 2
+    docs = spark.createDataFrame([(*x, 1, "x") for x in rows], "doc_id long, text string, lang string, source string, shard int, slot string")
+    got = sharding.kd_shards(docs).collect()
+    assert len(got) == len(rows)
+    size = defaultdict(int)
+    for x in got:
+        size[x.shard] += x.size
+    assert len(size) == 8 and max(size.values()) <= 1.02 * min(size.values())
+    of = {x.doc_id: x.shard for x in got}
+    assert len({of[2000 + k] for k in range(60)}) == 1
+    spread = defaultdict(set)
+    for k, _, lang, source in rows[:1600]:
+        spread[lang, source].add(of[k])
+    print(sum(len(v) for v in spread.values()))
+    assert sum(len(v) for v in spread.values()) <= 120  # of 192, which a hash would make of 24 pairs
+    for s in range(8):
+        assert sorted(x.slot for x in got if x.shard == s) == list(range(sum(x.shard == s for x in got)))
+
+
 def test_shards(spark, corpus):
     got = sharding.kd_shards(frame(spark, corpus * 8)).collect()
     by = defaultdict(list)
@@ -299,12 +321,17 @@ def test_quality_counts(spark, corpus):
 
 
 def test_kneser_ney_sums_to_one(spark):
-    docs = frame(spark, ["the cat sat on the mat", "the dog sat on the log"] * 3).withColumn("lang", __import__("pyspark").sql.functions.lit("en"))
-    model = quality_rules.Model(quality_rules.kneser_ney(quality_rules.count_ngrams(docs)).toArrow())
-    look = model.by["en"][2]
-    seen = quality_rules.ngram_keys(np.frombuffer(b"the ", np.uint8), np.array([0, 4]))[-1] >> quality_rules.BITS
-    total = look(np.array([(int(seen) << quality_rules.BITS) | c for c in range(64)])).sum()
-    assert total == pytest.approx(1, abs=1e-6)
+    docs = frame(spark, ["the cat sat on the mat", "the dog sat on the log", "a cat on a mat"] * 3).withColumn("lang", F.lit("en"))
+    counts = quality_rules.count_ngrams(quality_rules._folds(docs).withColumn("fold", F.lit(0)))
+    kinds = quality_rules.kinds_of(np.frombuffer(b"the ", np.uint8), np.array([0, 4]))
+    seen = int(quality_rules.ngram_keys(*kinds)[-1]) & 0xFFFFFFFF
+    ask = np.array([seen << 8 | c for c in range(256)])
+    for rare in (quality_rules.RARE, 40):  # with and without n-grams left to the lower orders
+        table = quality_rules.kneser_ney(counts, rare=rare).toArrow()
+        model = quality_rules.Model(table)
+        look = next(iter(model.by.values()))
+        assert look(ask).sum() == pytest.approx(1, abs=1e-4)
+    assert table.num_rows < quality_rules.kneser_ney(counts).count()
 
 
 def test_word_hashes_do_not_depend_on_place():
@@ -315,3 +342,25 @@ def test_word_hashes_do_not_depend_on_place():
     h = textvec.word_hashes(data, s, e)
     assert w.tolist() == [0, 2, 2, 4, 4] and h[0] == h[3] and h[1] == h[2] and h[0] != h[1]
     assert hashlib.md5(h.tobytes()).hexdigest() == hashlib.md5(textvec.word_hashes(data, s, e).tobytes()).hexdigest()
+
+
+def test_quality_rules_reject_junk_of_every_script(spark):
+    """Random letters of a language's own script are rejected by perplexity, its texts are kept."""
+    r = np.random.default_rng(12)
+    rows, junk = [], set()
+    for lang, letters in (("en", "abcdefghijklmnopqrstuvwxyz"), ("ru", "абвгдежзиклмнопрстуфхцчшщыэюя"), ("el", "αβγδεζηθικλμνξοπρστυφχψω"), ("ja", "あいうえおかきくけこさしすせそたちつてとなにぬねの")):
+        syllables = ["".join(r.choice(list(letters), 2)) for _ in range(40)]
+        for k in range(210):
+            bad = k % 30 == 7
+            word = (lambda: "".join(r.choice(list(letters), int(r.integers(2, 9))))) if bad else (lambda: "".join(r.choice(syllables, int(r.integers(1, 4)))))
+            rows.append((len(rows), " ".join(word() for _ in range(int(r.integers(40, 200)))), lang, "x"))
+            junk |= {len(rows) - 1} if bad else set()
+    rows += [(9000, None, "en", "x"), (9001, "", None, "x"), (9002, "one word", "xx", "x"), (9003, rows[0][1], "en", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string")
+    for most in (quality_rules.MODEL_ROWS, 1):
+        got = {x.doc_id: x for x in quality_rules.quality_rules(docs, most=most).collect()}
+        assert len(got) == len(rows) and not any(got[k].base_failed for k in range(840))
+        assert not any(got[k].kept for k in junk)
+        assert sum(got[k].kept for k in range(840) if k not in junk) >= 0.98 * (840 - len(junk))
+        assert [got[k].kept for k in (9000, 9001, 9002)] == [False] * 3 and got[9003].log_perplexity == pytest.approx(got[0].log_perplexity)
+    assert quality_rules.quality_rules(docs.where("false")).count() == 0
