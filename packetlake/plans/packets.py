@@ -63,9 +63,16 @@ ORACLE = "packets as (" + _TEMPLATE.format(events="events cross join (select unn
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pkt_id, ts_ms, ts, the address, port, protocol, DNS and size fields, and a text payload."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    text = _TEMPLATE.format(events="{events}", div="div", text="string")
-    made = spark.sql(text, events=events)
-    # a generator keeps later filters from being rewritten in terms of the long expressions above
-    made = made.select(F.explode(F.array(F.struct(*made.columns))).alias("p")).select("p.*")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    cores = spark.sparkContext.defaultParallelism
+    if len(events.inputFiles()) < cores:  # a few files of one row group each would leave cores idle
+        events = events.repartition(cores)
+    events = events.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    scened, fields = _TEMPLATE.split("), fields as (")
+    made = spark.sql(scened.format(events="{events}", div="div", text="string") + ") select pkt_id, event_id, u, h, ts_ms, k, j, scn from scened", events=events)
+    # a generator keeps later filters from being rewritten in terms of the scene's long case; the fields come after it and are pruned
+    made = made.select(F.explode(F.array(F.struct("pkt_id", "event_id", "u", "h", "ts_ms", "k", "j", "scn"))).alias("p")).select("p.*")
+    derived = scened[scened.index("concat('192.168.1.'") : scened.index("  from timed")]
+    text = f"with scened as (select *, {derived} from {{rows}}), fields as ({fields}"
+    made = spark.sql(text.format(rows="{rows}", text="string"), rows=made)
     return made.withColumn("ts", F.timestamp_millis("ts_ms"))
