@@ -2,29 +2,20 @@
 
 import functools
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from packetlake import config as c
 from packetlake.functions import net
+from packetlake.operators.stored import stored
+from packetlake.operators.windows import distinct_in_window, previous, running_total, sliding
 
 ALERT = ("rule_id", "severity", "category", "ts_ms", "pkt_id", "src_ip", "dst_ip", "dst_port", "evidence")
 
 
-def sliding(df: DataFrame, keys: list[str], width: int, **columns) -> DataFrame:
-    """Add columns computed over the key's rows of the last `width` milliseconds, the current one included.
-
-    columns: name -> function of a window. Time is cut into blocks of that width, and each row also goes to the next
-    block as context, so a frame never leaves its (key, block) and one key's history is spread over many tasks.
-    """
-    block = F.floor(F.col("ts_ms") / width)
-    doubled = df.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_block", F.when(F.col("_own"), block).otherwise(block + 1))
-    w = W.partitionBy(*keys, "_block").orderBy("ts_ms").rangeBetween(-(width - 1), 0)
-    return doubled.withColumns({name: f(w) for name, f in columns.items()}).where("_own").drop("_own", "_block")
-
-
 def evidence(**values: Column) -> Column:
     return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))])
 
@@ -59,11 +50,14 @@ def bad_port(packets: DataFrame, cfg: c.Config = c.DEFAULT) -> DataFrame:
     return alerts(packets.where(F.col("dst_port").isin(*c.BAD_PORTS)), "BAD-PORT", "HIGH", "Suspicious Port", port=F.col("dst_port"), label=F.coalesce(names[F.col("dst_port")], F.lit("Unknown")))
 
 
+def _scan_rows(packets: DataFrame) -> DataFrame:
+    return packets.where(~F.col("src_port").isin(*c.SERVICE_PORTS) & (F.col("dst_port") > 0))
+
+
 def port_scan(packets: DataFrame, cfg: c.Config = c.DEFAULT) -> DataFrame:
-    rows = packets.where(~F.col("src_port").isin(*c.SERVICE_PORTS) & (F.col("dst_port") > 0))
-    rows = sliding(rows, ["src_ip"], cfg.scan_ms, _ports=lambda w: F.collect_set("dst_port").over(w), _targets=lambda w: F.collect_set("dst_ip").over(w))
-    rows = rows.withColumn("_n", F.size("_ports")).where((F.col("_n") >= cfg.scan_ports) & (F.array_min("_ports") < 1024))
-    return alerts(rows, "PORT-SCAN", "HIGH", "Reconnaissance", n_ports=F.col("_n"), ports=F.array_join(F.slice(F.array_sort("_ports"), 1, 50), ","), targets=F.array_join(F.slice(F.array_sort("_targets"), 1, 10), ","))
+    """The ports and targets themselves are added to the alerts that are let through, by `explained`."""
+    rows = distinct_in_window(_scan_rows(packets), ["src_ip"], "dst_port", cfg.scan_ms, _n=F.lit(True), _low=F.col("dst_port") < 1024)
+    return alerts(rows.where((F.col("_n") >= cfg.scan_ports) & (F.col("_low") > 0)), "PORT-SCAN", "HIGH", "Reconnaissance", n_ports=F.col("_n"))
 
 
 def _counted(rows, keys, width, threshold):
@@ -100,23 +94,52 @@ def bad_tld(packets: DataFrame, cfg: c.Config = c.DEFAULT, strict_suffix: bool =
 
 
 def dns_flood(packets: DataFrame, cfg: c.Config = c.DEFAULT) -> DataFrame:
-    rows = sliding(packets.where("dns_query <> ''"), ["src_ip"], cfg.flood_ms, _n=lambda w: F.count("*").over(w), _names=lambda w: F.collect_set("dns_query").over(w)).where(F.col("_n") > cfg.dns_flood)
-    return alerts(rows, "DNS-FLOOD", "MEDIUM", "Suspicious DNS", queries=F.col("_n"), distinct_domains=F.size("_names"), sample=F.array_join(F.slice(F.array_sort("_names"), 1, 20), ","))
+    rows = _counted(packets.where("dns_query <> ''"), ["src_ip"], cfg.flood_ms, lambda n: F.lit(True))
+    rows = distinct_in_window(rows, ["src_ip"], "dns_query", cfg.flood_ms, _names=F.lit(True)).where(F.col("_n") > cfg.dns_flood)
+    return alerts(rows, "DNS-FLOOD", "MEDIUM", "Suspicious DNS", queries=F.col("_n"), distinct_domains=F.col("_names"))
+
+
+def explained(found: DataFrame, packets: DataFrame, cfg: c.Config = c.DEFAULT) -> DataFrame:
+    """Alerts with the lists that belong to their evidence: ports and targets of a scan, sample names of a flood.
+
+    Meant for alerts that passed the cooldown: each asks only for its source's packets of its own window.
+    """
+    look = candidates(packets, cfg)
+    parts = (
+        ("PORT-SCAN", cfg.scan_ms, _scan_rows(look), {"ports": ("dst_port", 50), "targets": ("dst_ip", 10)}),
+        ("DNS-FLOOD", cfg.flood_ms, look.where("dns_query <> ''"), {"sample": ("dns_query", 20)}),
+    )
+    keys = ["rule_id", "src_ip", "ts_ms", "pkt_id"]
+    out = found
+    for rule, width, rows, lists in parts:
+        block = F.floor(F.col("ts_ms") / width)
+        asks = found.where(F.col("rule_id") == rule).select(*keys, F.explode(F.array(block, block - 1)).alias("_block"))
+        seen = rows.select(F.col("src_ip").alias("_src"), block.alias("_b"), F.col("ts_ms").alias("_t"), *{x for x, _ in lists.values()})
+        met = asks.join(seen, (F.col("src_ip") == F.col("_src")) & (F.col("_block") == F.col("_b")) & F.col("_t").between(F.col("ts_ms") - (width - 1), F.col("ts_ms")))
+        said = met.groupBy(*keys).agg(*[F.array_join(F.slice(F.array_sort(F.collect_set(x)), 1, n), ",").alias(name) for name, (x, n) in lists.items()])
+        more = F.map_from_arrays(F.array(*map(F.lit, lists)), F.array(*lists))
+        out = out.join(said.select(*keys, more.alias("_more")), keys, "left").withColumn("evidence", F.map_concat("evidence", F.coalesce("_more", F.create_map().cast("map<string,string>")))).drop("_more")
+    return out.select(*found.columns)
 
 
 def arp_spoof(packets: DataFrame) -> DataFrame:
-    w = W.partitionBy("src_ip").orderBy("ts_ms", "pkt_id")
-    rows = packets.where("protocol = 'ARP' and src_mac <> ''").withColumn("_old", F.lag("src_mac").over(w)).where("_old <> src_mac")
+    rows = previous(packets.where("protocol = 'ARP' and src_mac <> ''"), "src_ip", "src_mac", "_old").where("_old <> src_mac")
     return alerts(rows, "ARP-SPOOF", "CRITICAL", "Network Attack", old_mac=F.col("_old"), new_mac=F.col("src_mac"))
 
 
-def exfiltration(packets: DataFrame, cfg: c.Config = c.DEFAULT) -> DataFrame:
-    """A destination's running upload passes upload_mb, then twice that, and so on. Crossings come from the running total's level."""
-    total = F.sum("payload_size").over(W.partitionBy("dst_ip").orderBy("ts_ms", "pkt_id").rowsBetween(W.unboundedPreceding, 0))
-    rows = packets.where("payload_size > 0").withColumn("_mb", total / 1048576.0)
+def exfiltration(packets: DataFrame, cfg: c.Config = c.DEFAULT, learned_ips: DataFrame | None = None) -> DataFrame:
+    """A destination's running upload passes upload_mb, then twice that, and so on. Crossings come from the running total's level.
+
+    MEDIUM for learned destinations (ip), else HIGH.
+    """
+    rows = running_total(packets.where("payload_size > 0"), "dst_ip", "payload_size", "_total").withColumn("_mb", F.col("_total") / 1048576.0)
     level = lambda mb: F.when(mb > cfg.upload_mb, F.ceil(F.round(F.log2(mb / cfg.upload_mb), 12))).otherwise(0)
-    rows = rows.withColumn("_level", level(F.col("_mb"))).withColumn("_before", level(F.col("_mb") - F.col("payload_size") / 1048576.0))
-    return alerts(rows.where("_level > _before"), "DATA-EXFIL", "HIGH", "Exfiltration", total_mb=F.round("_mb", 2), threshold_mb=cfg.upload_mb * F.pow(F.lit(2.0), F.col("_level") - 1))
+    rows = rows.withColumn("_level", level(F.col("_mb"))).withColumn("_before", level(F.col("_mb") - F.col("payload_size") / 1048576.0)).where("_level > _before")
+    severity = F.lit("HIGH")
+    if learned_ips is not None:
+        rows = rows.join(learned_ips.select(F.col("ip").alias("dst_ip"), F.lit(True).alias("_known")), "dst_ip", "left")
+        severity = F.when(F.col("_known"), "MEDIUM").otherwise("HIGH")
+    return alerts(rows, "DATA-EXFIL", severity, "Exfiltration", total_mb=F.round("_mb", 2), threshold_mb=cfg.upload_mb * F.pow(F.lit(2.0), F.col("_level") - 1))
 
 
 def odd_hours(packets: DataFrame, cfg: c.Config = c.DEFAULT) -> DataFrame:
@@ -129,33 +152,47 @@ def odd_hours(packets: DataFrame, cfg: c.Config = c.DEFAULT) -> DataFrame:
 def cooldown(found: DataFrame, ms: int = c.DEFAULT.cooldown_ms) -> DataFrame:
     """Greedy de-duplication by (rule, source, destination): an alert within `ms` of the last one let through is dropped.
 
-    Which alert passes depends on the one before, so each key is folded in order; only the last passed time is held.
+    Which alert passes depends on the one before, so each key is walked in order, from one passing alert to the next by
+    binary search; only the last passed time is held.
     """
     keys = ["rule_id", "src_ip", "dst_ip"]
 
-    def fold(batches):
-        key, last = None, 0
-        for pdf in batches:
-            keep = []
-            for k, t in zip(zip(*(pdf[x].fillna("") for x in keys)), pdf["ts_ms"]):
-                ok = k != key or t - last >= ms
-                if ok:
-                    key, last = k, t
-                keep.append(ok)
-            out = pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
-            yield out
-
-    rows = found.withColumn("evidence", F.to_json("evidence"))
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "ts_ms", "pkt_id").mapInPandas(fold, rows.schema)
-    return rows.withColumn("evidence", F.from_json("evidence", "map<string,string>"))
+    def walk(batches):
+        at, last = None, 0
+        for b in batches:
+            if not len(b):
+                continue
+            cols, t = [pc.fill_null(b.column(k), "") for k in keys], b.column("ts_ms").to_numpy()
+            new = np.zeros(len(b), bool)
+            for x in cols:
+                new[1:] |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
+            new[0] = at != tuple(x[0].as_py() for x in cols)
+            first = np.flatnonzero(new)
+            keep = np.zeros(len(b), bool)
+            for s, e in zip([0, *first[first > 0]], [*first[first > 0], len(b)]):
+                k = s if new[s] else s + int(np.searchsorted(t[s:e], last + ms))
+                while k < e:
+                    keep[k], last = True, int(t[k])
+                    k += int(np.searchsorted(t[k:e], last + ms))
+            at = tuple(x[-1].as_py() for x in cols)
+            yield b.filter(pa.array(keep))
+
+    return found.repartition(*keys).sortWithinPartitions(*keys, "ts_ms", "pkt_id").mapInArrow(walk, found.schema)
 
 
 RULES = (bad_port, port_scan, brute_force, syn_flood, icmp_flood, dns_tunnel, bad_tld, dns_flood, arp_spoof, exfiltration, odd_hours)
 
 
+NEEDED = ("pkt_id", "ts_ms", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "flags", "dns_query", "payload_size", "src_mac")
+
+
 def run_rules(packets: DataFrame, cfg: c.Config = c.DEFAULT, extra: tuple = (), rules=RULES) -> DataFrame:
-    """Union of all rules before the cooldown. A custom rule is any function from packets to alerts."""
-    look = candidates(packets, cfg)
+    """Union of all rules before the cooldown. A custom rule is any function from packets to alerts.
+
+    What the rules look at is read once and stored without the columns that none of them needs; each rule then reads its
+    own columns and rows of that table.
+    """
+    look = stored(candidates(packets, cfg).select(*NEEDED))
     found = [r(look) if r is arp_spoof else r(look, cfg) for r in rules] + [r(packets) for r in extra]
     return functools.reduce(DataFrame.unionByName, found)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from packetlake import config as c
 from packetlake.functions import net
-from packetlake.operators.detect import sliding
+from packetlake.operators.windows import sliding
 
 
 def sides(packets: DataFrame) -> DataFrame:
