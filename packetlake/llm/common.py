@@ -58,14 +58,15 @@ def forget(*tables: DataFrame) -> None:
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], count: str, total: int) -> DataFrame:
     """left with `columns` of right, which has one row a key and in `count` how many rows of left have it (`total` in all, or fewer).
 
-    Keys of more than a thousandth of the rows are fewer than a thousand, so these are broadcast and no task meets a hot key.
+    Keys of more than a thousandth of the rows are fewer than a thousand, so these are broadcast; their rows are dealt by a
+    hash to as many tasks as such a share of rows fits into.
     """
     most = max(1000, total // 1000)
-    hot = F.broadcast(right.where(F.col(count) > most).select(*keys, F.struct(*columns).alias("_hot")))
-    both = left.join(hot, keys, "left")
-    rest = right.where(F.col(count) <= most).select(*keys, *columns)
-    near = both.where("_hot is not null").select(*left.columns, *[F.col("_hot")[c].alias(c) for c in columns])
-    return near.unionByName(both.where("_hot is null").select(*left.columns).join(rest, keys, "left").select(*left.columns, *columns))
+    parts = F.ceil(F.col(count) / most).cast("int")
+    hot = F.broadcast(right.where(F.col(count) > most).select(*keys, parts.alias("_parts")))
+    dealt = left.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    copies = right.select(*keys, *columns, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_salt"))
+    return dealt.join(copies, [*keys, "_salt"], "left").select(*left.columns, *columns)
 
 
 def crc_of_id(col: str = "doc_id"):

@@ -21,7 +21,7 @@ def _runs(key: np.ndarray):
 
 
 def extremes(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """key, n, lo_owner, hi_owner and lo_/hi_ of the extra columns, of the keys with two owners or more.
+    """key, n, lo_owner, hi_owner and lo_ of the extra columns, of the keys with two owners or more.
 
     rows: owner long, key array<int or long>, and for each extra column an array<int> of the same length.
     """
@@ -36,7 +36,7 @@ def extremes(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
         kind = np.int32 if small else np.int64
         raw = [np.array([len(key), int(two.sum()), small], np.int64), key.astype(np.int64), n.astype(np.int32), two.astype(np.uint8)]
         raw += [lo[0].astype(kind), hi[0][two].astype(kind)]
-        raw += [y for k in range(1, width) for y in (lo[k].astype(np.int32), hi[k][two].astype(np.int32))]
+        raw += [lo[k].astype(np.int32) for k in range(1, width)]
         return zstandard.compress(b"".join(x.tobytes() for x in raw), 1)
 
     def unblock(blob):
@@ -50,18 +50,17 @@ def extremes(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
             return x
 
         key, n, two = take(np.int64, m), take(np.int32, m), take(np.uint8, m).astype(bool)
-        cols = []
-        for k in range(width):
-            kind = (np.int32 if small else np.int64) if k == 0 else np.int32
-            lo, hi = take(kind, m), take(kind, t)
-            cols.append(np.concatenate([lo, hi]).astype(np.int64))
+        kind = np.int32 if small else np.int64
+        cols = [np.concatenate([take(kind, m), take(kind, t)]).astype(np.int64)]
+        for _ in range(1, width):  # of the last owner only the id is held
+            cols.append(np.concatenate([take(np.int32, m), np.zeros(t, np.int32)]).astype(np.int64))
         return np.concatenate([key, key[two]]), np.concatenate([n, np.zeros(t, np.int32)]), cols
 
     def combine(key, n, cols):
         order = np.lexsort((cols[0], key))
         key, n = key[order], n[order]
         first, last = _runs(key)
-        return key[first], np.add.reduceat(n, first) if len(first) else n, [c[order][first] for c in cols], [c[order][last] for c in cols]
+        return key[first], np.add.reduceat(n, first) if len(first) else n, [c[order][first] for c in cols], [cols[0][order][last]]
 
     def pack(batches):
         held, size = [], 0
@@ -75,7 +74,7 @@ def extremes(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
             first, last = _runs(p[order])
             out = [order[s : e + 1] for s, e in zip(first, last)]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(p[order][first].astype(np.int32)), pa.array([block(key[o], n[o], [c[o] for c in lo], [c[o] for c in hi]) for o in out], pa.binary())], names=["p", "block"])
+            return pa.RecordBatch.from_arrays([pa.array(p[order][first].astype(np.int32)), pa.array([block(key[o], n[o], [c[o] for c in lo], [hi[0][o]]) for o in out], pa.binary())], names=["p", "block"])
 
         for b in batches:
             count = b.column(1).value_lengths().fill_null(0).to_numpy()
@@ -97,9 +96,9 @@ def extremes(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
         two = np.flatnonzero(hi[0] > lo[0])
         for s in range(0, len(two), 100_000):
             t = two[s : s + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key[t]), pa.array(n[t].astype(np.int64)), *(pa.array(c[t].astype(np.int64)) for c in (*lo, *hi))], names=["key", "n", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(key[t]), pa.array(n[t].astype(np.int64)), *(pa.array(c[t].astype(np.int64)) for c in (*lo, hi[0]))], names=["key", "n", *names])
 
-    names = [f"{side}_{c}" for side in ("lo", "hi") for c in ("owner", *extra)]
+    names = [*(f"lo_{c}" for c in ("owner", *extra)), "hi_owner"]
     packed = rows.select("owner", "key", *extra).mapInArrow(pack, "p int, block binary")
     return packed.repartition(parts // 4, "p").mapInArrow(join, "key long, n long, " + ", ".join(f"{c} long" for c in names))
 

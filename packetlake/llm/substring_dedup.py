@@ -7,9 +7,9 @@ the same minimum whose intervals meet. The windows of a pair are joined as inter
 are verified on the words, and passages of at least 50 words with a similarity of 0.75 or more come out.
 
 Windows of one minimum are linked to hubs, not with each other, so a passage in many documents costs as many rows as it
-has windows. A window's hubs are the smallest and the largest doc_id that has the minimum and, as those may hold it in
-another context, the smallest doc_id that has the minimum together with the same smallest shingle of another hash
-function among the SIDE ones on its left, or on its right. Besides, each run of 46 shingles around a shared minimum is a
+has windows. A window's hubs are the smallest doc_id that has the minimum and, where that holds it in another context, the
+smallest doc_id that has the minimum together with the same smallest shingle of another hash function among the SIDE ones
+on its left, or on its right. Besides, each run of 46 shingles around a shared minimum is a
 key too (in the first hash function, as every run has a minimum there), and is linked to the smallest doc_id that has this
 run: every 50 words that stand in two documents are found.
 
@@ -81,13 +81,16 @@ def run_hashes(h: np.ndarray, n: int = LEAST) -> np.ndarray:
     return out
 
 
-def contexts(v: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    """The smallest of the SIDE values left of each place, and of those right of it, as 32 bits (0: there is none)."""
-    out = []
-    for steps in (np.arange(-SIDE, 0), np.arange(1, SIDE + 1)):
-        at = c[:, None] + steps
-        low = np.where((at >= 0) & (at < len(v)), v[np.clip(at, 0, len(v) - 1)], np.uint64(2**64 - 1)).min(1)
-        out.append(np.where(low == np.uint64(2**64 - 1), 0, (low >> np.uint64(32)).astype(np.uint32).view(np.int32)).astype(np.int32))
+def contexts(v: np.ndarray, c: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
+    """The smallest of the SIDE values left of each place, and of those right of it, in its document's [s, e), as 32 bits (0: there is none)."""
+    out, none = [], np.uint64(2**64 - 1)
+    for sign in (-1, 1):
+        low = np.full(len(c), none)
+        for step in range(1, SIDE + 1):
+            at = c + sign * step
+            ok = (at >= s) & (at < e)
+            low[ok] = np.minimum(low[ok], v[at[ok]])
+        out.append(np.where(low == none, 0, (low >> np.uint64(32)).astype(np.uint32).view(np.int32)).astype(np.int32))
     return out
 
 
@@ -100,7 +103,7 @@ def windows(docs: DataFrame) -> DataFrame:
                 h, at, words, woff = sequence(data, off)
                 place = np.arange(len(words)) - np.repeat(woff[:-1], np.diff(woff))
                 g = [tv.reduce_by(tv.mix(words + tv.mix(place.astype(np.uint64), s), s), woff).view(np.int64) for s in (3, 4)]
-                keys, spans, number = [], [], np.zeros(j - i + 1, np.int64)
+                keys, spans, home, number = [], [], [], np.zeros(j - i + 1, np.int64)
                 mixed = [tv.mix(h, 200 + f) for f in range(HASHES)]
                 for d in range(j - i):
                     s, e = at[d], at[d + 1]
@@ -109,11 +112,19 @@ def windows(docs: DataFrame) -> DataFrame:
                             v = mixed[f][s:e]
                             w = np.array(compact_windows(v), np.int32)
                             keys.append(v[w[:, 1]])
-                            spans.append(np.column_stack([np.full(len(w), f, np.int32), w, *contexts(mixed[(f + 1) % HASHES][s:e], w[:, 1])]))
+                            spans.append(np.column_stack([np.full(len(w), f, np.int32), w]))
+                            home.append(np.full(len(w), d))
                             number[d + 1] += len(w)
                 o = pa.array(np.cumsum(number), pa.int32())
                 k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-                s = np.concatenate(spans) if spans else np.zeros((0, 6), np.int32)
+                s = np.concatenate(spans) if spans else np.zeros((0, 4), np.int32)
+                d = np.concatenate(home) if home else np.zeros(0, np.int64)
+                near = np.zeros((len(s), 2), np.int32)
+                for f in range(HASHES):
+                    mine = np.flatnonzero(s[:, 0] == f)
+                    own = d[mine]
+                    near[mine, 0], near[mine, 1] = contexts(mixed[(f + 1) % HASHES], at[own] + s[mine, 2], at[own], at[own + 1])
+                s = np.hstack([s, near])
                 lists = [pa.ListArray.from_arrays(o, pa.array(k.view(np.int64))), *(pa.ListArray.from_arrays(o, pa.array(np.ascontiguousarray(s[:, q]))) for q in range(6))]
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(2)[i:j], pa.array(np.diff(woff), pa.int64()), pa.array(g[0]), pa.array(g[1]), *lists], names=["doc_id", "t", "n_words", "g1", "g2", "key", *WINDOW])
 
@@ -175,31 +186,28 @@ def _seed(x: str, y: str):
 def candidates(docs: DataFrame, own: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """a, b (a < b) and seeds: an array of (f, la, ca, ra, lb, cb, rb) of windows with one minimum in both; and the tables it reads."""
     own = own.select(F.col("doc_id").alias("owner"), "key", *WINDOW)
-    ends = saved(postings.extremes(own, ("f", "l", "c", "r")))
+    ends = saved(postings.extremes(own, WINDOW).drop("hi_owner"))
     bits = own.sparkSession.sparkContext.broadcast(postings.bit_map(ends, "key", KEYBITS))
     rows = postings.spread(own, bits, ["owner"], ["key", *WINDOW], "owner long, place long, key long, " + ", ".join(f"{x} int" for x in WINDOW)).drop("place")
-    hubs = ["lo_owner", "lo_l", "lo_c", "lo_r", "hi_owner", "hi_l", "hi_c", "hi_r", "n"]
-    both = saved(lookup(rows, ends, ["key"], hubs, "n", ends.agg(F.sum("n")).first()[0] or 0).where("lo_owner is not null"))
-    # the window's own seed with the first owner, and with the last one
-    links = F.array(
-        F.when(F.col("owner") > F.col("lo_owner"), F.struct(F.col("lo_owner").alias("a"), F.col("owner").alias("b"), _seed("lo_", ""))),
-        F.when(F.col("owner").between(F.col("lo_owner") + 1, F.col("hi_owner") - 1), F.struct(F.col("owner").alias("a"), F.col("hi_owner").alias("b"), _seed("", "hi_"))),
-    )
-    pairs = both.select(F.explode(links).alias("x")).where("x is not null").select("x.*")
-    near = _context_links(both)
+    first = ["n", *(f"lo_{x}" for x in ("owner", "l", "c", "r", "x", "y"))]
+    both = lookup(rows, ends, ["key"], first, "n", ends.agg(F.sum("n")).first()[0] or 0)
+    both = saved(both.where("owner > lo_owner or x <> lo_x or y <> lo_y"))
+    pairs = both.where("owner > lo_owner").select(F.col("lo_owner").alias("a"), F.col("owner").alias("b"), _seed("lo_", ""))
+    near, read = _context_links(both)
     runs = run_links(docs, own, saved(ends.where("lo_f = 0").select("key")))
     pairs = pairs.unionByName(near).unionByName(runs)
-    return pairs.groupBy("a", "b").agg(F.collect_set("seed").alias("seeds")), [ends, both, runs]  # at most the windows of one document
+    return pairs.groupBy("a", "b").agg(F.collect_set("seed").alias("seeds")), [ends, both, runs, read]  # at most the windows of one document
 
 
-def _context_links(both: DataFrame) -> DataFrame:
-    """a, b, seed: each window of a minimum that three windows or more have, with the smallest doc_id that has it in the same context."""
-    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(x).alias("ctx")) for k, x in enumerate("xy")])
-    rows = both.where("n > 2").select("key", "owner", "lo_owner", "f", "l", "c", "r", F.explode(sides).alias("s")).select("*", "s.side", "s.ctx").where("ctx <> 0").drop("s")
-    first = saved(rows.groupBy("key", "side", "ctx").agg(F.min(F.struct("owner", "l", "c", "r")).alias("hub"), F.max("owner").alias("last"), F.count("*").alias("m")).where("last > hub.owner and m > 1").drop("last"))
+def _context_links(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b, seed: each window whose context is not that of the minimum's first owner, with the smallest doc_id that has the minimum in the same context; and the table it reads."""
+    sides = F.array(*[F.when((F.col(x) != 0) & (F.col(x) != F.col("lo_" + x)), F.struct(F.lit(k).alias("side"), F.col(x).alias("ctx"))) for k, x in enumerate("xy")])
+    rows = both.where("n > 2").select("key", "owner", "lo_owner", "f", "l", "c", "r", F.explode(sides).alias("s")).where("s is not null").select("*", "s.side", "s.ctx").drop("s")
+    first = rows.groupBy("key", "side", "ctx").agg(F.min(F.struct("owner", "l", "c", "r")).alias("hub"), F.max("owner").alias("last"), F.count("*").alias("m"))
+    first = saved(first.where("last > hub.owner").drop("last"))
     found = lookup(rows, first, ["key", "side", "ctx"], ["hub"], "m", first.agg(F.sum("m")).first()[0] or 0).where("owner > hub.owner and hub.owner <> lo_owner")
     found = found.select(F.col("hub.owner").alias("a"), F.col("owner").alias("b"), "f", "l", "c", "r", *[F.col("hub")[x].alias("hub_" + x) for x in "lcr"])
-    return found.select("a", "b", _seed("hub_", ""))
+    return found.select("a", "b", _seed("hub_", "")), first
 
 
 def supported(seeds: np.ndarray, support: int = SUPPORT) -> list[tuple]:
