@@ -1,23 +1,50 @@
 """Findings in payload text: credentials, attack patterns, disclosures, sensitive numbers. Only masked values and hashes leave."""
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetlake.functions import net
 
-# Patterns of clear-text secrets by protocol. (name, ports (None: any), pattern, severity)
+# Ports of web servers, update services whose hashed log-ins are of low risk, services that send no agent.
+HTTP_PORTS = (80, 3000, 4200, 5000, 8000, 8008, 8080, 8081, 8888, 9090)
+SERVER_PORTS = (80, 443, 3000, 4200, 5000, 8000, 8008, 8080, 8081, 8443, 8888, 9090)
+DIGEST_SERVICES = ("update.eset.com", "eset.com", "update.nod32.com")
+TOKEN_SERVICES = ("update.eset.com", "eset.com")
+SILENT_SERVICES = ("update.eset.com", "eset.com", "windowsupdate.com", "update.microsoft.com", "ctldl.windowsupdate.com", "download.windowsupdate.com")
+BASIC = r"(?i)Authorization:\s*Basic\s+([A-Za-z0-9+/=]+)"
+# Clear-text secrets by protocol. (kind, protocol, field, ports (None: any), only as destination, pattern, letters shown (None: all))
 SECRETS = (
-    ("FTP_USER", (21,), r"(?i)USER\s+(\S+)", "MEDIUM"),
-    ("FTP_PASS", (21,), r"(?i)PASS\s+(\S+)", "CRITICAL"),
-    ("HTTP_BASIC", (80, 8080, 8000, 8008, 8888), r"(?i)Authorization:\s*Basic\s+([A-Za-z0-9+/=]+)", "CRITICAL"),
-    ("HTTP_API_KEY", (80, 8080, 8000, 8008, 8888), r"(?i)(?:x-api-key|api-key|apikey|x-auth-token|x-access-token):\s*(\S+)", "HIGH"),
-    ("POP3_PASS", (110,), r"(?i)PASS\s+(\S+)", "CRITICAL"),
-    ("IMAP_LOGIN", (143,), r'(?i)LOGIN\s+"?(\S+?)"?\s', "CRITICAL"),
-    ("TELNET_LOGIN", (23,), r"(?i)(?:login|username)[\s:]+(\S+)", "CRITICAL"),
-    ("REDIS_AUTH", (6379,), r"(?i)AUTH\s+(\S+)", "CRITICAL"),
-    ("IRC_PASS", (6667, 6668, 6669), r"(?i)PASS\s+(\S+)", "HIGH"),
-    ("PRIVATE_KEY", None, r"(-----BEGIN\s+(?:RSA\s+)?PRIVATE\s+KEY-----)", "CRITICAL"),
+    ("FTP_USER", "FTP", "username", (21,), False, r"(?i)USER\s+(\S+)", None),
+    ("FTP_PASS", "FTP", "password", (21,), False, r"(?i)PASS\s+(\S+)", 3),
+    ("HTTP_API_KEY", "API Key", "key", HTTP_PORTS, False, r"(?i)(?:x-api-key|api-key|apikey|x-auth-token|x-access-token):\s*(\S+)", 6),
+    ("HTTP_FORM", "HTTP Form", "password_field", HTTP_PORTS, False, r"(?i)(?:password|passwd|pass|pwd|secret|token|api_key|apikey|auth)\s*[=:]\s*([^\s&\r\n]{1,200})", 3),
+    ("TELNET_LOGIN", "Telnet", "username", (23,), False, r"(?i)(?:login|username)[\s:]+(\S+)", None),
+    ("TELNET_PASS", "Telnet", "password", (23,), False, r"(?i)(?:password|passwd)[\s:]+(\S+)", 3),
+    ("SMTP_AUTH", "SMTP", "auth_attempt", (25, 587), True, r"(?i)AUTH\s+(LOGIN|PLAIN)\s*.*", None),
+    ("POP3_USER", "POP3", "username", (110,), False, r"(?i)USER\s+(\S+)", None),
+    ("POP3_PASS", "POP3", "password", (110,), False, r"(?i)PASS\s+(\S+)", 3),
+    ("REDIS_AUTH", "Redis", "auth_password", (6379,), False, r"(?i)AUTH\s+(\S+)", 3),
+    ("MONGO_AUTH", "MongoDB", "auth_data", (27017,), False, r"""(?i)(?:authenticate|createUser|pwd)\s*[=:]\s*["']?(\S+)""", 3),
+    ("SIP_DIGEST", "SIP/VoIP", "digest_auth", (5060,), False, r"(?i)(?:Authorization|Proxy-Authorization):\s*Digest\s+(.+?)(?:\r?\n)", 20),
+    ("IRC_PASS", "IRC", "password", (6667, 6668, 6669), False, r"(?i)PASS\s+(\S+)", 3),
+)
+# What payloads show besides secrets. (type, ports (None: any), source ports, pattern, risk)
+EXPOSURES = (
+    ("VNC Session", (5900, 5901, 5800), (5900, 5901), r"RFB\s+\d+\.\d+", "CRITICAL"),
+    ("MQTT/IoT", (1883,), (), r"^\x10", "HIGH"),
+    ("rsync", (873,), (873,), r"(?i)@RSYNCD:", "HIGH"),
+    ("Elasticsearch", (9200,), (9200,), r"/_search|/_cat|/_cluster", "CRITICAL"),
+    ("Private Key", None, (), r"-----BEGIN\s+(?:RSA\s+)?PRIVATE\s+KEY-----", "CRITICAL"),
 )
+PRINTER_PORTS, PRINT_BYTES = (515, 631, 9100), 100
+# Parts of user agents of automation tools, in order, after those of attack tools.
+AUTOMATION_AGENTS = ("scrapy", "mechanize", "phantom", "headless", "selenium", "puppeteer", "playwright", "httpclient", "aiohttp", "httpx", "zgrab", "censys", "shodan", "crawler", "spider", "bot/")
+# Names near a number that speak against and for a card.
+BENIGN_CLUES = ("order_id", "transaction_id", "ref=", "tracking", "confirmation", '"id":', "product_id")
+CARD_CLUES = ("card_number", "cc_num", "cardnumber", "pan=", "credit_card", "payment_method", "cvv")
+CARD_FIELDS = ("card", "cc_num", "credit", "payment", "pan=", "cardnumber")
 # Request patterns in order; the first that fits names the attack.
 ATTACKS = (
     ("SQL Injection attempt", r"(?i)(?:union\+select|union%20select|select\+.*\+from|insert\+into|drop\+table|'%20or%20'1'='1|%27%20or)"),
@@ -39,15 +66,133 @@ ATTACK_AGENTS = (
 )
 
 
+FOUND_IN = ("pkt_id", "ts_ms", "src_ip", "dst_ip", "dst_port")
+
+
+def _on(ports, only_dst: bool) -> Column:
+    if ports is None:
+        return F.lit(True)
+    here = F.col("dst_port").isin(*ports)
+    return here if only_dst else here | F.col("src_port").isin(*ports)
+
+
+def _any(text: Column, parts) -> Column:
+    return functools.reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in parts])
+
+
+def _finding(kind, protocol, field, risk, shown: Column, value: Column, note: Column | None = None) -> Column:
+    as_lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(F.lit(kind).alias("kind"), as_lit(protocol).alias("protocol"), as_lit(field).alias("field"), as_lit(risk).alias("severity"), shown.alias("masked"), value.alias("value"), (F.lit("") if note is None else note).alias("note"))
+
+
+def _user_and_password(pair: Column) -> Column:
+    return F.concat(F.substring_index(pair, ":", 1), F.lit(":"), net.mask(F.expr("substring(_pair, locate(':', _pair) + 1)")))
+
+
 def secrets(packets: DataFrame, text: str = "payload") -> DataFrame:
-    """One row a finding: kind, severity, masked value and its hash; the value itself is not kept."""
+    """One row a finding: kind, protocol, field, severity, masked value, note (host and the like) and the value's hash; the value itself is not kept."""
+    t = F.col(text)
+    host = F.regexp_extract(t, r"(?i)Host:\s*(\S+)", 1)
     found = []
-    for kind, ports, pattern, severity in SECRETS:
-        value = F.regexp_extract(text, pattern, 1)
-        here = F.col("dst_port").isin(*ports) | F.col("src_port").isin(*ports) if ports else F.lit(True)
-        found.append(F.when(here & (value != ""), F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), value.alias("value"))))
-    rows = packets.where(F.length(text) > 0).select("pkt_id", "ts_ms", "src_ip", "dst_ip", "dst_port", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f"))
-    return rows.select("pkt_id", "ts_ms", "src_ip", "dst_ip", "dst_port", "f.kind", "f.severity", net.mask(F.col("f.value")).alias("masked"), F.sha2("f.value", 256).alias("fingerprint"))
+    for kind, protocol, field, ports, only_dst, pattern, show in SECRETS:
+        value = F.regexp_extract(t, pattern, 1)
+        note = F.concat_ws(" ", host, F.substring(F.regexp_extract(t, REQUEST, 2), 1, 100)) if kind == "HTTP_FORM" else None
+        found.append(F.when(_on(ports, only_dst) & (value != ""), _finding(kind, protocol, field, "CRITICAL", value if show is None else net.mask(value, show), value, note)))
+    # a user and password in base64, of web servers and of cameras
+    basic = F.col("_pair").isNotNull() & F.contains(F.col("_pair"), F.lit(":"))
+    for kind, protocol, ports in (("HTTP_BASIC", "HTTP Basic Auth", HTTP_PORTS), ("RTSP_BASIC", "RTSP/Camera", (554,))):
+        found.append(F.when(_on(ports, False) & basic, _finding(kind, protocol, "credentials", "CRITICAL", _user_and_password(F.col("_pair")), F.col("_pair"), host if kind == "HTTP_BASIC" else None)))
+    # hashed log-ins of web servers: of low risk where an update service asks for them
+    digest = F.regexp_extract(t, r"(?i)Authorization:\s*Digest\s+(.+?)(?:\r?\n)", 1)
+    part = lambda name, none: F.coalesce(F.expr(f"nullif({_part_sql(name)}, '')"), F.lit(none))
+    user, realm, uri = part("username", "?"), part("realm", "?"), part("uri", "?")
+    update = _any(F.lower(host), DIGEST_SERVICES)
+    raw = F.concat(F.lit("username="), user, F.lit(", realm="), realm, F.lit(", uri="), uri, F.lit(", nonce="), part("nonce", ""), F.lit(", response="), part("response", ""))
+    shown = F.when(update, F.concat(user, F.lit("@"), realm, F.lit(" via "), host, F.lit(" (hashed, not plaintext)"))).otherwise(F.concat(user, F.lit("@"), realm, F.lit(" (uri: "), uri, F.lit(")")))
+    protocol = F.when(update, "HTTP Digest Auth (Update Service)").otherwise("HTTP Digest Auth")
+    found.append(F.when(_on(HTTP_PORTS, False) & (digest != ""), _finding("HTTP_DIGEST", protocol, F.when(update, "digest_hash").otherwise("digest_credentials"), F.when(update, "LOW").otherwise("CRITICAL"), shown, raw, host)))
+    # other tokens of the same header
+    token = F.regexp_extract(t, r"(?i)Authorization:\s*(\S+\s+\S+)", 1)
+    update = _any(F.lower(host), TOKEN_SERVICES)
+    shown = F.concat(net.mask(token, 8), F.when(update, F.concat(F.lit(" via "), F.lower(host))).otherwise(""))
+    other = (token != "") & ~F.contains(token, F.lit("Basic")) & ~F.contains(token, F.lit("Digest"))
+    found.append(F.when(_on(HTTP_PORTS, False) & other, _finding("HTTP_TOKEN", F.when(update, "HTTP Auth Token (Update Service)").otherwise("HTTP Auth Token"), "token", F.when(update, "LOW").otherwise("CRITICAL"), shown, token, host)))
+    login = r'(?i)LOGIN\s+"?(\S+?)"?\s+"?(\S+?)"?(?:\s|$)'
+    imap = [F.regexp_extract(t, login, k) for k in (1, 2)]
+    found.append(F.when(_on((143,), True) & (imap[0] != ""), _finding("IMAP_LOGIN", "IMAP", "login", "CRITICAL", F.concat(imap[0], F.lit(":"), net.mask(imap[1])), F.concat_ws(":", *imap))))
+    low = F.lower(t)
+    community = F.when(F.contains(low, F.lit("public")), "public").when(F.contains(low, F.lit("private")), "private")
+    found.append(F.when(_on((161, 162), True) & community.isNotNull(), _finding("SNMP", "SNMP", "community_string", "CRITICAL", community, community)))
+    rows = packets.where(F.length(t) >= 4).withColumn("_pair", F.expr("cast(try_to_binary(nullif(regexp_extract(payload, '(?i)Authorization:\\\\s*Basic\\\\s+([A-Za-z0-9+/=]+)', 1), ''), 'base64') as string)".replace("payload", text)))
+    rows = rows.select(*FOUND_IN, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f"))
+    return rows.select(*FOUND_IN, "f.kind", "f.protocol", "f.field", "f.severity", "f.masked", "f.note", F.sha2("f.value", 256).alias("fingerprint"))
+
+
+REQUEST = r"(?i)^(GET|POST|PUT|DELETE|PATCH)\s+(\S+)\s+HTTP"
+
+
+def _part_sql(name: str, text: str = "payload") -> str:
+    return f"""regexp_extract({text}, '(?i){name}="([^"]+)"', 1)"""
+
+
+def exposures(packets: DataFrame, text: str = "payload") -> DataFrame:
+    """One row for each thing that a payload lays open besides secrets: type, risk and text."""
+    t = F.col(text)
+    found = [F.when((F.lit(True) if ports is None else F.col("dst_port").isin(*ports) | (F.col("src_port").isin(*back) if back else F.lit(False))) & t.rlike(pattern), F.struct(F.lit(kind).alias("type"), F.lit(risk).alias("risk"), F.lit("").alias("value"))) for kind, ports, back, pattern, risk in EXPOSURES]
+    printed = F.col("dst_port").isin(*PRINTER_PORTS) & (F.col("payload_size") > PRINT_BYTES)
+    found.append(F.when(printed, F.struct(F.lit("Network Printer").alias("type"), F.lit("MEDIUM").alias("risk"), F.col("payload_size").cast("string").alias("value"))))
+    commands = (t.startswith("*") & F.contains(t, F.lit("SET"))) | F.contains(t, F.lit("GET"))
+    found.append(F.when(_on((6379,), False) & commands & ~t.rlike(r"(?i)AUTH\s+(\S+)"), F.struct(F.lit("Redis No Auth").alias("type"), F.lit("CRITICAL").alias("risk"), F.lit("").alias("value"))))
+    outside = ~(F.col("dst_ip").startswith("192.168.") | F.col("dst_ip").startswith("10.") | F.col("dst_ip").startswith("172.") | (F.col("dst_ip") == "127.0.0.1"))
+    for header in ("Cookie", "Set-Cookie"):
+        cookie = F.regexp_extract(t, rf"(?i){header}:\s*(.+?)(?:\r?\n)", 1)
+        named = _any(F.lower(cookie), ("session", "auth", "token", "sid"))
+        found.append(F.when(_on(HTTP_PORTS, False) & outside & (cookie != "") & named, F.struct(F.lit("Session Cookie").alias("type"), F.lit("HIGH").alias("risk"), F.substring(cookie, 1, 80).alias("value"))))
+    rows = packets.where(F.length(t) >= 4).select(*FOUND_IN, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f"))
+    return rows.select(*FOUND_IN, "f.*")
+
+
+def heartbeats(packets: DataFrame, text: str = "payload") -> DataFrame:
+    """Devices that send their address and a token in clear: one row for each (mac, token), the first; `alert` for the first of each mac."""
+    pattern = r"(?i)([0-9a-f]{12})\s+(K\d+)\s+GETEIP\s+(\d+\.\d+\.\d+\.\d+)\s+([0-9a-f]{40})"
+    names = ("mac", "device", "wan_ip", "token")
+    rows = packets.where(F.col(text).rlike(pattern)).select(*FOUND_IN, *[F.regexp_extract(text, pattern, k + 1).alias(n) for k, n in enumerate(names)])
+    first = rows.groupBy("mac", "token").agg(F.min_by(F.struct(*FOUND_IN, "device", "wan_ip"), F.struct("ts_ms", "pkt_id")).alias("x"), F.count("*").alias("n"))
+    macs = rows.groupBy("mac").agg(F.min_by("pkt_id", F.struct("ts_ms", "pkt_id")).alias("_first"))
+    out = first.select("mac", F.concat(F.substring("token", 1, 12), F.lit("...")).alias("token"), F.sha2("token", 256).alias("fingerprint"), "n", "x.*").join(macs, "mac")
+    return out.withColumn("alert", F.col("pkt_id") == F.col("_first")).drop("_first")
+
+
+def form_context(packets: DataFrame, text: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """Methods that each (source, destination, port) used, and whether each (source, destination) posted fields that look like a card's."""
+    rows = packets.where(_on(HTTP_PORTS, False)).withColumn("method", F.upper(F.regexp_extract(text, REQUEST, 1))).where("method <> ''")
+    methods = rows.groupBy("src_ip", "dst_ip", "dst_port").agg(F.array_sort(F.collect_set("method")).alias("methods"))  # five at most
+    fields = rows.groupBy("src_ip", "dst_ip").agg(F.bool_or((F.col("method") == "POST") & _any(F.lower(F.col(text)), CARD_FIELDS)).alias("card_form"))
+    return methods, fields
+
+
+def in_context(found: DataFrame, packets: DataFrame, domains: DataFrame, known: DataFrame, text: str = "payload") -> DataFrame:
+    """Sensitive numbers (rows of `sensitive` with their packet's columns and payload) with a context score and its risk; those that score 0 or less are dropped.
+
+    domains: ip, domain pairs; known: names of large services. A number starts with 5 points; encrypted traffic to the same
+    address, web ports 80 and 443 side by side, known services behind it, an address inside and names of other numbers
+    speak against it, a posted form with a card's fields and a card's names for it.
+    """
+    tls = packets.where("is_encrypted").select(F.explode(F.array("src_ip", "dst_ip")).alias("dst_ip")).distinct().withColumn("_tls", F.lit(True))
+    two = packets.where("dst_port in (80, 443)").groupBy("dst_ip").agg((F.countDistinct("dst_port") == 2).alias("_two"))
+    services = domains.join(known, F.expr("endswith(domain, name)"), "left_semi").groupBy(F.col("ip").alias("dst_ip")).agg(F.countDistinct("domain").alias("_services"))
+    methods, fields = form_context(packets, text)
+    rows = found.join(tls, "dst_ip", "left").join(two, "dst_ip", "left").join(services, "dst_ip", "left").join(methods, ["src_ip", "dst_ip", "dst_port"], "left").join(fields, ["src_ip", "dst_ip"], "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    used = F.coalesce("methods", F.array().cast("array<string>"))
+    get_only = F.array_contains(used, "GET") & ~F.array_contains(used, "POST")
+    card = F.when(F.col("kind") != "CARD", 0).when(F.array_contains(used, "POST") & yes(F.col("card_form")), 3).when(get_only, -2).otherwise(0)
+    inside = F.col("dst_ip").startswith("192.168.") | F.col("dst_ip").startswith("10.") | F.col("dst_ip").startswith("172.") | (F.col("dst_ip") == "127.0.0.1")
+    low, n = F.lower(F.col(text)), F.coalesce("_services", F.lit(0))
+    score = 5 - F.when(yes(F.col("_tls")), 3).otherwise(0) - F.when(yes(F.col("_two")), 2).otherwise(0) - F.when(n > 0, 3 + 2 * n).otherwise(0) + card
+    score = score - F.when(inside, 2).otherwise(0) - F.when(_any(low, BENIGN_CLUES), 1).otherwise(0) + F.when(_any(low, CARD_CLUES), 2).otherwise(0)
+    risk = F.when(F.col("score") >= 5, "CRITICAL").when(F.col("score") >= 3, "HIGH").when(F.col("score") >= 1, "MEDIUM")
+    return rows.withColumn("score", score.cast("int")).withColumn("risk", risk).where("risk is not null").select(*found.columns, "score", "risk")
 
 
 def distinct_secrets(found: DataFrame) -> DataFrame:
@@ -61,18 +206,34 @@ def basic_user(header: Column) -> Column:
 
 def attacks(packets: DataFrame, text: str = "payload") -> DataFrame:
     """First attack pattern of a request's header region, once for each (source, destination, attack)."""
-    head = F.substring(text, 1, 2048)
+    head = F.col("head")
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(ATTACKS):
         kind = F.when(head.rlike(pattern), name).otherwise(kind)
-    rows = packets.where(F.length(text) > 0).withColumn("attack", kind).where("attack is not null")
+    # a generator, so that the text is read off once and not once a pattern
+    rows = packets.where(F.length(text) > 0).select("src_ip", "dst_ip", "ts_ms", "pkt_id", F.substring(text, 1, 2048).alias("head"))
+    rows = rows.select("*", F.explode(F.filter(F.array(kind), lambda x: x.isNotNull())).alias("attack"))
     return rows.groupBy("src_ip", "dst_ip", "attack").agg(F.min(F.struct("ts_ms", "pkt_id")).alias("x"), F.count("*").alias("n")).select("src_ip", "dst_ip", "attack", "n", F.col("x.pkt_id").alias("pkt_id"))
 
 
+def agents(packets: DataFrame, text: str = "payload") -> DataFrame:
+    """Requests with an attack tool's, an automation tool's, a very short or no user agent, once for each (source, signature)."""
+    t = F.col(text)
+    agent = F.trim(F.regexp_extract(t, r"(?i)User-Agent:[ \t]*([^\r\n]+)", 1))
+    first = lambda parts: F.get(F.filter(F.array(*map(F.lit, parts)), lambda x: F.contains(F.lower(agent), x)), F.lit(0))
+    has = t.rlike(r"(?i)User-Agent:[ \t]*[^\r\n]+")
+    silent = ~has & t.rlike(REQUEST) & ~_any(F.lower(F.regexp_extract(t, r"(?i)Host:\s*(\S+)", 1)), SILENT_SERVICES)
+    rows = packets.where(F.col("dst_port").isin(*HTTP_PORTS) & (F.length(t) >= 4)).withColumns({"_bad": F.when(has, first(ATTACK_AGENTS)), "_tool": F.when(has, first(AUTOMATION_AGENTS))})
+    short = has & (F.length(agent) < 5) & (agent != "")
+    kind = F.when(F.col("_bad").isNotNull(), F.struct(F.col("_bad").alias("signature"), F.lit("CRITICAL").alias("risk")))
+    kind = kind.when(F.col("_tool").isNotNull(), F.struct(F.col("_tool").alias("signature"), F.lit("HIGH").alias("risk")))
+    kind = kind.when(short, F.struct(F.lit("short_ua").alias("signature"), F.lit("MEDIUM").alias("risk"))).when(silent, F.struct(F.lit("no_ua").alias("signature"), F.lit("MEDIUM").alias("risk")))
+    rows = rows.withColumn("k", kind).where("k is not null").select("src_ip", "pkt_id", "k.*")
+    return rows.groupBy("src_ip", "signature", "risk").agg(F.count("*").alias("n"), F.min("pkt_id").alias("first_pkt"))
+
+
 def attack_agents(packets: DataFrame, text: str = "payload") -> DataFrame:
-    agent = F.lower(F.regexp_extract(text, r"(?i)User-Agent:[ \t]*([^\r\n]+)", 1))
-    first = F.get(F.filter(F.array(*[F.lit(x) for x in ATTACK_AGENTS]), lambda x: F.contains(agent, x)), F.lit(0))
-    return packets.where(F.length(text) > 0).withColumns({"agent": agent, "signature": first}).where("agent <> '' and signature is not null").groupBy("src_ip", "signature").agg(F.count("*").alias("n"), F.min("pkt_id").alias("first_pkt"))
+    return agents(packets, text).where("risk = 'CRITICAL'").select("src_ip", "signature", "n", "first_pkt")
 
 
 def disclosures(packets: DataFrame, text: str = "payload") -> DataFrame:
@@ -84,9 +245,31 @@ def disclosures(packets: DataFrame, text: str = "payload") -> DataFrame:
 
 
 def sensitive(packets: DataFrame, text: str = "payload") -> DataFrame:
-    """Card numbers that pass the check digit, and social security numbers, masked."""
+    """Card numbers that pass the check digit, and social security numbers, masked; answers of web servers are not looked at."""
     card = F.regexp_extract(text, r"(4\d{15}|5[1-5]\d{14}|3[47]\d{13}|6(?:011|5\d{2})\d{12})", 1)
     ssn = F.regexp_extract(text, r"\b(\d{3}-\d{2}-\d{4})\b", 1)
-    found = F.array(F.when((card != "") & net.luhn(F.when(card != "", card).otherwise("0")), F.struct(F.lit("CARD").alias("kind"), card.alias("value"))), F.when(ssn != "", F.struct(F.lit("SSN").alias("kind"), ssn.alias("value"))))
-    rows = packets.where(F.length(text) > 0).select("pkt_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f"))
-    return rows.select("pkt_id", "f.kind", net.mask(F.col("f.value")).alias("masked"))
+    found = F.array(
+        F.when((card != "") & net.luhn(F.when(card != "", card).otherwise("0")), F.struct(F.lit("CARD").alias("kind"), F.concat(F.lit("****"), F.right(card, F.lit(4))).alias("masked"))),
+        F.when(ssn != "", F.struct(F.lit("SSN").alias("kind"), F.concat(F.lit("***-**-"), F.right(ssn, F.lit(4))).alias("masked"))),
+    )
+    rows = packets.where((F.length(text) >= 4) & ~F.col("src_port").isin(*SERVER_PORTS)).select(*FOUND_IN, text, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f"))
+    return rows.select(*FOUND_IN, text, "f.kind", "f.masked")
+
+
+def finding_alerts(found: DataFrame, exposed: DataFrame) -> DataFrame:
+    """Alerts of findings: a secret once for each (protocol, source, destination, port), an exposure once for each (type, source, destination, port)."""
+    secret = found.select(*FOUND_IN, F.lit("CREDENTIAL").alias("rule_id"), "severity", F.lit("Credential Exposure").alias("category"), F.col("protocol").alias("what"))
+    open_ = exposed.select(*FOUND_IN, F.lit("SENSITIVE-DATA").alias("rule_id"), F.col("risk").alias("severity"), F.lit("Data Exposure").alias("category"), F.col("type").alias("what"))
+    keys = ["rule_id", "what", "src_ip", "dst_ip", "dst_port"]
+    first = secret.unionByName(open_).groupBy(*keys).agg(F.min_by(F.struct("ts_ms", "pkt_id", "severity", "category"), F.struct("ts_ms", "pkt_id")).alias("x"))
+    return first.select(*keys, "x.*")
+
+
+def insecure_traffic(packets: DataFrame, ports: tuple[int, ...], text: str = "payload") -> DataFrame:
+    """Timeline events of plain-text traffic: payload sizes over 5 on insecure ports of which no bytes were kept."""
+    return packets.where(F.col("dst_port").isin(*ports) & (F.col("payload_size") > 5) & (F.col(text) == "")).select(*FOUND_IN, F.lit("unencrypted").alias("event"))
+
+
+def timeline(*events: DataFrame) -> DataFrame:
+    """All events (ts_ms, event and the packet's columns) in order of time."""
+    return functools.reduce(DataFrame.unionByName, [e.select(*FOUND_IN, "event") for e in events]).orderBy("ts_ms", "pkt_id", "event")

@@ -57,10 +57,47 @@ select pkt_id, ts_ms, scn, h, src_ip, dst_ip, cast(40000 + h % 20000 as int) as
 from fields
 """
 
+#: Messages of many protocols, one a packet, by the packet's number; n is the line end.
+_MESSAGES = """
+select pkt_id, ts_ms, src_ip, case when h % 5 = 0 then concat('10.0.2.', cast(h % 9 as {text})) else dst_ip end as dst_ip, is_encrypted, h,
+  case when m = 29 and h % 11 = 0 then 80 else src_port end as src_port,
+  case m when 0 then 21 when 3 then 8080 when 5 then 8000 when 7 then 5000 when 9 then 23 when 10 then 23 when 11 then 25 when 12 then 110 when 13 then 110 when 14 then 143 when 15 then 161 when 16 then 6379
+    when 17 then 6379 when 18 then 27017 when 19 then 5900 when 20 then 5060 when 21 then 554 when 22 then 1883 when 23 then 873 when 24 then 6667 when 25 then 9200 when 26 then 631 when 27 then 7777 when 28 then 7000 else 80 end as dst_port,
+  case when m = 26 then h % 200 else h % 50 end as payload_size,
+  case m
+    when 0 then concat('USER anna', cast(h % 7 as {text}), n, 'PASS word', cast(h % 17 as {text}), n)
+    when 1 then concat('GET /x HTTP/1.1', n, 'Host: a.example', n, 'Authorization: Basic ', case when h % 2 = 0 then 'dXNlcjpwYXNzd29yZA==' else 'bm9jb2xvbg==' end, n)
+    when 2 then concat('GET /y HTTP/1.1', n, 'Host: cam', cast(h % 3 as {text}), '.example', n, 'Authorization: Digest username="u', cast(h % 5 as {text}), '", realm="r", uri="/y", nonce="n1", response="z9"', n)
+    when 3 then concat('GET /u HTTP/1.1', n, 'Host: update.eset.com', n, 'Authorization: Digest username="EAV', cast(h % 5 as {text}), '", uri="/u"', n)
+    when 4 then concat('GET /t HTTP/1.1', n, 'Host: api.example', n, 'Authorization: Bearer abcdefgh', cast(h % 19 as {text}), n)
+    when 5 then concat('GET /t HTTP/1.1', n, 'Host: Update.ESET.com', n, 'Authorization: Bearer xyz', cast(h % 19 as {text}), n)
+    when 6 then concat('GET /k HTTP/1.1', n, 'X-API-Key: key-', cast(h % 23 as {text}), n)
+    when 7 then concat('POST /login HTTP/1.1', n, 'Host: site', cast(h % 4 as {text}), '.example', n, n, 'user=a&password=pw', cast(h % 29 as {text}), '&x=1')
+    when 8 then concat('GET /c HTTP/1.1', n, case when h % 3 = 0 then 'Set-Cookie' else 'Cookie' end, ': ', case when h % 2 = 0 then 'SessionId=' else 'theme=' end, cast(h % 31 as {text}), n)
+    when 9 then concat('login: root', cast(h % 3 as {text})) when 10 then concat('Password: toor', cast(h % 3 as {text})) when 11 then 'auth PLAIN AGFiYw==' when 12 then concat('USER bob', cast(h % 3 as {text}))
+    when 13 then concat('pass bobs', cast(h % 3 as {text})) when 14 then concat('a1 LOGIN "user', cast(h % 3 as {text}), '" "secret', cast(h % 7 as {text}), '" ') when 15 then concat('0x30 ', case when h % 2 = 0 then 'Public' else 'priVate' end)
+    when 16 then concat('AUTH redispw', cast(h % 3 as {text})) when 17 then case when h % 2 = 0 then '*3 SET key' else 'PING all' end when 18 then concat('pwd: "mongo', cast(h % 3 as {text})) when 19 then 'RFB 003.008'
+    when 20 then concat('REGISTER', n, 'Authorization: Digest username="alice', cast(h % 3 as {text}), '", realm="voip"', n) when 21 then concat('DESCRIBE', n, 'Authorization: Basic YWRtaW46MTIzNA==', n) when 22 then concat(chr(case when h % 2 = 0 then 16 else 17 end), 'MQTT')
+    when 23 then '@rsyncd: 31.0' when 24 then concat('PASS irc', cast(h % 3 as {text})) when 25 then case when h % 2 = 0 then 'GET /_search?q=1' else 'GET /index' end when 26 then 'print job' when 27 then '-----BEGIN RSA PRIVATE KEY-----'
+    when 28 then concat('aabbccddee0', cast(h % 5 as {text}), ' K12 GETEIP 203.0.113.9 ', md5(cast(h % 3 as {text})), substr(md5(cast(h % 2 as {text})), 1, 8))
+    when 29 then concat('GET / HTTP/1.1', n, 'Host: ', case when h % 13 = 0 then 'windowsupdate.com' else 'www.example' end, n, case h % 6 when 0 then 'User-Agent: SQLmap/1.0' when 1 then 'User-Agent: Scrapy/2.1' when 2 then 'User-Agent: ab' when 3 then 'User-Agent: Mozilla/5.0' when 4 then 'User-Agent: Mozilla/5.0 spider' else 'Accept: x' end, n)
+    else concat(case when h % 4 = 0 then 'GET' else 'POST' end, ' /pay HTTP/1.1', n, case when h % 3 = 0 then 'card_number=' when h % 3 = 1 then 'order_id=' else 'x=' end, '411111111111', cast(1000 + h % 9000 as {text}), case when h % 7 = 0 then ' ssn 123-45-6789 ' else ' ' end)
+    end as payload
+from (select *, pkt_id % 31 as m, concat(chr(13), chr(10)) as n from {packets})
+"""
+
 #: For the oracle: the view as a subquery named packets.
 ORACLE = "packets as (" + _TEMPLATE.format(events="events cross join (select unnest(range(8)) as j)", div="//", text="varchar") + ")"
 
 
+MESSAGES = "messages as (" + _MESSAGES.format(packets="packets", text="varchar") + ")"
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message of one of 31 kinds for each packet: the packet's columns with other ports, sizes and payloads."""
+    return spark.sql(_MESSAGES.format(packets="{packets}", text="string"), packets=packets(spark, sf_dir))
+
+
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pkt_id, ts_ms, ts, the address, port, protocol, DNS and size fields, and a text payload."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
