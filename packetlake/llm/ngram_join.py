@@ -4,9 +4,10 @@ Two documents link when 100 * |A n B| >= 75 * |A u B| over their sets of 5-word
 
 1. Documents with equal sets form one class (a hash of the set); only the classes' smallest documents go on.
 2. Each document stands in the lists of its first n - ceil(0.75 n) + 1 shingles in one fixed order (frequent ones last);
-   two documents that link share one of those. A list is a set of points: shingles hashed into groups, counted. R-trees
-   over the points of the lists, joined with themselves from the roots down, bound each overlap by the summed minima of
-   coordinates, so that most pairs are never formed. The pairs that come out at the leaves are the candidates.
+   two documents that link share one of those. Lists with one smallest component (the hub of a family of texts) are one
+   set of points: shingles hashed into groups, counted, once a document. R-trees over the points of the sets, joined with
+   themselves from the roots down, bound each overlap by the summed minima of coordinates, so that most pairs are never
+   formed. The pairs that come out at the leaves are the candidates.
 3. They are verified on the sets themselves, and the components joined.
 
 Min-hash hubs go first, as an accelerator that changes no result (hubs=False leaves them out): documents that share a
@@ -14,7 +15,7 @@ band with a smaller one and are verified against it are in one component already
 two different components, a tree node only while it does. So a large group of near copies costs one comparison for each
 member instead of one for each pair.
 
-A long list is cut into parts of LEAF documents, of which two go to a task. Nothing but fixed-size bit maps and counts
+A large set is cut into parts of LEAF documents, of which two go to a task. Nothing but fixed-size bit maps and counts
 reaches the driver. Intermediate tables are deleted when they are no longer read.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing; texts of fewer than five words are one
@@ -40,7 +41,7 @@ BANDS, ROWS = 8, 3
 BUCKETS, CHUNK, IDBITS = 1 << 21, 1 << 16, 1 << 22
 #: Bits of the map of keys with more than one component; coordinates of the vectors that the lists carry.
 KEYBITS, COARSE = 1 << 25, 256
-#: Documents in one part of a long list; children of a tree node; rows whose trees are joined together; pairs of nodes at once.
+#: Documents in one part of a large set; children of a tree node; rows whose trees are joined together; pairs of nodes at once.
 LEAF, FAN, ROWS_AT_ONCE, PAIRS = 4096, 8, 16_384, 20_000
 
 
@@ -157,30 +158,30 @@ class RTrees:
     """Packed R-trees over count vectors, one for each group of rows; all are built and joined level by level together.
 
     A tree's points are ordered by size class, then by the coordinate that is widest in the group. A node holds the
-    smallest and largest set size, component and the largest number of shingles left, and the maxima of the coordinates.
+    smallest and largest set size and component, and the maxima of the coordinates.
     """
 
-    def __init__(self, group: np.ndarray, n: np.ndarray, left: np.ndarray, comp: np.ndarray, vec: np.ndarray):
+    def __init__(self, group: np.ndarray, n: np.ndarray, comp: np.ndarray, vec: np.ndarray):
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))  # groups come in order
         spread = np.maximum.reduceat(vec, first) - np.minimum.reduceat(vec, first)
         widest = np.repeat(spread.argmax(1), np.diff(np.append(first, len(group))))
         self.order = np.lexsort((vec[np.arange(len(vec)), widest], np.floor(np.log(n) / np.log(1.15)), group))
         n, comp = n[self.order], comp[self.order]
-        #: (group, lowest and highest size, shingles left, lowest and highest component, coordinate maxima, first child) of each level's nodes
-        self.levels = [(group[self.order], n, n, left[self.order], comp, comp, vec[self.order], None)]
+        #: (group, lowest and highest size, lowest and highest component, coordinate maxima, first child) of each level's nodes
+        self.levels = [(group[self.order], n, n, comp, comp, vec[self.order], None)]
         while True:
-            g, lo, hi, rest, c_lo, c_hi, top, _ = self.levels[-1]
+            g, lo, hi, c_lo, c_hi, top, _ = self.levels[-1]
             first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             if len(first) == len(g):
                 break
             place = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
             cut = np.flatnonzero(place % FAN == 0)
-            self.levels.append((g[cut], np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(rest, cut), np.minimum.reduceat(c_lo, cut), np.maximum.reduceat(c_hi, cut), np.maximum.reduceat(top, cut), cut))
+            self.levels.append((g[cut], np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.minimum.reduceat(c_lo, cut), np.maximum.reduceat(c_hi, cut), np.maximum.reduceat(top, cut), cut))
 
     def raised(self, height: int) -> list:
         """The levels up to `height`; above a tree's own root each root is its own only child."""
         while len(self.levels) < height:
-            self.levels.append((*self.levels[-1][:7], np.arange(len(self.levels[-1][0]))))
+            self.levels.append((*self.levels[-1][:6], np.arange(len(self.levels[-1][0]))))
         return self.levels
 
     def join(self, other: "RTrees") -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +200,7 @@ class RTrees:
             if not level:
                 out.append((self.order[x], other.order[y]))
                 continue
-            (x0, nx), (y0, ny) = (self._children(z[level][7], len(z[level - 1][0]), k) for z, k in ((a, x), (b, y)))
+            (x0, nx), (y0, ny) = (self._children(z[level][6], len(z[level - 1][0]), k) for z, k in ((a, x), (b, y)))
             pairs = nx * ny
             k = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
             by = np.repeat(ny, pairs)
@@ -219,16 +220,15 @@ class RTrees:
         """Can two nodes hold points of different components that link?"""
         low = a[1][x] + b[1][y]
         keep = (100 * a[2][x] >= PERCENT * b[1][y]) & (100 * b[2][y] >= PERCENT * a[1][x])
-        keep &= ~((a[4][x] == a[5][x]) & (b[4][y] == b[5][y]) & (a[4][x] == b[4][y]))
-        keep &= (100 + PERCENT) * np.minimum(a[3][x], b[3][y]) >= PERCENT * low
+        keep &= ~((a[3][x] == a[4][x]) & (b[3][y] == b[4][y]) & (a[3][x] == b[3][y]))
         at = np.flatnonzero(keep)
-        overlap = np.minimum(a[6][x[at]], b[6][y[at]]).sum(1)
+        overlap = np.minimum(a[5][x[at]], b[5][y[at]]).sum(1)
         keep[at] = (100 + PERCENT) * overlap >= PERCENT * low[at]
         return keep
 
 
 def list_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) candidate pairs of the lists' rows (key, i, j, side, doc, n, comp, place, v), which come sorted by list."""
+    """(a, b) candidate pairs of the sets' rows (hub, i, j, side, doc, n, comp, v), which come sorted by set."""
 
     def run(batches):
         held, size = [], 0
@@ -238,7 +238,7 @@ def list_pairs(rows: DataFrame) -> DataFrame:
             if size < ROWS_AT_ONCE:
                 continue
             t = pa.Table.from_batches(held)
-            key = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+            key = [t.column(c).to_numpy() for c in ("hub", "i", "j")]
             new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
             last = int(new[-1]) if len(new) else 0
             if last:
@@ -249,12 +249,11 @@ def list_pairs(rows: DataFrame) -> DataFrame:
             yield from emit(pa.Table.from_batches(held))
 
     def emit(t):
-        key, i, j, side, doc, n, comp, place = (t.column(c).to_numpy() for c in ("key", "i", "j", "side", "doc", "n", "comp", "place"))
-        left = n - place  # shingles from this one on: all that two sets can share if it is the first that they do
-        group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        hub, i, j, side, doc, n, comp = (t.column(c).to_numpy() for c in ("hub", "i", "j", "side", "doc", "n", "comp"))
+        group = np.cumsum(np.concatenate([[False], (hub[1:] != hub[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         own = np.repeat(np.minimum.reduceat(comp, first) < np.maximum.reduceat(comp, first), np.diff(np.append(first, len(t))))
-        at = np.flatnonzero(own)  # lists of two components
+        at = np.flatnonzero(own)  # parts of two components
         if not len(at):
             return
         vec = unpacked(t.column("v").take(pa.array(at)).to_pylist())
@@ -262,7 +261,7 @@ def list_pairs(rows: DataFrame) -> DataFrame:
         for kinds in ((-1,), (0, 1)):
             sides = [np.flatnonzero((i[at] == j[at]) if k < 0 else (i[at] != j[at]) & (side[at] == k)) for k in kinds]
             if all(len(s) for s in sides):
-                trees = [RTrees(group[at[s]], n[at[s]], left[at[s]], comp[at[s]], vec[s]) for s in sides]
+                trees = [RTrees(group[at[s]], n[at[s]], comp[at[s]], vec[s]) for s in sides]
                 p, q = trees[0].join(trees[-1])
                 p, q = at[sides[0][p]], at[sides[-1][q]]
                 ok = comp[p] != comp[q]
@@ -390,16 +389,22 @@ def _hub_links(docs: DataFrame, sig: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def list_rows(sig: DataFrame, comps: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """The rows of all lists with two components or more, sorted by list (and by part of a long one)."""
+    """The documents of each hub, whose lists hold two components or more, sorted by hub (and by part of a large set)."""
     spark = sig.sparkSession
-    lists = sig.select("doc_id", "f1", "n", "prefix", "v").join(comps, ["doc_id", "f1"])
-    open_ = saved(postings.extremes(lists.select(F.col("comp").alias("owner"), F.col("prefix").alias("key"))).select("key", F.ceil(F.col("n") / leaf).cast("int").alias("leaves")))
+    lists = saved(sig.select("doc_id", "f1", F.col("prefix").alias("key")).join(comps, ["doc_id", "f1"]).select(F.col("comp").alias("owner"), "doc_id", "key"))
+    open_ = saved(postings.extremes(lists.select("owner", "key")).select("key", F.col("lo_owner").alias("hub"), "n"))
     bits = spark.sparkContext.broadcast(postings.bit_map(open_, "key", KEYBITS))
-    rows = postings.spread(lists.withColumnRenamed("doc_id", "doc").withColumnRenamed("prefix", "key"), bits, ["doc", "n", "comp", "v"], ["key"], "doc long, n long, comp long, v binary, place long, key long").join(open_, "key")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("leaves")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "doc", "n", "comp", "place", "v")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = postings.spread(lists, bits, ["doc_id"], ["key"], "doc_id long, place long, key long").drop("place")
+    met = lookup(rows, open_, ["key"], ["hub"], "n", open_.agg(F.sum("n")).first()[0] or 0).where("hub is not null").select("hub", "doc_id").distinct()
+    met = saved(met)
+    forget(lists, open_)
+    sizes = saved(met.groupBy("hub").agg(F.count("*").alias("c"), F.ceil(F.count("*") / leaf).cast("int").alias("parts")))
+    rows = lookup(met, sizes, ["hub"], ["parts"], "c", sizes.agg(F.sum("c")).first()[0] or 0)
+    rows = rows.join(sig.select("doc_id", "f1", "n", "v").join(comps, ["doc_id", "f1"]).drop("f1"), "doc_id").withColumnRenamed("doc_id", "doc")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("hub", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "doc", "n", "comp", "v")
+    return rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -103,13 +103,13 @@ def test_tree_bounds_lose_nothing():
     vec[100:200] = vec[:100] + r.integers(0, 2, (100, 16))
     vec[200:210] = vec[200]
     n, comp, group = vec.sum(1), np.arange(300), np.repeat([0, 1, 2, 3], [1, 9, 199, 91])
-    trees = ngram_join.RTrees(group, n, n, comp, vec)
+    trees = ngram_join.RTrees(group, n, comp, vec)
     found = list(zip(*trees.join(trees)))
     got = {(min(p, q), max(p, q)) for p, q in found}
     want = {(i, j) for i in range(300) for j in range(i + 1, 300) if group[i] == group[j] and ngram_join.may_link(n[i], n[j], np.minimum(vec[i], vec[j]).sum())}
     assert len(found) == len(got) and got == want
-    two = ngram_join.RTrees(group[150:], n[150:], n[150:], comp[150:], vec[150:])
-    one = ngram_join.RTrees(group[:150], n[:150], n[:150], comp[:150], vec[:150])
+    two = ngram_join.RTrees(group[150:], n[150:], comp[150:], vec[150:])
+    one = ngram_join.RTrees(group[:150], n[:150], comp[:150], vec[:150])
     assert {(p, q + 150) for p, q in zip(*one.join(two))} == {(i, j) for i, j in want if i < 150 <= j}
 
 
