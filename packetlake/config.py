@@ -55,3 +55,12 @@ class Config:
 
 
 DEFAULT = Config()
+
+# Domains under which anyone can put a site. Names of large first-party services are a table that the caller brings.
+HOSTING_SUFFIXES = (
+    "appspot.com", "web.app", "firebaseapp.com", "cloudfunctions.net", "run.app", "azurewebsites.net", "cloudapp.net", "azurefd.net", "blob.core.windows.net", "herokuapp.com", "netlify.app", "vercel.app",
+    "pages.dev", "workers.dev", "r2.dev", "onrender.com", "fly.dev", "railway.app", "deno.dev", "s3.amazonaws.com", "execute-api.amazonaws.com", "elasticbeanstalk.com", "amplifyapp.com", "github.io",
+    "gitlab.io", "bitbucket.io", "blogspot.com", "wordpress.com", "wixsite.com", "squarespace.com", "myshopify.com", "webflow.io", "carrd.co", "notion.site",
+)
+# Indicator categories that are critical wherever they are met.
+CRITICAL_CATEGORIES = ("Botnet C2", "Malicious SSL")

@@ -105,11 +105,10 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     if len(events.inputFiles()) < cores:  # a few files of one row group each would leave cores idle
         events = events.repartition(cores)
     events = events.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    scened, fields = _TEMPLATE.split("), fields as (")
-    made = spark.sql(scened.format(events="{events}", div="div", text="string") + ") select pkt_id, event_id, u, h, ts_ms, k, j, scn from scened", events=events)
-    # a generator keeps later filters from being rewritten in terms of the scene's long case; the fields come after it and are pruned
-    made = made.select(F.explode(F.array(F.struct("pkt_id", "event_id", "u", "h", "ts_ms", "k", "j", "scn"))).alias("p")).select("p.*")
-    derived = scened[scened.index("concat('192.168.1.'") : scened.index("  from timed")]
-    text = f"with scened as (select *, {derived} from {{rows}}), fields as ({fields}"
-    made = spark.sql(text.format(rows="{rows}", text="string"), rows=made)
+    fields, last = _TEMPLATE[: _TEMPLATE.rindex("select pkt_id")], _TEMPLATE[_TEMPLATE.rindex("select pkt_id") :]
+    names = ("pkt_id", "ts_ms", "scn", "h", "cdn", "src_ip", "dst_ip", "dst_port", "protocol", "flags", "dns_query", "payload_size", "src_mac")
+    made = spark.sql(fields.format(events="{events}", div="div", text="string") + f"select {', '.join(names)} from fields", events=events)
+    # a generator keeps later filters from being rewritten in terms of the long cases; what it does not hold is pruned
+    made = made.select(F.explode(F.array(F.struct(*names))).alias("p")).select("p.*")
+    made = spark.sql(last.replace("from fields", "from {rows}").format(rows="{rows}", text="string"), rows=made)
     return made.withColumn("ts", F.timestamp_millis("ts_ms"))
