@@ -37,25 +37,83 @@ def features(packets: DataFrame, seconds: int = 5) -> DataFrame:
     return out.join(ports, "slot").select("slot", *[F.round(F.col(f) + F.lit(0.0), 6).alias(f) for f in FEATURES])
 
 
-def baseline(rows: DataFrame) -> DataFrame:
-    """Mergeable (feature, n, mean, m2) rows: a later run adds its own by the usual formula."""
-    long = rows.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, FEATURES)), F.array(*FEATURES))).alias("feature", "x"))
-    return long.groupBy("feature").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("*")).alias("m2"))
+def baseline(rows: DataFrame, by_hour: bool = False) -> DataFrame:
+    """Mergeable (feature, n, total, squares) rows, for each hour of the day where asked: exact decimals, so that parts of a history add up to the same."""
+    keys = ["hour", "feature"] if by_hour else ["feature"]
+    long = rows.select(hour_of(F.col("slot")).alias("hour"), F.explode(F.map_from_arrays(F.array(*map(F.lit, FEATURES)), F.array(*[F.col(f).cast("decimal(18,6)") for f in FEATURES]))).alias("feature", "x"))
+    return long.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("x").cast("decimal(38,6)").alias("total"), F.sum((F.col("x") * F.col("x")).cast("decimal(36,12)")).cast("decimal(38,12)").alias("squares"))
+
+
+def hour_of(slot: Column, seconds: int = 5) -> Column:
+    return (F.floor(slot * seconds / 3600) % 24).cast("int")
 
 
 def merge_baselines(a: DataFrame, b: DataFrame) -> DataFrame:
-    both = a.unionByName(b).groupBy("feature").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.sum("m2").alias("m2"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("q"))
-    return both.select("feature", "n", "mean", (F.col("m2") + F.col("q") - F.col("n") * F.col("mean") * F.col("mean")).alias("m2"))
+    keys = [k for k in ("hour", "feature") if k in a.columns]
+    return a.unionByName(b).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").cast("decimal(38,6)").alias("total"), F.sum("squares").cast("decimal(38,12)").alias("squares"))
+
+
+def statistics(base: DataFrame) -> DataFrame:
+    """Mean and sample deviation of a baseline's features."""
+    n, total, squares = F.col("n"), F.col("total").cast("double"), F.col("squares").cast("double")
+    spread = F.when(n > 1, F.sqrt(F.greatest((squares - total * total / n) / F.greatest(n - 1, F.lit(1)), F.lit(0.0)))).otherwise(0.0)
+    return base.select(*[k for k in ("hour", "feature") if k in base.columns], "n", (total / n).alias("mean"), spread.alias("sd"))
+
+
+def standings(rows: DataFrame, least_hour: int = 5) -> DataFrame:
+    """slot, n and z_<feature>: each window's features against all windows so far, this one included; against those of its hour where there are enough."""
+    # windows are one row each 5 s, however many packets they hold: one ordered history, as the score is defined over all of it
+    every = W.orderBy("slot").rowsBetween(W.unboundedPreceding, 0)
+    hourly = W.partitionBy("_hour").orderBy("slot").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_hour", hour_of(F.col("slot")))
+    mean = lambda f, w: F.avg(f).over(w)
+    sd = lambda f, w: F.coalesce(F.stddev_samp(f).over(w), F.lit(0.0))
+    own = F.count("*").over(hourly) >= least_hour
+    z = [((F.col(f) - F.when(own, mean(f, hourly)).otherwise(mean(f, every))) / (F.when(own, sd(f, hourly)).otherwise(sd(f, every)) + 1e-8)).alias("z_" + f) for f in FEATURES]
+    return rows.select("slot", F.count("*").over(every).alias("n"), *z)
 
 
 def deviation(rows: DataFrame) -> DataFrame:
-    """Score of the mean |z| over the features against all windows so far, this one included; 0 before ten windows."""
-    # windows are one row each 5 s: one ordered history, as the score is defined over all of it
-    w = W.orderBy("slot").rowsBetween(W.unboundedPreceding, 0)
-    n = F.count("*").over(w)
-    z = [F.abs(F.col(f) - F.avg(f).over(w)) / (F.coalesce(F.stddev_samp(f).over(w), F.lit(0.0)) + 1e-8) for f in FEATURES]
-    mean = sum(z[1:], z[0]) / len(z)
-    return rows.select("slot", n.alias("n"), F.least(F.lit(10.0), mean).alias("z")).select("slot", F.when(F.col("n") < 10, 0.0).otherwise(1 - 1 / (1 + F.col("z") / 3)).alias("deviation"))
+    """Score of the mean |z| over the features; 0 before ten windows."""
+    z = [F.abs("z_" + f) for f in FEATURES]
+    mean = F.least(F.lit(10.0), sum(z[1:], z[0]) / len(z))
+    return standings(rows).select("slot", F.when(F.col("n") < 10, 0.0).otherwise(1 - 1 / (1 + mean / 3)).alias("deviation"))
+
+
+def explanation(rows: DataFrame, most: int = 8, least: float = 2.0) -> DataFrame:
+    """slot, place, feature, z: the features that stand out by more than two deviations, the largest first, eight at most."""
+    long = standings(rows).select("slot", F.explode(F.map_from_arrays(F.array(*map(F.lit, FEATURES)), F.array(*["z_" + f for f in FEATURES]))).alias("feature", "z"))
+    order = W.partitionBy("slot").orderBy(F.desc(F.abs("z")), "feature")  # 18 rows a slot
+    return long.where(F.abs("z") > least).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def reasons(deviation_: Column, forest: Column, beacon: Column, dns: Column) -> Column:
+    """Why a window is anomalous, from its scores and features."""
+    said = (
+        (deviation_ > 0.5, "deviation"), (forest > 0.3, "forest"), (beacon > 0.5, "beacon"), (dns > 0.5, "dns"),
+        (F.col("unique_dst_ports") > 200, "ports"), (F.col("syn_ratio") > 0.7, "syn"), (F.col("failed_conn_ratio") > 0.5, "failed"),
+    )
+    return F.filter(F.array(*[F.when(test, F.lit(name)) for test, name in said]), lambda x: x.isNotNull())
+
+
+def anomaly_alerts(scored: DataFrame, cfg: c.Config = c.DEFAULT) -> DataFrame:
+    """ML-ANOMALY: windows (slot, anomaly, reasons) over the threshold with two reasons or more, once a forest has been trained."""
+    severity = F.when(F.col("anomaly") > 0.8, "CRITICAL").when(F.col("anomaly") > 0.5, "HIGH").otherwise("MEDIUM")
+    rows = scored.where((F.col("anomaly") > cfg.anomaly) & (F.size("reasons") >= 2))
+    return rows.select("slot", F.lit("ML-ANOMALY").alias("rule_id"), severity.alias("severity"), "anomaly", F.array_join("reasons", "|").alias("reasons"))
+
+
+def daily_summary(scored: DataFrame, cfg: c.Config = c.DEFAULT, seconds: int = 5) -> DataFrame:
+    """Score statistics of each day, from rows slot and anomaly."""
+    day = F.floor(F.col("slot") * seconds / 86_400).alias("day")
+    odd = F.count_if(F.col("anomaly") > cfg.anomaly)
+    return scored.groupBy(day).agg(F.round(F.avg("anomaly"), 4).alias("avg_score"), F.round(F.max("anomaly"), 4).alias("max_score"), F.round(F.min("anomaly"), 4).alias("min_score"), odd.alias("anomalies"), F.count("*").alias("samples"), F.round(100 * odd / F.count("*"), 2).alias("pct"))
+
+
+def recent_scores(scored: DataFrame, minutes: int, seconds: int = 5) -> DataFrame:
+    """Scores of the last minutes before the newest window."""
+    newest = scored.agg(F.max("slot").alias("_newest"))
+    return scored.crossJoin(F.broadcast(newest)).where(F.col("slot") > F.col("_newest") - minutes * 60 / seconds).drop("_newest")  # one row
 
 
 def beacons(packets: DataFrame, cfg: c.Config = c.DEFAULT) -> DataFrame:
