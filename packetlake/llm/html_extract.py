@@ -1,19 +1,25 @@
 """HTML extraction by a recurrent block labeller.
 
 A page is cut into leaf blocks of text. Each block is a vector of hashed tag-path elements (tags with their class and id
-words), hashed words and a few measures. A bidirectional LSTM in numpy reads a page's blocks and labels each one as main
-text or not, so a block is judged in the context of the whole page. It is trained here on a bounded sample of the pages
-(PAGES of them, chosen by a hash of the html) and on rebuilt variants of them: their texts in other layouts, with
-menus, notices, adverts, forms and comments around and inside the article. The layouts' names give the labels.
-
-Edge cases: a null or empty page has an empty text; unclosed, misnested and unescaped markup is read as far as it goes;
-scripts, styles and comments never become blocks; pages of any number of blocks are read whole; repeated pages agree;
-an empty table gives an empty result; extra columns are ignored.
+words), hashed words and a few measures, among them how much of the page's text stands under the same tags. A
+bidirectional LSTM in numpy reads a page's blocks and labels each one as main text or not, so a block is judged in the
+context of the whole page.
+
+It is trained here on pages of which the truth is known because they are built here: texts of a bounded sample of the pages
+(PAGES of them, chosen by a hash of the html) become articles and, around and inside them, menus, notices, adverts, forms,
+shares and comments, in VARIANTS layouts each. Half of the layouts have telling class names, the others made-up ones, so
+that places, links and lengths must decide. No label comes from the sample's own markup.
+
+Edge cases: a null or empty page has an empty text; unclosed, misnested and unescaped markup is read as far as it goes, and
+a stray quote ends with its tag; scripts, styles and comments never become blocks; pages of any number of blocks are read
+whole; repeated pages agree; an empty table gives an empty result; extra columns are ignored.
 """
 
+import functools
 import html
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-PAGES, HIDDEN, PATH, WORDS, EPOCHS = 120, 16, 96, 32, 14
-EXTRA = 6
+PAGES, VARIANTS, HIDDEN, PATH, WORDS, EPOCHS = 120, 6, 16, 96, 32, 14
+EXTRA = 10
 SIZE = PATH + WORDS + EXTRA
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][\w:-]*)((?:\s+[^\s\"'<>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>][^\s<>]*))?)*(?=[\s/]*>)|[^>]*)[\s/]*>|<[!?][^>]*>|</?[a-zA-Z][^<>]*\Z",
+    re.S | re.I,
+)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 #: Elements that stand inside a line, that have no content, and that a new one of their kind closes.
@@ -34,11 +44,6 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head"}}
 OPENS_BLOCK = frozenset("address article aside blockquote body center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Names that mark a layout's main text, and what does not belong to it, in the pages that the labeller learns from.
-MAIN = frozenset("article main content post entry story body articlebody text".split())
-NOT_MAIN = frozenset("nav aside footer form menu sidebar ad ads advert advertisement banner promo sponsor sponsored cookie consent notice newsletter subscribe comment comments reply respond share social related recommended breadcrumb breadcrumbs login signup search widget toolbar pagination head button select textarea".split())
-
-
 def blocks(page: str) -> list[tuple[str, list[str], int]]:
     """(text, path, letters inside links) of every leaf block with text, in page order. The path holds tags and tag.name words."""
     out: list = []
@@ -100,25 +105,41 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
     return out
 
 
-def by_layout(path: list[str]) -> int:
-    """The label that a known layout's names give: inside a main container and in nothing that does not belong."""
-    words = [x.split(".")[-1] for x in path]
-    return int(any(w in MAIN and not (w == "body" and x == "body") for w, x in zip(words, path)) and not any(w in NOT_MAIN for w in words))
+@functools.lru_cache(200_000)
+def _place(word: str) -> int:
+    return zlib.crc32(word.encode())
 
 
 def vectors(page: list[tuple[str, list[str], int]]) -> np.ndarray:
     x = np.zeros((len(page), SIZE), np.float32)
+    sizes = np.array([len(text) for text, _, _ in page], float)
+    links = np.array([linked for _, _, linked in page], float)
+    outer = ["/".join(path[:-1]) for _, path, _ in page]
+    # text under the same tags, as a share of the page's, and the links in it
+    own, under, linked_under = defaultdict(list), defaultdict(float), defaultdict(float)
+    for k, (_, path, _) in enumerate(page):
+        own[outer[k]].append(k)
+        at = ""
+        for name in path:
+            at += "/" + name
+            under[at] += sizes[k]
+            linked_under[at] += links[k]
+    total = sizes.sum() or 1.0
     for k, (text, path, linked) in enumerate(page):
         for name in path:
-            word = name.split(".")[-1]
-            h = zlib.crc32(word.encode())
+            h = _place(name.split(".")[-1])
             x[k, h % PATH] = 1
             x[k, (h >> 12) % PATH] = 1
         words = text.split()
-        for w in words[:: max(1, len(words) // 32)]:  # a vector of the block only; the text itself stays whole
-            x[k, PATH + zlib.crc32(w.encode()) % WORDS] += 0.1
+        for w in words:
+            x[k, PATH + _place(w) % WORDS] += 3 / len(words)
         n = len(text)
-        x[k, PATH + WORDS :] = np.log1p(n) / 6, min(1, linked / n), np.log1p(len(words)) / 5, text.count(".") / max(1, len(words)), k / max(1, len(page) - 1), text[-1:] in ".!?"
+        near = own[outer[k]]
+        at = "".join("/" + name for name in path[:-1])
+        x[k, PATH + WORDS :] = (
+            np.log1p(n) / 6, min(1, linked / n), np.log1p(len(words)) / 5, text.count(".") / max(1, len(words)), k / max(1, len(page) - 1), text[-1:] in ".!?",
+            sizes[near].sum() / total, min(1, links[near].sum() / max(1, sizes[near].sum())), under[at] / total, np.log1p(len(near)) / 3,
+        )
     return x
 
 
@@ -238,52 +259,75 @@ def _pad(xs, ys=None):
     return x, mask, y
 
 
-def variant(texts: list[str], r: np.random.Generator) -> list[tuple[str, list[str], int]]:
-    """A page of given texts in another layout, as blocks."""
-    pick = lambda *x: x[r.integers(len(x))]
+#: Layouts of built pages: containers of an article, and of what is not one, with the leaves that go into each.
+BOXES = (["article"], ["main"], ["main", "article"], ["div", "class.content"], ["div", "class.post"], ["div", "id.content"], ["div", "class.article", "class.body"], ["div", "class.entry", "class.content"], ["section", "class.story"], ["main", "div", "class.text"])
+BARS = (["nav"], ["header"], ["ul", "class.menu"], ["div", "id.menu"], ["div", "class.breadcrumb"], ["div", "class.site", "class.header"], ["div", "class.top"], ["div", "class.skip"])
+ASIDES = (["aside"], ["div", "class.sidebar"], ["div", "class.ad"], ["div", "id.ad"], ["div", "class.advert"], ["div", "class.banner"], ["div", "class.promo"], ["div", "class.sponsored"], ["div", "class.related"], ["div", "class.newsletter"], ["div", "class.social"], ["div", "class.share"], ["div", "class.widget"])
+NOTICES = (["div", "class.cookie"], ["div", "class.cookie", "class.notice"], ["div", "id.consent"], ["form"], ["form", "class.search"], ["div", "class.login"], ["div", "class.subscribe"])
+ENDS = (["footer"], ["div", "class.footer"], ["div", "id.footer"])
+TALKS = (["section", "class.comments"], ["div", "id.comments"], ["div", "class.comment"], ["div", "class.respond"], ["ol", "class.commentlist"])
+SAYINGS = ("Copyright 2024", "© 2023 All rights reserved", "We use cookies", "Accept", "Subscribe", "Share", "Search", "Read more", "Log in", "Sign up", "Leave a reply", "Reply", "Home", "About", "Contact", "Privacy policy", "Terms", "Previous", "Next", "Advertisement")
+
+
+def variant(texts: list[str], r: np.random.Generator, plain: bool) -> tuple[list[tuple[str, list[str], int]], list[int]]:
+    """The blocks of a page built from given texts, and which of them are the article. plain: class names tell nothing."""
+    pick = lambda x: x[r.integers(len(x))]
     some = lambda: texts[r.integers(len(texts))]
     short = lambda: " ".join(some().split()[: r.integers(1, 9)]) or "x"
-    base = ["html", "body"] + pick([], ["div", "id.page"], ["div", "class.wrapper"], ["div", "class.container"])
-    out = [(short(), ["html", "head", "title"], 0)] * int(r.integers(2))
+    saying = lambda: pick(SAYINGS) if r.random() < 0.5 else short()
+    page, labels = [], []
 
-    def junk():
-        kind = pick(*(["nav"], ["aside"], ["form"], ["header"], ["footer"], *[["div", f"{pick('class', 'id')}.{w}"] for w in sorted(NOT_MAIN - {"head"})], ["section", "class.comments"], ["ul", "class.menu"], ["div", "class.site", "class.header"], ["div", "class.cookie", "class.notice"], ["div", "class.top"], ["div", "class.skip"]))
-        rows = []
+    def add(text, path, linked=0, label=0):
+        page.append((text, path, linked))
+        labels.append(label)
+
+    base = ["html", "body"] + pick(([], [], ["div", "id.page"], ["div", "class.wrapper"], ["div", "class.container"]))
+
+    def junk(kinds, linked, at=(), long=0.2):
+        box = base + list(at) + pick(kinds)
+        leaf = pick((["ul", "li"], ["p"], ["div"], ["h3"], [], ["label"]))
         for _ in range(r.integers(1, 7)):
-            leaf = pick(["ul", "li"], ["p"], ["div"], ["h2"], ["h3"], [], ["label"])
-            t = pick(short, some)()
-            rows.append((t, kind + leaf, len(t) if r.random() < 0.5 else 0))
-        return rows
-
-    for _ in range(r.integers(0, 5)):
-        out += [(t, base + p, n) for t, p, n in junk()]
-    box = pick(["article"], ["article"], ["main"], ["main", "article"], ["div", "class.content"], ["div", "class.post"], ["div", "id.content"], ["div", "class.article", "class.body"], ["div", "class.entry", "class.content"], ["section", "class.story"], ["div", "class.article"], ["main", "div", "class.text"])
-    if r.random() < 0.7:
-        out.append((short(), base + box + pick([], ["header"]) + [pick("h1", "h2")], 0))
+            t = some() if r.random() < long else saying()
+            add(t, box + leaf, len(t) if r.random() < linked else 0)
+
+    if r.random() < 0.6:
+        add(short(), ["html", "head", "title"])
+    for kinds, chance, linked in ((NOTICES, 0.2, 0.2), (BARS, 0.8, 0.9), (ASIDES, 0.4, 0.4), (NOTICES, 0.2, 0.2)):
+        if r.random() < chance:
+            junk(kinds, linked)
+    box = pick(BOXES)
+    if r.random() < 0.8:
+        add(short(), base + box + pick(([], [], ["header"])) + [pick(("h1", "h1", "h2"))], 0, 1)
+    leaves = (["p"], ["p"], ["p"], ["p"], ["p"], ["div", "p"], ["ul", "li"], ["blockquote", "p"], ["h2"], ["h3"], ["pre"], ["section", "p"], ["table", "tbody", "tr", "td"], ["figure", "figcaption"])
     for _ in range(r.integers(1, 14)):
-        leaf = pick(["p"], ["p"], ["p"], ["p"], ["div", "p"], ["ul", "li"], ["blockquote", "p"], ["h2"], ["h3"], ["pre"], ["section", "p"], ["table", "tbody", "tr", "td"], ["figure", "figcaption"])
-        t = pick(some, some, short)()
-        out.append((t, base + box + leaf, 0 if r.random() < 0.9 else len(t) // 2))
-        if r.random() < 0.12:
-            out += [(t, base + box + p, n) for t, p, n in junk() if not {"header", "class.header", "class.top", "class.skip"} & set(p)]
-    for _ in range(r.integers(0, 5)):
-        out += [(t, base + p, n) for t, p, n in junk()]
-    return out
+        leaf = pick(leaves)
+        t = short() if leaf[-1] in ("h2", "h3", "td", "figcaption") or r.random() < 0.25 else some()
+        add(t, base + box + leaf, 0 if r.random() < 0.9 else len(t) // 2, 1)
+        if r.random() < 0.1:
+            junk(ASIDES + NOTICES[:3], 0.4, box)
+    if r.random() < 0.15:
+        junk(TALKS, 0.1, box, 0.4)
+    for kinds, chance, linked, long in ((TALKS, 0.35, 0.1, 0.5), (ASIDES, 0.4, 0.5, 0.2), (NOTICES, 0.15, 0.2, 0.2), (ENDS, 0.8, 0.3, 0.2)):
+        if r.random() < chance:
+            junk(kinds, linked, (), long)
+    if plain:
+        made: dict[str, str] = {}
+        tags = {"nav": "div", "aside": "div", "footer": "div", "header": "div", "article": "div", "main": "div", "section": "div"} if r.random() < 0.7 else {}
+        name = lambda x: made.setdefault(x, f"{x.split('.')[0]}.{chr(97 + r.integers(26))}{chr(97 + r.integers(26))}") if "." in x else tags.get(x, x)
+        page = [(t, [name(x) for x in path], linked) for t, path, linked in page]
+    return page, labels
 
 
 def train(pages: DataFrame, sample: int = PAGES) -> Labeller:
-    """Learn from the `sample` pages with the smallest hash (a top-k of a fixed size) and two variants of each."""
+    """Learn from VARIANTS built pages for each of the `sample` pages with the smallest hash (a top-k of a fixed size)."""
     rows = pages.where("html is not null").select("html", F.xxhash64("html").alias("h")).orderBy("h", "html").limit(sample).collect()
     r = np.random.default_rng(17)
     data = []
     for row in rows:
-        page = blocks(row["html"])
-        if not page:
-            continue
-        data.append((vectors(page), np.array([by_layout(p) for _, p, _ in page], float)))
-        for _ in range(4):
-            v = variant([t for t, _, _ in page], r)
-            data.append((vectors(v), np.array([by_layout(p) for _, p, _ in v], float)))
+        texts = [t for t, _, _ in blocks(row["html"])]
+        for k in range(VARIANTS if texts else 0):
+            page, labels = variant(texts, r, k % 2 == 1)
+            data.append((vectors(page), np.array(labels, float)))
     model = Labeller()
     return model.fit(data) if data else model
 
