@@ -53,7 +53,7 @@ def extremes(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
         kind = np.int32 if small else np.int64
         cols = [np.concatenate([take(kind, m), take(kind, t)]).astype(np.int64)]
         for _ in range(1, width):  # of the last owner only the id is held
-            cols.append(np.concatenate([take(np.int32, m), np.zeros(t, np.int32)]).astype(np.int64))
+            cols.append(np.concatenate([take(np.int32, m), np.zeros(t, np.int32)]))
         return np.concatenate([key, key[two]]), np.concatenate([n, np.zeros(t, np.int32)]), cols
 
     def combine(key, n, cols):
@@ -92,7 +92,11 @@ def extremes(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
         held = [unblock(x.as_py()) for b in batches for x in b.column(1)]
         if not held:
             return
-        key, n, lo, hi = combine(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [np.concatenate([h[2][k] for h in held]) for k in range(width)])
+        key, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        cols = [np.concatenate([h[2][k] for h in held]) for k in range(width)]
+        held.clear()
+        key, n, lo, hi = combine(key, n, cols)
+        del cols
         two = np.flatnonzero(hi[0] > lo[0])
         for s in range(0, len(two), 100_000):
             t = two[s : s + 100_000]
@@ -100,7 +104,7 @@ def extremes(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
     names = [*(f"lo_{c}" for c in ("owner", *extra)), "hi_owner"]
     packed = rows.select("owner", "key", *extra).mapInArrow(pack, "p int, block binary")
-    return packed.repartition(parts // 4, "p").mapInArrow(join, "key long, n long, " + ", ".join(f"{c} long" for c in names))
+    return packed.repartition(parts // 2, "p").mapInArrow(join, "key long, n long, " + ", ".join(f"{c} long" for c in names))
 
 
 def bit_map(ids: DataFrame, column: str, bits: int) -> np.ndarray:

@@ -451,10 +451,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     copies = lookup(own.select(*names), classes, ["n_words", "g1", "g2"], ["head"], "c", classes.agg(F.sum("c")).first()[0] or 0).where("doc_id <> head")
     zero = F.lit(0).cast("long")
     copies = saved(copies.select("doc_id", F.col("head").alias("dup_of"), zero.alias("start_word"), F.col("n_words").alias("end_word"), zero.alias("dup_start_word"), F.col("t").alias("text_hash")).distinct())
-    heads = _without_copies(own, copies)
+    heads = saved(_without_copies(own, copies))
+    forget(raw, classes)
     found, read = candidates(docs, heads)
     regions = saved(interval_join(found))
-    forget(raw, classes, *read)
+    forget(heads, *read)
     out = copies.unionByName(verified(docs, regions))
     forget(regions)
     return out.distinct().select("doc_id", "dup_of", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "dup_start_word", "text_hash")

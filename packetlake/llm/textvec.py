@@ -21,7 +21,7 @@ _powers = {"p": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
 
 def _power(kind: str, n: int) -> np.ndarray:
     if len(_powers[kind]) < n:
-        x = np.full(max(n, 1 << 21), _BASE if kind == "p" else _INVERSE, np.uint64)
+        x = np.full(max(n, 1 << 19), _BASE if kind == "p" else _INVERSE, np.uint64)
         x[0] = 1
         _powers[kind] = np.cumprod(x, dtype=np.uint64)
     return _powers[kind][:n]
