@@ -1,4 +1,7 @@
-"""Isolation forest over feature windows: trees built in parallel from a bounded sample, scores by broadcast node tables."""
+"""Isolation forest over feature windows: trees built in parallel from a bounded sample, scores by broadcast node tables.
+
+A cut is drawn between a feature's least and greatest value, so features need no common scale.
+"""
 
 import numpy as np
 import pandas as pd
@@ -39,10 +42,13 @@ def _grow(x: np.ndarray, r: np.random.Generator, most: int) -> list[tuple[int, f
 def train(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
     """(tree, node, feature, cut, left, right, path): each tree from its own `sample` rows of at most ROWS windows (the newest)."""
     rows = features.orderBy(F.desc("slot")).limit(ROWS).select(F.array(*FEATURES).alias("x"), F.col("slot"))
+    n = rows.count()
     dealt = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("h", F.xxhash64("slot", "tree"))
+    if n > 4 * sample:  # most copies are dropped before the shuffle; four times the sample leaves a tree short practically never
+        dealt = dealt.where(F.pmod("h", F.lit(1_000_000)) < 4_000_000 * sample // n)
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.nsmallest(sample, ["h", "slot"])
+        pdf = pdf.assign(h=pdf["h"] % 1_000_000).nsmallest(sample, ["h", "slot"])
         x = np.stack(pdf["x"].to_numpy()).astype(float)
         nodes = _grow(x, np.random.default_rng([seed, int(key[0])]), int(np.ceil(np.log2(max(2, len(x))))))
         out = pd.DataFrame(nodes, columns=["feature", "cut", "left", "right", "path"])
@@ -76,3 +82,13 @@ def score(features: DataFrame, forest: DataFrame, sample: int = SAMPLE) -> DataF
         return pd.Series(2.0 ** -(total / max(1, len(shared.value)) / norm))
 
     return features.select("slot", run(F.array(*FEATURES)).alias("anomaly"))
+
+
+def cutoff(scored: DataFrame, contamination: float = 0.25) -> float:
+    """The anomaly that a `contamination` share of the training windows is over."""
+    return scored.agg(F.percentile("anomaly", 1 - contamination)).first()[0] or 0.0
+
+
+def excess(scored: DataFrame, at: float) -> DataFrame:
+    """slot and forest: how far a window's anomaly is over the cut-off, 0 below it."""
+    return scored.select("slot", F.least(F.greatest(F.col("anomaly") - at, F.lit(0.0)), F.lit(1.0)).alias("forest"))

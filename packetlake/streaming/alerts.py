@@ -32,16 +32,43 @@ def flow_sessions(packets: DataFrame, late: str = "2 minutes", idle: str = c.DEF
     return packets.withWatermark("ts", late).groupBy(a, b, F.session_window("ts", idle).alias("s")).agg(F.count("*").alias("packets"), F.sum("length").alias("bytes")).select("ip_a", "ip_b", F.unix_millis("s.start").alias("start_ms"), "packets", "bytes")
 
 
-def to_tables(packets: DataFrame, write: Callable[[DataFrame, str, int], None], cfg: c.Config = c.DEFAULT, rules=detect.RULES):
+def to_tables(packets: DataFrame, write: Callable[[DataFrame, str, int], None], cfg: c.Config = c.DEFAULT, rules=detect.RULES, state: str | None = None):
     """Run the rules over each micro-batch and hand alerts and incidents to `write(df, table, batch)`.
 
-    A rule sees the packets of its batch: choose triggers well longer than the widest window, or use the windowed
-    streams above where every window must be whole.
+    state: a folder that all executors share. With it, each batch begins from what the one before left there: the packets of
+    the widest window, so that floods and scans over a batch's edge are found, and the alerts of the last incident gap, so
+    that the cooldown and the incidents go on (an incident comes again, longer, under the same key and start). Rows should
+    reach the stream in about the order of time. Running totals of uploads start anew with each batch. Without it each batch
+    stands for itself.
     """
+    wide = max(cfg.scan_ms, cfg.failure_ms, cfg.flood_ms)
 
     def run(batch: DataFrame, number: int) -> None:
-        alerts = detect.cooldown(detect.run_rules(batch, cfg, rules=rules), cfg.cooldown_ms)
-        write(detect.with_id(alerts), "alerts", number)
-        write(correlate.incidents(alerts, cfg), "incidents", number)
+        spark = batch.sparkSession
+        if not state:
+            alerts = detect.cooldown(detect.run_rules(batch, cfg, rules=rules), cfg.cooldown_ms)
+            write(detect.with_id(alerts), "alerts", number)
+            write(correlate.incidents(alerts, cfg), "incidents", number)
+            return
+        old = number - 1
+        seen = _table(spark, f"{state}/packets/{old}", batch)
+        found = detect.run_rules(seen.unionByName(batch), cfg, rules=rules).join(batch.select("pkt_id").distinct(), "pkt_id", "left_semi").select(*detect.ALERT)
+        before = _table(spark, f"{state}/alerts/{old}", found)
+        passed = detect.cooldown(before.unionByName(found), cfg.cooldown_ms).join(before.select("rule_id", "src_ip", "dst_ip", "pkt_id"), ["rule_id", "src_ip", "dst_ip", "pkt_id"], "left_anti").select(*detect.ALERT)
+        passed.write.mode("overwrite").parquet(f"{state}/passed/{number}")
+        passed = spark.read.schema(passed.schema).parquet(f"{state}/passed/{number}")
+        write(detect.with_id(passed), "alerts", number)
+        write(correlate.incidents(before.unionByName(passed), cfg), "incidents", number)
+        newest = batch.agg(F.max("ts_ms")).first()[0] or 0
+        seen.unionByName(batch).where(F.col("ts_ms") > newest - wide).write.mode("overwrite").parquet(f"{state}/packets/{number}")
+        # alerts of incidents that may go on, and of the last cooldown
+        before.unionByName(passed).where(F.col("ts_ms") >= newest - cfg.incident_ms).write.mode("overwrite").parquet(f"{state}/alerts/{number}")
 
     return packets.writeStream.foreachBatch(run)
+
+
+def _table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """A table of the state, without rows where there is none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(like.schema).parquet(path) if there else spark.createDataFrame([], like.schema)

@@ -30,6 +30,19 @@ def test_micro_batches_write_alerts(spark, tmp_path):
     assert dict(seen)["alerts"] == detect.cooldown(detect.run_rules(spark.read.parquet(str(tmp_path / "in")), rules=(detect.bad_port, detect.brute_force))).count() > 0
 
 
+def test_batches_with_a_state_equal_one_run(spark, tmp_path):
+    p = packets(spark, SF).where("pkt_id between 1100 and 2700").select("pkt_id", "ts_ms", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "flags", "dns_query", "payload_size", "src_mac")
+    for k in range(4):  # batches end inside a flood
+        p.where(f"pkt_id between {1100 + 400 * k} and {1499 + 400 * k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rules = (detect.bad_port, detect.brute_force, detect.syn_flood)
+    got = []
+    stream = alerts.packet_stream(spark, str(tmp_path / "in"), p.schema, 1)
+    q = alerts.to_tables(stream, lambda df, name, n: got.extend((r.rule_id, r.src_ip, r.dst_ip, r.pkt_id) for r in df.collect()) if name == "alerts" else None, rules=rules, state=str(tmp_path / "state")).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    assert q.awaitTermination(240)
+    want = [(r.rule_id, r.src_ip, r.dst_ip, r.pkt_id) for r in detect.cooldown(detect.run_rules(p, rules=rules)).collect()]
+    assert sorted(got) == sorted(want) and {r for r, *_ in want} == {"BAD-PORT", "BRUTE-FORCE", "SYN-FLOOD"}
+
+
 def test_dump_and_feeds(spark, tmp_path):
     (tmp_path / "dump").write_text("1.5|10.0.0.1|10.0.0.2|||1234|80||||100|0x012|||aa:bb||64\n2|||fe80::1|fe80::2\n")
     rows = tables.packet_dump(spark, str(tmp_path / "dump")).orderBy("ts_ms").collect()
