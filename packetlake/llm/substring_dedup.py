@@ -13,7 +13,8 @@ on its left, or on its right. Besides, each run of 46 shingles around a shared m
 key too (in the first hash function, as every run has a minimum there), and is linked to the smallest doc_id that has this
 run: every 50 words that stand in two documents are found.
 
-Only the parts of two texts that a passage around the seeds can reach are sent to be verified. Intermediate tables are
+Only the parts of two texts that a passage around the seeds can reach are sent to be verified. Of the passages of one
+document that stand inside one another the outermost comes out, once, with the smallest doc_id that has it. Intermediate tables are
 deleted when they are no longer read.
 
 Edge cases: null and empty texts and texts under 50 words have no passage; equal texts are one class, and each copy is a
@@ -372,18 +373,26 @@ def verified(docs: DataFrame, regions: DataFrame) -> DataFrame:
     own = saved(own.groupBy("id").agg(F.min_by("h", "t").alias("h"), F.min("t").alias("t")))
 
     def check(batches):
+        last, mine = None, []  # b and its passages so far: the join brings the pairs of one b together
         for batch in batches:
             out = []
             for a, b, la, lb, ca, cb, ha, hb, t in zip(*(batch.column(c) for c in ("a", "b", "la", "lb", "ca", "cb", "ha", "hb", "t"))):
+                if b != last:
+                    out += _outermost(mine)
+                    last, mine = b, []
                 ha, hb = np.frombuffer(ha.as_buffer(), np.uint32), np.frombuffer(hb.as_buffer(), np.uint32)
                 la, lb = la.as_py(), lb.as_py()
                 ca, cb = ca.values.to_numpy() - la, cb.values.to_numpy() - lb
                 here = (ca < len(ha)) & (cb < len(hb))  # a seed of another text under the same doc_id may lie outside
                 if here.any():
                     region = (0, len(ha) - 1, 0, len(hb) - 1, ca[here].tolist(), cb[here].tolist())
-                    out += [(b.as_py(), a.as_py(), lb + p, lb + q + WIDTH, la + x, t.as_py()) for p, q, x in passages(ha, hb, region)]
-            cols = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "dup_of", "start_word", "end_word", "dup_start_word", "text_hash"])
+                    mine += [(b.as_py(), a.as_py(), lb + p, lb + q + WIDTH, la + x, t.as_py()) for p, q, x in passages(ha, hb, region)]
+            yield rows_of(out)
+        yield rows_of(_outermost(mine))
+
+    def rows_of(out):
+        cols = list(zip(*out)) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "dup_of", "start_word", "end_word", "dup_start_word", "text_hash"])
 
     part = lambda k: F.substr("h", (F.col("l" + k) * 4 + 1).cast("int"), (F.col("n" + k) * 4).cast("int")).alias("h" + k)
     names = ["b", "la", "lb", "nb", "ca", "cb"]
@@ -394,6 +403,16 @@ def verified(docs: DataFrame, regions: DataFrame) -> DataFrame:
     return out
 
 
+def _outermost(found: list[tuple]) -> list[tuple]:
+    """The passages of one document (start and end in places 2 and 3) that no other one holds; of equal ones, that of the smallest doc_id."""
+    out, end = [], -1
+    for x in sorted(found, key=lambda x: (x[2], -x[3], x[1])):
+        if x[3] > end:
+            out.append(x)
+            end = x[3]
+    return out
+
+
 def reach(region: tuple) -> tuple[int, int, int, int]:
     """First shingle and number of shingles of a and of b that a passage in the region can hold.
 
