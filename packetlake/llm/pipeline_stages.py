@@ -1,4 +1,11 @@
-"""The stages of corpus_pipeline.py: (spark, docs, sf_dir) -> DataFrame."""
+"""The stages of corpus_pipeline.py: (spark, docs, sf_dir) -> DataFrame.
+
+Edge cases: null and empty texts are scored like any other, are near copies of nothing, have no passage and pack as the end
+token alone; ties of scores fall alike, as each row is judged by itself; of equal rows (one doc_id, one text) the near
+copies' stage keeps one, and rows of one doc_id with other texts stay unless the doc_id is a copy of a smaller one; rows
+without doc_id stay in every stage; empty tables pass through; extra columns are kept up to the last stage, whatever
+their names; texts of any length are read whole.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +35,11 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     from . import ngram_join as n
 
     found = n.near_duplicate_components(docs)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
+    drop = F.max(F.col("doc_id") != F.col("component_id")).alias("_drop_")
+    of = saved(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id_")).agg(drop, (F.count("*") > 1).alias("_more_")).where("_drop_ or _more_"))
+    rows = docs.join(of, F.col("doc_id").cast("long") == F.col("_id_"), "left").where("not coalesce(_drop_, false)")
+    again = rows.where("_more_").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return rows.where("_more_ is null").select(docs.columns).unionByName(again)
 
 
 def repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,13 +195,44 @@ def test_html_without_telling_names(spark):
     assert html_extract.extract(rows.where("false"), model).count() == 0
 
 
+def landmark(word):
+    return bytes(toxicity._LETTER[x] for x in word.encode() if toxicity._LETTER[x])
+
+
 def test_string_kernel_tolerates_gaps():
-    marks = toxicity.Landmarks(["idiot"])
-    value = {}
-    for w in ("idiot", "idxiot", "i.d.i.o.t", "i d i o t", "ID1OT", "moderation"):
-        value[w] = float(marks.documents(*textvec.buffers(__import__("pyarrow").array([w])))[0, 0])
-    assert value["idiot"] == value["i.d.i.o.t"] == value["i d i o t"] == value["ID1OT"] == pytest.approx(1)
-    assert value["idxiot"] > 5 * value["moderation"]
+    import pyarrow as pa
+
+    marks = toxicity.Landmarks([landmark("idiot"), landmark("дурак")])
+    near = lambda w, k: float(marks.sentences(*textvec.buffers(pa.array([w])))[1].max(0, initial=0)[k])
+    assert all(near(w, 0) == pytest.approx(1) for w in ("idiot", "i.d.i.o.t", "i d i o t", "ID1OT"))
+    assert near("idxiot", 0) > 0.02 and near("moderation", 0) < 0.02
+    assert near("Дурак", 1) == pytest.approx(1) and near("ду-рак", 1) == pytest.approx(1) and near("дууурак", 1) > 0.02 and near("работа", 1) < 0.02
+
+
+def test_bound_of_the_kernel_leaves_out_nothing():
+    r = np.random.default_rng(1)
+    marks = toxicity.Landmarks([landmark(w) for w in ("idiot", "worthless", "scum", "abcdefghijklmnop")])
+    rows = np.zeros((2000, toxicity.LENGTH), np.uint8)
+    for k in range(len(rows)):
+        n = r.integers(3, 16)
+        rows[k, :n] = r.choice(np.frombuffer(landmark("idiotworthlescum"), np.uint8), n)
+    got = marks.similar(rows)
+    for k in range(4):
+        full = toxicity.kernel(rows, np.repeat(marks.rows[k : k + 1], len(rows), 0)) / np.sqrt(toxicity.kernel(rows, rows) * marks.own[k])
+        assert np.allclose(got[:, k], np.where(full >= toxicity.LOW, np.exp(toxicity.SHARP * (np.minimum(full, 1) - 1)), 0), atol=1e-3)
+
+
+def test_the_worst_sentence_counts(spark):
+    r = np.random.default_rng(2)
+    say = lambda bad: ". ".join([sentence(r, 8) for _ in range(6)] + ([f"you are an {'idiot' if r.random() < 0.5 else 'id-i-ot'} so go"] if bad else ["so you are here"]) + [sentence(r, 8)])
+    rows = [(k, say(k % 4 == 0), int(k % 4 == 0)) for k in range(400)]
+    docs = spark.createDataFrame([(k, t, "x") for k, t, _ in rows], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.col("doc_id") < 300)
+    got = {x.doc_id: x.score for x in toxicity.score(docs, model).collect()}
+    assert all((got[k] >= 0.7) == bool(y) for k, _, y in rows if k >= 300)
+    assert toxicity.train(docs, labels.where("toxic = 0"), F.lit(True)) is None
+    assert toxicity.score(docs.where("false"), model).count() == 0
 
 
 def test_toxicity_and_quality_on_held_out_labels(spark):

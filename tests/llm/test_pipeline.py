@@ -39,3 +39,22 @@ def test_stages_take_effect(spark):
     assert not [k for k, v in seen.items() if len(v) > 1]
     packed = docs.collect()
     assert {r.doc_id for r in packed} == set(left) and max(r.offset + r.length for r in packed) <= 2048
+
+
+def test_stages_on_odd_rows(spark):
+    """Equal rows, several texts of a doc_id, rows without doc_id or text, clashing extra columns, and an empty table."""
+    long = " ".join(f"word{k % 977}x{k}" for k in range(200_000))
+    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "A b c d e f g h"), (3, None), (None, "a b c d e f g h"), (4, ""), (5, long), (3, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 0, "p", 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, piece string, _spans int")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), SF).count() == 0
+        out = stage(spark, docs, SF)
+        got = sorted((r.doc_id or 0) for r in out.select("doc_id").distinct().collect())
+        if name == "ngram_jaccard_join":
+            assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 3, 4, 5] and out.columns == docs.columns
+        elif name == "best_fit_packing":
+            assert got == [0, 1, 2, 3, 4, 5]
+        else:
+            assert out.columns == docs.columns
+        if name == "substring_dedup":
+            assert out.count() == len(rows) and {r.text for r in out.where("doc_id = 5").collect()} == {long}
