@@ -59,3 +59,27 @@ with recursive hurt as (
 select a.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
   coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit, sha256(coalesce(substr(best.l, 2), '')) as repaired_sha256
 from (select distinct conv_id from conversations) a left join ended e on a.conv_id is not distinct from e.conv_id"""
+
+
+COLLOCATIONS = """
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents
+), lists as (select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as ws from pieces
+), grams as (
+  select lang, unnest(flatten(list_transform([1, 2, 3, 4], lambda k: list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])))) as p from lists
+), counts as (select lang, p, count(*) as f from grams group by lang, p
+), totals as (select lang, sum(f)::bigint as n from counts where len(p) = 1 group by lang
+), candidates as (select lang, p, f from counts where len(p) > 1 and f >= 30
+), cuts as (select lang, p, f, unnest(range(1, len(p))) as k from candidates
+), tried as (
+  select c.*, x.f as l, y.f as r, (2000000::hugeint * c.f // (x.f::hugeint + y.f))::bigint as score
+  from cuts c join counts x on x.lang = c.lang and x.p = c.p[:c.k] join counts y on y.lang = c.lang and y.p = c.p[c.k + 1:]
+), best as (select *, row_number() over (partition by lang, p order by score, k) as place from tried
+), held as (
+  select distinct b.lang, b.p from candidates c, unnest(range(2, len(c.p))) as q(k), unnest(range(1, len(c.p) - k + 2)) as s(i)
+  join candidates b on b.lang = c.lang and b.p = c.p[i:i + k - 1] where 100 * c.f >= 80 * b.f
+), ranked as (
+  select lang, array_to_string(p, ' ') as phrase, f as a, l, r, score, row_number() over (partition by lang order by score desc, f desc, array_to_string(p, ' ')) as rank
+  from best b where place = 1 and not exists (select 1 from held h where h.lang = b.lang and h.p = b.p)
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000"""

@@ -16,6 +16,7 @@ MODULES = {
     "op8_quality_classifier": "quality_classifier",
     "op9_best_fit_packing": "packing",
     "op10_kd_shards": "sharding",
+    "op11_phrase_collocations": "collocations",
     "op13_conversation_repair": "conversation_repair",
 }
 
@@ -53,6 +54,7 @@ with recursive v as (
 ), {_REACH}, n as (select id, count(*) as n from (select a as id from links union all select b from links) group by id)
 select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce((select min(y) from reach where x = vec_id), vec_id)) as component_id,
   least(vec_id, coalesce((select min(y) from reach where x = vec_id), vec_id)) = vec_id as kept from embeddings left join n on id = vec_id""",
+    "op11_phrase_collocations": oracles.COLLOCATIONS,
     "op13_conversation_repair": oracles.CONVERSATIONS,
 }
 
