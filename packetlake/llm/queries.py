@@ -17,6 +17,7 @@ MODULES = {
     "op9_best_fit_packing": "packing",
     "op10_kd_shards": "sharding",
     "op11_phrase_collocations": "collocations",
+    "op12_lattice_lm": "lattice_lm",
     "op13_conversation_repair": "conversation_repair",
 }
 
