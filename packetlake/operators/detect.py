@@ -1,4 +1,7 @@
-"""Windowed detection rules: packets in, alerts out. All windows are on event time (ts_ms)."""
+"""Windowed detection rules: packets in, alerts out. All windows are on event time (ts_ms).
+
+`over` holds the window functions: `operators.windows` for tables, `streaming.stateful` for streams.
+"""
 
 import functools
 
@@ -10,8 +13,8 @@ from pyspark.sql import functions as F
 
 from packetlake import config as c
 from packetlake.functions import net
+from packetlake.operators import windows
 from packetlake.operators.stored import stored
-from packetlake.operators.windows import distinct_in_window, previous, running_total, sliding
 
 ALERT = ("rule_id", "severity", "category", "ts_ms", "pkt_id", "src_ip", "dst_ip", "dst_port", "evidence")
 
@@ -54,30 +57,30 @@ def _scan_rows(packets: DataFrame) -> DataFrame:
     return packets.where(~F.col("src_port").isin(*c.SERVICE_PORTS) & (F.col("dst_port") > 0))
 
 
-def port_scan(packets: DataFrame, cfg: c.Config = c.DEFAULT) -> DataFrame:
+def port_scan(packets: DataFrame, cfg: c.Config = c.DEFAULT, over=windows) -> DataFrame:
     """The ports and targets themselves are added to the alerts that are let through, by `explained`."""
-    rows = distinct_in_window(_scan_rows(packets), ["src_ip"], "dst_port", cfg.scan_ms, _n=F.lit(True), _low=F.col("dst_port") < 1024)
+    rows = over.distinct_in_window(_scan_rows(packets), ["src_ip"], "dst_port", cfg.scan_ms, _n=F.lit(True), _low=F.col("dst_port") < 1024)
     return alerts(rows.where((F.col("_n") >= cfg.scan_ports) & (F.col("_low") > 0)), "PORT-SCAN", "HIGH", "Reconnaissance", n_ports=F.col("_n"))
 
 
-def _counted(rows, keys, width, threshold):
-    return sliding(rows, keys, width, _n=lambda w: F.count("*").over(w)).where(threshold(F.col("_n")))
+def _counted(rows, keys, width, threshold, over):
+    return over.count_in_window(rows, keys, width, "_n").where(threshold(F.col("_n")))
 
 
-def brute_force(packets: DataFrame, cfg: c.Config = c.DEFAULT) -> DataFrame:
-    rows = _counted(packets.where(F.col("flags").contains("R")), ["src_ip", "dst_ip", "dst_port"], cfg.failure_ms, lambda n: n >= cfg.failures)
+def brute_force(packets: DataFrame, cfg: c.Config = c.DEFAULT, over=windows) -> DataFrame:
+    rows = _counted(packets.where(F.col("flags").contains("R")), ["src_ip", "dst_ip", "dst_port"], cfg.failure_ms, lambda n: n >= cfg.failures, over)
     names = F.create_map(*[F.lit(x) for kv in c.SERVICE_NAMES.items() for x in kv])
     return alerts(rows, "BRUTE-FORCE", "HIGH", "Brute Force", attempts=F.col("_n"), service=F.coalesce(names[F.col("dst_port")], F.concat(F.lit("port "), F.col("dst_port"))))
 
 
-def syn_flood(packets: DataFrame, cfg: c.Config = c.DEFAULT) -> DataFrame:
+def syn_flood(packets: DataFrame, cfg: c.Config = c.DEFAULT, over=windows) -> DataFrame:
     rows = packets.where((F.col("protocol") == "TCP") & net.syn_only(F.col("flags")) & ~F.col("dst_ip").isin(*(cfg.gateways or ("",))))
     most = F.when(net.is_lan_text(F.col("src_ip")) & F.col("dst_port").isin(*c.OUTBOUND_PORTS), cfg.syn_flood_local).otherwise(cfg.syn_flood)
-    return alerts(_counted(rows, ["src_ip", "dst_ip"], cfg.flood_ms, lambda n: n > most), "SYN-FLOOD", "CRITICAL", "DoS", syn_count=F.col("_n"))
+    return alerts(_counted(rows, ["src_ip", "dst_ip"], cfg.flood_ms, lambda n: n > most, over), "SYN-FLOOD", "CRITICAL", "DoS", syn_count=F.col("_n"))
 
 
-def icmp_flood(packets: DataFrame, cfg: c.Config = c.DEFAULT) -> DataFrame:
-    return alerts(_counted(packets.where("protocol = 'ICMP'"), ["src_ip"], cfg.flood_ms, lambda n: n > cfg.icmp_flood), "ICMP-FLOOD", "HIGH", "DoS", icmp_count=F.col("_n"))
+def icmp_flood(packets: DataFrame, cfg: c.Config = c.DEFAULT, over=windows) -> DataFrame:
+    return alerts(_counted(packets.where("protocol = 'ICMP'"), ["src_ip"], cfg.flood_ms, lambda n: n > cfg.icmp_flood, over), "ICMP-FLOOD", "HIGH", "DoS", icmp_count=F.col("_n"))
 
 
 def dns_tunnel(packets: DataFrame, cfg: c.Config = c.DEFAULT) -> DataFrame:
@@ -93,9 +96,9 @@ def bad_tld(packets: DataFrame, cfg: c.Config = c.DEFAULT, strict_suffix: bool =
     return alerts(rows, "DNS-BAD-TLD", "MEDIUM", "Suspicious DNS", query=q, tld=F.col("_end"))
 
 
-def dns_flood(packets: DataFrame, cfg: c.Config = c.DEFAULT) -> DataFrame:
-    rows = _counted(packets.where("dns_query <> ''"), ["src_ip"], cfg.flood_ms, lambda n: F.lit(True))
-    rows = distinct_in_window(rows, ["src_ip"], "dns_query", cfg.flood_ms, _names=F.lit(True)).where(F.col("_n") > cfg.dns_flood)
+def dns_flood(packets: DataFrame, cfg: c.Config = c.DEFAULT, over=windows) -> DataFrame:
+    rows = _counted(packets.where("dns_query <> ''"), ["src_ip"], cfg.flood_ms, lambda n: F.lit(True), over)
+    rows = over.distinct_in_window(rows, ["src_ip"], "dns_query", cfg.flood_ms, _names=F.lit(True)).where(F.col("_n") > cfg.dns_flood)
     return alerts(rows, "DNS-FLOOD", "MEDIUM", "Suspicious DNS", queries=F.col("_n"), distinct_domains=F.col("_names"))
 
 
@@ -122,21 +125,27 @@ def explained(found: DataFrame, packets: DataFrame, cfg: c.Config = c.DEFAULT) -
     return out.select(*found.columns)
 
 
-def arp_spoof(packets: DataFrame) -> DataFrame:
-    rows = previous(packets.where("protocol = 'ARP' and src_mac <> ''"), "src_ip", "src_mac", "_old").where("_old <> src_mac")
+def arp_spoof(packets: DataFrame, cfg: c.Config = c.DEFAULT, over=windows) -> DataFrame:
+    rows = over.previous(packets.where("protocol = 'ARP' and src_mac <> ''"), "src_ip", "src_mac", "_old").where("_old <> src_mac")
     return alerts(rows, "ARP-SPOOF", "CRITICAL", "Network Attack", old_mac=F.col("_old"), new_mac=F.col("src_mac"))
 
 
-def exfiltration(packets: DataFrame, cfg: c.Config = c.DEFAULT, learned_ips: DataFrame | None = None) -> DataFrame:
+def exfiltration(packets: DataFrame, cfg: c.Config = c.DEFAULT, learned_ips: DataFrame | None = None, over=windows, learned_since: DataFrame | None = None) -> DataFrame:
     """A destination's running upload passes upload_mb, then twice that, and so on. Crossings come from the running total's level.
 
-    MEDIUM for learned destinations (ip), else HIGH.
+    MEDIUM for learned destinations, else HIGH: those of `learned_ips` (ip), or those that `learned_since` (of
+    `intel.learned_since`) has as learned before the packet.
     """
-    rows = running_total(packets.where("payload_size > 0"), "dst_ip", "payload_size", "_total").withColumn("_mb", F.col("_total") / 1048576.0)
+    rows = over.running_total(packets.where("payload_size > 0"), "dst_ip", "payload_size", "_total").withColumn("_mb", F.col("_total") / 1048576.0)
     level = lambda mb: F.when(mb > cfg.upload_mb, F.ceil(F.round(F.log2(mb / cfg.upload_mb), 12))).otherwise(0)
     rows = rows.withColumn("_level", level(F.col("_mb"))).withColumn("_before", level(F.col("_mb") - F.col("payload_size") / 1048576.0)).where("_level > _before")
     severity = F.lit("HIGH")
-    if learned_ips is not None:
+    if learned_since is not None:
+        from packetlake.operators import intel
+
+        rows = intel.as_of(rows, learned_since, {"ip": F.col("dst_ip")})
+        severity = F.when(F.col("known"), "MEDIUM").otherwise("HIGH")
+    elif learned_ips is not None:
         rows = rows.join(learned_ips.select(F.col("ip").alias("dst_ip"), F.lit(True).alias("_known")), "dst_ip", "left")
         severity = F.when(F.col("_known"), "MEDIUM").otherwise("HIGH")
     return alerts(rows, "DATA-EXFIL", severity, "Exfiltration", total_mb=F.round("_mb", 2), threshold_mb=cfg.upload_mb * F.pow(F.lit(2.0), F.col("_level") - 1))
@@ -193,7 +202,7 @@ def run_rules(packets: DataFrame, cfg: c.Config = c.DEFAULT, extra: tuple = (),
     own columns and rows of that table.
     """
     look = stored(candidates(packets, cfg).select(*NEEDED))
-    found = [r(look) if r is arp_spoof else r(look, cfg) for r in rules] + [r(packets) for r in extra]
+    found = [r(look, cfg) for r in rules] + [r(packets) for r in extra]
     return functools.reduce(DataFrame.unionByName, found)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from packetlake import config as c
 from packetlake.functions import net
-from packetlake.operators.windows import sliding
+from packetlake.operators import windows
 
 
 def sides(packets: DataFrame) -> DataFrame:
@@ -43,10 +43,10 @@ def dynamic_dns(domains: DataFrame, column: str = "domain", strict_suffix: bool
     return domains.where(test)
 
 
-def inferred_domains(packets: DataFrame, cfg: c.Config = c.DEFAULT) -> DataFrame:
+def inferred_domains(packets: DataFrame, cfg: c.Config = c.DEFAULT, over=windows) -> DataFrame:
     """As-of: a TCP or UDP packet without a query takes the newest query of its source if that is less than 30 s old."""
-    rows = sliding(packets, ["src_ip"], cfg.dns_memory_ms, domain=lambda w: F.max(F.when(F.col("dns_query") != "", F.struct("ts_ms", "pkt_id", "dns_query"))).over(w))
-    return rows.where("protocol in ('TCP', 'UDP') and dns_query = '' and domain is not null").withColumn("domain", F.col("domain.dns_query"))
+    rows = over.newest_in_window(packets, ["src_ip"], cfg.dns_memory_ms, "dns_query", "domain")
+    return rows.where("protocol in ('TCP', 'UDP') and dns_query = '' and domain is not null")
 
 
 def answered_domains(packets: DataFrame) -> DataFrame:

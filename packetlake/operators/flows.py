@@ -91,3 +91,10 @@ def recent(packets: DataFrame, minutes: int) -> DataFrame:
 def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def flow_list(packets: DataFrame, k: int = 100, idle: str = c.DEFAULT.flow_idle) -> DataFrame:
+    """The k largest flows by bytes with their state: RST or FIN once such a packet was seen, else EST after a SYN-ACK, else NEW."""
+    state = F.when(F.col("rst") > 0, "RST").when(F.col("fin") > 0, "FIN").when(F.col("established"), "EST").otherwise("NEW")
+    order = (F.desc("bytes"), "ip_a", "ip_b", "port_a", "port_b", "proto", "start_ms")
+    return flows(packets, idle).withColumn("state", state).orderBy(*order).limit(k)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from packetlake import config as c
 from packetlake.functions import net
-from packetlake.operators import enrich
+from packetlake.operators import enrich, windows
 from packetlake.operators.detect import alerts
 
 DAY_MS = 86_400_000
@@ -65,6 +65,34 @@ def unlearned_domains(packets: DataFrame, domains: DataFrame, exact: tuple[str,
     return rows.join(domains.where("learned").select(F.col("domain").alias("_base")), "_base", "left_anti").drop("_base")
 
 
+def learned_since(packets: DataFrame, domain_times: int = 3, address_times: int = 3, port_times: int = 5) -> dict[str, DataFrame]:
+    """When each base domain, destination and port had been seen often enough: the key and since_ms, since_pkt of that packet."""
+    named = packets.where("dns_query <> ''").select(net.base_domain(F.lower("dns_query")).alias("domain"), "ts_ms", "pkt_id")
+    at = {
+        "domains": windows.nth_rows(named, "domain", domain_times),
+        "ips": windows.nth_rows(packets.select(F.col("dst_ip").alias("ip"), "ts_ms", "pkt_id"), "ip", address_times),
+        "ports": windows.nth_rows(packets.where("dst_port > 0"), "dst_port", port_times),
+    }
+    return {k: t.withColumnsRenamed({"ts_ms": "since_ms", "pkt_id": "since_pkt"}) for k, t in at.items()}
+
+
+def as_of(rows: DataFrame, since: DataFrame, keys: dict) -> DataFrame:
+    """rows with `known`: whether the key had been learned before the row's own packet, so that what comes later decides nothing.
+
+    keys: column of `since` -> expression on rows. `since` has a row a key.
+    """
+    names = {f"_{k}": v for k, v in keys.items()}
+    table = since.select(*[F.col(k).alias(f"_{k}") for k in keys], "since_ms", "since_pkt")
+    before = (F.col("since_ms") < F.col("ts_ms")) | ((F.col("since_ms") == F.col("ts_ms")) & (F.col("since_pkt") < F.col("pkt_id")))
+    joined = rows.withColumns(names).join(table, list(names), "left")
+    return joined.withColumn("known", F.col("since_ms").isNotNull() & F.coalesce(before, F.lit(False))).select(*rows.columns, "known")
+
+
+def unlearned_as_of(packets: DataFrame, domains: DataFrame, column: str = "dns_query") -> DataFrame:
+    """packets whose base domain had not been learned (rows of `learned_since`) when they came."""
+    return as_of(packets, domains, {"domain": net.base_domain(F.lower(F.col(column)))}).where("not known").drop("known")
+
+
 def learned_beacons(packets: DataFrame, least: int = 10, cv: float = 0.3) -> DataFrame:
     """src_ip, dst_ip pairs that met at regular intervals during the baseline."""
     from packetlake.operators.windows import previous

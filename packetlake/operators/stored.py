@@ -4,7 +4,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -12,15 +12,28 @@ def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="packetlake-")
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir (or SparkContext.setCheckpointDir) names. Where that is unset, one of our own, but only in local mode (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or _own_folder()).rstrip("/")
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir: computed once, readable after an executor is lost.
+    """df as a Parquet table in the shared folder: computed once, readable after an executor is lost.
 
-    Where that setting is absent, a folder of our own is used, but only in local mode.
+    Results read these tables lazily, so they stay until the session's owner clears the folder, or calls `forget`.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{(folder or _own_folder()).rstrip('/')}/packetlake-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/packetlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,9 +1,13 @@
 """Windows over one key's history that no task has to hold whole: time is cut into blocks, and blocks are joined by their ends."""
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from packetlake.operators.stored import stored
+
 
 def sliding(df: DataFrame, keys: list[str], width: int, **columns) -> DataFrame:
     """Add columns computed over the key's rows of the last `width` milliseconds, the current one included.
@@ -15,6 +19,17 @@ def sliding(df: DataFrame, keys: list[str], width: int, **columns) -> DataFrame:
     return _doubled(df, width).withColumns({name: f(w) for name, f in columns.items()}).where("_own").drop("_own", "_block")
 
 
+def count_in_window(df: DataFrame, keys: list[str], width: int, name: str) -> DataFrame:
+    """Add the number of the key's rows in the last `width` milliseconds, those of the same millisecond included."""
+    return sliding(df, keys, width, **{name: lambda w: F.count("*").over(w)})
+
+
+def newest_in_window(df: DataFrame, keys: list[str], width: int, value: str, name: str) -> DataFrame:
+    """Add the newest `value` that is not empty of the key's rows in the last `width` milliseconds; of one millisecond that of the largest pkt_id."""
+    newest = F.max(F.when(F.col(value) != "", F.struct("ts_ms", "pkt_id", value)))
+    return sliding(df, keys, width, **{name: lambda w: newest.over(w)[value]})
+
+
 def _doubled(df: DataFrame, width: int) -> DataFrame:
     block = F.floor(F.col("ts_ms") / width)
     return df.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_block", F.when(F.col("_own"), block).otherwise(block + 1))
@@ -54,3 +69,47 @@ def previous(df: DataFrame, key: str, value: str, name: str, block_ms: int = 600
     carried = last.select(key, "_block", F.lag("_end").over(W.partitionBy(key).orderBy("_block")).alias("_carried"))
     lag = F.lag(F.struct(value)).over(W.partitionBy(key, "_block").orderBy("ts_ms", "pkt_id"))
     return rows.join(carried, [key, "_block"]).withColumn(name, F.coalesce(lag, "_carried")[value]).drop("_block", "_carried")
+
+
+def sums_before(rows: DataFrame, block: str, per: int = 4096, **values) -> DataFrame:
+    """(block, name, ...): for each value (name -> aggregate, whole numbers or decimals), its sum over all rows of earlier blocks.
+
+    Blocks (numbers) are added up in groups of `per`, and only the groups' sums, one row for `per` blocks, come to the
+    driver; inside a group a window goes over its blocks.
+    """
+    sums = stored(rows.groupBy(block).agg(*[v.alias(n) for n, v in values.items()]).withColumn("_group", F.floor(F.col(block) / per)))
+    groups, so_far, out = sums.groupBy("_group").agg(*[F.sum(n).alias(n) for n in values]).orderBy("_group").collect(), dict.fromkeys(values, 0), []
+    for g in groups:
+        out.append((g["_group"], *so_far.values()))
+        so_far = {n: so_far[n] + (g[n] or 0) for n in values}
+    kinds = dict(sums.dtypes)
+    start = sums.sparkSession.createDataFrame([(g, *map(_whole, x)) for g, *x in out], "_group long, " + ", ".join(f"_{n} decimal(38,{_scale(kinds[n])})" for n in values))
+    inside = W.partitionBy("_group").orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+    own = {n: F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in values}
+    return sums.withColumns(own).join(F.broadcast(start), "_group").select(block, *[(F.col(n) + F.col("_" + n)).cast(_sum_of(kinds[n])).alias(n) for n in values])
+
+
+def _whole(x):
+    return x if isinstance(x, Decimal) else Decimal(x)
+
+
+def _scale(kind: str) -> int:
+    return int(kind.rstrip(")").split(",")[1]) if kind.startswith("decimal") else 0
+
+
+def _sum_of(kind: str) -> str:
+    return f"decimal(38,{_scale(kind)})" if kind.startswith("decimal") else "long"
+
+
+def running_over_all(df: DataFrame, value, name: str, block_ms: int = 10_000) -> DataFrame:
+    """Add the sum of `value` (whole numbers) over all rows up to each one in order of (ts_ms, pkt_id), with no task that sees them all."""
+    rows = df.withColumns({"_block": F.floor(F.col("ts_ms") / block_ms), "_value": value})
+    before = sums_before(rows, "_block", _before=F.sum("_value"))
+    inside = F.sum("_value").over(W.partitionBy("_block").orderBy("ts_ms", "pkt_id").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("_inside", inside).join(before, "_block").withColumn(name, F.col("_before") + F.col("_inside")).drop("_block", "_value", "_inside", "_before")
+
+
+def nth_rows(df: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, ts_ms, pkt_id) of each key's n-th row in order of (ts_ms, pkt_id). Each task passes on at most n rows of a key."""
+    place = F.row_number().over(W.partitionBy(key).orderBy("ts_ms", "pkt_id"))
+    return df.select(key, "ts_ms", "pkt_id").withColumn("_place", place).where(F.col("_place") <= n).where(F.col("_place") == n).drop("_place")

@@ -64,6 +64,13 @@ add("a1_flows", lambda s, d: flows.flows(packets(s, d)).select("ip_a", "ip_b", "
     select ip_a, ip_b, port_a, port_b, protocol, count(*) as packets, sum(length)::bigint as bytes, sum(payload_size)::bigint as payload_bytes, count(*) filter (src_ip = ip_a) as packets_ab, count(*) filter (contains(flags, 'S') and not contains(flags, 'A')) as syn, count(*) filter (contains(flags, 'R')) as rst, count(*) filter (contains(flags, 'F')) as fin,
       bool_or(contains(flags, 'S') and contains(flags, 'A')) as established, coalesce(string_agg(distinct nullif(flags, ''), '|' order by nullif(flags, '')), '') as flag_set, min(ts_ms) as start_ms, max(ts_ms) as end_ms,
       round(greatest((max(ts_ms) - min(ts_ms)) / 1000.0::double, 0.001::double), 6) as seconds, round(sum(length) / greatest((max(ts_ms) - min(ts_ms)) / 1000.0::double, 0.001::double), 6) as bytes_per_sec, round(sum(length) / count(*)::double, 6) as avg_size from n group by ip_a, ip_b, port_a, port_b, protocol, s""")
+add("t1_flow_list", lambda s, d: flows.flow_list(packets(s, d)).select("ip_a", "ip_b", "port_a", "port_b", F.col("proto").alias("protocol"), "start_ms", "packets", "bytes", "state"),
+    """k as (select *, least(src_ip, dst_ip) as ip_a, greatest(src_ip, dst_ip) as ip_b, least(src_port, dst_port) as port_a, greatest(src_port, dst_port) as port_b from packets),
+    g as (select *, case when ts_ms - lag(ts_ms) over w <= 120000 then 0 else 1 end as fresh from k window w as (partition by ip_a, ip_b, port_a, port_b, protocol order by ts_ms, pkt_id)),
+    n as (select *, sum(fresh) over (partition by ip_a, ip_b, port_a, port_b, protocol order by ts_ms, pkt_id rows unbounded preceding) as s from g)
+    select ip_a, ip_b, port_a, port_b, protocol, min(ts_ms) as start_ms, count(*) as packets, sum(length)::bigint as bytes,
+      case when bool_or(contains(flags, 'R')) then 'RST' when bool_or(contains(flags, 'F')) then 'FIN' when bool_or(contains(flags, 'S') and contains(flags, 'A')) then 'EST' else 'NEW' end as state
+    from n group by ip_a, ip_b, port_a, port_b, protocol, s order by bytes desc, ip_a, ip_b, port_a, port_b, protocol, start_ms limit 100""")
 add("a4_protocol_mix", lambda s, d: flows.protocol_mix(packets(s, d)), "select protocol, count(*) as n, round(count(*) / (select count(*) from packets)::double, 6) as share from packets group by protocol order by n desc, protocol limit 8")
 add("a5_top_talkers", lambda s, d: flows.top_talkers(packets(s, d)), "select src_ip as ip, sum(length)::bigint as bytes, count(*) as packets from packets group by 1 order by bytes desc, ip limit 20")
 add("a6_rate", lambda s, d: flows.rate(packets(s, d)), "select ts_ms // 1000 as second, count(*) as packets, sum(length)::bigint as bytes from packets group by 1")

@@ -1,12 +1,14 @@
 """The same operators on streams of packets."""
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlake import config as c
-from packetlake.operators import correlate, detect
+from packetlake.operators import correlate, detect, enrich
+from packetlake.streaming import stateful
 
 
 def packet_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -26,6 +28,31 @@ def flood_windows(packets: DataFrame, late: str = "2 minutes", cfg: c.Config = c
     return by.where(F.col("n") > cfg.syn_flood).select("src_ip", "dst_ip", F.unix_millis("w.start").alias("start_ms"), "n")
 
 
+#: Rules whose windows are kept from batch to batch, key by key.
+KEYED_RULES = (detect.port_scan, detect.brute_force, detect.syn_flood, detect.icmp_flood, detect.dns_flood, detect.arp_spoof, detect.exfiltration)
+
+
+def alert_stream(packets: DataFrame, late: str = "2 minutes", cfg: c.Config = c.DEFAULT, rules=KEYED_RULES) -> DataFrame:
+    """Alerts of a packet stream, the same rows as the rules give on a table of these packets, however the stream is cut into batches.
+
+    A rule's answer for a packet comes when the watermark has passed it. Packets later than `late` are dropped.
+    """
+    look = detect.candidates(packets.withWatermark("ts", late).select(*detect.NEEDED, "ts"), cfg)
+    return functools.reduce(DataFrame.unionByName, [r(look, cfg, over=stateful) for r in rules])
+
+
+def passed_stream(found: DataFrame, late: str = "2 minutes", ms: int = c.DEFAULT.cooldown_ms) -> DataFrame:
+    """The alerts of a stream of alerts (such as the table that `alert_stream` is written to) that pass the cooldown."""
+    timed = found.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", late)
+    return stateful.cooldown(timed, ms).drop("ts")
+
+
+def domain_stream(packets: DataFrame, late: str = "2 minutes", cfg: c.Config = c.DEFAULT) -> DataFrame:
+    """TCP and UDP packets with the name that their source asked for less than 30 s before."""
+    columns = ("pkt_id", "ts_ms", "ts", "src_ip", "dst_ip", "protocol", "dns_query")
+    return enrich.inferred_domains(packets.withWatermark("ts", late).select(*columns), cfg, over=stateful)
+
+
 def flow_sessions(packets: DataFrame, late: str = "2 minutes", idle: str = c.DEFAULT.flow_idle) -> DataFrame:
     """Traffic sessions of address pairs, closed after `idle` without a packet."""
     a, b = F.least("src_ip", "dst_ip").alias("ip_a"), F.greatest("src_ip", "dst_ip").alias("ip_b")
