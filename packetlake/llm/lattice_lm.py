@@ -30,7 +30,7 @@ from . import textvec as tv
 from .common import crc_of_id, forget, saved, table
 
 VOCABULARY = "piece_bpe_32k.model"
-PRIOR, FOLDS, CHUNK, WORDS = 32_000.0, 10, 6 << 20, 20_000
+PRIOR, FOLDS, CHUNK, WORDS = 32_000.0, 10, 14 << 20, 20_000
 MARK = "▁".encode()
 
 
@@ -130,9 +130,20 @@ def chunks(docs: DataFrame) -> DataFrame:
     """Rows of two kinds: chunk, word, place, train (a chunk's different words); chunk, doc_id, held_out, places, times (its documents)."""
     schema = pa.schema([("chunk", pa.int64()), ("word", pa.string()), ("place", pa.int32()), ("train", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("places", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
 
+    def gathered(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size > CHUNK - (3 << 20):
+                yield pa.concat_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
     def run(batches):
         no, task = 0, TaskContext.get().partitionId() << 32
-        for b in batches:
+        for b in gathered(batches):
             for i, j, data, off in tv.documents(b.column(2), CHUNK):
                 data = tv.LOWER[data]
                 starts, ends, woff = tv.word_bounds(data, off)
