@@ -10,7 +10,8 @@ block, and counted without being written out.
 The chance holds for labels that are one cloud: in a label of several narrow clouds the mean says less about each, and
 pairs at the threshold inside one are met less often.
 
-Edge cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing, and so does one
+Edge cases: very small and very large components (down to the smallest doubles) count like any others, as each vector is
+scaled before its norm is taken; a vector that is null, empty, zero or holds null or non-finite components links with nothing, and so does one
 without a label; vectors of different length link with nothing; equal vectors are compared once and counted with their
 multiplicity; repeated vec_ids count as rows; an empty table gives an empty result; extra columns are ignored.
 """
@@ -37,6 +38,8 @@ def _matrix(column) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Each is first scaled by a power of two, which is exact, so that no square under- or overflows."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

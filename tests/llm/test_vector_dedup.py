@@ -42,3 +42,21 @@ def test_neighbours_in_different_tasks_are_compared(spark):
     for parts in (1, 7, 90):
         got = {(r.a, r.b) for r in vd.window_pairs(rows.repartitionByRange(parts, "tie").sortWithinPartitions(*vd.ORDER), 5, 0.9).collect()}
         assert got >= want and all(u[i] @ u[j] >= 0.9 for i, j in got)
+
+
+def test_tiny_and_huge_vectors_link_and_spoil_nothing(spark):
+    x = dense(1200, 60)
+    r = np.random.default_rng(8)
+    odd = []
+    for scale in (1e-200, 1e-300, 1e200, 1e307):
+        v = r.normal(size=64)
+        odd += [v * scale, (v + r.normal(size=64) * 0.02) * scale, v * 1.0]
+    odd += [np.full(64, 1e-320), np.full(64, 5e-324)]
+    own = np.concatenate([x, np.array(odd)])
+    unit = np.array([v / np.abs(v).max() for v in own])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= vd.COSINE
+    np.fill_diagonal(near, False)
+    got = {q.vec_id: q.n_links for q in vd.near_duplicates(frame(spark, own)).collect()}
+    assert all(got[k] == near[k].sum() >= 2 for k in range(1200, 1212)) and got[1212] == got[1213] == 1
+    assert sum(got.values()) >= 0.99 * near.sum()
