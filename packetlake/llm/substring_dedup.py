@@ -11,7 +11,9 @@ has windows. A window's hubs are the smallest doc_id that has the minimum and, w
 smallest doc_id that has the minimum together with the same smallest shingle of another hash function among the SIDE ones
 on its left, or on its right. Besides, each run of 46 shingles around a shared minimum is a
 key too (in the first hash function, as every run has a minimum there), and is linked to the smallest doc_id that has this
-run: every 50 words that stand in two documents are found.
+run: every 50 words that stand in two documents are found. So that documents with a part of a passage don't come
+between those that have it whole, or nearly so, a minimum is also a key together with the least values of two bands, one
+on each side of it and up to 50 shingles apart, and linked to the smallest doc_id that has all three.
 
 Only the parts of two texts that a passage around the seeds can reach are sent to be verified. Of the passages of one
 document that stand inside one another the outermost comes out, once, with the smallest doc_id that has it. Intermediate tables are
@@ -44,6 +46,8 @@ KEYBITS = 1 << 25
 RUN = -1
 #: Unmatched shingles that a passage may hold between two matched ones; shingles on each side of a minimum that make its context.
 GAP, SIDE = 12, 24
+#: Shingles in a band; which bands left and right of a minimum make a key with it; shingles around it that are compared.
+BAND, BANDS, AROUND = 8, ((0, 6), (2, 4), (4, 2), (6, 0), (0, 3), (3, 0), (1, 2)), 72
 
 
 def sequence(data: np.ndarray, offsets: np.ndarray):
@@ -136,9 +140,57 @@ def windows(docs: DataFrame) -> DataFrame:
 WINDOW = ("f", "l", "c", "r", "x", "y")
 
 
-def run_links(docs: DataFrame, own: DataFrame, keys: DataFrame) -> DataFrame:
-    """a, b, seed of the runs of LEAST shingles whose minimum is one of the keys: each with the smallest doc_id that has the run."""
+def run_keys(h: np.ndarray, v: np.ndarray, hot: np.ndarray, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places of the runs of LEAST shingles of the document at [s, e) whose minimum in the first hash function v is hot (counted in `hot`)."""
+    near = np.flatnonzero(hot[s + LEAST : e + 1] > hot[s : e + 1 - LEAST])
+    runs = np.lib.stride_tricks.sliding_window_view(v[s:e], LEAST)
+    low = [part + runs[part].argmin(1) for part in np.array_split(near, len(near) // 16384 + 1)]
+    near = near[np.diff(hot)[s + np.concatenate(low)] > 0]
+    return run_hashes(h[s:e])[near] & ~np.uint64(1), near
+
+
+def joint_keys(mixed: list[np.ndarray], minima: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, place, document) of each window minimum that the bit map holds, together with the least values of a band on its left and one on its right.
+
+    The values of two bands that lie far apart stand in one document only if it has the passage on both sides, so a
+    document with a part of it does not take the key of those that have it whole.
+    """
+    keys, places, homes = [], [], []
+    docs = np.searchsorted(at, np.arange(len(mixed[0])), "right") - 1
+    for f, v in enumerate(mixed):
+        c = np.flatnonzero(postings.held(minima, v.view(np.int64)))
+        s, e = at[docs[c]], at[docs[c] + 1]
+        c, s, e = (x[e - s >= LEAST] for x in (c, s, e))
+        reach = np.zeros((2, len(c)), np.int64)  # how far the value is the least on each side
+        for side, sign in enumerate((-1, 1)):
+            alive = np.ones(len(c), bool)
+            for step in range(1, LEAST):
+                to = c + sign * step
+                alive &= (to >= s) & (to < e)
+                alive[alive] = v[to[alive]] > v[c[alive]]
+                reach[side] += alive
+        least = reach.sum(0) + 1 >= LEAST
+        c, s, e = c[least], s[least], e[least]
+        w = mixed[(f + 1) % len(mixed)]
+        low = w.copy()
+        for step in (1, 2, 4):  # the least of BAND values from each place on
+            low[:-step] = np.minimum(low[:-step], low[step:])
+        for k, (i, j) in enumerate(BANDS):
+            left, right = c - BAND * (i + 1), c + 1 + BAND * j
+            ok = (left >= s) & (right + BAND <= e)
+            keys.append(tv.mix(v[c[ok]] ^ tv.mix(low[left[ok]] * np.uint64(3) + low[right[ok]], 500 + k), 600 + f) | np.uint64(1))
+            places.append(c[ok] - s[ok])
+            homes.append(docs[c[ok]])
+    return np.concatenate(keys), np.concatenate(places), np.concatenate(homes)
+
+
+def run_links(docs: DataFrame, own: DataFrame, keys: DataFrame, shared: DataFrame) -> DataFrame:
+    """a, b, seed of the runs of LEAST shingles whose minimum is one of the keys, and of the minima `shared` by three windows or more with what stands around them.
+
+    Each is linked with the smallest doc_id that has the same run, or the same minimum between the same bands.
+    """
     bits = own.sparkSession.sparkContext.broadcast(postings.bit_map(keys, "key", KEYBITS))
+    minima = own.sparkSession.sparkContext.broadcast(postings.bit_map(shared, "key", KEYBITS))
     held = own.sparkSession.sparkContext.broadcast(id_map(own, "owner"))
 
     def run(batches):
@@ -147,21 +199,19 @@ def run_links(docs: DataFrame, own: DataFrame, keys: DataFrame) -> DataFrame:
             b = b.filter(pa.array(postings.held(held.value, bit)))
             for i, j, data, off in tv.documents(b.column(1)):
                 h, at, _, _ = sequence(data, off)
-                v = tv.mix(h, 200)
-                hot = np.concatenate([[0], np.cumsum(postings.held(bits.value, v.view(np.int64)))])
-                owner, key, place = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                mixed = [tv.mix(h, 200 + f) for f in range(HASHES)]
+                hot = np.concatenate([[0], np.cumsum(postings.held(bits.value, mixed[0].view(np.int64)))])
+                key, place, home = ([x] for x in joint_keys(mixed, minima.value, at)) if len(h) else ([], [], [])
                 for d in range(j - i):
                     s, e = at[d], at[d + 1]
-                    if e - s < LEAST or hot[e] == hot[s]:
-                        continue
-                    near = np.flatnonzero(hot[s + LEAST : e + 1] > hot[s : e + 1 - LEAST])
-                    runs = np.lib.stride_tricks.sliding_window_view(v[s:e], LEAST)
-                    low = [part + runs[part].argmin(1) for part in np.array_split(near, len(near) // 16384 + 1)]
-                    near = near[np.diff(hot)[s + np.concatenate(low)] > 0]
-                    owner.append(i + d), key.append(run_hashes(h[s:e])[near]), place.append(near)
-                if owner:
-                    o = pa.array(np.cumsum([len(k) for k in key]), pa.int32())
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.ListArray.from_arrays(o, pa.array(np.concatenate(key).view(np.int64))), pa.ListArray.from_arrays(o, pa.array(np.concatenate(place).astype(np.int32)))], names=["owner", "key", "place"])
+                    if e - s >= LEAST and hot[e] > hot[s]:
+                        k, p = run_keys(h, mixed[0], hot, s, e)
+                        key.append(k), place.append(p), home.append(np.full(len(k), d))
+                if key:
+                    key, place, home = map(np.concatenate, (key, place, home))
+                    order = np.argsort(home, kind="stable")
+                    o = pa.array(np.searchsorted(home[order], np.arange(j - i + 1)).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.ListArray.from_arrays(o, pa.array(key[order].view(np.int64))), pa.ListArray.from_arrays(o, pa.array(place[order].astype(np.int32)))], names=["owner", "key", "place"])
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(IDBITS)).alias("bit"))
     runs = saved(texts.mapInArrow(run, "owner long, key array<long>, place array<int>"))
@@ -169,11 +219,14 @@ def run_links(docs: DataFrame, own: DataFrame, keys: DataFrame) -> DataFrame:
     two = own.sparkSession.sparkContext.broadcast(postings.bit_map(ends, "key", KEYBITS))
     rows = postings.spread(runs.withColumnRenamed("place", "x"), two, ["owner"], ["key", "x"], "owner long, place long, key long, x int").drop("place")
     links = lookup(rows, ends, ["key"], ["lo_owner", "lo_place"], "n", ends.agg(F.sum("n")).first()[0] or 0).where("owner > lo_owner")
-    # one seed for the runs of a stretch: they stand on one diagonal, and fewer than LEAST places apart
-    links = links.select(F.col("lo_owner").alias("a"), F.col("owner").alias("b"), F.col("lo_place").cast("int").alias("p"), "x").groupBy("a", "b", (F.col("x") - F.col("p")).alias("diagonal"), F.floor(F.col("x") / LEAST).alias("part")).agg(F.min("x").alias("lx"), F.max("x").alias("rx"))
+    # one seed for the keys of a stretch: they stand on one diagonal, and fewer than LEAST places apart
+    links = links.select(F.col("lo_owner").alias("a"), F.col("owner").alias("b"), F.col("lo_place").cast("int").alias("p"), "x", F.col("key").bitwiseAND(1).alias("joint"))
+    links = links.groupBy("a", "b", "joint", (F.col("x") - F.col("p")).alias("diagonal"), F.floor(F.col("x") / LEAST).alias("part")).agg(F.min("x").alias("lx"), F.max("x").alias("rx"))
+    before, behind = F.when(F.col("joint") == 1, AROUND).otherwise(0), F.when(F.col("joint") == 1, AROUND).otherwise(LEAST - 1)
     spot = [F.lit(RUN).alias("f")]
     for n, shift in (("a", F.col("diagonal")), ("b", F.lit(0))):
-        spot += [(F.col("lx") - shift).cast("int").alias("l" + n), (F.col("lx") - shift).cast("int").alias("c" + n), (F.col("rx") - shift + LEAST - 1).cast("int").alias("r" + n)]
+        at = F.col("lx") - shift
+        spot += [F.greatest(at - before, F.lit(0)).cast("int").alias("l" + n), at.cast("int").alias("c" + n), (F.col("rx") - shift + behind).cast("int").alias("r" + n)]
     out = saved(links.select("a", "b", F.struct(*spot).alias("seed")))
     forget(runs, ends)
     return out
@@ -195,7 +248,7 @@ def candidates(docs: DataFrame, own: DataFrame) -> tuple[DataFrame, list[DataFra
     both = saved(both.where("owner > lo_owner or x <> lo_x or y <> lo_y"))
     pairs = both.where("owner > lo_owner").select(F.col("lo_owner").alias("a"), F.col("owner").alias("b"), _seed("lo_", ""))
     near, read = _context_links(both)
-    runs = run_links(docs, own, saved(ends.where("lo_f = 0").select("key")))
+    runs = run_links(docs, own, ends.where("lo_f = 0").select("key"), ends.where("n > 2").select("key"))
     pairs = pairs.unionByName(near).unionByName(runs)
     return pairs.groupBy("a", "b").agg(F.collect_set("seed").alias("seeds")), [ends, both, runs, read]  # at most the windows of one document
 

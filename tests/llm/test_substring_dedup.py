@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from packetlake.llm import substring_dedup as sd
 
@@ -143,6 +144,26 @@ def test_near_passages_are_found_between_first_and_last_documents_with_scraps_of
     assert set(found) <= set(pairs)
 
 
+@pytest.mark.parametrize("part", [30, 40, 49])
+def test_near_passages_are_found_behind_documents_that_hold_a_part_of_them(spark, part):
+    """80 words and a copy with one other word; each earlier document holds `part` words of one of them, which is no passage."""
+    rng = np.random.default_rng(part)
+    first, middle = [], []
+    for _ in range(30):
+        p = words(rng, 80, "p")
+        q = list(p)
+        q[int(rng.integers(10, 70))] = words(rng, 1, "c")[0]
+        first += [words(rng, 60, "s") + x[s : s + part] + words(rng, 60, "s") for x in (p, q) for s in range(0, 81 - part, 10)]
+        middle += [words(rng, 60, "m") + x + words(rng, 60, "m") for x in (p, q)]
+    texts = first + middle
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    found = {(f.dup_of, f.doc_id) for f in sd.repeated_passages(docs).collect()}
+    got = [(len(first) + 2 * k, len(first) + 2 * k + 1) in found for k in range(30)]
+    print("near passages found", sum(got), "of 30")
+    assert sum(got) >= 29
+    assert all(a >= len(first) for a, _ in found)
+
+
 def test_several_texts_of_one_document(spark):
     rng = np.random.default_rng(9)
     p = words(rng, 80, "p")
