@@ -107,7 +107,7 @@ def daily_summary(scored: DataFrame, cfg: c.Config = c.DEFAULT, seconds: int = 5
     """Score statistics of each day, from rows slot and anomaly."""
     day = F.floor(F.col("slot") * seconds / 86_400).alias("day")
     odd = F.count_if(F.col("anomaly") > cfg.anomaly)
-    return scored.groupBy(day).agg(F.round(F.avg("anomaly"), 4).alias("avg_score"), F.round(F.max("anomaly"), 4).alias("max_score"), F.round(F.min("anomaly"), 4).alias("min_score"), odd.alias("anomalies"), F.count("*").alias("samples"), F.round(100 * odd / F.count("*"), 2).alias("pct"))
+    return scored.groupBy(day).agg(F.round(F.sum(F.col("anomaly").cast("decimal(12,4)")).cast("double") / F.count("*"), 4).alias("avg_score"), F.round(F.max("anomaly"), 4).alias("max_score"), F.round(F.min("anomaly"), 4).alias("min_score"), odd.alias("anomalies"), F.count("*").alias("samples"), F.round(100 * odd / F.count("*"), 2).alias("pct"))
 
 
 def recent_scores(scored: DataFrame, minutes: int, seconds: int = 5) -> DataFrame:
@@ -138,5 +138,7 @@ def dns_scores(packets: DataFrame, seconds: int = 60) -> DataFrame:
 
 
 def combined(deviation_: Column, forest: Column, beacon: Column, dns: Column) -> Column:
-    """Weighted score of four columns, four decimals."""
-    return F.round(0.30 * deviation_ + 0.35 * F.least(forest, F.lit(1.0)) + 0.15 * beacon + 0.20 * dns, 4)
+    """Weighted score of four columns, four decimals; the columns count with six, and their sum is exact."""
+    parts = [(w, F.round(x, 6).cast("decimal(12,6)")) for w, x in (("0.30", deviation_), ("0.35", F.least(forest, F.lit(1.0))), ("0.15", beacon), ("0.20", dns))]
+    total = sum((F.lit(w).cast("decimal(3,2)") * x for w, x in parts[1:]), F.lit(parts[0][0]).cast("decimal(3,2)") * parts[0][1])
+    return F.round(total, 4).cast("double")

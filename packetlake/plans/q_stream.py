@@ -14,9 +14,11 @@ from packetlake.streaming import alerts
 QUERIES, SQL = {}, {}
 #: pkt_id of the row that moves the watermark past all others.
 _LAST = 10**18
+#: A packet that no rule skips and none tells of.
+_PLAIN = {"src_ip": "8.8.8.8", "dst_ip": "10.1.1.1", "src_port": 40000, "dst_port": 81, "payload_size": 0, "protocol": "TCP", "flags": "PA"}
 
 
-def run(spark: SparkSession, rows: DataFrame, build, batches: int = 3) -> DataFrame:
+def run(spark: SparkSession, rows: DataFrame, build, batches: int = 2) -> DataFrame:
     """What a stream over the rows gives: they come in `batches` micro-batches in order of time, then two rows that move the watermark past them."""
     at = f"{folder(spark)}/packetlake-{uuid.uuid4().hex}"
     ends = rows.agg(F.min("ts_ms"), F.max("ts_ms")).first()
@@ -25,8 +27,9 @@ def run(spark: SparkSession, rows: DataFrame, build, batches: int = 3) -> DataFr
         low = (ends[0] or 0) + k * wide
         rows.where(F.col("ts_ms").between(low, low + wide - 1)).coalesce(1).write.parquet(f"{at}/in/{k}")
     for k in range(2):
-        last = spark.range(1).select(*[F.lit(None).cast(t).alias(n) for n, t in rows.dtypes]).withColumns({"pkt_id": F.lit(_LAST + k), "ts_ms": F.lit((ends[1] or 0) + 86_400_000), "src_ip": F.lit("8.8.8.8")})
-        last.fillna("").withColumn("ts", F.timestamp_millis("ts_ms")).coalesce(1).write.parquet(f"{at}/in/{batches + k}")
+        values = _PLAIN | {"pkt_id": _LAST + k, "ts_ms": (ends[1] or 0) + 86_400_000}
+        last = spark.range(1).select(*[F.lit(values.get(n, "")).cast(t).alias(n) for n, t in rows.dtypes if n != "ts"])
+        last.withColumn("ts", F.timestamp_millis("ts_ms")).select(*rows.columns).coalesce(1).write.parquet(f"{at}/in/{batches + k}")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{at}/in")
     done = build(stream)
     query = done.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()

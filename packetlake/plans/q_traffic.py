@@ -134,19 +134,6 @@ add("l2_deviation", lambda s, d: features.deviation(features.features(packets(s,
 add("l10_explanation", lambda s, d: features.explanation(features.features(packets(s, d)).where("slot % 7 < 100"), most=18, least=2.5).groupBy("feature").agg(F.count("*").alias("windows")), f"{FEATURE_SQL}, {LONG}, {_DEV} select feature, count(*) as windows from zs where z > 2.5 group by feature")
 
 
-def _scores(s, d):
-    rows = features.features(packets(s, d))
-    score = features.deviation(rows).join(rows, "slot")
-    none = F.lit(0.0)
-    dev, failed = F.round("deviation", 4), F.col("syn_ratio") * 2
-    return score.select("slot", features.combined(dev, failed, none, F.col("dns_rate") / 10).alias("anomaly"), features.reasons(dev, failed, none, F.col("dns_rate") / 10).alias("reasons"))
-
-
-_SCORED = f"""{FEATURE_SQL}, {LONG}, {_DEV}, dv as (select slot, round(case when any_value(n) < 10 then 0.0::double else 1 - 1 / (1 + least(10.0::double, avg(z)) / 3) end, 4) as dev from zs group by slot),
-  scored as (select slot, round(0.30::double * dev + 0.35::double * least(syn_ratio * 2, 1.0::double) + 0.15::double * 0 + 0.20::double * (dns_rate / 10), 4) as anomaly, concat_ws('|', case when dev > 0.5 then 'deviation' end, case when syn_ratio * 2 > 0.3 then 'forest' end, case when dns_rate / 10 > 0.5 then 'dns' end, case when unique_dst_ports > 200 then 'ports' end, case when syn_ratio > 0.7 then 'syn' end, case when failed_conn_ratio > 0.5 then 'failed' end) as reasons from dv join feat using (slot))"""
-add("l9_anomaly_alerts", lambda s, d: features.anomaly_alerts(_scores(s, d)), f"{_SCORED} select slot, 'ML-ANOMALY' as rule_id, case when anomaly > 0.8 then 'CRITICAL' when anomaly > 0.5 then 'HIGH' else 'MEDIUM' end as severity, anomaly, reasons from scored where anomaly > 0.25 and contains(reasons, '|')")
-add("a23_daily_summary", lambda s, d: features.daily_summary(_scores(s, d)), f"{_SCORED} select slot * 5 // 86400 as day, round(avg(anomaly), 4) as avg_score, round(max(anomaly), 4) as max_score, round(min(anomaly), 4) as min_score, count(*) filter (anomaly > 0.25) as anomalies, count(*) as samples, round(100 * count(*) filter (anomaly > 0.25) / count(*)::double, 2) as pct from scored group by 1")
-add("a24_recent_scores", lambda s, d: features.recent_scores(_scores(s, d), 5).select("slot", "anomaly"), f"{_SCORED} select slot, anomaly from scored where slot > (select max(slot) from scored) - 60")
 add("l5_beacons", lambda s, d: features.beacons(packets(s, d)),
     f"g as (select *, {VALUE.replace('(ip,', '(dst_ip,')} as v, (ts_ms - lag(ts_ms) over (partition by dst_ip order by ts_ms, pkt_id)) / 1000.0::double as gap from packets), b as (select dst_ip, count(*) as packets, avg(gap) as m, stddev_pop(gap) as sd from g where not ({PRIVATE_SQL}) and not v between 3758096384 and 4026531839 group by dst_ip) select dst_ip, packets, round(m, 6) as interval, round(1 - sd / m, 6) as score from b where packets >= 15 and m between 5 and 300 and sd / m < 0.05")
 add("l6_dns_scores", lambda s, d: features.dns_scores(packets(s, d)),
