@@ -7,8 +7,9 @@ context of the whole page.
 
 It is trained here on pages of which the truth is known because they are built here: texts of a bounded sample of the pages
 (PAGES of them, chosen by a hash of the html) become articles and, around and inside them, menus, notices, adverts, forms,
-shares and comments, in VARIANTS layouts each. Half of the layouts have telling class names, the others made-up ones, so
-that places, links and lengths must decide. No label comes from the sample's own markup.
+shares and comments, in VARIANTS layouts each: with telling names, with made-up ones, with an article of made-up name or
+none among telling tags, and without classes; some laid out by tables, some with an article of line breaks, some with
+nothing beside it. So places, links and lengths must decide. No label comes from the sample's own markup.
 
 Edge cases: a null or empty page has an empty text; unclosed, misnested and unescaped markup is read as far as it goes, and
 a stray quote ends with its tag; scripts, styles and comments never become blocks; pages of any number of blocks are read
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-PAGES, VARIANTS, HIDDEN, PATH, WORDS, EPOCHS = 120, 6, 16, 96, 32, 14
+PAGES, VARIANTS, HIDDEN, PATH, WORDS, EPOCHS = 120, 10, 16, 96, 32, 14
 EXTRA = 10
 SIZE = PATH + WORDS + EXTRA
 
@@ -269,8 +270,12 @@ TALKS = (["section", "class.comments"], ["div", "id.comments"], ["div", "class.c
 SAYINGS = ("Copyright 2024", "© 2023 All rights reserved", "We use cookies", "Accept", "Subscribe", "Share", "Search", "Read more", "Log in", "Sign up", "Leave a reply", "Reply", "Home", "About", "Contact", "Privacy policy", "Terms", "Previous", "Next", "Advertisement")
 
 
-def variant(texts: list[str], r: np.random.Generator, plain: bool) -> tuple[list[tuple[str, list[str], int]], list[int]]:
-    """The blocks of a page built from given texts, and which of them are the article. plain: class names tell nothing."""
+#: How a built page names things: telling names; made-up ones, tags too in most; an article of made-up name among telling tags; no classes at all.
+STYLES = ("telling", "plain", "opaque", "bare")
+
+
+def variant(texts: list[str], r: np.random.Generator, style: str) -> tuple[list[tuple[str, list[str], int]], list[int]]:
+    """The blocks of a page built from given texts, and which of them are the article."""
     pick = lambda x: x[r.integers(len(x))]
     some = lambda: texts[r.integers(len(texts))]
     short = lambda: " ".join(some().split()[: r.integers(1, 9)]) or "x"
@@ -282,10 +287,14 @@ def variant(texts: list[str], r: np.random.Generator, plain: bool) -> tuple[list
         labels.append(label)
 
     base = ["html", "body"] + pick(([], [], ["div", "id.page"], ["div", "class.wrapper"], ["div", "class.container"]))
+    cells = r.random() < 0.12  # laid out by a table
+    if cells:
+        base = base + ["table", "tbody", "tr", "td"]
+    alone = r.random() < 0.08  # nothing but the article
 
     def junk(kinds, linked, at=(), long=0.2):
-        box = base + list(at) + pick(kinds)
-        leaf = pick((["ul", "li"], ["p"], ["div"], ["h3"], [], ["label"]))
+        box = base + list(at) + ([] if cells and r.random() < 0.7 else pick(kinds))
+        leaf = pick((["ul", "li"], ["p"], ["div"], ["h3"], [], [], ["label"]))
         for _ in range(r.integers(1, 7)):
             t = some() if r.random() < long else saying()
             add(t, box + leaf, len(t) if r.random() < linked else 0)
@@ -293,14 +302,21 @@ def variant(texts: list[str], r: np.random.Generator, plain: bool) -> tuple[list
     if r.random() < 0.6:
         add(short(), ["html", "head", "title"])
     for kinds, chance, linked in ((NOTICES, 0.2, 0.2), (BARS, 0.8, 0.9), (ASIDES, 0.4, 0.4), (NOTICES, 0.2, 0.2)):
-        if r.random() < chance:
+        if r.random() < chance and not alone:
             junk(kinds, linked)
-    box = pick(BOXES)
+    box = [] if cells and r.random() < 0.7 else pick(BOXES)
+    if style == "opaque":
+        box = pick((["div"], ["div", "class." + chr(97 + r.integers(26)) + chr(97 + r.integers(26))], ["div", "class." + chr(97 + r.integers(26)) + str(r.integers(9))], ["div", "div"], ["section"]))
+    listed = r.random() < 0.12  # an article that is a list
+    breaks = r.random() < (0.4 if style == "bare" else 0.2)  # an article of text and line breaks: a few long blocks right in its box
     if r.random() < 0.8:
         add(short(), base + box + pick(([], [], ["header"])) + [pick(("h1", "h1", "h2"))], 0, 1)
     leaves = (["p"], ["p"], ["p"], ["p"], ["p"], ["div", "p"], ["ul", "li"], ["blockquote", "p"], ["h2"], ["h3"], ["pre"], ["section", "p"], ["table", "tbody", "tr", "td"], ["figure", "figcaption"])
-    for _ in range(r.integers(1, 14)):
-        leaf = pick(leaves)
+    for _ in range(r.integers(1, 4) if breaks else r.integers(1, 14)):
+        if breaks:
+            add(" ".join(some() for _ in range(r.integers(2, 8))), base + box, 0, 1)
+            continue
+        leaf = pick((["ol", "li"], ["ul", "li"])) if listed and r.random() < 0.8 else pick(leaves)
         t = short() if leaf[-1] in ("h2", "h3", "td", "figcaption") or r.random() < 0.25 else some()
         add(t, base + box + leaf, 0 if r.random() < 0.9 else len(t) // 2, 1)
         if r.random() < 0.1:
@@ -308,9 +324,13 @@ def variant(texts: list[str], r: np.random.Generator, plain: bool) -> tuple[list
     if r.random() < 0.15:
         junk(TALKS, 0.1, box, 0.4)
     for kinds, chance, linked, long in ((TALKS, 0.35, 0.1, 0.5), (ASIDES, 0.4, 0.5, 0.2), (NOTICES, 0.15, 0.2, 0.2), (ENDS, 0.8, 0.3, 0.2)):
-        if r.random() < chance:
+        if r.random() < chance and not alone:
             junk(kinds, linked, (), long)
-    if plain:
+    if style == "bare":
+        level = r.random() < 0.5  # nor any tag that tells
+        flat = lambda x: "div" if level and x in ("nav", "header", "footer", "aside", "article", "main", "section", "form") else x
+        page = [(t, [flat(x) for x in path if "." not in x], linked) for t, path, linked in page]
+    if style == "plain":
         made: dict[str, str] = {}
         tags = {"nav": "div", "aside": "div", "footer": "div", "header": "div", "article": "div", "main": "div", "section": "div"} if r.random() < 0.7 else {}
         name = lambda x: made.setdefault(x, f"{x.split('.')[0]}.{chr(97 + r.integers(26))}{chr(97 + r.integers(26))}") if "." in x else tags.get(x, x)
@@ -326,7 +346,7 @@ def train(pages: DataFrame, sample: int = PAGES) -> Labeller:
     for row in rows:
         texts = [t for t, _, _ in blocks(row["html"])]
         for k in range(VARIANTS if texts else 0):
-            page, labels = variant(texts, r, k % 2 == 1)
+            page, labels = variant(texts, r, STYLES[(0, 1, 2, 3, 3)[k % 5]])
             data.append((vectors(page), np.array(labels, float)))
     model = Labeller()
     return model.fit(data) if data else model
