@@ -47,7 +47,7 @@ RUN = -1
 #: Unmatched shingles that a passage may hold between two matched ones; shingles on each side of a minimum that make its context.
 GAP, SIDE = 12, 24
 #: Shingles in a band; which bands left and right of a minimum make a key with it; shingles around it that are compared.
-BAND, BANDS, AROUND = 8, ((0, 6), (2, 4), (4, 2), (6, 0), (0, 3), (3, 0), (1, 2)), 72
+BAND, BANDS, AROUND = 8, ((2, 4), (4, 2)), 72
 
 
 def sequence(data: np.ndarray, offsets: np.ndarray):
