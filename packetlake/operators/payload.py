@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetlake.functions import net
+from packetlake.operators.intel import under
 
 # Ports of web servers, update services whose hashed log-ins are of low risk, services that send no agent.
 HTTP_PORTS = (80, 3000, 4200, 5000, 8000, 8008, 8080, 8081, 8888, 9090)
@@ -180,7 +181,7 @@ def in_context(found: DataFrame, packets: DataFrame, domains: DataFrame, known:
     """
     tls = packets.where("is_encrypted").select(F.explode(F.array("src_ip", "dst_ip")).alias("dst_ip")).distinct().withColumn("_tls", F.lit(True))
     two = packets.where("dst_port in (80, 443)").groupBy("dst_ip").agg((F.countDistinct("dst_port") == 2).alias("_two"))
-    services = domains.join(known, F.expr("endswith(domain, name)"), "left_semi").groupBy(F.col("ip").alias("dst_ip")).agg(F.countDistinct("domain").alias("_services"))
+    services = domains.join(under(domains, known), "domain", "left_semi").groupBy(F.col("ip").alias("dst_ip")).agg(F.countDistinct("domain").alias("_services"))
     methods, fields = form_context(packets, text)
     rows = found.join(tls, "dst_ip", "left").join(two, "dst_ip", "left").join(services, "dst_ip", "left").join(methods, ["src_ip", "dst_ip", "dst_port"], "left").join(fields, ["src_ip", "dst_ip"], "left")
     yes = lambda c: F.coalesce(c, F.lit(False))

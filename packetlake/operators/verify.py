@@ -146,7 +146,9 @@ def verify(found: DataFrame, cfg: c.Config = c.DEFAULT, rdns: DataFrame | None =
     # a generator, so that the long case is worked out once a row
     rows = rows.withColumn("_v", F.explode(F.array(out))).withColumns({"score": F.col("_v.score"), "verdict": F.col("_v.verdict"), "confidence": F.round("_v.confidence", 6)})
     adjusted = F.when(F.col("verdict").endswith("FALSE_POSITIVE"), "LOW").when((F.col("verdict") == "VERIFIED_THREAT") & (F.col("confidence") > 0.5) & F.col("severity").isin("LOW", "MEDIUM"), "HIGH").otherwise(F.col("severity"))
-    return rows.withColumn("adjusted_severity", adjusted).drop("_v", "src_name", "dst_name", "src_listed", "dst_listed")
+    sure = F.col("confidence") > 0.5
+    prefix = F.when(F.col("verdict") == "FALSE_POSITIVE", "[FALSE POSITIVE] ").when(F.col("verdict") == "LIKELY_FALSE_POSITIVE", "[LIKELY SAFE] ").when((F.col("verdict") == "VERIFIED_THREAT") & sure, "[CONFIRMED] ").when((F.col("verdict") == "LIKELY_THREAT") & sure, "[LIKELY THREAT] ").otherwise("")
+    return rows.withColumn("adjusted_severity", adjusted).withColumn("title_prefix", prefix).drop("_v", "src_name", "dst_name", "src_listed", "dst_listed")
 
 
 def _pair(test: Column, yes: tuple, no: tuple) -> tuple[Column, Column]:

@@ -45,7 +45,7 @@ with base as (
 )
 select pkt_id, ts_ms, scn, h, src_ip, dst_ip, cast(40000 + h % 20000 as int) as src_port, dst_port, protocol, flags, dns_query,
   case when scn = 'dnsq' and h % 3 = 0 then cdn else '' end as dns_response, payload_size, payload_size + 54 as length, src_mac,
-  protocol = 'TCP' and dst_port = 443 as is_encrypted,
+  protocol = 'TCP' and (dst_port = 443 or src_port = 443) as is_encrypted,
   case when h % 499 = 1 then 'mimikatz.exe' when h % 7 = 0 then 'chrome.exe' when h % 7 = 1 then 'svchost.exe' when h % 7 = 2 then 'firefox.exe' else '' end as process_name,
   case when scn <> 'bg' then ''
     when dst_port = 21 then concat('USER user', cast(h % 13 as {text}), ' PASS secret', cast(h % 17 as {text}), ' ')

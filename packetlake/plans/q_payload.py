@@ -80,7 +80,7 @@ def _context(s, d):
 
 
 add("x20_context", _context, f"""{MESSAGES}, {_SENSITIVE}, {_METHOD}, tls as (select distinct unnest([src_ip, dst_ip]) as ip from messages where is_encrypted), two as (select dst_ip as ip from messages where dst_port in (80, 443) group by 1 having count(distinct dst_port) = 2),
-  dom as (select dns_response as ip, count(distinct dns_query) as n from packets where dns_response <> '' and ({' or '.join(f"ends_with(dns_query, '{x}')" for x in SERVICES)}) group by 1), mt as (select src_ip, dst_ip, dst_port, list(distinct method) as ms from q group by all),
+  dom as (select dns_response as ip, count(distinct dns_query) as n from packets where dns_response <> '' and ({' or '.join(f"dns_query = '{x}' or ends_with(dns_query, '.{x}')" for x in SERVICES)}) group by 1), mt as (select src_ip, dst_ip, dst_port, list(distinct method) as ms from q group by all),
   cf as (select src_ip, dst_ip, bool_or(method = 'POST' and regexp_matches(lower(payload), 'card|cc_num|credit|payment|pan=|cardnumber')) as form from q group by all),
   sc as (select v.pkt_id, v.kind, 5 - case when tls.ip is not null then 3 else 0 end - case when two.ip is not null then 2 else 0 end - case when dom.n is not null then 3 + 2 * dom.n else 0 end
     + case when kind <> 'CARD' then 0 when list_contains(ms, 'POST') and form then 3 when list_contains(ms, 'GET') and not list_contains(ms, 'POST') then -2 else 0 end

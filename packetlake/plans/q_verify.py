@@ -50,7 +50,7 @@ def _verdicts(s, d):
     found = rows.select("pkt_id", "ts_ms", "src_ip", "dst_ip", "dst_port", "severity", "rule_id", said.alias("evidence"))
     cfg = dataclasses.replace(c.DEFAULT, cloud_suffixes=("site3.com",), gateways=("192.168.1.1",))
     out = verify.verify(found, cfg, s.createDataFrame(list(RDNS), "ip string, name string"), s.createDataFrame([(x,) for x in LISTED], "ip string"))
-    return out.select("pkt_id", "rule_id", "score", "verdict", "confidence", "adjusted_severity")
+    return out.select("pkt_id", "rule_id", "score", "verdict", "confidence", "adjusted_severity", "title_prefix")
 
 
 def _sql_list(names):
@@ -87,7 +87,7 @@ SQL["v_verdicts"] = f"""with {ORACLE}, raw as ({_ALERTS.format(packets="packets"
   vd as (select *, case rule_id {_FLAT} end as flat, case rule_id {" ".join(f"when '{r}' then {_CUT[cut]}" for r, (_, _, cut) in _SCORES.items())} end as scored from sc),
   fin as (select pkt_id, rule_id, severity, score, case when rule_id = 'THREAT-INTEL-DOMAIN' and queried_domain like '%.site3.com' then 'FALSE_POSITIVE' else coalesce(scored, flat[1], 'INCONCLUSIVE') end as verdict,
     round(case when rule_id = 'THREAT-INTEL-DOMAIN' and queried_domain like '%.site3.com' then 0.95::double when k is not null then least(abs(score) / k::double, 1.0::double) else coalesce(flat[2]::double, 0.3::double) end, 6) as confidence from vd)
-  select pkt_id, rule_id, score, verdict, confidence, case when ends_with(verdict, 'FALSE_POSITIVE') then 'LOW' when verdict = 'VERIFIED_THREAT' and confidence > 0.5 and severity in ('LOW', 'MEDIUM') then 'HIGH' else severity end as adjusted_severity from fin"""
+  select pkt_id, rule_id, score, verdict, confidence, case when ends_with(verdict, 'FALSE_POSITIVE') then 'LOW' when verdict = 'VERIFIED_THREAT' and confidence > 0.5 and severity in ('LOW', 'MEDIUM') then 'HIGH' else severity end as adjusted_severity, case when verdict = 'FALSE_POSITIVE' then '[FALSE POSITIVE] ' when verdict = 'LIKELY_FALSE_POSITIVE' then '[LIKELY SAFE] ' when verdict = 'VERIFIED_THREAT' and confidence > 0.5 then '[CONFIRMED] ' when verdict = 'LIKELY_THREAT' and confidence > 0.5 then '[LIKELY THREAT] ' else '' end as title_prefix from fin"""
 
 
 def _forest(s, d):

@@ -1,5 +1,7 @@
 """Tables that outlive a run: alerts, incidents, learned state, feature history by day."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +35,25 @@ def newest_incidents(spark: SparkSession, path: str, most: int = 200) -> DataFra
 
 
 def save_state(tables: dict[str, DataFrame], path: str) -> None:
-    """Learned tables, each in its own folder of a snapshot."""
+    """Learned tables as a new version of a snapshot. The manifest names a version once all its tables are there, so a crash leaves the one before, and readers of that one go on."""
+    version = f"v-{uuid.uuid4().hex}"
     for name, t in tables.items():
-        t.write.mode("overwrite").parquet(f"{path}/{name}")
+        t.write.parquet(f"{path}/{version}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    number = (_versions(spark, path)[-1][0] if _versions(spark, path) else 0) + 1
+    spark.createDataFrame([(number, version)], "number long, version string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return sorted(map(tuple, spark.read.schema("number long, version string").parquet(f"{path}/manifest").collect())) if there else []  # a row a version
 
 
 def load_state(spark: SparkSession, path: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+    """The tables of the newest version."""
+    version = _versions(spark, path)[-1][1]
+    return {name: spark.read.parquet(f"{path}/{version}/{name}") for name in names}
 
 
 def merged_counts(old: DataFrame, new: DataFrame, keys: list[str], times: int) -> DataFrame:

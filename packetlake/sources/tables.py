@@ -5,23 +5,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from packetlake.functions import net
+from packetlake.operators import report
 
 # The fields of a delimited packet dump, in order.
 DUMP = ("time", "ip_src", "ip_dst", "ip6_src", "ip6_dst", "tcp_sport", "tcp_dport", "udp_sport", "udp_dport", "proto", "length", "tcp_flags", "dns_query", "dns_answer", "eth_src", "eth_dst", "ttl")
 
 
 def packet_dump(spark: SparkSession, path: str, sep: str = "|") -> DataFrame:
-    """Rows of a 17-field text dump as packets; short rows are padded, flags come in hex, the payload size is estimated."""
+    """Rows of a 17-field text dump as packets; short rows are padded, flags come in hex, the payload size is estimated; a frame with hardware addresses but no IP is ARP."""
     part = F.split("value", "\\" + sep)
     raw = spark.read.text(path).select(*[F.coalesce(F.get(part, F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(DUMP)])
     first = lambda a, b: F.coalesce(F.expr(f"nullif({a}, '')"), F.expr(f"nullif({b}, '')"), F.lit(""))
     port = lambda a, b: F.coalesce(F.col(a).try_cast("int"), F.col(b).try_cast("int"), F.lit(0))
     length = F.coalesce(F.col("length").try_cast("long"), F.lit(0))
-    protocol = F.when(F.col("tcp_dport") != "", "TCP").when(F.col("udp_dport") != "", "UDP").when(F.col("proto") == "1", "ICMP").otherwise("Other")
+    some = lambda name: F.expr(f"nullif({name}, '')")
+    version = F.when(F.col("ip_src") != "", 4).when(F.col("ip6_src") != "", 6)
+    bare = (F.col("ip_src") == "") & (F.col("ip6_src") == "") & (F.col("eth_src") != "") & (F.col("proto") == "")
+    protocol = report.protocol_name(some("tcp_dport"), some("udp_dport"), F.col("proto").try_cast("int"), version, bare)
     return raw.select(
         (F.col("time").try_cast("double") * 1000).cast("long").alias("ts_ms"), first("ip_src", "ip6_src").alias("src_ip"), first("ip_dst", "ip6_dst").alias("dst_ip"),
         port("tcp_sport", "udp_sport").alias("src_port"), port("tcp_dport", "udp_dport").alias("dst_port"), protocol.alias("protocol"),
-        F.when(F.col("tcp_flags") != "", net.flag_letters(F.col("tcp_flags"))).otherwise("").alias("flags"), F.rtrim(F.col("dns_query"), F.lit(".")).alias("dns_query"), F.col("dns_answer").alias("dns_response"),
+        F.when(F.col("tcp_flags") != "", net.flag_letters(F.col("tcp_flags"))).otherwise("").alias("flags"), F.rtrim(F.col("dns_query"), F.lit(".")).alias("dns_query"), F.rtrim(F.col("dns_answer"), F.lit(".")).alias("dns_response"),
         length.alias("length"), F.greatest(F.lit(0), length - 54).cast("long").alias("payload_size"), F.col("eth_src").alias("src_mac"),
     )
 
