@@ -54,13 +54,22 @@ def answered_domains(packets: DataFrame) -> DataFrame:
     return packets.where("dns_response <> '' and dns_query <> ''").groupBy(F.col("dns_response").alias("ip")).agg(F.array_join(F.array_sort(F.collect_set("dns_query")), "|").alias("domains"))
 
 
-def latest_owner(packets: DataFrame, owners: DataFrame) -> DataFrame:
-    """As-of: the process that last owned the source port before the packet (owners: ip, port, owner_ms, process)."""
-    w = W.partitionBy("ip", "port").orderBy("t", "kind", "pkt_id").rowsBetween(W.unboundedPreceding, 0)
+def latest_owner(packets: DataFrame, owners: DataFrame, block_ms: int = 600_000) -> DataFrame:
+    """As-of: the process that last owned the source port before the packet (owners: ip, port, owner_ms, process).
+
+    A port's history goes by blocks of time: each begins with the last owner of the blocks before it.
+    """
     both = owners.select("ip", "port", F.col("owner_ms").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("pkt_id"), "process").unionByName(
         packets.select(F.col("src_ip").alias("ip"), F.col("src_port").alias("port"), F.col("ts_ms").alias("t"), F.lit(1).alias("kind"), "pkt_id", F.lit(None).cast("string").alias("process"))
     )
-    return both.withColumn("process", F.last("process", ignorenulls=True).over(w)).where("kind = 1").select("pkt_id", "process")
+    both = both.withColumn("_block", F.floor(F.col("t") / block_ms))
+    keys = ["ip", "port", "_block"]
+    last = both.groupBy(*keys).agg(F.max(F.when(F.col("process").isNotNull(), F.struct("t", "process"))).alias("_end"))
+    before = W.partitionBy("ip", "port").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)  # a row a block
+    carried = last.select(*keys, F.max("_end").over(before)["process"].alias("_carried"))
+    inside = W.partitionBy(*keys).orderBy("t", "kind", "process", "pkt_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = both.withColumn("process", F.last("process", ignorenulls=True).over(inside)).where("kind = 1").join(carried, keys)
+    return rows.select("pkt_id", F.coalesce("process", "_carried").alias("process"))
 
 
 def learned(packets: DataFrame, domain_times: int = 3, address_times: int = 3, port_times: int = 5) -> dict[str, DataFrame]:
