@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_detect", "q_traffic", "q_payload", "q_verify", "q_intel", "q_report", "q_stream", "q_models", "q_binary", "q_process")
+MODULES = ("q_detect", "q_traffic", "q_payload", "q_verify", "q_intel", "q_report", "q_stream", "q_models", "q_binary", "q_process", "q_parking")
 
 
 def _all(kind: str) -> dict:

@@ -16,7 +16,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", ["d6_brute_force", "d9_dns_tunnel", "d16_alerts_by_rule", "a1_flows", "c1_incidents", "j3_indicator_domains"])
+@pytest.mark.parametrize("name", ["d6_brute_force", "d9_dns_tunnel", "d16_alerts_by_rule", "a1_flows", "c1_incidents", "j3_indicator_domains", "t1_flow_list", "j10_tunnels_as_of", "i2_random_name_alerts", "l4_forest_scores", "x13_modbus", "x14_bacnet", "x15_parking", "x23_dhcp", "x24_poisoned_names", "v19_process_verdicts"])
 def test_same_rows(spark, db, name):
     got = entry.queries()[name](spark, SF)
     columns = sorted(got.columns)
