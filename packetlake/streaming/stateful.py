@@ -63,11 +63,15 @@ class _InOrder(StatefulProcessor):
             last = ready[-1][self.at]
             rest = [r for r in waiting if r[self.at] > now]
             self.waiting.put(rest) if rest else self.waiting.clear()
-            recent = [r for r in rows if r[self.at] > last - self.width]
-            if recent and self.width:
+            recent = [r for r in rows if r[self.at] > now - self.width]  # rows still to come are later than the watermark
+            if recent:
                 self.recent.put(recent)
                 self.handle.registerTimer(last + self.width)
-            if memory is not None:
+            else:
+                self.recent.clear()
+            if self.idle_ms and last + self.idle_ms <= now:
+                self.memory.clear()
+            elif memory is not None:
                 self.memory.update((memory, last))
                 if self.idle_ms:
                     self.handle.registerTimer(last + self.idle_ms)
