@@ -126,14 +126,15 @@ def vectors(page: list[tuple[str, list[str], int]]) -> np.ndarray:
             under[at] += sizes[k]
             linked_under[at] += links[k]
     total = sizes.sum() or 1.0
+    marks: dict[str, list[int]] = {}
     for k, (text, path, linked) in enumerate(page):
-        for name in path:
-            h = _place(name.split(".")[-1])
-            x[k, h % PATH] = 1
-            x[k, (h >> 12) % PATH] = 1
+        whole = "/".join(path)
+        if whole not in marks:
+            marks[whole] = [at for name in path for h in (_place(name.split(".")[-1]),) for at in (h % PATH, (h >> 12) % PATH)]
+        x[k, marks[whole]] = 1
         words = text.split()
-        for w in words:
-            x[k, PATH + _place(w) % WORDS] += 3 / len(words)
+        if words:
+            x[k, PATH : PATH + WORDS] = np.bincount([_place(w) % WORDS for w in words], minlength=WORDS) * (3 / len(words))
         n = len(text)
         near = own[outer[k]]
         at = "".join("/" + name for name in path[:-1])
