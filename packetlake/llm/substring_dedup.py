@@ -13,7 +13,8 @@ on its left, or on its right. Besides, each run of 46 shingles around a shared m
 key too (in the first hash function, as every run has a minimum there), and is linked to the smallest doc_id that has this
 run: every 50 words that stand in two documents are found. So that documents with a part of a passage don't come
 between those that have it whole, or nearly so, a minimum is also a key together with the least values of two bands, one
-on each side of it and up to 50 shingles apart, and linked to the smallest doc_id that has all three.
+on each side of it and 34 shingles apart or more, and linked to the smallest doc_id that has all three; such links
+are followed where no passage has been found by the others.
 
 Only the parts of two texts that a passage around the seeds can reach are sent to be verified. Of the passages of one
 document that stand inside one another the outermost comes out, once, with the smallest doc_id that has it. Intermediate tables are
@@ -48,6 +49,7 @@ RUN = -1
 GAP, SIDE = 12, 24
 #: Shingles in a band; which bands left and right of a minimum make a key with it; shingles around it that are compared.
 BAND, BANDS, AROUND = 8, ((2, 4), (4, 2)), 72
+SPAN = 256
 
 
 def sequence(data: np.ndarray, offsets: np.ndarray):
@@ -185,7 +187,7 @@ def joint_keys(mixed: list[np.ndarray], minima: np.ndarray, at: np.ndarray) -> t
 
 
 def run_links(docs: DataFrame, own: DataFrame, keys: DataFrame, shared: DataFrame) -> DataFrame:
-    """a, b, seed of the runs of LEAST shingles whose minimum is one of the keys, and of the minima `shared` by three windows or more with what stands around them.
+    """a, b, joint (0 or 1), x (place in b) and seed of the runs of LEAST shingles whose minimum is one of the keys, and of the minima `shared` by three windows or more with what stands around them.
 
     Each is linked with the smallest doc_id that has the same run, or the same minimum between the same bands.
     """
@@ -227,18 +229,27 @@ def run_links(docs: DataFrame, own: DataFrame, keys: DataFrame, shared: DataFram
     for n, shift in (("a", F.col("diagonal")), ("b", F.lit(0))):
         at = F.col("lx") - shift
         spot += [F.greatest(at - before, F.lit(0)).cast("int").alias("l" + n), at.cast("int").alias("c" + n), (F.col("rx") - shift + behind).cast("int").alias("r" + n)]
-    out = saved(links.select("a", "b", F.struct(*spot).alias("seed")))
+    out = saved(links.select("a", "b", "joint", F.col("lx").alias("x"), F.struct(*spot).alias("seed")))
     forget(runs, ends)
     return out
 
 
+def uncovered(links: DataFrame, found: DataFrame) -> DataFrame:
+    """The links whose place x in b is in none of the passages found in b so far. A passage and a link meet in a stretch of SPAN places."""
+    spans = found.select(F.col("doc_id").alias("b"), "start_word", "end_word").distinct()
+    spans = spans.select("b", F.explode(F.sequence(F.floor(F.col("start_word") / SPAN), F.floor(F.col("end_word") / SPAN))).alias("part"), F.col("start_word").alias("s"), F.col("end_word").alias("e"))
+    at = links.select("b", "x").distinct().withColumn("part", F.floor(F.col("x") / SPAN))
+    known = at.join(spans, ["b", "part"]).where("x between s and e").select("b", "x").distinct()
+    return links.join(known, ["b", "x"], "left_anti")
+
+
 def _seed(x: str, y: str):
     """The seed of a's window, whose columns begin with x, and b's, whose columns begin with y."""
     return F.struct("f", *[F.col(p + n).cast("int").alias(n + o) for p, o in ((x, "a"), (y, "b")) for n in "lcr"]).alias("seed")
 
 
-def candidates(docs: DataFrame, own: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """a, b (a < b) and seeds: an array of (f, la, ca, ra, lb, cb, rb) of windows with one minimum in both; and the tables it reads."""
+def candidates(docs: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """a, b (a < b) and seeds: an array of (f, la, ca, ra, lb, cb, rb) of windows with one minimum in both; the links of minima between bands; and the tables that these read."""
     own = own.select(F.col("doc_id").alias("owner"), "key", *WINDOW)
     ends = saved(postings.extremes(own, WINDOW).drop("hi_owner"))
     bits = own.sparkSession.sparkContext.broadcast(postings.bit_map(ends, "key", KEYBITS))
@@ -249,8 +260,12 @@ def candidates(docs: DataFrame, own: DataFrame) -> tuple[DataFrame, list[DataFra
     pairs = both.where("owner > lo_owner").select(F.col("lo_owner").alias("a"), F.col("owner").alias("b"), _seed("lo_", ""))
     near, read = _context_links(both)
     runs = run_links(docs, own, ends.where("lo_f = 0").select("key"), ends.where("n > 2").select("key"))
-    pairs = pairs.unionByName(near).unionByName(runs)
-    return pairs.groupBy("a", "b").agg(F.collect_set("seed").alias("seeds")), [ends, both, runs, read]  # at most the windows of one document
+    pairs = pairs.unionByName(near).unionByName(runs.where("joint = 0").select("a", "b", "seed"))
+    return _gathered(pairs), runs.where("joint = 1"), [ends, both, runs, read]
+
+
+def _gathered(links: DataFrame) -> DataFrame:
+    return links.groupBy("a", "b").agg(F.collect_set("seed").alias("seeds"))  # at most the windows of one document
 
 
 def _context_links(both: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -525,11 +540,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     copies = saved(copies.select("doc_id", F.col("head").alias("dup_of"), zero.alias("start_word"), F.col("n_words").alias("end_word"), zero.alias("dup_start_word"), F.col("t").alias("text_hash")).distinct())
     heads = saved(_without_copies(own, copies))
     forget(raw, classes)
-    found, read = candidates(docs, heads)
+    found, joint, read = candidates(docs, heads)
     regions = saved(interval_join(found))
-    forget(heads, *read)
-    out = copies.unionByName(verified(docs, regions))
-    forget(regions)
+    first = verified(docs, regions)
+    more = saved(interval_join(_gathered(uncovered(joint, first))))  # what has been found in b need not be found again
+    forget(heads, regions, *read)
+    out = copies.unionByName(first).unionByName(verified(docs, more))
+    forget(more)
     return out.distinct().select("doc_id", "dup_of", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "dup_start_word", "text_hash")
 
 
