@@ -93,7 +93,8 @@ def train(rows: DataFrame, models: DataFrame, trees: int = TREES, sample: int =
         pdf = pdf.sort_values("number")
         return pd.DataFrame(grow(int(key[0]), int(key[1]), np.stack(pdf["x"].to_numpy()).astype(float), most), columns=[c.split()[0] for c in NODES.split(", ")])
 
-    drawn = samples(models, trees, sample).join(rows.select("number", "x"), "number")
+    # made from few rows, draws look small to the planner, which would broadcast all of them through the driver
+    drawn = samples(models, trees, sample).hint("merge").join(rows.select("number", "x"), "number")
     return drawn.groupBy("model", "tree").applyInPandas(build, NODES)
 
 
@@ -150,8 +151,8 @@ def scores(rows: DataFrame, models: DataFrame, nodes: DataFrame, every: int = EV
         over = np.clip(a - np.quantile(a[own], 1 - contamination), 0.0, 1.0)
         return pd.DataFrame({"slot": windows["slot"], "model": windows["model"], "anomaly": a, "forest": over})[~own]
 
-    own = models.select("model", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("number")).join(rows, "number").select("model", "slot", "x", F.lit(True).alias("own"))
-    served = serving(rows, models, every).join(rows, "slot").select("model", "slot", "x", F.lit(False).alias("own"))
+    own = models.select("model", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("number")).hint("merge").join(rows, "number").select("model", "slot", "x", F.lit(True).alias("own"))
+    served = serving(rows, models, every).hint("merge").join(rows, "slot").select("model", "slot", "x", F.lit(False).alias("own"))
     both = own.unionByName(served)
     return both.groupBy("model").cogroup(nodes.groupBy("model")).applyInPandas(run, "slot long, model long, anomaly double, forest double")
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from packetlake.operators import features, models
 from packetlake.operators.features import FEATURES
+from packetlake.operators.stored import stored
 from packetlake.plans.packets import ORACLE, packets
 from packetlake.plans.q_traffic import _DEV, FEATURE_SQL, LONG, PRIVATE_SQL, VALUE
 
@@ -58,7 +59,7 @@ _SCORES = f"""{_TREES},
 
 
 def _history(s, d):
-    return features.features(packets(s, d))
+    return stored(features.features(packets(s, d)))  # read by the models and by the scores
 
 
 add("l3_model_table", lambda s, d: models.scored(_history(s, d))[1].select("model", "tree", "node", "feature", F.round("cut", 6).alias("cut"), "size", "depth"),

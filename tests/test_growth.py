@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from packetlake.functions import net
-from packetlake.operators import enrich, intel
+from packetlake.operators import enrich, intel, models
+from packetlake.operators.stored import stored
 from packetlake.plans import packets as plan
 
 
@@ -32,3 +33,12 @@ def test_threat_alerts_carry_their_packet(spark):
     found = intel.threat_ips(df, listed, spark.createDataFrame([("example.com",)], "name string"))
     assert "(pkt_id#" not in "".join(x for x in planned(found).splitlines() if "Join" in x)
     assert found.count() == enrich.indicator_hits(df, listed).count() > 0
+
+
+def test_draws_and_windows_of_models_are_not_broadcast(spark):
+    rows = stored(spark.range(600).select((F.col("id") + 10).alias("slot"), F.col("id").alias("number"), F.array(F.col("id") % 7.0, F.col("id") * 1.0).alias("x")))
+    found = stored(models.schedule(rows, 200, 100, 300))
+    nodes = stored(models.train(rows, found, 3, 16))
+    for df in (models.train(rows, found, 3, 16), models.scores(rows, found, nodes, 100, 16)):
+        joins = [x for x in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x and ("number" in x or "slot" in x)]
+        assert joins and all("SortMergeJoin" in x for x in joins)
