@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from packetlake.functions import net
-from packetlake.operators import enrich, intel, models
+from packetlake.operators import detect, enrich, intel, models
 from packetlake.operators.stored import stored
 from packetlake.plans import packets as plan
+from packetlake.plans import q_stream
 
 
 def planned(df):
@@ -42,3 +43,14 @@ def test_draws_and_windows_of_models_are_not_broadcast(spark):
     for df in (models.train(rows, found, 3, 16), models.scores(rows, found, nodes, 100, 16)):
         joins = [x for x in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x and "cell#" not in x]
         assert joins and all("SortMergeJoin" in x for x in joins)
+
+
+def test_batches_of_a_stream_do_not_grow_with_the_table(spark):
+    rows = plan.packets(spark, "/root/testdata/sf0.001").select(*detect.NEEDED, "ts")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = q_stream.run(spark, rows, lambda s: s.withColumn("file", F.input_file_name()), most=1000)
+    sizes = {r[0]: r[1] for r in got.groupBy("file").count().collect()}
+    n = rows.count()
+    assert sum(sizes.values()) == n and got.select("pkt_id").distinct().count() == n
+    assert len(sizes) >= n // 1000 and max(sizes.values()) <= 1200
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
