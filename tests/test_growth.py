@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from packetlake.functions import net
-from packetlake.operators import detect, enrich, intel, models
+from packetlake.operators import detect, enrich, intel, models, windows
 from packetlake.operators.stored import stored
 from packetlake.plans import packets as plan
 from packetlake.plans import q_stream
@@ -54,3 +54,16 @@ def test_batches_of_a_stream_do_not_grow_with_the_table(spark):
     assert sum(sizes.values()) == n and got.select("pkt_id").distinct().count() == n
     assert len(sizes) >= n // 1000 and max(sizes.values()) <= 1200
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_rules_window_only_blocks_that_can_reach_their_threshold(spark):
+    rows = [("quiet", k * 900, k, k % 3) for k in range(50)] + [("loud", k, 100 + k, k) for k in range(6)] + [("edge", 990 + k * 5, 200 + k, k) for k in range(5)] + [(None, k, 300 + k, k) for k in range(5)]
+    df = spark.createDataFrame(rows, "src_ip string, ts_ms long, pkt_id long, port long").withColumn("size", F.lit(10))
+    for value in (None, "port"):
+        kept = windows.busy(df, ["src_ip"], 1000, 5, value)
+        assert {r.src_ip for r in kept.select("src_ip").distinct().collect()} == {"loud", "edge", None}
+    full, few = (windows.count_in_window(x, ["src_ip"], 1000, "n").where("n >= 5").select("pkt_id", "n").collect() for x in (df, windows.busy(df, ["src_ip"], 1000, 5)))
+    assert sorted(full) == sorted(few) and len(full) == 2 + 1 + 1
+    every = {r.pkt_id: r.t for r in windows.running_total(df, "src_ip", "size", "t", 1000).collect()}
+    some = {r.pkt_id: r.t for r in windows.running_total(df, "src_ip", "size", "t", 1000, changes=lambda a, b: (a < 300) & (b >= 300)).collect()}
+    assert 0 < len(some) < 3 and some.items() <= every.items()
