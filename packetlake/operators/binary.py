@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from packetlake.operators.stored import held as _held
+
 # Message and function names of the protocols.
 DHCP_TYPES = {1: "Discover", 2: "Offer", 3: "Request", 4: "Decline", 5: "ACK", 6: "NAK", 7: "Release", 8: "Inform"}
 MODBUS_WRITES = (5, 6, 15, 16, 22, 23)
@@ -18,6 +20,8 @@ MODBUS_NAMES = {
 BACNET_PORT, NOT_BACNET = 47808, (10001, 8443)
 #: Labels of a name and jumps to other places that are followed.
 LABELS, JUMPS = 128, 16
+#: Steps that every name takes.
+FIRST = 6
 
 
 def _byte(text: Column, at) -> Column:
@@ -47,11 +51,6 @@ def _name(values: dict, key: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key]
 
 
-def _held(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with columns that are worked out once: a generator keeps what reads them from being written out in their terms."""
-    return rows.withColumn("_h", F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()])))).select("*", "_h.*").drop("_h")
-
-
 def _on(packets: DataFrame, *ports: int) -> DataFrame:
     rows = packets.where(F.col("dst_port").isin(*ports) | F.col("src_port").isin(*ports))
     return _held(rows, _x=F.hex("payload_raw"), _n=F.coalesce(F.length("payload_raw"), F.lit(0)))
@@ -91,7 +90,10 @@ def dhcp(packets: DataFrame) -> DataFrame:
 
 
 def dns_name(text: Column, at: int = 12) -> Column:
-    """The name at a place of a DNS message in hexadecimal: labels, and pointers to other places of the message. At most LABELS steps and JUMPS pointers are followed."""
+    """The name at a place of a DNS message in hexadecimal: labels, and pointers to other places of the message. At most LABELS steps and JUMPS pointers are followed.
+
+    The first FIRST steps are a fold, and the others one that only names which have not ended by then go through.
+    """
     start = F.struct(F.lit(at).alias("at"), F.lit("").alias("name"), F.lit(0).alias("jumps"))
 
     def step(s, _):
@@ -100,9 +102,12 @@ def dns_name(text: Column, at: int = 12) -> Column:
         label = (size > 0) & (size < 64)
         to = F.when(jump, (size - 192) * 256 + _byte(text, s["at"] + 1)).when(label, s["at"] + 1 + size).otherwise(-1)
         said = F.concat(s["name"], F.when(s["name"] == "", "").otherwise("2E"), _part(text, s["at"] + 1, size))
-        return F.struct(to.alias("at"), F.when(label, said).otherwise(s["name"]).alias("name"), (s["jumps"] + F.coalesce(jump, F.lit(False)).cast("int")).alias("jumps"))
+        on = F.struct(to.alias("at"), F.when(label, said).otherwise(s["name"]).alias("name"), (s["jumps"] + F.coalesce(jump, F.lit(False)).cast("int")).alias("jumps"))
+        return F.when(s["at"] < 0, s).otherwise(on)
 
-    return _text(F.aggregate(F.sequence(F.lit(1), F.lit(LABELS + JUMPS)), start, step)["name"])
+    some = F.aggregate(F.sequence(F.lit(1), F.lit(FIRST)), start, step)
+    rest = lambda s: F.when(s["at"] < 0, s).otherwise(F.aggregate(F.sequence(F.lit(FIRST + 1), F.lit(LABELS + JUMPS)), s, step))
+    return _text(F.transform(F.array(some), rest)[0]["name"])
 
 
 def answered_names(packets: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from packetlake.functions import net
-from packetlake.operators import detect, enrich, intel, models, windows
+import __spark_entry__ as entry
+from packetlake.operators import binary, detect, enrich, intel, models, windows
 from packetlake.operators.stored import stored
 from packetlake.plans import packets as plan
 from packetlake.plans import q_stream
@@ -67,3 +68,24 @@ def test_rules_window_only_blocks_that_can_reach_their_threshold(spark):
     every = {r.pkt_id: r.t for r in windows.running_total(df, "src_ip", "size", "t", 1000).collect()}
     some = {r.pkt_id: r.t for r in windows.running_total(df, "src_ip", "size", "t", 1000, changes=lambda a, b: (a < 300) & (b >= 300)).collect()}
     assert 0 < len(some) < 3 and some.items() <= every.items()
+
+
+def test_names_end_their_fold_early_and_long_ones_are_read_whole(spark):
+    labels = [f"label{k}" for k in range(20)]
+    whole = b"".join(bytes([len(x)]) + x.encode() for x in labels) + b"\0"
+    far = b"\xc0\x10" + b"\0\0" + whole  # a pointer to a name of twenty labels, and one that points to itself
+    rows = spark.createDataFrame([(1, bytes(12) + whole), (2, bytes(12) + far), (3, bytes(12) + b"\xc0\x0c"), (4, bytes(12) + b"\x03abc")], "id long, raw binary").withColumn("x", F.hex("raw"))
+    got = rows.select("id", binary.dns_name(F.col("x")).alias("name"))
+    assert {r.id: r.name for r in got.collect()} == {1: ".".join(labels), 2: ".".join(labels), 3: "", 4: "abc"}
+    assert f"sequence({binary.FIRST + 1}, {binary.LABELS + binary.JUMPS}" in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_verdicts_are_joined_without_a_shuffle_and_points_are_worked_out_once(spark):
+    plan_ = entry.queries()["v_verdicts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert "SortMergeJoin" not in plan_.sparkPlan().toString()
+    assert plan_.optimizedPlan().toString().count("array_intersect") == 1
+
+
+def test_the_forest_reads_its_windows_from_a_table(spark):
+    got = entry.queries()["l3_isolation_forest"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in planned(got) and "Aggregate" not in planned(got) and got.count() > 0
