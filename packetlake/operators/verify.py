@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from packetlake import config as c
 from packetlake.functions import net
+from packetlake.operators.stored import held
 
 # Cut-offs of the verdicts (least score, verdict), the last one for all that is lower.
 CUTS = {
@@ -84,7 +85,9 @@ def verify(found: DataFrame, cfg: c.Config = c.DEFAULT, rdns: DataFrame | None =
     cfg.cloud_suffixes: names of large services; cfg.gateways: addresses of gateways. Evidence that is absent counts for
     nothing, but an alert without a known domain counts as one to an address alone.
     """
-    rows = with_context(found, rdns, indicators)
+    is_rule = lambda name: F.col("rule_id") == name
+    ports = F.array_sort(F.filter(F.transform(F.split(F.coalesce(F.col("evidence")["ports"], F.lit("")), ","), lambda x: x.try_cast("int")), lambda x: x.isNotNull()))
+    rows = held(with_context(found, rdns, indicators), _ports=F.when(is_rule("PORT-SCAN"), ports))
     said = lambda name: F.coalesce(F.col("evidence")[name], F.lit(""))
     ev = lambda name: F.col("evidence")[name].try_cast("double")
     cloud = lambda name: F.coalesce(net.in_suffixes(F.lower(name), cfg.cloud_suffixes), F.lit(False))
@@ -104,7 +107,7 @@ def verify(found: DataFrame, cfg: c.Config = c.DEFAULT, rdns: DataFrame | None =
     rules = {
         "THREAT-INTEL-IP": (F.when(said("threat_category").isin(*c.CRITICAL_CATEGORIES), 3).otherwise(1) + F.when(clouds & ~others, -3).when(~clouds & ~others, 2).otherwise(0) + F.when(matched_name.isNull(), 1).when(cloud(matched_name), -2).otherwise(0), "address", 5),
         "THREAT-INTEL-DOMAIN": (F.when(said("confidence") == "HIGH", 3).when(said("confidence") == "MEDIUM", 1).otherwise(0) - points(said("hosted_on_cloud") == "true", 1) + points(F.size(F.split(asked, r"\.")) > 4, 1) + points((F.length(asked_label) > 20) & (F.lower(asked_label) == asked_label), 1) + points(F.substring_index(asked, ".", -1).isin(*ABUSED_TLDS), 1), "usual", 4),
-        "PORT-SCAN": (F.when(local, 1).otherwise(2) - points(_under(F.col("src_name"), SCANNERS), 2) + _scan(F.array_sort(F.filter(F.transform(F.split(said("ports"), ","), lambda x: x.try_cast("int")), lambda x: x.isNotNull())), ev("n_ports")), "usual", 4),
+        "PORT-SCAN": (F.when(local, 1).otherwise(2) - points(_under(F.col("src_name"), SCANNERS), 2) + _scan(F.col("_ports"), ev("n_ports")), "usual", 4),
         "BRUTE-FORCE": (F.when(local, 1).otherwise(2) + points(F.col("src_listed"), 2) + _first(ev("attempts"), (50, 2), (20, 1)) + points(said("service").isin(*HIGH_VALUE), 1), "brute", 5),
         "DATA-EXFIL": (F.when(F.size(domains) == 0, 2).otherwise(0) - points(F.exists(domains, cloud), 2) - points(F.exists(domains, lambda x: _under(x, TRANSFER_SERVICES)), 3) - points(process.isin(*TRANSFER_PROGRAMS), 2) + _first(ev("total_mb"), (500, 2), (200, 1)) + points(F.col("dst_listed"), 3), "upload", 5),
         "DNS-TUNNEL": (_first(ev("label_entropy"), (4.5, 2), (3.8, 1)) + _first(ev("length"), (100, 2), (70, 1)) - points(label.rlike(CDN_LABEL), 2) - points(cloud(F.substring_index(query, ".", -2)), 2), "usual", 4),
@@ -136,8 +139,11 @@ def verify(found: DataFrame, cfg: c.Config = c.DEFAULT, rdns: DataFrame | None =
     out = result(F.lit(0), F.lit("INCONCLUSIVE"), F.lit(0.3))
     for rule, (v, p) in plain.items():
         out = F.when(F.col("rule_id") == rule, result(F.lit(0), as_col(v), as_col(p))).otherwise(out)
-    for rule, (s, cuts, k) in rules.items():
-        s = F.coalesce(s, F.lit(0))
+    points_of = F.lit(0)
+    for rule, (s, _, _) in rules.items():
+        points_of = F.when(is_rule(rule), F.coalesce(s, F.lit(0))).otherwise(points_of)
+    rows, s = held(rows, _s=points_of), F.col("_s")  # the verdict and its confidence read the points several times
+    for rule, (_, cuts, k) in rules.items():
         sure, verdict = F.least(F.abs(s) / k, F.lit(1.0)), _verdict(s, CUTS[cuts])
         if rule == "THREAT-INTEL-DOMAIN":
             own = cloud(asked)
@@ -148,7 +154,7 @@ def verify(found: DataFrame, cfg: c.Config = c.DEFAULT, rdns: DataFrame | None =
     adjusted = F.when(F.col("verdict").endswith("FALSE_POSITIVE"), "LOW").when((F.col("verdict") == "VERIFIED_THREAT") & (F.col("confidence") > 0.5) & F.col("severity").isin("LOW", "MEDIUM"), "HIGH").otherwise(F.col("severity"))
     sure = F.col("confidence") > 0.5
     prefix = F.when(F.col("verdict") == "FALSE_POSITIVE", "[FALSE POSITIVE] ").when(F.col("verdict") == "LIKELY_FALSE_POSITIVE", "[LIKELY SAFE] ").when((F.col("verdict") == "VERIFIED_THREAT") & sure, "[CONFIRMED] ").when((F.col("verdict") == "LIKELY_THREAT") & sure, "[LIKELY THREAT] ").otherwise("")
-    return rows.withColumn("adjusted_severity", adjusted).withColumn("title_prefix", prefix).drop("_v", "src_name", "dst_name", "src_listed", "dst_listed")
+    return rows.withColumn("adjusted_severity", adjusted).withColumn("title_prefix", prefix).drop("_v", "_s", "_ports", "src_name", "dst_name", "src_listed", "dst_listed")
 
 
 def _pair(test: Column, yes: tuple, no: tuple) -> tuple[Column, Column]:

@@ -49,7 +49,8 @@ def _verdicts(s, d):
     said = F.map_filter(F.create_map(*[x for name in EVIDENCE for x in (F.lit(name), F.col(name))]), lambda k, v: v.isNotNull())
     found = rows.select("pkt_id", "ts_ms", "src_ip", "dst_ip", "dst_port", "severity", "rule_id", said.alias("evidence"))
     cfg = dataclasses.replace(c.DEFAULT, cloud_suffixes=("site3.com",), gateways=("192.168.1.1",))
-    out = verify.verify(found, cfg, s.createDataFrame(list(RDNS), "ip string, name string"), s.createDataFrame([(x,) for x in LISTED], "ip string"))
+    names, listed = s.createDataFrame(list(RDNS), "ip string, name string"), s.createDataFrame([(x,) for x in LISTED], "ip string")
+    out = verify.verify(found, cfg, F.broadcast(names), F.broadcast(listed))
     return out.select("pkt_id", "rule_id", "score", "verdict", "confidence", "adjusted_severity", "title_prefix")
 
 
@@ -94,9 +95,10 @@ def _forest(s, d):
     from pyspark.sql import functions as F
 
     from packetlake.operators import features, forest
+    from packetlake.operators.stored import stored
     from packetlake.plans.packets import packets
 
-    rows = features.features(packets(s, d))
+    rows = stored(features.features(packets(s, d)))  # read for the count, the draws and the scores
     return forest.score(rows, forest.train(rows)).select("slot", F.round("anomaly", 6).alias("anomaly"))
 
 
