@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from packetlake.functions import net
 import __spark_entry__ as entry
-from packetlake.operators import binary, detect, enrich, intel, models, windows
+from packetlake.operators import binary, detect, enrich, intel, models, payload, windows
 from packetlake.operators.stored import stored
 from packetlake.plans import packets as plan
 from packetlake.plans import q_stream
@@ -89,3 +89,27 @@ def test_verdicts_are_joined_without_a_shuffle_and_points_are_worked_out_once(sp
 def test_the_forest_reads_its_windows_from_a_table(spark):
     got = entry.queries()["l3_isolation_forest"](spark, "/root/testdata/sf0.001")
     assert "Window" not in planned(got) and "Aggregate" not in planned(got) and got.count() > 0
+
+
+def test_each_pattern_of_findings_runs_once(spark):
+    rows = [(1, "10.1.1.1", 5000, 80, "POST /a HTTP/1.1\r\nHost: h.example\r\nX-API-Key: abcdefghij\r\n\r\npassword=secret1&x=1"), (2, "10.1.1.1", 5000, 21, "USER anna\r\nPASS word12\r\n"), (3, "10.1.1.1", 21, 21, "USER bob\r\n"),
+            (4, "8.8.8.8", 5000, 80, "GET / HTTP/1.1\r\nSet-Cookie: SessionId=1\r\n"), (5, "10.1.1.1", 40000, 80, "card=4111111111111111 "), (6, "10.1.1.1", None, None, "PASS word12"), (7, "10.1.1.1", 5000, 21, None)]
+    df = spark.createDataFrame(rows, "pkt_id long, dst_ip string, src_port int, dst_port int, payload string").selectExpr("*", "pkt_id as ts_ms", "'10.9.9.9' as src_ip", "false as is_encrypted", "50 as payload_size")
+    found, shown = payload.secrets(df), payload.exposures(df)
+    assert [planned(found).count(x) for x in ("x-api-key", "passwd|pass|pwd", "createUser", "Proxy-Authorization")] == [1, 1, 1, 1] and "lambda" not in planned(found)
+    assert planned(shown).count("Set-Cookie:") == planned(shown).count("_cluster") == 1 and planned(payload.sensitive(df)).count("4\\d{15}") == 1
+    assert {(r.pkt_id, r.kind, r.masked, r.note) for r in found.collect()} == {
+        (1, "HTTP_API_KEY", "abcdef****", ""), (1, "HTTP_FORM", "sec****", "h.example /a"), (2, "FTP_USER", "anna", ""), (2, "FTP_PASS", "wor***", ""), (3, "FTP_USER", "bob", ""),
+    }
+    assert sorted((r.pkt_id, r.type, r.value) for r in shown.collect()) == [(4, "Session Cookie", "SessionId=1")] * 2
+    assert [(r.pkt_id, r.kind, r.masked) for r in payload.sensitive(df).collect()] == [(5, "CARD", "****1111")]
+
+
+def test_what_numbers_stand_in_is_asked_of_all_packets_once(spark):
+    plan_ = entry.queries()["x20_context"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan_.count("RFB 003.008") == 1
+
+
+def test_tasks_of_the_view_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(plan, "TASK_BYTES", 1000)
+    assert plan.packets(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 10
