@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from packetlake.functions import net
 import __spark_entry__ as entry
-from packetlake.operators import binary, detect, enrich, intel, models, payload, windows
+from packetlake.operators import binary, detect, enrich, intel, models, payload, trailing, windows
 from packetlake.operators.stored import stored
 from packetlake.plans import packets as plan
 from packetlake.plans import q_stream
@@ -113,3 +113,18 @@ def test_what_numbers_stand_in_is_asked_of_all_packets_once(spark):
 def test_tasks_of_the_view_do_not_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(plan, "TASK_BYTES", 1000)
     assert plan.packets(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 10
+
+
+def test_packets_find_where_they_leave_in_one_pass(spark):
+    rows = stored(spark.range(1000).select(F.col("id").alias("number"), F.floor(F.pow("id", F.lit(0.8)) / 3).alias("slot")))
+    slots = [r.slot for r in rows.orderBy("number").collect()]
+    for most, size in ((1, 1), (7, 50), (100, 64), (2000, 10)):
+        df = trailing.leaving(rows, most, size)
+        assert "Join" not in planned(df)
+        got = df.orderBy("number").collect()
+        assert [r.slot for r in got] == slots and [r.leave for r in got] == [slots[k + most] if k + most < 1000 else None for k in range(1000)]
+        ends = {s: k for k, s in enumerate(slots)}  # the last packet of each slot
+        assert {r.opens: r.number for r in got if r.opens is not None} == {s: k - most + 1 for s, k in ends.items() if k >= most - 1}
+
+    got = entry.queries()["l1_last_packets"](spark, "/root/testdata/sf0.001")
+    assert "number#" not in "".join(x for x in planned(got).splitlines() if "Join" in x)
