@@ -142,13 +142,38 @@ def windows(docs: DataFrame) -> DataFrame:
 WINDOW = ("f", "l", "c", "r", "x", "y")
 
 
-def run_keys(h: np.ndarray, v: np.ndarray, hot: np.ndarray, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and places of the runs of LEAST shingles of the document at [s, e) whose minimum in the first hash function v is hot (counted in `hot`)."""
-    near = np.flatnonzero(hot[s + LEAST : e + 1] > hot[s : e + 1 - LEAST])
-    runs = np.lib.stride_tricks.sliding_window_view(v[s:e], LEAST)
-    low = [part + runs[part].argmin(1) for part in np.array_split(near, len(near) // 16384 + 1)]
-    near = near[np.diff(hot)[s + np.concatenate(low)] > 0]
-    return run_hashes(h[s:e])[near] & ~np.uint64(1), near
+def _least_of(v: np.ndarray, n: int) -> np.ndarray:
+    """The least of the n values from each place on, by doubling."""
+    width = 1
+    while 2 * width <= n:
+        v, width = np.minimum(v[:-width], v[width:]), 2 * width
+    return np.minimum(v[: len(v) - (n - width)], v[n - width :])
+
+
+def run_keys(h: np.ndarray, v: np.ndarray, hot: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, place, document) of the runs of LEAST shingles, each inside its document, whose minimum in the first hash function v is hot."""
+    if len(h) < LEAST:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # equal values are hot together, so a run's minimum is hot where the least hot value is the least of all
+    low = _least_of(np.where(hot, v, np.uint64(2**64 - 1)), LEAST) == _least_of(v, LEAST)
+    counted = np.concatenate([[0], np.cumsum(hot)])
+    near = np.flatnonzero(low & (counted[LEAST:] > counted[:-LEAST]))
+    home = np.searchsorted(at, near, "right") - 1
+    inside = near + LEAST <= at[home + 1]
+    near, home = near[inside], home[inside]
+    return run_hashes(h)[near] & ~np.uint64(1), near - at[home], home
+
+
+def least_around(v: np.ndarray, c: np.ndarray, s: np.ndarray, e: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Whether v[c] is the one least value of `least` places or more of its document [s, e). Each step looks only at the places that still are."""
+    reach = np.ones(len(c), np.int64)
+    for sign, room in ((-1, c - s), (1, e - 1 - c)):
+        alive, low = np.arange(len(c)), v[c]
+        for step in range(1, least):
+            alive = alive[room[alive] >= step]
+            alive = alive[v[c[alive] + sign * step] > low[alive]]
+            reach[alive] += 1
+    return reach >= least
 
 
 def joint_keys(mixed: list[np.ndarray], minima: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,15 +188,7 @@ def joint_keys(mixed: list[np.ndarray], minima: np.ndarray, at: np.ndarray) -> t
         c = np.flatnonzero(postings.held(minima, v.view(np.int64)))
         s, e = at[docs[c]], at[docs[c] + 1]
         c, s, e = (x[e - s >= LEAST] for x in (c, s, e))
-        reach = np.zeros((2, len(c)), np.int64)  # how far the value is the least on each side
-        for side, sign in enumerate((-1, 1)):
-            alive = np.ones(len(c), bool)
-            for step in range(1, LEAST):
-                to = c + sign * step
-                alive &= (to >= s) & (to < e)
-                alive[alive] = v[to[alive]] > v[c[alive]]
-                reach[side] += alive
-        least = reach.sum(0) + 1 >= LEAST
+        least = least_around(v, c, s, e)
         c, s, e = c[least], s[least], e[least]
         w = mixed[(f + 1) % len(mixed)]
         low = w.copy()
@@ -202,13 +219,8 @@ def run_links(docs: DataFrame, own: DataFrame, keys: DataFrame, shared: DataFram
             for i, j, data, off in tv.documents(b.column(1)):
                 h, at, _, _ = sequence(data, off)
                 mixed = [tv.mix(h, 200 + f) for f in range(HASHES)]
-                hot = np.concatenate([[0], np.cumsum(postings.held(bits.value, mixed[0].view(np.int64)))])
-                key, place, home = ([x] for x in joint_keys(mixed, minima.value, at)) if len(h) else ([], [], [])
-                for d in range(j - i):
-                    s, e = at[d], at[d + 1]
-                    if e - s >= LEAST and hot[e] > hot[s]:
-                        k, p = run_keys(h, mixed[0], hot, s, e)
-                        key.append(k), place.append(p), home.append(np.full(len(k), d))
+                hot = postings.held(bits.value, mixed[0].view(np.int64))
+                key, place, home = (list(x) for x in zip(joint_keys(mixed, minima.value, at), run_keys(h, mixed[0], hot, at))) if len(h) else ([], [], [])
                 if key:
                     key, place, home = map(np.concatenate, (key, place, home))
                     order = np.argsort(home, kind="stable")

@@ -179,3 +179,24 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string").where("false")
     found = sd.repeated_passages(docs)
     assert found.count() == 0 and sd.remove_repeats(docs, found).count() == 0
+
+
+def test_minima_of_runs_are_found_without_the_whole_of_each_run(monkeypatch):
+    rng = np.random.default_rng(3)
+
+    def whole(*_, **__):
+        raise AssertionError("each run is laid out whole")
+
+    for kinds in (9, 200, 10**12):
+        at = np.cumsum([0, 400, 46, 30, 700])
+        h, v = (rng.integers(0, kinds, at[-1]).astype(np.uint64) for _ in range(2))
+        flag = v % np.uint64(5) == 0
+        want = [[(d, p) for p in range(e - s - 45) if flag[s + p + int(v[s + p : s + p + 46].argmin())]] for d, (s, e) in enumerate(zip(at, at[1:]))]
+        with monkeypatch.context() as m:
+            m.setattr(np.lib.stride_tricks, "sliding_window_view", whole)
+            key, place, home = sd.run_keys(h, v, flag, at)
+        assert list(zip(home.tolist(), place.tolist())) == sum(want, [])
+        assert key.tolist() == [int(sd.run_hashes(h[at[d] : at[d + 1]])[p]) & ~1 for d, p in zip(home, place)]
+        s, e = at[0], at[1]
+        one = [sum(1 for q in range(s, e) if q <= c and min(v[q : c + 1]) == v[c] and (v[q:c] > v[c]).all()) + sum(1 for q in range(c + 1, e) if (v[c + 1 : q + 1] > v[c]).all()) >= 46 for c in range(s, e)]
+        assert sd.least_around(v, np.arange(s, e), np.full(e - s, s), np.full(e - s, e)).tolist() == one
