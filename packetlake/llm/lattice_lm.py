@@ -31,6 +31,8 @@ from .common import crc_of_id, forget, saved, table
 
 VOCABULARY = "piece_bpe_32k.model"
 PRIOR, FOLDS, CHUNK, WORDS = 32_000.0, 10, 14 << 20, 20_000
+#: Bytes of a chunk whose words are cut and numbered at a time.
+PIECE = 1 << 20
 MARK = "▁".encode()
 
 
@@ -136,32 +138,43 @@ def chunks(docs: DataFrame) -> DataFrame:
             held.append(b)
             size += b.nbytes
             if size > CHUNK - (3 << 20):
-                yield pa.concat_batches(held)
-                held, size = [], 0
+                whole, held, size = pa.concat_batches(held), [], 0
+                yield whole
         if held:
             yield pa.concat_batches(held)
 
+    def words(data, off):
+        """The numbers of the words of each piece of a chunk, its first and last document, where each document's words begin, and the words that have these numbers."""
+        bounds, cut = [], []
+        for p, q in tv.chunks(off, PIECE):
+            low = tv.LOWER[data[off[p] : off[q]]]
+            starts, ends, woff = tv.word_bounds(low, off[p : q + 1] - off[p])
+            size = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+            cut.append(pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(size), pa.py_buffer(low[~tv.SPACE[low]])).dictionary_encode())
+            bounds.append((p, q, woff))
+        cut = pa.chunked_array(cut).unify_dictionaries().chunks
+        return [(x.indices.to_numpy(), *k) for x, k in zip(cut, bounds)], cut[0].dictionary
+
     def run(batches):
         no, task = 0, TaskContext.get().partitionId() << 32
         for b in gathered(batches):
             for i, j, data, off in tv.documents(b.column(2), CHUNK):
-                data = tv.LOWER[data]
-                starts, ends, woff = tv.word_bounds(data, off)
-                text = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)), pa.py_buffer(data[~tv.SPACE[data]])).dictionary_encode()
-                doc = np.repeat(np.arange(j - i), np.diff(woff))
-                ids, held = text.indices.to_numpy().astype(np.int64), b.column(1)[i:j].to_numpy(zero_copy_only=False)
-                train = np.bincount(ids[~held[doc]], minlength=len(text.dictionary)).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
-                code, times = np.unique(doc << 32 | ids, return_counts=True)
-                bounds = pa.array(np.searchsorted(code >> 32, np.arange(j - i + 1)).astype(np.int32))
-                n, chunk = len(text.dictionary), task + no
+                pieces, known = words(data, off)
+                held, n, chunk = b.column(1)[i:j].to_numpy(zero_copy_only=False), len(known), task + no
+                train = np.zeros(n, np.int64)
                 no += 1
+                for ids, p, q, woff in pieces:
+                    doc = np.repeat(np.arange(q - p), np.diff(woff))
+                    np.add.at(train, ids[~held[p:q][doc]], 1)
+                    code, times = np.unique(doc << 32 | ids, return_counts=True)
+                    bounds = pa.array(np.searchsorted(code >> 32, np.arange(q - p + 1)).astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (code & 0xFFFFFFFF, times)]
+                    cols = [pa.array(np.full(q - p, chunk)), *(pa.nulls(q - p, f.type) for f in list(schema)[1:4]), b.column(0)[i + p : i + q], b.column(1)[i + p : i + q], *lists]
+                    yield pa.RecordBatch.from_arrays(cols, schema=schema)
                 for s in range(0, n, 100_000):
                     e = min(n, s + 100_000)
-                    cols = [pa.array(np.full(e - s, chunk)), text.dictionary[s:e].cast(pa.string()), pa.array(np.arange(s, e, dtype=np.int32)), pa.array(train[s:e])]
+                    cols = [pa.array(np.full(e - s, chunk)), known[s:e].cast(pa.string()), pa.array(np.arange(s, e, dtype=np.int32)), pa.array(train[s:e])]
                     yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(e - s, f.type) for f in list(schema)[4:])], schema=schema)
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (code & 0xFFFFFFFF, times)]
-                cols = [pa.array(np.full(j - i, chunk)), *(pa.nulls(j - i, f.type) for f in list(schema)[1:4]), b.column(0)[i:j], b.column(1)[i:j], *lists]
-                yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     held = F.coalesce(crc_of_id() % FOLDS == 0, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long"), held, F.coalesce("text", F.lit("")))
