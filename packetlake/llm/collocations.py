@@ -31,8 +31,8 @@ from .common import forget, saved, table
 
 LEAST, COVERED, TOP, LONGEST = 30, 80, 2000, 4
 SCALE = 2_000_000
-#: Bytes of text that are counted together; bits of a bit map of frequent phrases.
-PIECE, BITS = 6 << 20, 1 << 26
+#: Bytes of text that are counted together (a task needs 40 times as much); bits of a bit map of frequent phrases.
+PIECE, BITS = 2 << 20, 1 << 26
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?\x0a\x0b\x0c\x0d"]] = True
 _GAP = _BREAK.copy()
