@@ -1,13 +1,14 @@
 """Quality rules: repetition counts, and perplexity bands of a modified Kneser-Ney model counted by Spark.
 
 The model is of n-grams of characters: those of ASCII are told apart, the others fall into 128 hashed kinds, so that the
-letters of every script have their own statistics. It is held as arrays of hashed n-grams, sorted, with their
-probabilities, found by binary search. Texts are dealt into two folds by their hash, and each is scored by the model of
-its language that was counted on the other fold, so no text (nor a copy of it) is judged by itself.
+letters of every script have their own statistics. Texts are dealt into two folds by their hash, and each is scored by
+the model of its language that was counted on the other fold, so no text (nor a copy of it) is judged by itself.
 
-An n-gram that makes up less than one in RARE of its language's n-grams is left to the lower orders. That rule is the
-same at every size, and no language has more than RARE n-grams of an order. The arrays are broadcast for as many languages
-at a time as fit MODEL_ROWS rows; further languages are scored in further passes.
+The model holds every n-gram. What the texts of a fold ask for is in that fold's own counts, so Spark joins these with the
+other fold's model, level by level, into a table of all answers. Those to n-grams that make up more than one in RARE of
+the asking fold's are fewer than RARE a language and fold, and are broadcast as sorted arrays, for as many languages at a
+time as fit MODEL_ROWS rows (further languages are scored in further passes); a text's other n-grams are joined with the
+rest of the table.
 
 Bands: per language, so many robust deviations (one for each side) around the median of the log-perplexity of the
 documents that pass the base rules, wider for short texts. All documents count for it. A language of fewer than LEAST
@@ -22,6 +23,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -143,11 +145,12 @@ def count_ngrams(folds: DataFrame, most: int = 2_000_000) -> DataFrame:
     return counted.groupBy("own", "fold", "key").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER, rare: int = RARE) -> DataFrame:
+def kneser_ney(counts: DataFrame, order: int = ORDER, rare: int | None = None) -> DataFrame:
     """(own, fold, level, key, probability, back-off weight) rows of the interpolated modified Kneser-Ney model.
 
     The highest level uses counts, the lower ones the number of different continuations to the left. Each level's three
-    discounts come from its counts of counts. Everything is a group-by over the n-gram table.
+    discounts come from its counts of counts. Everything is a group-by over the n-gram table. With `rare`, n-grams that make
+    up less than one in so many are left to the lower orders; no query asks for that.
     """
     levels = []
     grams, model = counts, ["own", "fold"]
@@ -163,14 +166,42 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, rare: int = RARE) -> DataF
         g = g.join(cc, model)  # two rows a language
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         w = W.partitionBy(*model, "ctx")
-        often = F.col("n") * rare > F.col("all")
-        g = g.withColumn("p", F.when(often, (F.col("n") - d) / F.sum("n").over(w))).withColumn("bow", 1 - F.sum("p").over(w))
+        p = (F.col("n") - d) / F.sum("n").over(w)
+        g = g.withColumn("p", F.when(F.col("n") * rare > F.col("all"), p) if rare else p).withColumn("bow", 1 - F.sum("p").over(w))
         levels.append(g.where("p is not null").select(*model, F.lit(level).cast("byte").alias("level"), "key", F.col("p").cast("float"), F.greatest("bow", F.lit(1e-6)).cast("float").alias("bow")))
     return functools.reduce(DataFrame.unionByName, levels)
 
 
+def answers(counts: DataFrame, model: DataFrame, order: int = ORDER, rare: int = RARE) -> DataFrame:
+    """(own, fold, key, often, logp): each n-gram of a fold's texts, whether it makes up more than one in `rare` there, and its log-probability by the other fold's model.
+
+    An n-gram's probability is its own part and the back-off weight of its context times the probability of the n-gram
+    without its first character. No key of these joins has more than KINDS rows.
+    """
+    model, names, below, held = model.withColumn("fold", 1 - F.col("fold")), ["own", "fold"], None, []
+    for level in range(1, order + 1):
+        ask = counts.select(*names, F.col("key").bitwiseAND((1 << (BITS * level)) - 1).alias("key"))
+        mine = model.where(F.col("level") == level)
+        weights = mine.groupBy(*names, F.shiftright("key", BITS).alias("ctx")).agg(F.max("bow").alias("bow"))
+        rows = (ask.distinct() if level < order else ask).withColumn("ctx", F.shiftright("key", BITS))
+        rows = rows.join(mine.select(*names, "key", "p"), [*names, "key"], "left").join(weights, [*names, "ctx"], "left")
+        if level > 1:
+            rows = rows.withColumn("short", F.col("key").bitwiseAND((1 << (BITS * (level - 1))) - 1)).join(below, [*names, "short"])
+        lower = F.col("q") if level > 1 else F.lit(1 / KINDS)
+        q = F.coalesce("p", F.lit(0.0)) + F.coalesce("bow", F.lit(1.0)) * lower
+        below = rows.select(*names, F.col("key").alias("short"), q.cast("double").alias("q"))
+        if level < order:
+            held.append(saved(below))
+            below = held[-1]
+    total = counts.groupBy(*names).agg(F.sum("n").alias("all"))  # two rows a language
+    often = counts.join(total, names).select(*names, F.col("key").alias("short"), (F.col("n") * rare > F.col("all")).alias("often"))
+    out = saved(below.join(often, [*names, "short"]).select(*names, F.col("short").alias("key"), "often", F.log("q").cast("float").alias("logp")))
+    forget(*held)
+    return out
+
+
 class Model:
-    """Sorted key arrays with probabilities for each language and fold; lower levels answer what a higher one lacks."""
+    """A model in one place, for tests: sorted key arrays with probabilities for each language and fold; lower levels answer what a higher one lacks."""
 
     def __init__(self, table, order: int = ORDER):
         self.by = {}
@@ -210,35 +241,63 @@ def _probability(keys, p, ctx, bow, lower, level, ask):
     return out
 
 
-SCORED = "doc_id long, lang string, n_symbols_in long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+SCORED = "row long, doc_id long, lang string, own long, fold int, n_symbols_in long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, total double, keys array<long>, times array<int>"
 
 
-def _scored(folds: DataFrame, model) -> DataFrame:
-    """The base counts and the log-perplexity (per character; null without text) of each document."""
-    shared = folds.sparkSession.sparkContext.broadcast(model)
+def _scored(folds: DataFrame, often) -> DataFrame:
+    """The base counts of each document, the sum of the log-probabilities of its n-grams in `often` (own, fold, key, logp), and its other n-grams with the number of times they occur."""
+    shared = folds.sparkSession.sparkContext.broadcast(often)
     names = [x.split()[0] for x in SCORED.split(", ")]
 
     def score(batches):
-        m = Model(shared.value)
+        own, fold, key, logp = (shared.value.column(c).to_numpy() for c in ("own", "fold", "key", "logp"))
+        by, held = np.lexsort((key, fold, own)), {}
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(own[by]) != 0) | (np.diff(fold[by]) != 0)])) if len(by) else []
+        for s, e in zip(first, np.append(first, len(by))[1:].astype(int)):
+            held[int(own[by[s]]), int(fold[by[s]])] = key[by[s:e]], logp[by[s:e]].astype(float)
+        row = TaskContext.get().partitionId() << 36
         for b in batches:
             own, fold = b.column(4).to_numpy(), b.column(3).to_numpy()
             for i, j, data, off in tv.documents(b.column(2)):
                 c = base_counts(data, off)
                 kinds, at = kinds_of(data, off)
                 keys, logp = ngram_keys(kinds, at), np.zeros(len(kinds))
-                doc = np.repeat(np.arange(i, j), np.diff(at))
+                doc, rest = np.repeat(np.arange(i, j), np.diff(at)), np.ones(len(kinds), bool)
                 for name, f in {(int(x), int(y)) for x, y in zip(own[i:j], fold[i:j])}:
-                    mine = np.flatnonzero((own[doc] == name) & (fold[doc] == f))
-                    u, inverse = np.unique(keys[mine], return_inverse=True)
-                    logp[mine] = m.log_probability(name, 1 - f, u)[inverse]
+                    if (name, f) in held:
+                        known, p = held[name, f]
+                        mine = np.flatnonzero((own[doc] == name) & (fold[doc] == f))
+                        u, inverse = np.unique(keys[mine], return_inverse=True)
+                        k = np.minimum(np.searchsorted(known, u), len(known) - 1)
+                        found = known[k] == u
+                        logp[mine], rest[mine] = np.where(found, p[k], 0)[inverse], ~found[inverse]
                 total, n = np.concatenate([[0], np.cumsum(logp)]), np.diff(at)
-                mean = np.where(n > 0, -np.diff(total[at]) / np.maximum(n, 1), np.nan)
+                d, u = doc[rest], keys[rest]
+                order = np.lexsort((u, d))
+                d, u = d[order], u[order]
+                new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (u[1:] != u[:-1])])) if len(d) else np.zeros(0, np.int64)
+                bounds = pa.array(np.searchsorted(d[new], np.arange(i, j + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(bounds, x) for x in (pa.array(u[new]), pa.array(np.diff(np.append(new, len(d))).astype(np.int32)))]
                 counts = (c[x] for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(n, pa.int64()), *(pa.array(x, pa.int64()) for x in counts), pa.array(mean, pa.float64(), from_pandas=True)], names=names)
+                plain = [b.column(0)[i:j], b.column(1)[i:j], b.column(4)[i:j], b.column(3)[i:j], pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + j - i)), *plain, *(pa.array(x, pa.int64()) for x in counts), pa.array(np.diff(total[at])), *lists], names=names)
+                row += j - i
 
     return folds.select("doc_id", "lang", "text", "fold", "own").mapInArrow(score, SCORED)
 
 
+def _whole(parts: list[DataFrame], table: DataFrame) -> DataFrame:
+    """The documents of all passes with log_perplexity (per character; null without text): the n-grams that no pass knew are joined with the table of answers."""
+    docs = functools.reduce(DataFrame.unionByName, [p.withColumn("pass", F.lit(k)) for k, p in enumerate(parts)])
+    rest = docs.where(F.size("keys") > 0).select("pass", "row", "own", "fold", F.explode(F.arrays_zip("keys", "times")).alias("x"))
+    rest = rest.select("pass", "row", "own", "fold", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
+    rest = rest.join(table.where("not often").select("own", "fold", "key", "logp"), ["own", "fold", "key"])
+    rest = rest.groupBy("pass", "row").agg(F.sum(F.col("times") * F.col("logp").cast("double")).alias("rest"))
+    mean = -(F.col("total") + F.coalesce("rest", F.lit(0.0))) / F.col("n_symbols_in")
+    joined = docs.drop("keys", "times").join(rest, ["pass", "row"], "left")
+    return joined.withColumn("log_perplexity", F.when(F.col("n_symbols_in") > 0, mean)).drop("pass", "row", "own", "fold", "total", "rest")
+
+
 def _groups(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
     """Languages (name, rows of the model) in groups of at most `most` rows, a larger one alone."""
     out, room = [], 0
@@ -251,19 +310,22 @@ def _groups(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
     return out
 
 
-def quality_rules(docs: DataFrame, below: float = BELOW, above: float = ABOVE, most: int = MODEL_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, below: float = BELOW, above: float = ABOVE, most: int = MODEL_ROWS, rare: int = RARE) -> DataFrame:
     """doc_id, the base counts, log_perplexity, base_failed, kept."""
     folds = _folds(docs)
     counts = saved(count_ngrams(folds))
     model = saved(kneser_ney(counts))
-    sizes = [(r["own"], r["n"]) for r in model.groupBy("own").agg(F.count("*").alias("n")).collect()]  # one row a language
+    found = answers(counts, model, rare=rare)
+    forget(counts, model)
+    often = found.where("often").select("own", "fold", "key", "logp")
+    sizes = [(r["own"], r["n"]) for r in often.groupBy("own").agg(F.count("*").alias("n")).collect()]  # one row a language
     groups = _groups(sizes, most) or [[]]
     parts = []
     for k, names in enumerate(groups):
         mine = folds.where(F.col("own").isin(names)) if k else folds.where(~F.col("own").isin([x for g in groups[1:] for x in g]))
-        parts.append(saved(_scored(mine, model.where(F.col("own").isin(names)).toArrow())))  # at most `most` rows, or one language's
-    forget(counts, model)
-    scored = functools.reduce(DataFrame.unionByName, parts)
+        parts.append(saved(_scored(mine, often.where(F.col("own").isin(names)).toArrow())))  # at most `most` rows, or one language's
+    scored = saved(_whole(parts, found))
+    forget(found, *parts)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     # the spread of a mean falls with the length, so a short text's band is wider by the root of its length
