@@ -29,7 +29,8 @@ NODES = "model long, tree int, node int, feature int, cut double, size int, dept
 def numbered(features: DataFrame) -> DataFrame:
     """slot, number (from 0, in order of the slots), x (the features)."""
     before = sums_before(features, "slot", number=F.count("*"))
-    return features.select("slot", F.array(*FEATURES).alias("x")).join(before, "slot").select("slot", "number", "x")
+    # an array counts as one number to the planner, which would broadcast all windows through the driver
+    return features.select("slot", F.array(*FEATURES).alias("x")).hint("merge").join(before, "slot").select("slot", "number", "x")
 
 
 def schedule(rows: DataFrame, gate: int = GATE, every: int = EVERY, history: int = HISTORY) -> DataFrame:

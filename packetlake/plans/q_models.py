@@ -69,15 +69,18 @@ add("l4_forest_scores", lambda s, d: models.scored(_history(s, d))[0].select("sl
 
 
 def _combined(s, d):
-    """slot, trained, anomaly, reasons: all four scores of each window; before the first model the forest's is 0."""
+    """slot, trained, anomaly, reasons: all four scores of each window; before the first model the forest's is 0.
+
+    The planner takes the sides of these joins for small by the bytes of compressed tables, and would broadcast them.
+    """
     rows = _history(s, d)
     seen = packets(s, d)
-    beacon = seen.select("dst_ip", F.floor(F.col("ts_ms") / 5000).alias("slot")).distinct().join(features.beacons(seen).select("dst_ip", "score"), "dst_ip").groupBy("slot").agg(F.max("score").alias("beacon"))
+    beacon = seen.select("dst_ip", F.floor(F.col("ts_ms") / 5000).alias("slot")).distinct().hint("merge").join(features.beacons(seen).select("dst_ip", "score"), "dst_ip").groupBy("slot").agg(F.max("score").alias("beacon"))
     dns = features.dns_scores(seen, 5).select("slot", F.col("dns_score").alias("dns"))
     forest = models.scored(rows)[0].select("slot", F.round("forest", 4).alias("forest"), F.lit(True).alias("trained"))
-    all_of = features.deviation(rows).withColumn("deviation", F.round("deviation", 4)).join(rows, "slot")
+    all_of = features.deviation(rows).withColumn("deviation", F.round("deviation", 4)).hint("merge").join(rows, "slot")
     for part in (beacon, dns, forest):
-        all_of = all_of.join(part, "slot", "left")
+        all_of = all_of.join(part.hint("merge"), "slot", "left")
     all_of = all_of.fillna(0.0, ["beacon", "dns", "forest"]).fillna(False, ["trained"])
     parts = [F.col(x) for x in ("deviation", "forest", "beacon", "dns")]
     return all_of.select("slot", "trained", features.combined(*parts).alias("anomaly"), features.reasons(*parts).alias("reasons"))
